@@ -95,7 +95,9 @@ def top_k(rows: DataFrame, every=50, k=5, n_pivots=24, block=8192, query_block=4
         "uid", "vec_id", "v", "d", F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias("__other"), "__own"
     ).select("uid", "vec_id", "v", "d", (F.col("__own") * F.lit(other_n) + F.col("__other") if first else F.col("__other") * F.lit(own_n) + F.col("__own")).alias("cell"))
     left = deal(tabled, 1, n_blocks, n_query_blocks, True)
+    # new names: both sides come of one table, and their columns must not be taken for one another
     right = deal(tabled.filter(F.col("vec_id") % every == 0), 2, n_query_blocks, n_blocks, False)
+    right = right.select(*[F.col(c).alias(f"q_{c}") for c in right.columns])
 
     def meet(x, q):
         out = []
@@ -105,12 +107,12 @@ def top_k(rows: DataFrame, every=50, k=5, n_pivots=24, block=8192, query_block=4
                 v = np.stack([np.asarray(a, np.float64) for a in part["v"]])
                 table = np.stack([np.asarray(a, np.float64) for a in part["d"]])
                 norms, uids, ids = np.square(v).sum(1), part["uid"].to_numpy(), part["vec_id"].to_numpy()
-                for uid, vec_id, qv, qd in zip(q["uid"], q["vec_id"], q["v"], q["d"], strict=True):
+                for uid, vec_id, qv, qd in zip(q["q_uid"], q["q_vec_id"], q["q_v"], q["q_d"], strict=True):
                     if len(qv) == n:
                         best, _ = search(np.asarray(qv, np.float64), np.asarray(qd, np.float64), v, norms, table, ids, uids == uid, k)
                         out += [(uid, vec_id, int(ids[at]), s) for s, at in best]
         return pd.DataFrame(out, columns=["uid", "query_id", "vec_id", "score"]).astype("int64")
 
-    met = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(meet, "uid long, query_id long, vec_id long, score long")
+    met = left.groupBy("cell").cogroup(right.groupBy("q_cell")).applyInPandas(meet, "uid long, query_id long, vec_id long, score long")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
