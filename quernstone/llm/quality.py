@@ -3,8 +3,8 @@
 Method. Word unigrams and bigrams are hashed into `buckets` cells. Two multinomials over the cells are counted: the raw
 corpus (every document) and the trusted target (labelled documents of quality 1 that are not toxic). A document's score
 is the mean over its n-grams of log(p_target / p_raw), so it does not depend on its length; every document whose score
-is under `threshold` is rejected. The target is smoothed towards the raw corpus with the weight of `prior` n-grams:
-without labels the ratio is 1 everywhere and the score of every document 0, so that nothing is rejected.
+is under `threshold` is rejected. Raw counts are scaled to the target's size and both get `prior` pseudo-counts a cell: a cell
+that the sample is too small to judge has a ratio near 1, and without labels every score is 0: nothing is rejected.
 
 Bounds. The target is fitted on at most `trusted_rows` labelled ids (those of the smallest hash), which are broadcast;
 the table of log ratios has `buckets` doubles at any input size. Everything else covers all documents: one pass
@@ -62,7 +62,12 @@ def _counts(docs: DataFrame, text_col: str, buckets: int, name: str) -> DataFram
     return grams.groupBy(F.pmod("__gram", F.lit(buckets)).cast("int").alias("__cell")).agg(F.count(F.lit(1)).alias(name))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets=1 << 16, trusted_rows=20_000, prior=1000.0) -> DataFrame:
+def _fenced(value: Column) -> Column:
+    """The value, so that no filter on it is moved below: there, its arrays would be made anew for each of their members."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets=1 << 16, trusted_rows=20_000, prior=5.0) -> DataFrame:
     """One row, `ratios`: array<double> with log(p_target / p_raw) of each cell. Counts cover all documents."""
     trusted = (
         labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(id_col).isNotNull())
@@ -82,13 +87,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
         F.sum("raw").alias("n_raw"),
         F.sum("target").alias("n_target"),
     )
-    p_raw = lambda x: (x["raw"] + F.lit(1.0)) / (F.col("n_raw") + F.lit(float(buckets)))
-    return gathered.select(
-        F.transform("c", lambda x: F.log(((x["target"] + prior * p_raw(x)) / (F.col("n_target") + prior)) / p_raw(x))).alias("ratios")
-    )
+    # the raw counts at the target's size, then as many pseudo-counts for both: two multinomials of the same weight
+    scaled = lambda x: x["raw"] * F.col("n_target") / F.greatest(F.col("n_raw"), F.lit(1))
+    return gathered.select(F.transform("c", lambda x: F.log((x["target"] + prior) / (scaled(x) + prior))).alias("ratios"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets=1 << 16, trusted_rows=20_000, prior=1000.0, threshold=-0.2) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets=1 << 16, trusted_rows=20_000, prior=5.0, threshold=-0.2) -> DataFrame:
     """All columns of `docs`, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     rest = [c for c in docs.columns if c not in own]
@@ -112,8 +116,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     total = F.aggregate("__h", F.lit(0.0), add) + F.aggregate("__p", F.lit(0.0), add)
     step = step.select(
         *plain,
-        _covered(F.col("__starts")).alias("n_repeat_words"),
-        F.when(F.size("__h") > 0, total / (F.size("__h") + F.size("__p"))).otherwise(F.lit(0.0)).alias("llr"),
+        _fenced(_covered(F.col("__starts"))).alias("n_repeat_words"),
+        _fenced(F.when(F.size("__h") > 0, total / (F.size("__h") + F.size("__p"))).otherwise(F.lit(0.0))).alias("llr"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
