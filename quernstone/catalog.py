@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import registry
+from .functions import text_queries  # noqa: F401
+from .plans import predicate_queries
+from .plans.predicate_queries import flagship  # noqa: F401
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLES)
