@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from . import registry
 from .functions import text_queries  # noqa: F401
-from .plans import predicate_queries
+from .operators import retrieval_queries  # noqa: F401
+from .plans import predicate_queries  # noqa: F401
 from .plans.predicate_queries import flagship  # noqa: F401
 
 
