@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .functions import text_queries  # noqa: F401
-from .operators import dedup_queries, extract_queries, gate_queries, packing_queries, retrieval_queries, scoring_queries, split_queries  # noqa: F401
+from .operators import assemble_queries, dedup_queries, extract_queries, gate_queries, generate_queries, packing_queries, retrieval_queries, scoring_queries, split_queries  # noqa: F401
 from .plans import predicate_queries  # noqa: F401
 from .plans.predicate_queries import flagship  # noqa: F401
 
