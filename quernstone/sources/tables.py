@@ -24,9 +24,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def strict_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, faults): a fault names the file and the text of each line that isn't such a JSON object."""
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    read = spark.read.schema(marked).option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return read.filter(~bad).drop("_corrupt_record", "file"), read.filter(bad).select("file", F.col("_corrupt_record").alias("line"))
+    # lines are read as text and parsed, so that faults can be asked for alone
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    read = lines.select("file", F.from_json("value", marked, {"mode": "PERMISSIVE"}).alias("__row"))
+    bad = F.col("__row._corrupt_record").isNotNull()
+    return read.filter(~bad).select("__row.*").drop("_corrupt_record"), read.filter(bad).select("file", F.col("__row._corrupt_record").alias("line"))
 
 
 def json_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
