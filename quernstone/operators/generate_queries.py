@@ -55,7 +55,7 @@ def g6(spark, d):
 
 @query("g7_early_late", """
 WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents), m AS (SELECT *, max(page) OVER (PARTITION BY source) AS last FROM p),
-e AS (SELECT *, CASE WHEN page <= 6 THEN 'early' WHEN page >= greatest(8, floor(last * 0.58)) THEN 'late' END AS place FROM m),
+e AS (SELECT *, CASE WHEN page <= 6 THEN 'early' WHEN page >= greatest(8, floor(last * 0.58::DOUBLE)) THEN 'late' END AS place FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, place ORDER BY doc_id) AS nth FROM e WHERE place IS NOT NULL)
 SELECT doc_id, place FROM r WHERE nth <= CASE place WHEN 'early' THEN 4 ELSE 3 END""")
 def g7(spark, d):

@@ -49,7 +49,8 @@ def condition(wanted: dict[str, Any], views: dict[str, Column] | None = None) ->
         if not isinstance(value, dict):
             return F.coalesce(F.col(key).cast("string"), F.lit("")) == F.lit(str(value))
         number = views.get(key, F.col(key))
-        parts = [number >= F.lit(value["min"])] * ("min" in value) + [number < F.lit(value["max"])] * ("max" in value)
+        parts = [number >= F.lit(value["min"])] if "min" in value else []
+        parts += [number < F.lit(value["max"])] if "max" in value else []
         return reduce(Column.__and__, parts, number.isNotNull())
 
     return reduce(Column.__and__, (one(k, v) for k, v in wanted.items()), F.lit(True))
