@@ -54,7 +54,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "source", "size", "source_size", "target", "taken", F.col("copies")[0]["position"].alias("first_position"))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("first_position"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
