@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-Method. A line's tokens are its words, with those that hold a digit masked as variable. The tree is of fixed depth: first
+Method. A line's tokens are its words, with those that hold a digit masked as variable, unless most do. The tree is of fixed depth: first
 the token count, then the `leading` masked tokens; together they name a leaf. A leaf keeps templates of `FIELDS` fields: a field is
 a token, or in longer lines a run of neighbouring tokens. A line belongs to the most similar template of its leaf, if a share of `similar` of the
 fields agree; fields that differ become variable, and a line that fits none begins a template. A template that stands in
@@ -40,7 +40,9 @@ def fields(line: bytes, leading: int) -> tuple[int, list[int]] | None:
         return None
     n = len(tokens)
     if DIGIT.search(line):
-        tokens = [b"<*>" if DIGIT.search(t) else t for t in tokens]
+        masked = [b"<*>" if DIGIT.search(t) else t for t in tokens]
+        # a line that is mostly numbers has nothing else to be known by: its tokens stay as they are
+        tokens = masked if 2 * masked.count(b"<*>") <= n else tokens
     leaf = xxhash.xxh64_intdigest(b" ".join([str(n).encode(), *tokens[:leading]])) >> 1
     digest = xxhash.xxh32_intdigest
     if n <= FIELDS:

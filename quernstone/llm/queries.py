@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, html, lines, mixing, pivots, quality, secrets, shards, simhash
 from .common import table
@@ -54,7 +54,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("first_position"))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,33 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+
+#: SQL has no XXH64, no CRC-32, no byte-pair merges and no places of matches: the other queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op3_pivot_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS uid FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.uid <> b.uid AND len(a.q) = len(b.q))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
+    "op7_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  sum(length(regexp_replace(text, '[\\<\[]', '\\\0', 'g')) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(regexp_replace(role, '[\\<\[]', '\\\0', 'g')) END) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(upto) FILTER (role = 'assistant' OR k = n), 0) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+f AS (SELECT *, 3 * source_size / CAST(w AS DOUBLE) AS full_at FROM w),
+g AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM f WINDOW o AS (ORDER BY full_at, source IS NULL, source)),
+q AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), max(level) FILTER (level <= full_at) OVER () * w), 0) AS target FROM g),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, p.source, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda k: greatest(0, least(size, least(CAST(round(target) AS BIGINT), 3 * source_size) - start - k * source_size)))) AS BIGINT) AS taken
+FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
+}
