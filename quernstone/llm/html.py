@@ -23,6 +23,7 @@ import re
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
@@ -161,13 +162,22 @@ def templates(pages: DataFrame, min_pages=5, html_col="html", url_col="url") ->
 def extract(pages: DataFrame, min_pages=5, html_col="html", url_col="url") -> DataFrame:
     """A row a page: page_id, url, text, n_chars."""
 
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            packed = pa.array([squeeze(p.as_py().encode()) for p in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), packed], names=["uid", "page_id", "url", "packed"])
+
     def run(batches):
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = [scan(p.as_py(), set(f.as_py() or ()))[0] for p, f in zip(b.column(2), b.column(3), strict=True)]
+            texts = [scan(expand(p.as_py()).decode(), set(f.as_py() or ()))[0] for p, f in zip(b.column(2), b.column(3), strict=True)]
             columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    rows = _keyed(pages, html_col, url_col).drop("host")
+    rows = _keyed(pages, html_col, url_col).select("uid", "page_id", "url", "html")
+    # pages cross the shuffle packed, at under half of their size
+    rows = ship(rows).mapInArrow(pack, "uid long, page_id long, url string, packed binary")
     flagged = templates(pages, min_pages, html_col, url_col)
-    joined = rows.join(flagged, "uid", "left").select("page_id", "url", "html", "flagged")
-    return ship(joined).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(flagged, "uid", "left").select("page_id", "url", "packed", "flagged")
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
