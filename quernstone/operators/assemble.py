@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .generate import keep_first
+from .numbering import numbered
 
 
 def public(df: DataFrame, allowed: list[str]) -> Column:
@@ -27,9 +28,7 @@ def united(sources: list[tuple[str, DataFrame]], key: str, order: str, prefix: s
     nth = F.row_number().over(Window.partitionBy(key).orderBy("__rank", order))
     ranked = every.withColumn("__r", nth)
     kept = ranked.filter("__r = 1")
-    # ids by count of those before: the result of keep-first is numbered once, in order
-    number = F.row_number().over(Window.orderBy("__rank", order))
-    kept = kept.withColumn("qa_id", F.format_string(f"{prefix}_%04d", number)).drop("__r", "__rank")
+    kept = numbered(kept, ["__rank", order], "__number").withColumn("qa_id", F.format_string(f"{prefix}_%04d", "__number")).drop("__r", "__rank", "__number")
     return kept, ranked.filter("__r > 1").drop("__r", "__rank")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .numbering import numbered
+
 # What a signature masks, in order.
 MASKS = [(r"\[[^\]]*\]", "[T]"), (r"\"[^\"]*\"", "Q"), (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "D"), (r"[0-9][0-9,.]*", "N")]
 
@@ -18,8 +20,8 @@ def signature(c: Column) -> Column:
 def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
     """cluster_id by first appearance, size and weight. Signatures are numbered once each, not rows."""
     first = df.groupBy(sig).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("cluster_size"))
-    # ranks of first appearances: one row a signature
-    named = first.withColumn("cluster_id", F.concat(F.lit("clu_"), F.lpad(F.row_number().over(Window.orderBy("__first")).cast("string"), 4, "0")))
+    digits = F.col("__number").cast("string")
+    named = numbered(first, ["__first"], "__number").withColumn("cluster_id", F.concat(F.lit("clu_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))).drop("__number")
     return df.join(named.withColumn("cluster_weight", F.round(1 / F.col("cluster_size"), 6)).drop("__first"), sig)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapsed
+from .numbering import numbered
 
 
 def facts(df: DataFrame, id_col: str, text_col: str, pattern: str, around: int = 80) -> DataFrame:
@@ -83,6 +84,6 @@ def scored(c: Column, words: list[str]) -> Column:
 
 def ring_pairs(df: DataFrame, id_col: str, offsets: list[int]) -> DataFrame:
     """Each row with those so many places further on, in a circle."""
-    placed = df.select(F.col(id_col).alias("a"), (F.row_number().over(Window.orderBy(id_col)) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    placed = numbered(df.select(F.col(id_col).alias("a")), ["a"], "i").select("a", (F.col("i") - 1).alias("i")).withColumn("n", df.agg(F.count(F.lit(1))).scalar())
     other = placed.select(F.col("a").alias("b"), F.col("i").alias("j"))
     return placed.withColumn("o", F.explode(F.array(*map(F.lit, offsets)))).withColumn("j", F.pmod(F.col("i") + F.col("o"), F.col("n"))).join(other, "j").select("a", "b")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import numbers, squeezed, token_set
+from .numbering import numbered
 
 
 def bare(c: Column) -> Column:
@@ -63,7 +64,7 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def shifted(df: DataFrame, order: str, value: str) -> DataFrame:
     """Each row with the value of the row n // 3 (1 at least) further on, in a circle."""
-    placed = df.withColumn("__at", F.row_number().over(Window.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
+    placed = numbered(df, [order], "__at").withColumn("__at", F.col("__at") - 1).withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
     by = F.greatest(F.floor(F.col("__n") / 3), F.lit(1))
     other = placed.select(F.col("__at").alias("__from"), F.col(value).alias("shifted"))
     return placed.withColumn("__from", F.pmod(F.col("__at") + by, F.col("__n"))).join(other, "__from").drop("__at", "__n", "__from")

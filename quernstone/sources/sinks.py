@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators.numbering import numbered
 
 
 def json_text(*columns: str) -> Column:
@@ -31,7 +33,7 @@ def rewrite(df: DataFrame, path: str, staged: str) -> DataFrame:
 def csv_text(df: DataFrame, *columns: str) -> DataFrame:
     """Lines of a CSV for spreadsheets; the header line has the byte order mark. `line_no` orders them."""
     head = df.sparkSession.createDataFrame([(0, "﻿" + ",".join(columns))], "line_no long, line string")
-    body = df.select(F.row_number().over(Window.orderBy(*columns)).cast("long").alias("line_no"), F.to_csv(F.struct(*columns)).alias("line"))
+    body = numbered(df.select(*columns), list(columns), "line_no").select("line_no", F.to_csv(F.struct(*columns)).alias("line"))
     return head.unionByName(body)
 
 
