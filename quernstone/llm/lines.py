@@ -135,7 +135,7 @@ def _parsed(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
     return ship(dealt).mapInArrow(run, "leaf long, salt int, fields array<int>, template int, whole array<int>")
 
 
-def owners(lines: DataFrame, similar=0.75, split=16384) -> DataFrame:
+def owners(lines: DataFrame, similar=0.75, split=256) -> DataFrame:
     """leaf, fields, owner: the smallest key of the line's template, for lines of leaves with more than one document."""
     distinct = lines.groupBy("leaf", "fields").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("__n"), F.min("first").alias("__lo"), F.max("last").alias("__hi")).filter("__lo < __hi")
@@ -154,7 +154,7 @@ def owners(lines: DataFrame, similar=0.75, split=16384) -> DataFrame:
     return known.join(best, ["leaf", "final"]).select("leaf", "fields", "owner").union(alone)
 
 
-def dropped_lines(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=16384, id_col="doc_id", text_col="text") -> DataFrame:
+def dropped_lines(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=256, id_col="doc_id", text_col="text") -> DataFrame:
     """uid, dropped: the numbers of each document's lines whose template belongs to another document."""
     lines = checkpointed(hashed_lines(docs, leading, min_tokens, id_col, text_col))
     own = owners(lines, similar, split).select(F.col("leaf").alias("__leaf"), F.col("fields").alias("__fields"), "owner")
@@ -162,7 +162,7 @@ def dropped_lines(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=
     return gone.groupBy("uid").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
 
 
-def drop_recurring(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=16384, id_col="doc_id", text_col="text") -> DataFrame:
+def drop_recurring(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=256, id_col="doc_id", text_col="text") -> DataFrame:
     """`docs` with its texts without recurring lines, and n_lines, n_dropped."""
     gone = dropped_lines(docs, leading, min_tokens, similar, split, id_col, text_col)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
