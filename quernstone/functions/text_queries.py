@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import text as X
 
 SP = X.SPACE
@@ -14,7 +14,7 @@ DOCS = "documents"
 
 def _each(name, sql, make, source="documents", key="doc_id"):
     def run(spark, d):
-        t = table(spark, d, source)
+        t = spread(table(spark, d, source)) if source in ("documents", "pages") else table(spark, d, source)
         return t.select(key, *[v.alias(k) for k, v in make(F).items()])
 
     query(name, sql)(run)
@@ -48,7 +48,7 @@ _each("t30_id_parse", "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS
 SELECT item_id, count(*) FILTER (contains(regexp_replace(d.text, '{SP}+', '', 'g'), regexp_replace(b.text, '{SP}+', '', 'g'))) AS n FROM benchmark b, documents d GROUP BY 1""")
 def t13(spark, d):
     """Terms against all documents: the terms are a stated query set, sent to every task."""
-    docs = table(spark, d, "documents").select(X.squeezed(F.col("text")).alias("t"))
+    docs = spread(table(spark, d, "documents").select("text")).select(X.squeezed(F.col("text")).alias("t"))
     terms = table(spark, d, "benchmark").select("item_id", X.squeezed(F.col("text")).alias("term"))
     hits = docs.join(terms, F.contains("t", F.col("term")) & (F.col("term") != "")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return terms.select("item_id").join(hits, "item_id", "left").na.fill(0, ["n"])

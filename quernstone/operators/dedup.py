@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .numbering import numbered
+from .numbering import checkpointed, numbered
 
 # What a signature masks, in order.
 MASKS = [(r"\[[^\]]*\]", "[T]"), (r"\"[^\"]*\"", "Q"), (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "D"), (r"[0-9][0-9,.]*", "N")]
@@ -31,7 +31,8 @@ def jaccard_matches(df: DataFrame, id_col: str, family: str, words: Column, leas
     Prefix filter: with J >= t, two sets share one of their (1 - t) * n + 1 rarest words, so only rows that meet
     in such a word are compared. Equal sets are compared once: a row a set, with its ids."""
     rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    sets = rows.groupBy(family, "w").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("sid", F.xxhash64(family, "w"))
+    # read five times below: written once
+    sets = checkpointed(rows.groupBy(family, "w").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("sid", F.xxhash64(family, "w")))
     freq = sets.select(family, F.explode("w").alias("t")).groupBy(family, "t").agg(F.count(F.lit(1)).alias("df"))
     rare = sets.select(family, "sid", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, [family, "t"])
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t"))

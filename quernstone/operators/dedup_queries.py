@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.text import WORD, token_set
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import dedup as N
 
 LINE = "regexp_extract(text, '^[^\\n]*', 0)"
@@ -38,7 +38,7 @@ def n3(spark, d):
 WITH s AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
 SELECT DISTINCT a.doc_id AS id FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(list_intersect(a.w, b.w)) >= 0.92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def n4(spark, d):
-    return N.with_later_match(table(spark, d, "documents"), "doc_id", "lang", token_set(F.col("text")), 0.92)
+    return N.with_later_match(spread(table(spark, d, "documents").select("doc_id", "lang", "text")), "doc_id", "lang", token_set(F.col("text")), 0.92)
 
 
 @query("n5_exact_duplicates", "SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")

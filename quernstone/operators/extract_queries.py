@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER, WORD, tokens
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import extract as X
 
 
 @query("x1_numeric_facts", f"SELECT doc_id, i - 1 AS ord, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{NUMBER}')) AS v, generate_subscripts(regexp_extract_all(text, '{NUMBER}'), 1) AS i FROM documents)")
 def x1(spark, d):
-    return X.facts(table(spark, d, "documents"), "doc_id", "text", NUMBER).select("doc_id", "ord", "value")
+    return X.facts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", NUMBER).select("doc_id", "ord", "value")
 
 
 @query("x1_snippets", f"SELECT doc_id, length(string_split_regex(text, '{NUMBER}')[1]) AS start, regexp_extract(text, '{NUMBER}') AS value FROM documents WHERE regexp_matches(text, '{NUMBER}')")
 def x1_snippets(spark, d):
-    return X.facts(table(spark, d, "documents"), "doc_id", "text", NUMBER).filter("ord = 0").select("doc_id", "start", "value")
+    return X.facts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", NUMBER).filter("ord = 0").select("doc_id", "start", "value")
 
 
 _KINDS = {"mail": r"[a-z.0-9]+@[a-z0-9]+\.example\.com", "address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "phone": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"}
@@ -25,7 +25,7 @@ _KINDS = {"mail": r"[a-z.0-9]+@[a-z0-9]+\.example\.com", "address": r"[0-9]{1,3}
 
 @query("x2_multi_pattern", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in _KINDS.items()))
 def x2(spark, d):
-    return X.mined(table(spark, d, "documents"), "doc_id", "text", _KINDS)
+    return X.mined(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _KINDS)
 
 
 @query("x3_units", "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), l AS (SELECT *, regexp_extract(body, '^[A-Za-z]+', 0) AS k FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS nth FROM l) SELECT doc_id, i - 1 AS pos, CASE WHEN nth > 1 THEN k || '#' || nth ELSE k END AS label FROM n")
@@ -65,7 +65,7 @@ def x8(spark, d):
 
 @query("x9_alignment", f"WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM benchmark), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents WHERE n_chars < 1500), s AS (SELECT item_id AS l, doc_id AS r, len(list_intersect(b.w, t.w)) / len(b.w)::DOUBLE AS share FROM b, t) SELECT l, r, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY share DESC, r) AS k FROM s WHERE share >= 0.5) WHERE k = 1")
 def x9(spark, d):
-    pages = table(spark, d, "documents").filter("n_chars < 1500")
+    pages = spread(table(spark, d, "documents").filter("n_chars < 1500").select("doc_id", "text"))
     return X.aligned(table(spark, d, "benchmark"), pages, "item_id", "doc_id", tokens(F.col("text")), tokens(F.col("text")))
 
 

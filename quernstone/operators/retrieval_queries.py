@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.text import WORD, quotes
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import retrieval as R
 
 TOK = f"regexp_extract_all(lower(text), '{WORD}')"
@@ -21,7 +21,7 @@ GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contai
 
 
 def scores(spark, d):
-    return R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return R.bm25(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), "item_id", "text", "doc_id", "text")
 
 
 def top(spark, d, k=5):
@@ -31,7 +31,7 @@ def top(spark, d, k=5):
 def gold(spark, d):
     """Documents that hold a passage: the passages, a stated set, go to every task."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(b, F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).join(b, F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
 
 
 def dense(spark, d, k=10):
@@ -55,18 +55,18 @@ SELECT doc_id, a, i + 1, CASE WHEN held + length(a[i + 1]) + 1 > 400 THEN chunk
 c AS (SELECT doc_id, chunk, regexp_replace(string_agg(a[i], chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS t FROM f GROUP BY 1, 2)
 SELECT doc_id, count(*) AS n, max(length(t)) AS longest, sum(length(t)) AS total FROM c WHERE t <> '' GROUP BY 1""")
 def r2(spark, d):
-    docs = table(spark, d, "documents").repartition("doc_id").select("doc_id", R.chunks(F.col("text"), 400).alias("c"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", R.chunks(F.col("text"), 400).alias("c"))
     return docs.select("doc_id", F.explode("c").alias("t")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("t")).cast("long").alias("longest"), F.sum(F.length("t")).cast("long").alias("total"))
 
 
 @query("r3_index", f"WITH {POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1")
 def r3(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return R.postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("r4_idf", f"WITH {POST} SELECT term, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p GROUP BY 1")
 def r4(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     df = R.postings(docs, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
     return df.select("term", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
 

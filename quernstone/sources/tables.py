@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where it has fewer partitions than those: a small file of one row group would
+    keep one core busy with whatever is made of its texts. Larger scans stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A row a line; blank lines are no rows; a missing path is an empty table."""
     try:
