@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where it has fewer partitions than those (a small file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_key(df: DataFrame, id_col: str = "doc_id") -> Column:
     """A document's id as an order key: null ids come last."""
     return F.coalesce(df[id_col].cast("long"), F.lit(2**63 - 1))

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, html, lines, mixing, pivots, quality, secrets, shards, simhash
-from .common import table
+from .common import spread, table
 
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     made = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.drop_recurring(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), radius=2, shingle=3)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.digests(secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.quality_scores(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
