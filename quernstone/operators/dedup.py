@@ -36,7 +36,8 @@ def jaccard_matches(df: DataFrame, id_col: str, family: str, words: Column, leas
     freq = sets.select(family, F.explode("w").alias("t")).groupBy(family, "t").agg(F.count(F.lit(1)).alias("df"))
     rare = sets.select(family, "sid", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, [family, "t"])
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t"))
-    heads = rare.withColumn("r", rank).filter(F.col("r") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1).select(family, "sid", "n", "t")
+    # the few rarest words of each set, joined with themselves: written once
+    heads = checkpointed(rare.withColumn("r", rank).filter(F.col("r") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1).select(family, "sid", "n", "t"))
     a, b = heads.alias("a"), heads.alias("b")
     near = (F.col("a.sid") < F.col("b.sid")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
     pairs = a.join(b, (F.col(f"a.{family}") == F.col(f"b.{family}")) & (F.col("a.t") == F.col("b.t")) & near).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
