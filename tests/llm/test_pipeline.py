@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from quernstone.llm import simhash
+from quernstone.llm import near, simhash
 
 WORDS = [("word" if i % 3 else "wort") + chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,3 +67,39 @@ def test_near_dedup_keeps_one(spark, folder):
 def test_run(spark, folder):
     got = P.run(spark, folder[0])
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns) and got.count() > 0
+
+
+def test_near_dedup_against_brute_force(spark, folder):
+    rng = np.random.default_rng(3)
+    texts = [prose(9000 + i, int(rng.integers(3, 160))) for i in range(60)] + ["", None, " ", "a b", "A  b"]
+    for i in range(90):  # copies of copies with edited words: chains, and pairs on either side of the rule
+        words = (texts[int(rng.integers(0, len(texts)))] or "x").split() or ["x"]
+        for _ in range(int(rng.integers(1, 4))):
+            words[int(rng.integers(0, len(words)))] = WORDS[int(rng.integers(0, 300))]
+        texts.append(" ".join(words))
+    base = prose(77, 150).split()
+    for i in range(60):  # a large group around one text
+        texts.append(" ".join([*base[: 2 * i], WORDS[i], *base[2 * i + 1 :]]))
+    passage = prose(78, 40)
+    texts += [f"{prose(7000 + i, 60)} {passage}" for i in range(50)]  # a common passage in texts that differ
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def up(x):
+        return x if root[x] == x else up(root[x])
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((up(a), up(b)))
+                root[y] = x
+    want = [i for i in range(len(texts)) if up(i) == i]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert len(want) < 200 and sorted(r.doc_id for r in P.near_dedup(spark, docs, folder[0]).collect()) == want
+    for wide in (2, 8):  # large runs are paired in two passes
+        got = near.near_duplicates(docs, wide=wide)
+        assert {r.key: r.component for r in got.collect()} == {i: up(i) for i in range(len(texts))}
