@@ -1,7 +1,8 @@
 """HTML extraction by site template removal.
 
 Method. Every element's subtree (tag, texts, children) is hashed; Spark counts on how many pages of a host each hash stands,
-and subtrees that recur on `min_pages` pages or more are that host's template: they are deleted from its pages. Copies of an
+and subtrees that recur on `min_pages` pages or more, and on `share` of the host's pages, are that host's template: they are deleted from
+its pages. Pages of the same text count once, and inline elements, items and cells only go with what holds them. Copies of an
 article must not delete it: the main part of a page (`article` or `main`, if it has one) and what stands inside are not
 counted. Beside the template, elements that are no article by their kind are left out anywhere: scripts, styles, navigation,
 asides, forms, footers, and elements whose class, id or role names an advert, notice, menu, share bar or comments. With a main
@@ -13,8 +14,8 @@ space. Nothing else is dropped or cut. Unclosed and misnested elements are close
 Size. A page is scanned twice (to hash, to extract). Only (host, hash) keys are shuffled for the counts, once a page and
 summed before the shuffle; the flagged hashes of a page, bounded by its own elements, come back to it by its key.
 
-Cases. Null or empty html gives empty text and no subtree. Pages with a null or odd url share the host ''. Repeated rows count as
-pages of their own and are extracted each. An empty table gives no rows. Other columns are not read."""
+Cases. Null or empty html gives empty text and no subtree. Pages with a null or odd url share the host ''. Repeated rows count
+once and are extracted each. An empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 
@@ -37,6 +38,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 INLINE_SAFE = BLOCKS - {"br", "option"}
 
 # What is never article text, by kind and by the words of class, id and role.
@@ -47,6 +49,7 @@ NAMED = frozenset(
     " complementary contentinfo search dialog alertdialog".split()
 )
 MAIN = frozenset(["article", "main"])
+PAGE = -1  # stands for the page itself among the hashes, which are not negative
 
 
 def _named(attributes: str) -> bool:
@@ -71,7 +74,7 @@ def scan(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[
         tag, inside, dropped, parts, start = frames.pop()
         h = xxhash.xxh64_intdigest("\x1f".join([tag, *parts])) >> 1
         frames[-1][3].append(str(h))
-        if not inside and tag not in MAIN and tag not in ("html", "body", "head"):
+        if not inside and tag not in MAIN and tag not in ("html", "body", "head") and tag not in INLINE and tag not in CLOSES:
             hashes.append(h)
         if dropped or h in template and not inside:
             del out[start:]
@@ -144,22 +147,26 @@ def _keyed(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), page.alias("html"), host.alias("host")).withColumn("uid", F.xxhash64("page_id", "url", "html"))
 
 
-def templates(pages: DataFrame, min_pages=5, html_col="html", url_col="url") -> DataFrame:
+def templates(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col="url") -> DataFrame:
     """uid, flagged: the template's subtree hashes that each page has (pages that have some). uid: hash of the whole row."""
 
     def run(batches):
         for b in batches:
-            hashes = [sorted(set(scan(p.as_py())[1])) for p in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "hashes"])
+            scanned = [scan(p.as_py()) for p in b.column(2)]
+            content = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 for text, _ in scanned]
+            hashes = [[PAGE, *sorted(set(found))] for _, found in scanned]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "content", "hashes"])
 
     rows = _keyed(pages, html_col, url_col).select("uid", "host", "html")
-    hashed = ship(rows).mapInArrow(run, "uid long, host string, hashes array<long>")
-    each = hashed.select("uid", F.explode("hashes").alias("h"), "host").select("uid", "h", F.xxhash64("host", "h").alias("site"))
-    common = each.groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("site")
-    return each.join(common, "site").groupBy("uid").agg(F.collect_set("h").alias("flagged"))
+    hashed = ship(rows).mapInArrow(run, "uid long, host string, content long, hashes array<long>")
+    each = hashed.select("uid", F.xxhash64("host").alias("host"), "content", F.explode("hashes").alias("h"))
+    counts = each.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("h") == PAGE))
+    hosts = counts.filter(F.col("h") == PAGE).select("host", F.col("n").alias("all"))
+    common = counts.filter(F.col("h") != PAGE).join(hosts, "host").filter(F.col("n") >= share * F.col("all")).select("host", "h")
+    return each.join(common, ["host", "h"]).groupBy("uid").agg(F.collect_set("h").alias("flagged"))
 
 
-def extract(pages: DataFrame, min_pages=5, html_col="html", url_col="url") -> DataFrame:
+def extract(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col="url") -> DataFrame:
     """A row a page: page_id, url, text, n_chars."""
 
     def pack(batches):
@@ -178,6 +185,6 @@ def extract(pages: DataFrame, min_pages=5, html_col="html", url_col="url") -> Da
     rows = _keyed(pages, html_col, url_col).select("uid", "page_id", "url", "html")
     # pages cross the shuffle packed, at under half of their size
     rows = ship(rows).mapInArrow(pack, "uid long, page_id long, url string, packed binary")
-    flagged = templates(pages, min_pages, html_col, url_col)
+    flagged = templates(pages, min_pages, share, html_col, url_col)
     joined = rows.join(flagged, "uid", "left").select("page_id", "url", "packed", "flagged")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -246,6 +246,14 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_and_rare_elements(spark):
+    rows = [(i, f"http://a.example/{i}", "<body><div><p>One</p><p>two</p></div></body>") for i in range(7)]  # copies
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><div>menu</div><p>text {i} is <b>not</b> {i}</p>{'<p>Yes.</p>' if i < 6 else ''}") for i in range(40)]
+    got = by_id(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i].text == "One two" for i in range(7))
+    assert all(got[100 + i].text == f"text {i} is not {i}{' Yes.' if i < 6 else ''}" for i in range(40))
+
+
 @pytest.mark.parametrize("page,text", [
     ('<body><div class="sidebar">x</div><main>a<aside>b</aside> c</main>z', "a c"),
     ('<article>one<div id="comments"><article>no</article></div></article>', "one"),
