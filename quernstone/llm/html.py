@@ -3,8 +3,8 @@
 Method. Every element's subtree (tag, texts, children) is hashed; Spark counts on how many pages of a host each hash stands,
 and subtrees that recur on `min_pages` pages or more, and on `share` of the host's pages, are that host's template: they are deleted from
 its pages. Pages of the same text count once, and inline elements, items and cells only go with what holds them. Copies of an
-article must not delete it: the main part of a page (`article` or `main`, if it has one) and what stands inside are not
-counted. Beside the template, elements that are no article by their kind are left out anywhere: scripts, styles, navigation,
+article must not delete it: they have the same text, and count once. The main part itself (`article` or `main`) is never counted, what stands
+inside it is. Beside the template, elements that are no article by their kind are left out anywhere: scripts, styles, navigation,
 asides, forms, footers, and elements whose class, id or role names an advert, notice, menu, share bar or comments. With a main
 part, only what stands inside it is text; else the whole body is.
 
@@ -62,7 +62,7 @@ def _named(attributes: str) -> bool:
 
 
 def scan(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, list[int]]:
-    """The page's text without the template's subtrees, and the hashes of the subtrees outside its main part."""
+    """The page's text without the template's subtrees, and the hashes of the subtrees that a template may hold."""
     # a frame: tag, whether inside a main part, whether dropped, parts for the hash, where its text begins
     frames: list[list] = [["", False, False, [], 0]]
     out: list[str] = []
@@ -74,9 +74,9 @@ def scan(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[
         tag, inside, dropped, parts, start = frames.pop()
         h = xxhash.xxh64_intdigest("\x1f".join([tag, *parts])) >> 1
         frames[-1][3].append(str(h))
-        if not inside and tag not in MAIN and tag not in ("html", "body", "head") and tag not in INLINE and tag not in CLOSES:
+        if tag not in MAIN and tag not in ("html", "body", "head") and tag not in INLINE and tag not in CLOSES:
             hashes.append(h)
-        if dropped or h in template and not inside:
+        if dropped or h in template:
             del out[start:]
         elif tag in MAIN and not frames[-1][1]:
             main.extend(out[start:])

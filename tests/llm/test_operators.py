@@ -254,6 +254,14 @@ def test_html_copies_and_rare_elements(spark):
     assert all(got[100 + i].text == f"text {i} is not {i}{' Yes.' if i < 6 else ''}" for i in range(40))
 
 
+def test_html_template_in_main_part(spark):
+    page = lambda i: f"<body><p>{i}</p><article><p>story {i}</p><div class=box>Read <a href=x>on</a></div></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<p>page {i}</p><article><p>copied</p><p>twice</p></article>") for i in range(6)]
+    got = by_id(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i].text == f"story {i}" and got[10 + i].text == "copied twice" for i in range(6))
+
+
 @pytest.mark.parametrize("page,text", [
     ('<body><div class="sidebar">x</div><main>a<aside>b</aside> c</main>z', "a c"),
     ('<article>one<div id="comments"><article>no</article></div></article>', "one"),
