@@ -5,7 +5,8 @@ and subtrees that recur on `min_pages` pages or more, and on `share` of the host
 its pages. Pages of the same text count once, and inline elements, items and cells only go with what holds them. Copies of an
 article must not delete it: they have the same text, and count once. The main part itself (`article` or `main`) is never counted, what stands
 inside it is. Beside the template, elements that are no article by their kind are left out anywhere: scripts, styles, navigation,
-asides, forms, footers, and elements whose class, id or role names an advert, notice, menu, share bar or comments. With a main
+asides, forms, footers, and elements whose class, id or role names an advert, notice, menu, share bar or comments (in the main
+part by a whole name). With a main
 part, only what stands inside it is text; else the whole body is.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ship
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed values of HTML: elements without content, of raw text, that end a paragraph, and that are blocks of their own.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -52,12 +53,16 @@ MAIN = frozenset(["article", "main"])
 PAGE = -1  # stands for the page itself among the hashes, which are not negative
 
 
-def _named(attributes: str) -> bool:
+def _named(attributes: str, whole: bool) -> bool:
+    """Whether the element is hidden or named as no article: by words of its class, id and role, or only by whole names."""
     for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() == "hidden" and m[2] is None:
-            return True
-        if m[2] and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", m[2].lower())):
+        name = m[1].lower()
+        if name == "hidden":
             return True
+        if m[2] and name in ("class", "id", "role"):
+            value = m[2].strip("\"'").lower()
+            if not NAMED.isdisjoint(value.split() if whole else re.split(r"[^a-z0-9]+", value)):
+                return True
     return False
 
 
@@ -123,7 +128,7 @@ def scan(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[
             continue
         inside = frames[-1][1] or frames[-1][0] in MAIN
         has_main = has_main or tag in MAIN
-        dropped = tag in DROPPED or (m[3] != "" and _named(m[3])) or tag == "header" and not inside
+        dropped = tag in DROPPED or (m[3] != "" and _named(m[3], inside or tag in MAIN)) or tag == "header" and not inside
         frames.append([tag, inside, dropped, [], len(out)])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)

@@ -254,6 +254,15 @@ def test_html_copies_and_rare_elements(spark):
     assert all(got[100 + i].text == f"text {i} is not {i}{' Yes.' if i < 6 else ''}" for i in range(40))
 
 
+@pytest.mark.parametrize("attributes,kept", [
+    ('style="overflow:hidden"', True), ('title="hidden gems"', True), ('data-x="a class=comments b"', True), ('class="post-related-work"', True), ("id=search-results", True),
+    ("hidden", False), ('hidden=""', False), ('class="big comments"', False), ("id = 'comments'", False),
+])
+def test_html_attributes(attributes, kept):
+    assert html.scan(f"<article>a <div {attributes}>b</div></article>")[0] == ("a b" if kept else "a")
+    assert html.scan(f"<article {attributes}>a</article>")[0] == ("a" if kept else "")
+
+
 def test_html_template_in_main_part(spark):
     page = lambda i: f"<body><p>{i}</p><article><p>story {i}</p><div class=box>Read <a href=x>on</a></div></article></body>"
     rows = [(i, f"http://a.example/{i}", page(i)) for i in range(6)]
