@@ -19,16 +19,49 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANK), "")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder, so that later jobs read the very same rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a local master, whose tasks share this machine, gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared checkpoint folder, so that later jobs read the very same rows."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def digest(*columns: Column) -> Column:
+    """SHA-256 of these values (32 bytes), each after its length, so that different rows have different inputs; nulls are told apart."""
+    said = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.sha2(F.concat(*said), 256))
+
+
+#: A key is hot if it has more than WIDE rows and more than one in HOT_KEYS of all rows: there are fewer than HOT_KEYS such keys.
+WIDE, HOT_KEYS = 1024, 10_000
+
+
+def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, salt_by: list[str], wide: int = WIDE) -> DataFrame:
+    """`rows` joined with `keyed` (checkpointed, a row a key), whose column `weight` says how many of `rows` have the key.
+
+    The hot keys are broadcast, and their rows are dealt by a salt, a hash of `salt_by`: no task is filled by one key."""
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    bound = max(wide, total // HOT_KEYS)
+    parts = F.when(F.col(weight) > bound, F.ceil(F.col(weight) / bound)).otherwise(F.lit(1)).cast("int")
+    hot = keyed.filter(F.col(weight) > bound).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], parts.alias("__parts"))
+    marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
+    salt = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*salt_by), F.col("__parts"))).cast("int")
+    salted = marked.select(*rows.columns, salt.alias("__salt"))
+    others = [c for c in keyed.columns if c not in keys and c != weight]
+    right = keyed.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *others, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    on = [F.col(k) == F.col(f"__key_{k}") for k in keys] + [F.col("__salt") == F.col("__part")]
+    return salted.join(right, on).select(*rows.columns, *others)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

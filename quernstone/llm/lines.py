@@ -1,83 +1,71 @@
 """Line dedup by a log-template tree.
 
-Method. A line's tokens are its words, with those that hold a digit masked as variable, unless most do. The tree is of fixed depth: first
-the token count, then the `leading` masked tokens; together they name a leaf. A leaf keeps templates of `FIELDS` fields: a field is
-a token, or in longer lines a run of neighbouring tokens. A line belongs to the most similar template of its leaf, if a share of `similar` of the
-fields agree; fields that differ become variable, and a line that fits none begins a template. A template that stands in
-two or more documents recurs: its lines are dropped from all documents but the one of the smallest id, so what recurs stays
-once. Lines of fewer than `min_tokens` tokens are no templates and stay.
-
-Size. Lines travel as hashes (a leaf and up to `FIELDS` fields each), never as text. Equal lines are summed before and
-after the first shuffle, leaves of one document are set aside, and a leaf of more than `split` different lines is parsed in
-parts by salt, whose templates (few) are then parsed again as lines to merge them. Texts are shuffled once, to meet the
-numbers of their dropped lines, which are no more than their lines.
-
-Cases. Null texts stay null, empty ones empty. Ties of similarity go to the older template; lines of a leaf stand in the
-order of their hashes, so reruns agree. Rows of the same id are one document and keep each other's lines; null ids count
-as the greatest id. A document whose every line is dropped keeps an empty text (the pipeline leaves it out). An empty table
-gives no rows. Columns other than id and text are carried; names that begin with `__` are this module's."""
+Method. A line's tokens are its words, those that hold a digit generalised to a variable. The tree has a fixed depth: the
+token count, then the first `leading` tokens, then the other tokens in up to `RUNS` runs of neighbours (a run is a token, where
+there are as few). At up to two runs (one in lines of 6 or 7 tokens) a line may also take the variable branch, so each line
+stands in every template that generalises that many of its runs: lines have a template in common if token count and leading
+tokens agree and no more runs differ than may vary. A template that stands in two or more documents recurs: its lines are dropped from
+all documents but the one of the smallest id, so that what recurs stays once. In other words: a line goes if a document of a
+smaller id has a line of the same template. Lines of fewer than `min_tokens` tokens, or mostly of variables, have one template, in which
+all other tokens agree; lines of variables only must be equal.
+
+Which templates a line has depends on the line alone, and whether one recurs on two ids, so the result depends neither on the order nor on
+the dealing of lines, and no leaf is ever gathered.
+
+Size. Lines travel as hashes (a leaf and up to `RUNS` fields), never as text. Leaves of one document are set aside; only
+the different lines of the others take their (up to 15) paths, which are summed before they are shuffled. Keys that many lines
+share are salted (`common.meet`). Texts are shuffled once, to meet the numbers of their dropped lines, which are no more
+than their lines.
+
+Cases. Null texts stay null, empty ones empty. Lines without words stay. Rows of the same id are one document and keep each
+other's lines; null ids count as the greatest id and as one document. A document whose every line is dropped keeps an empty text
+(the pipeline leaves it out). Equal rows have equal results. An empty table gives no rows. All columns are carried, whatever
+their names; the input's own n_lines and n_dropped are replaced."""
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, doc_key, ship
+from .common import checkpointed, doc_key, meet, ship
 
-FIELDS = 16
-VARIABLE = -1  # a field that varies, in templates
+RUNS = 6
 DIGIT = re.compile(rb"[0-9]")
+VARIABLE = b"<*>"
 
 
-def fields(line: bytes, leading: int) -> tuple[int, list[int]] | None:
-    """(leaf, fields) of a line, or None for one without words. Hashes of 63 and 31 bits, so never VARIABLE."""
+def fields(line: bytes, leading: int, min_tokens: int) -> tuple[int, list[int]] | None:
+    """(leaf, fields) of a line, or None for one without words. The last two bits of a leaf say how many fields may vary."""
     tokens = line.split()
     if not tokens:
         return None
-    n = len(tokens)
+    n, free = len(tokens), 0
+    variables = 0
     if DIGIT.search(line):
-        masked = [b"<*>" if DIGIT.search(t) else t for t in tokens]
-        # a line that is mostly numbers has nothing else to be known by: its tokens stay as they are
-        tokens = masked if 2 * masked.count(b"<*>") <= n else tokens
-    leaf = xxhash.xxh64_intdigest(b" ".join([str(n).encode(), *tokens[:leading]])) >> 1
+        masked = [VARIABLE if DIGIT.search(t) else t for t in tokens]
+        variables = masked.count(VARIABLE)
+        # a line of variables only has nothing else to be known by
+        tokens = masked if variables < n else tokens
     digest = xxhash.xxh32_intdigest
-    if n <= FIELDS:
-        return leaf, [digest(t) >> 1 for t in tokens]
-    # by lines of the same length the runs are the same
-    return leaf, [digest(b" ".join(tokens[n * i // FIELDS : n * (i + 1) // FIELDS])) >> 1 for i in range(FIELDS)]
-
-
-class Leaf:
-    """The templates of a leaf, in the order of their first lines."""
-
-    def __init__(self, width: int, similar: float):
-        self.similar = similar
-        self.templates = np.zeros((8, width), np.int64)
-        self.n = 0
-
-    def add(self, line: np.ndarray) -> int:
-        """The number of the line's template."""
-        if self.n:
-            same = (self.templates[: self.n] == line).sum(axis=1)
-            best = int(same.argmax())
-            # variable fields agree with all, once the others do in part
-            free = int((self.templates[best] == VARIABLE).sum())
-            if same[best] + free >= self.similar * len(line) and same[best] * 2 >= len(line):
-                self.templates[best][self.templates[best] != line] = VARIABLE
-                return best
-        if self.n == len(self.templates):
-            self.templates = np.concatenate([self.templates, np.zeros_like(self.templates)])
-        self.templates[self.n] = line
-        self.n += 1
-        return self.n - 1
+    if n < max(min_tokens, leading + 2) or 2 * variables > n:
+        head, whole = tokens, b" ".join(tokens)
+        found = [digest(whole, 1) >> 1, digest(whole, 2) >> 1]
+    else:
+        head, rest = tokens[:leading], tokens[leading:]
+        free = 1 if n < 8 else 2
+        m = len(rest)
+        # in lines of the same length the runs are the same
+        found = [digest(t) >> 1 for t in rest] if m <= RUNS else [digest(b" ".join(rest[m * i // RUNS : m * (i + 1) // RUNS])) >> 1 for i in range(RUNS)]
+    leaf = xxhash.xxh64_intdigest(b" ".join([b"%d" % n, *head]))
+    return leaf >> 3 << 2 | free, found
 
 
 def hashed_lines(docs: DataFrame, leading=4, min_tokens=6, id_col="doc_id", text_col="text") -> DataFrame:
-    """uid (of id and text), key (the id), numbers and hashes of each document's lines that can be templates."""
+    """key (the id), uid (of the text), number, leaf and fields of each line with a word."""
     line = pa.list_(pa.struct([("number", pa.int32()), ("leaf", pa.int64()), ("fields", pa.list_(pa.int32()))]))
 
     def run(batches):
@@ -88,90 +76,59 @@ def hashed_lines(docs: DataFrame, leading=4, min_tokens=6, id_col="doc_id", text
                 for t in part.column(2):
                     found = []
                     for number, raw in enumerate((t.as_py() or "").encode().split(b"\n")):
-                        f = fields(raw, leading) if len(raw) >= 2 * min_tokens - 1 else None
-                        if f and len(f[1]) >= min(min_tokens, FIELDS):
+                        f = fields(raw, leading, min_tokens)
+                        if f:
                             found.append({"number": number, "leaf": f[0], "fields": f[1]})
                     made.append(found)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, line)], names=["uid", "key", "lines"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, line)], names=["key", "uid", "lines"])
 
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("uid"), doc_key(docs, id_col).alias("key"), F.col(text_col).alias("text"))
-    made = ship(rows).mapInArrow(run, "uid long, key long, lines array<struct<number: int, leaf: long, fields: array<int>>>")
-    return made.select("uid", "key", F.inline("lines"))
+    rows = docs.select(doc_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
+    made = ship(rows).mapInArrow(run, "key long, uid long, lines array<struct<number: int, leaf: long, fields: array<int>>>")
+    return made.select("key", "uid", F.inline("lines"))
 
 
-def _parsed(lines: DataFrame, keys: list[str], similar: float) -> DataFrame:
-    """`lines` (distinct ones: leaf, salt, fields, first) dealt by `keys`, with the template's fields and its number in
-    `template`; template rows come from the same tasks as `whole`: the final fields."""
+def _paths(lines: DataFrame) -> DataFrame:
+    """`lines` and `path`: a row for each template of theirs, named by a hash of what does not vary in it."""
+    masks = lambda r, free: F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(r), min(r, free))])
+    free, size = F.col("leaf").bitwiseAND(F.lit(3)), F.size("fields")
+    every: Column = F.array(F.lit(0))
+    for r in range(2, RUNS + 1):
+        every = F.when((free == 1) & (size == r), masks(r, 1)).when((free == 2) & (size == r), masks(r, 2)).otherwise(every)
+    each = lines.select("*", F.explode(every).alias("__mask"))
+    fixed = [F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) == 0, F.get("fields", F.lit(i))) for i in range(RUNS)]
+    return each.withColumn("path", F.xxhash64("__mask", *fixed)).drop("__mask")
 
-    def run(batches):
-        at, leaf, held = None, None, []
-
-        def flush():
-            for row, number in held:
-                yield (*row, number, leaf.templates[number].tolist())
 
-        ready = []
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                group = row[:2]
-                if group != at:
-                    if at is not None:
-                        ready += flush()
-                    at, leaf, held = group, Leaf(len(row[2]), similar), []
-                held.append((row, leaf.add(np.asarray(row[2], np.int64))))
-            if ready:
-                yield batch(ready)
-                ready = []
-        if at is not None:
-            yield batch(list(flush()))
-
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32())]
-    names = ["leaf", "salt", "fields", "template", "whole"]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    dealt = lines.select("leaf", "salt", "fields").repartition(*keys).sortWithinPartitions(*keys, "fields")
-    return ship(dealt).mapInArrow(run, "leaf long, salt int, fields array<int>, template int, whole array<int>")
-
-
-def owners(lines: DataFrame, similar=0.75, split=256) -> DataFrame:
-    """leaf, fields, owner: the smallest key of the line's template, for lines of leaves with more than one document."""
-    distinct = lines.groupBy("leaf", "fields").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    leaves = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("__n"), F.min("first").alias("__lo"), F.max("last").alias("__hi")).filter("__lo < __hi")
-    salt = F.when(F.col("__n") > split, F.pmod(F.xxhash64("fields"), F.ceil(F.col("__n") / split))).otherwise(F.lit(0)).cast("int")
-    shared = checkpointed(distinct.join(leaves, "leaf").select("leaf", salt.alias("salt"), (F.col("__n") > 1).alias("many"), "fields", "first"))
-    # a leaf of one line is its own template
-    alone = shared.filter(~F.col("many")).select("leaf", "fields", F.col("first").alias("owner"))
-    local = _parsed(shared.filter("many"), ["leaf", "salt"], similar)
-    merged = _parsed(local.select("leaf", F.lit(0).alias("salt"), F.col("whole").alias("fields")).distinct(), ["leaf", "salt"], similar)
-    merged = merged.select(F.col("leaf").alias("__leaf"), F.col("fields").alias("__whole"), F.col("template").alias("final"))
-    of = local.join(merged, (F.col("leaf") == F.col("__leaf")) & (F.col("whole") == F.col("__whole"))).select("leaf", "fields", "final")
-    first = shared.select(F.col("leaf").alias("__leaf"), F.col("fields").alias("__fields"), "first")
-    known = of.join(first, (F.col("leaf") == F.col("__leaf")) & (F.col("fields") == F.col("__fields"))).select("leaf", "fields", "final", "first")
-    known = checkpointed(known)
-    best = known.groupBy("leaf", "final").agg(F.min("first").alias("owner"))
-    return known.join(best, ["leaf", "final"]).select("leaf", "fields", "owner").union(alone)
-
-
-def dropped_lines(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=256, id_col="doc_id", text_col="text") -> DataFrame:
-    """uid, dropped: the numbers of each document's lines whose template belongs to another document."""
+def dropped_lines(docs: DataFrame, leading=4, min_tokens=6, id_col="doc_id", text_col="text", wide=1024) -> DataFrame:
+    """key, uid, dropped: the numbers of each document's lines that go, for documents that have some."""
     lines = checkpointed(hashed_lines(docs, leading, min_tokens, id_col, text_col))
-    own = owners(lines, similar, split).select(F.col("leaf").alias("__leaf"), F.col("fields").alias("__fields"), "owner")
-    gone = lines.join(own, (F.col("leaf") == F.col("__leaf")) & (F.col("fields") == F.col("__fields"))).filter("owner < key")
-    return gone.groupBy("uid").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
-
-
-def drop_recurring(docs: DataFrame, leading=4, min_tokens=6, similar=0.75, split=256, id_col="doc_id", text_col="text") -> DataFrame:
+    span = [F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")]
+    leaves = checkpointed(lines.groupBy("leaf").agg(*span).filter("first < last").select("leaf", "n"))
+    shared = checkpointed(meet(lines, leaves, ["leaf"], "n", ["key", "uid", "number"], wide))
+    distinct = checkpointed(shared.groupBy("leaf", "fields").agg(*span))
+    exploded = _paths(distinct.select("leaf", "fields", "first", "last"))
+    paths = exploded.groupBy("leaf", "path").agg(F.min("first").alias("owner"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n"))
+    paths = checkpointed(paths.filter("owner < last").select("leaf", "path", "owner", "n"))
+    owned = meet(_paths(distinct.select("leaf", "fields", "last", F.col("n").alias("rows"))), paths, ["leaf", "path"], "n", ["fields"], wide)
+    owners = owned.groupBy("leaf", "fields").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.max("rows").alias("n"))
+    owners = checkpointed(owners.filter("owner < last").select("leaf", "fields", "owner", "n"))
+    gone = meet(shared, owners, ["leaf", "fields"], "n", ["key", "uid", "number"], wide).filter("owner < key")
+    return gone.groupBy("key", "uid").agg(F.sort_array(F.collect_set("number")).alias("dropped"))
+
+
+def drop_recurring(docs: DataFrame, leading=4, min_tokens=6, id_col="doc_id", text_col="text", wide=1024) -> DataFrame:
     """`docs` with its texts without recurring lines, and n_lines, n_dropped."""
-    gone = dropped_lines(docs, leading, min_tokens, similar, split, id_col, text_col)
+    gone = dropped_lines(docs, leading, min_tokens, id_col, text_col, wide).select(F.col("key").alias("__key"), F.col("uid").alias("__uid"), F.col("dropped").alias("__dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*keep).withColumn("__uid", F.xxhash64(id_col, text_col)).join(gone, F.col("__uid") == F.col("uid"), "left")
-    joined = joined.withColumns({"__lines": F.split(text_col, "\\n"), "__gone": F.coalesce("dropped", F.array().cast("array<int>"))})
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.size("__gone") > 0, kept).otherwise(F.col(text_col))
+    # the row is packed: no column of it can be taken for one of these
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), doc_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
+    packed = packed.select("row", "key", "uid", F.split("text", "\n").alias("lines"))
+    joined = packed.join(gone, (F.col("key") == F.col("__key")) & (F.col("uid") == F.col("__uid")), "left")
+    # sets of numbers, so that a long document costs its lines and not their square
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("__dropped"))
+    text = F.when(F.col("__dropped").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in keep],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.size("__gone").cast("long").alias("n_dropped"),
+        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in keep],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
