@@ -3,22 +3,27 @@
 Method. Sources, in code point order with null last, weigh 5, 2, 1, repeating, and share the number of all words; a
 source's target stops at `most` times its own words and the excess is reshared by weight (`targets`: water filling in
 closed form over the sources). Each source has a weight schedule over training time t in [0, 1], 1 + c (2 t - 1), where
-c = -0.5, 0, 0.5 by its place: early, even, late. Its integral is the source's cumulative demand, F(t) = t + c (t^2 - t).
-The source's documents stand in a fixed shuffled order (md5 of the id) and are passed through up to `most` times, until the
-target is reached: a copy takes the words between its offset and the target, so a source's taken words equal its target
-rounded to a word. A copy whose middle lies at the share u of the target is trained at t with F(t) = u, by inversion.
-
-Offsets are exact prefix sums (`prefix.with_prefix`): a hot source is split over ranges of the order, as any other.
-
-Cases. Null and empty texts have size 0 and take 0. A null source is a source of its own. Null ids stand in one place of
-the order, equal rows beside one another; each is mixed on its own. An empty table gives no rows. Reruns agree: the order
-depends on ids and sizes alone (rows equal in both are interchangeable). Columns of the input other than id, text and
-source are carried by `mix` only; names that begin with `__` are this module's."""
+c = -0.5, 0, 0.5 by its place: early, even, late. Its integral, F(t) = t + c (t^2 - t), is the share of the source's target that is
+asked for until t: its cumulative demand. The source's documents stand in a fixed shuffled order (md5 of the id) and are passed
+through up to `most` times, until the target is reached: a copy takes the words between its offset and the target, so a
+source's taken words equal its target rounded to a word. A copy whose middle lies at the share u of the target is trained at the
+time t with F(t) = u, by inversion; its position is the number of words that all sources together have asked for by
+then: the sum of target * F(t), which is T t + C (t^2 - t), T being the sum of targets and C that of target * c. Copies are
+sorted by position over the whole table, by ranges.
+
+Offsets are exact prefix sums (`prefix.with_prefix`): a hot source is split over ranges of the order, as any other, and the
+sources themselves, however many, are ordered and filled in the same way. Texts are read once for the plan.
+
+Cases. Null and empty texts have size 0, take 0 and have no position. A null source is a source of its own. Null ids stand in one
+place of the order, equal rows beside one another; each is mixed on its own. An empty table gives no rows. Reruns agree: the
+order depends on ids and sizes alone (rows equal in both are interchangeable). Columns of the input other than id, text and
+source are carried by `mix` only, whatever their names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import checkpointed, digest
 from .prefix import with_prefix
 
 # The weights of the sources in their order, and how their schedules lean.
@@ -30,25 +35,20 @@ def targets(sizes: DataFrame, most=3) -> DataFrame:
     """From source and source_size (a row a source): target, and lean. Target = min(most * size, level * weight), where
     the level makes the targets add up to all words. Sources sorted by the level at which they are full; at each, the
     level if it were the first that isn't full; the greatest that its own source can bear is the true one."""
-    ordered = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
-    place = (F.row_number().over(ordered) - 1) % len(WEIGHTS)
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__place") + 1)
-    rows = sizes.withColumn("__place", place).withColumns({"__w": pick(WEIGHTS), "lean": pick(LEANS)})
-    rows = rows.withColumn("__full", most * F.col("source_size") / F.col("__w"))
-    filling = Window.partitionBy(F.lit(0)).orderBy("__full", F.col("source").isNull(), "source")
-    everything = Window.partitionBy(F.lit(0))
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumns({
-        "__caps": F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0)),
-        "__weights": F.sum("__w").over(after),
-        "__all": F.sum("source_size").over(everything),
-    }).withColumn("__level", (F.col("__all") - F.col("__caps")) / F.col("__weights"))
-    level = F.max(F.when(F.col("__level") <= F.col("__full"), F.col("__level"))).over(everything)
-    target = F.least((most * F.col("source_size")).cast("double"), level * F.col("__w"))
+    sizes = checkpointed(sizes)
+    by_name = [F.col("source").isNull(), F.col("source")]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("__row") % len(WEIGHTS) + 1).cast("int"))
+    rows = with_prefix(sizes, by_name, []).select("source", "source_size", pick(WEIGHTS).alias("w"), pick(LEANS).alias("lean"))
+    rows = checkpointed(rows.withColumn("full", most * F.col("source_size") / F.col("w")))
+    filled = with_prefix(rows, [F.col("full"), *by_name], ["source_size", "w"])
+    total, weights = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    filled = filled.withColumn("level", (F.lit(total) - most * F.col("__start_source_size")) / (F.lit(weights) - F.col("__start_w")).cast("double"))
+    level = filled.agg(F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).alias("level")).scalar()
+    target = F.least((most * F.col("source_size")).cast("double"), level * F.col("w"))
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"), "lean")
 
 
-def plan(docs: DataFrame, most=3, id_col="doc_id", text_col="text", source_col="source", key=None) -> DataFrame:
+def plan(docs: DataFrame, most=3, id_col="doc_id", text_col="text", source_col="source", key: Column | None = None) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, and copies: array of (words, position)."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -56,18 +56,21 @@ def plan(docs: DataFrame, most=3, id_col="doc_id", text_col="text", source_col="
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         *([key.alias("__key")] if key is not None else []),
     )
-    placed = with_prefix(rows, [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("size")], "size", ["source"])
+    rows = checkpointed(rows)
+    placed = with_prefix(rows, [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("size")], ["size"], ["source"])
     # a row a source: Spark measures it and broadcasts it where it is small
-    quota = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
+    quota = checkpointed(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most))
+    asked, leaning = quota.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum(F.col("target") * F.col("lean")), F.lit(0.0))).first()
     q = quota.select(F.col("source").alias("__source"), "source_size", "target", "lean")
     placed = placed.join(q, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__quota", F.least(F.round("target").cast("long"), most * F.col("source_size")))
-    start = lambda k: F.col("__start") + k * F.col("source_size")
+    start = lambda k: F.col("__start_size") + k * F.col("source_size")
     take = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), F.col("__quota") - start(k))).cast("long")
 
     def position(k):
         share = (start(k) + take(k) / 2) / F.col("__quota")
         b = 1 - F.col("lean")
-        return F.when(F.col("lean") == 0, share).otherwise((F.sqrt(b * b + 4 * F.col("lean") * share) - b) / (2 * F.col("lean")))
+        time = F.when(F.col("lean") == 0, share).otherwise((F.sqrt(b * b + 4 * F.col("lean") * share) - b) / (2 * F.col("lean")))
+        return F.lit(asked) * time + F.lit(leaning) * (time * time - time)
 
     every = F.array(*[F.when(take(F.lit(k)) > 0, F.struct(take(F.lit(k)).alias("words"), position(F.lit(k)).alias("position"))) for k in range(most)])
     copies = F.array_compact(every)
@@ -78,15 +81,27 @@ def plan(docs: DataFrame, most=3, id_col="doc_id", text_col="text", source_col="
     )
 
 
+def in_order(planned: DataFrame) -> DataFrame:
+    """A row a document of a plan, sorted by the position of its first copy (documents without one last): the plan's columns,
+    n_copies, and position and last_position: those of its first and its last copy, in whole words."""
+    at = lambda i: F.floor(F.element_at("copies", i)["position"]).cast("long")
+    some = F.size("copies") > 0
+    rows = planned.select("*", F.size("copies").alias("n_copies"), F.when(some, at(1)).alias("position"), F.when(some, at(-1)).alias("last_position"))
+    return rows.orderBy(F.col("position").isNull(), F.get("copies", F.lit(0))["position"], "doc_id")
+
+
 def mix(docs: DataFrame, most=3, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mixed corpus: all columns of `docs`, a row for each copy, sorted by training position over the whole table.
 
-    A copy at a source's very end, of which the target takes less than half, is left out; others stay whole."""
-    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    A copy at a source's very end, of which the target takes less than half, is left out; others stay whole. Rows are told apart by a
+    digest of all their columns; of rows that are equal in all, one is kept and comes as often as their copies together."""
+    key = digest(*[docs[f"`{c}`"] for c in docs.columns])
     planned = plan(docs, most, id_col, text_col, source_col, key)
-    copies = planned.groupBy("__key").agg(F.flatten(F.collect_list("copies")).alias("__copies"), F.max("size").alias("__size"))
-    # rows that are equal in id, source and text are one row here; their copies were gathered
-    left = docs.withColumn("__k", key).dropDuplicates(["__k"]).join(copies, F.col("__k") == F.col("__key"))
-    out = left.select(*docs.columns, "__size", F.explode("__copies").alias("__copy")).filter(2 * F.col("__copy.words") >= F.col("__size"))
+    copies = planned.select(F.col("__key").alias("key"), "size", F.explode("copies").alias("copy")).filter(2 * F.col("copy.words") >= F.col("size"))
+    # the row is packed: no column of it can be taken for one of these
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("__key"))
+    each = packed.groupBy("__key").agg(F.first("row").alias("row"))
+    out = each.join(copies, F.col("__key") == F.col("key")).select("row", "copy.position")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, F.col("__copy.position"), F.col(id_col)).sortWithinPartitions(F.col("__copy.position"), F.col(id_col)).select(*docs.columns)
+    order = [F.col("position"), F.col("row")[id_col]]
+    return out.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*[F.col("row")[c].alias(c) for c in docs.columns])

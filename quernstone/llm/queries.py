@@ -53,8 +53,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "source", "size", "source_size", "target", "taken")
+    planned = mixing.in_order(mixing.plan(table(spark, sf_dir, "documents")))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "taken", "n_copies", "position", "last_position")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,14 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 f AS (SELECT *, 3 * source_size / CAST(w AS DOUBLE) AS full_at FROM w),
 g AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM f WINDOW o AS (ORDER BY full_at, source IS NULL, source)),
-q AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), max(level) FILTER (level <= full_at) OVER () * w), 0) AS target FROM g),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
-SELECT doc_id, p.source, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda k: greatest(0, least(size, least(CAST(round(target) AS BIGINT), 3 * source_size) - start - k * source_size)))) AS BIGINT) AS taken
-FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
+q AS (SELECT source, source_size, CASE w WHEN 5 THEN -0.5::DOUBLE WHEN 2 THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS lean, coalesce(least(CAST(3 * source_size AS DOUBLE), max(level) FILTER (level <= full_at) OVER () * w), 0) AS target FROM g),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+u AS (SELECT sum(target) AS asked, sum(target * lean) AS leaning FROM q),
+t AS (SELECT p.*, source_size, target, lean, least(CAST(round(target) AS BIGINT), 3 * source_size) AS quota FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source),
+c AS (SELECT *, list_filter(list_transform([0, 1, 2], lambda k: {k: k, words: CAST(greatest(0, least(size, quota - start - k * source_size)) AS BIGINT)}), lambda x: x.words > 0) AS copies FROM t),
+m AS (SELECT *, list_transform(copies, lambda x: (start + x.k * source_size + x.words / 2) / quota) AS shares FROM c),
+z AS (SELECT *, list_transform(shares, lambda s: CASE WHEN lean = 0 THEN s ELSE (sqrt((1 - lean) * (1 - lean) + 4 * lean * s) - (1 - lean)) / (2 * lean) END) AS times FROM m)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(list_sum(list_transform(copies, lambda x: x.words)), 0) AS BIGINT) AS taken, CAST(len(copies) AS INTEGER) AS n_copies,
+  CAST(floor(asked * times[1] + leaning * (times[1] * times[1] - times[1])) AS BIGINT) AS position, CAST(floor(asked * times[-1] + leaning * (times[-1] * times[-1] - times[-1])) AS BIGINT) AS last_position
+FROM z, u""",
 }

@@ -15,17 +15,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import checkpointed
 from .prefix import with_prefix
 
 
 def assign_shards(docs: DataFrame, n_shards=16, id_col="doc_id", text_col="text") -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot (its place in the shard), grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # narrow rows, written once: the texts are read a single time
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = with_prefix(rows, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "size")
+    rows = checkpointed(rows)
+    placed = with_prefix(rows, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_crc32"), F.col("size")], ["size"])
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).scalar()
     # the middle of a document, doubled to stay in integers
-    middle = 2 * F.col("__start") + F.col("size")
+    middle = 2 * F.col("__start_size") + F.col("size")
     sharded = placed.withColumn("__total", total).withColumn("shard", F.least(F.floor(middle * n_shards / (2 * F.col("__total"))), F.lit(n_shards - 1)).cast("int"))
     # a shard's first row: at most n_shards rows, small at any input size
     first = sharded.groupBy("shard").agg(F.min("__row").alias("__first"))
