@@ -2,18 +2,23 @@
 
 Method. Every element's subtree (tag, texts, children) is hashed; Spark counts on how many pages of a host each hash stands,
 and subtrees that recur on `min_pages` pages or more, and on `share` of the host's pages, are that host's template: they are deleted from
-its pages. Pages of the same text count once, and inline elements, items and cells only go with what holds them. Copies of an
-article must not delete it: they have the same text, and count once. The main part itself (`article` or `main`) is never counted, what stands
-inside it is. Beside the template, elements that are no article by their kind are left out anywhere: scripts, styles, navigation,
-asides, forms, footers, and elements whose class, id or role names an advert, notice, menu, share bar or comments (in the main
-part by a whole name). With a main
-part, only what stands inside it is text; else the whole body is.
+its pages, inside the article as well as outside. Pages of the same text count once (so copies of an article, or a row stored many times,
+do not make a template), inline elements, items and cells only go with what holds them, and a subtree that holds more than half of a page's
+text is never deleted, nor is a part of it.
+
+A second rule takes what counts cannot know (a host of few pages, an advert that changes from page to page): elements that are no
+article by their kind are deleted anywhere: scripts, styles, navigation, asides, forms, footers, and elements whose class, id or
+role names an advert, notice, menu, share bar or comments. A whole name always counts; a word within a name (`site-footer`) only outside
+the main part, and not for an element that holds the main part or more than half of the page's text. `html` and `body` are never
+deleted. If a page has a main part (`article` or `main`, in no deleted element), only what stands inside it is text; else the whole body is.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
-space. Nothing else is dropped or cut. Unclosed and misnested elements are closed as browsers do in the common cases.
+space. Nothing else is dropped or cut. Unclosed and misnested elements are closed as browsers do in the common cases; elements
+deeper than `DEPTH` levels belong to the one at that depth, as in browsers. A tag that no `>` ends is text. A page is read in one
+pass, whose time is in proportion to its length, however broken it is.
 
 Size. A page is scanned twice (to hash, to extract). Only (host, hash) keys are shuffled for the counts, once a page and
-summed before the shuffle; the flagged hashes of a page, bounded by its own elements, come back to it by its key.
+summed before the shuffle; the flagged hashes of a page, bounded by its own elements, come back to it by a SHA-256 of its row.
 
 Cases. Null or empty html gives empty text and no subtree. Pages with a null or odd url share the host ''. Repeated rows count
 once and are extracted each. An empty table gives no rows. Other columns are not read."""
@@ -22,15 +27,17 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import digest as row_digest, ship
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed values of HTML: elements without content, of raw text, that end a paragraph, and that are blocks of their own.
@@ -50,110 +57,203 @@ NAMED = frozenset(
     " complementary contentinfo search dialog alertdialog".split()
 )
 MAIN = frozenset(["article", "main"])
+ROOTS = frozenset(["html", "body"])
+DEPTH = 512  # as deep as browsers go
 PAGE = -1  # stands for the page itself among the hashes, which are not negative
 
 
-def _named(attributes: str, whole: bool) -> bool:
-    """Whether the element is hidden or named as no article: by words of its class, id and role, or only by whole names."""
+STRONG, WEAK = 2, 1
+
+
+def _named(attributes: str, whole: bool) -> int:
+    """STRONG if the element is hidden, or if its class, id or role is or has a name of no article; WEAK if only a word of it is one."""
+    said = 0
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
-            return True
+            return STRONG
         if m[2] and name in ("class", "id", "role"):
             value = m[2].strip("\"'").lower()
-            if not NAMED.isdisjoint(value.split() if whole else re.split(r"[^a-z0-9]+", value)):
-                return True
-    return False
+            if not NAMED.isdisjoint(value.split()):
+                return STRONG
+            if not whole and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+                said = WEAK
+    return said
+
+
+def _tokens(page: str):
+    """(start, end, name, closing, attributes) of each tag; name None for comments and declarations."""
+    at, n = 0, len(page)
+    last = page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last and not page.startswith("<!--", start):
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = n if end < 0 else end + 3
+            at = yield start, end, None, False, ""
+        elif page.startswith(("<!", "<?"), start):
+            at = yield start, page.index(">", start) + 1, None, False, ""
+        elif m := NAME.match(page, start):
+            rest = REST.match(page, m.end())
+            # a quote that nothing closes: the tag ends at the next `>`
+            end = rest.end() if rest else page.index(">", m.end()) + 1
+            at = yield start, end, m[1].lower(), page[start + 1] == "/", page[m.end() : end - 1]
+        else:
+            at = start + 1
 
 
-def scan(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, list[int]]:
-    """The page's text without the template's subtrees, and the hashes of the subtrees that a template may hold."""
-    # a frame: tag, whether inside a main part, whether dropped, parts for the hash, where its text begins
-    frames: list[list] = [["", False, False, [], 0]]
+def scan(page: str, template: frozenset[int] | set[int] = frozenset(), deleted: list | None = None) -> tuple[str, list[int]]:
+    """The page's text without the template's subtrees, and the hashes of the subtrees that a template may hold. deleted: gets
+    (whether by the template, characters) of each deletion that takes text, in page order, the outer of nested ones."""
+    # a frame: tag, whether inside a main part, how it is named, parts for the hash, where its text begins, the place of the nearest block or paragraph
+    frames: list[list] = [["", False, 0, [], 0, 0]]
+    open_: dict[str, int] = {}
     out: list[str] = []
-    main: list[str] = []
+    main: list[tuple[int, int]] = []
+    cuts: list[tuple[int, int, int]] = []  # (start, end, STRONG, WEAK or 0: the template's)
     hashes: list[int] = []
-    has_main = False
+    digest = xxhash.xxh64_intdigest
 
     def close():
-        tag, inside, dropped, parts, start = frames.pop()
-        h = xxhash.xxh64_intdigest("\x1f".join([tag, *parts])) >> 1
+        tag, inside, named, parts, start, _ = frames.pop()
+        open_[tag] -= 1
+        h = digest("\x1f".join([tag, *parts])) >> 1
         frames[-1][3].append(str(h))
-        if tag not in MAIN and tag not in ("html", "body", "head") and tag not in INLINE and tag not in CLOSES:
+        if tag not in MAIN and tag not in ROOTS and tag != "head" and tag not in INLINE and tag not in CLOSES:
             hashes.append(h)
-        if dropped or h in template:
-            del out[start:]
-        elif tag in MAIN and not frames[-1][1]:
-            main.extend(out[start:])
-            main.append(" ")
+        if len(out) > start:
+            if named:
+                cuts.append((start, len(out), named))
+            if h in template:
+                cuts.append((start, len(out), 0))
+            if tag in MAIN and not inside:
+                main.append((start, len(out)))
+                out.append(" ")
+
+    def opened(tag, inside, named):
+        block = len(frames) if tag == "p" or tag in BLOCKS else frames[-1][5]
+        frames.append([tag, inside, named, [], len(out), block])
+        open_[tag] = open_.get(tag, 0) + 1
 
     at = 0
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        if m.start() > at:
-            text = page[at : m.start()]
+    tokens = _tokens(page)
+    token = next(tokens, None)
+    while token:
+        start, end, tag, closing, attributes = token
+        if start > at:
+            text = page[at:start]
             frames[-1][3].append(" ".join(text.split()))
             out.append(entities.unescape(text) if "&" in text else text)
-        at = m.end()
-        tag = m[2]
+        at = end
         if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            depth = next((i for i in range(len(frames) - 1, 0, -1) if frames[i][0] == tag), 0)
-            # an inline end tag does not close blocks around it
-            if depth and not (tag not in BLOCKS and any(f[0] in INLINE_SAFE for f in frames[depth + 1 :])):
-                while len(frames) > depth:
-                    close()
+            pass
+        elif closing:
+            if open_.get(tag):
+                depth = next(i for i in range(len(frames) - 1, 0, -1) if frames[i][0] == tag)
+                # an inline end tag does not close blocks around it
+                if tag in BLOCKS or not any(f[0] in INLINE_SAFE for f in frames[depth + 1 :]):
+                    while len(frames) > depth:
+                        close()
             if tag in BLOCKS:
                 out.append(" ")
-            continue
-        if tag in BLOCKS:
-            out.append(" ")
-            # a block ends an open paragraph, with what is open inside
-            if tag != "br":
-                p = next((i for i in range(len(frames) - 1, 0, -1) if frames[i][0] == "p" or frames[i][0] in BLOCKS), 0)
-                if p and frames[p][0] == "p":
+        else:
+            if tag in BLOCKS:
+                out.append(" ")
+                # a block ends an open paragraph, with what is open inside
+                p = frames[-1][5]
+                if tag != "br" and p and frames[p][0] == "p":
                     while len(frames) > p:
                         close()
-        if tag in CLOSES:
-            for i in range(len(frames) - 1, 0, -1):
-                if frames[i][0] in SCOPES[tag]:
-                    break
-                if frames[i][0] in CLOSES[tag]:
-                    while len(frames) > i:
-                        close()
-                    break
-        if tag in VOID:
-            frames[-1][3].append(tag)
-            continue
-        inside = frames[-1][1] or frames[-1][0] in MAIN
-        has_main = has_main or tag in MAIN
-        dropped = tag in DROPPED or (m[3] != "" and _named(m[3], inside or tag in MAIN)) or tag == "header" and not inside
-        frames.append([tag, inside, dropped, [], len(out)])
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            frames[-1][3].append(page[at:stop] if tag not in ("script", "style") else "")
-            if tag in ("textarea", "title"):
-                out.append(entities.unescape(page[at:stop]))
-            at = end.end() if end else len(page)
-            close()
+            if tag in CLOSES and any(open_.get(t) for t in CLOSES[tag]):
+                for i in range(len(frames) - 1, 0, -1):
+                    if frames[i][0] in SCOPES[tag]:
+                        break
+                    if frames[i][0] in CLOSES[tag]:
+                        while len(frames) > i:
+                            close()
+                        break
+            if tag in VOID:
+                frames[-1][3].append(tag)
+            elif len(frames) <= DEPTH or tag in RAW:
+                inside = frames[-1][1] or frames[-1][0] in MAIN
+                kind = tag in DROPPED or tag == "header" and not inside
+                named = STRONG if kind else 0 if attributes == "" or tag in ROOTS else _named(attributes, inside or tag in MAIN)
+                opened(tag, inside, named)
+                if tag in RAW:
+                    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    inner = page[at : stop.start() if stop else len(page)]
+                    frames[-1][3].append(inner if tag not in ("script", "style") else "")
+                    if tag in ("textarea", "title"):
+                        out.append(entities.unescape(inner))
+                    at = stop.end() if stop else len(page)
+                    close()
+        try:
+            token = tokens.send(at)
+        except StopIteration:
+            token = None
     if at < len(page):
         frames[-1][3].append(page[at:])
         out.append(entities.unescape(page[at:]))
     while len(frames) > 1:
         close()
-    return " ".join("".join(main if has_main else out).split()), hashes
+    return _kept(out, main, cuts, deleted), hashes
+
+
+def _kept(out: list[str], main: list[tuple[int, int]], cuts: list[tuple[int, int, int]], deleted: list | None) -> str:
+    """The text that is left of the pieces. Cuts and main parts nest or lie apart, as elements do; inner ones come first."""
+    gone = bytearray(len(out))
+
+    def cut(start, end):
+        # what is cut within is cut already: jumping over it would save little
+        gone[start:end] = b"\1" * (end - start)
+
+    strong = [(s, e) for s, e, how in cuts if how == STRONG]
+    for s, e in _outer(strong):
+        cut(s, e)
+    length = [0]
+    for piece, g in zip(out, gone, strict=True):
+        length.append(length[-1] + (0 if g else len(piece.strip())))
+    total = length[-1]
+    # a main part inside what is cut for sure is none
+    main = _outer([(s, e) for s, e in main if not gone[s]])
+    starts = [s for s, _ in main]
+    holds_main = lambda s, e: (i := bisect_left(starts, s)) < len(starts) and main[i][1] <= e
+    bulk = lambda s, e: 2 * (length[e] - length[s]) > total
+    # what recurs with most of the page's text is content that recurs, with all its parts
+    content = _outer([(s, e) for s, e, how in cuts if how == 0 and bulk(s, e)])
+    begins = [s for s, _ in content]
+    in_content = lambda s, e: (i := bisect_right(begins, s)) > 0 and e <= content[i - 1][1]
+    chosen = [(s, e, how) for s, e, how in cuts if how == STRONG or not bulk(s, e) and not (holds_main(s, e) if how == WEAK else in_content(s, e))]
+    for s, e in _outer([(s, e) for s, e, _ in chosen]):
+        cut(s, e)
+    if deleted is not None:
+        by_template = {(s, e) for s, e, how in chosen if how == 0}
+        for s, e in _outer([(s, e) for s, e, _ in chosen]):
+            if size := sum(len(p.strip()) for p in out[s:e]):
+                deleted.append(((s, e) in by_template, size))
+    pieces = ["".join(p for p, g in zip(out[s:e], gone[s:e], strict=True) if not g) for s, e in (main or [(0, len(out))])]
+    return " ".join(" ".join(pieces).split())
+
+
+def _outer(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that lie in no other, in order."""
+    found: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not found or s >= found[-1][1]:
+            found.append((s, e))
+    return found
 
 
 def _keyed(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     page = F.coalesce(F.col(html_col), F.lit(""))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), page.alias("html"), host.alias("host")).withColumn("uid", F.xxhash64("page_id", "url", "html"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), page.alias("html"), host.alias("host")).withColumn("uid", row_digest(F.col("page_id"), F.col("url"), F.col("html")))
 
 
 def templates(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col="url") -> DataFrame:
-    """uid, flagged: the template's subtree hashes that each page has (pages that have some). uid: hash of the whole row."""
+    """uid, flagged: the template's subtree hashes that each page has (pages that have some). uid: digest of the whole row."""
 
     def run(batches):
         for b in batches:
@@ -163,7 +263,7 @@ def templates(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "content", "hashes"])
 
     rows = _keyed(pages, html_col, url_col).select("uid", "host", "html")
-    hashed = ship(rows).mapInArrow(run, "uid long, host string, content long, hashes array<long>")
+    hashed = ship(rows).mapInArrow(run, "uid binary, host string, content long, hashes array<long>")
     each = hashed.select("uid", F.xxhash64("host").alias("host"), "content", F.explode("hashes").alias("h"))
     counts = each.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("h") == PAGE))
     hosts = counts.filter(F.col("h") == PAGE).select("host", F.col("n").alias("all"))
@@ -189,7 +289,7 @@ def extract(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col=
 
     rows = _keyed(pages, html_col, url_col).select("uid", "page_id", "url", "html")
     # pages cross the shuffle packed, at under half of their size
-    rows = ship(rows).mapInArrow(pack, "uid long, page_id long, url string, packed binary")
+    rows = ship(rows).mapInArrow(pack, "uid binary, page_id long, url string, packed binary")
     flagged = templates(pages, min_pages, share, html_col, url_col)
     joined = rows.join(flagged, "uid", "left").select("page_id", "url", "packed", "flagged")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
