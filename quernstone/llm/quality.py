@@ -12,7 +12,7 @@ counts (partial sums of at most `buckets` rows leave a task), one pass scores, a
 
 Cases. Null and empty texts have no word: all counts 0, base_failed true. Repeated rows are scored alike, one by one. An
 empty table gives an empty result; no labels, or labels with nulls, give as much of a target as there is. Other columns
-of the input are neither read nor clash, as the operator works on `__`-prefixed names of its own.
+of the input are carried under other names until the end, whatever they are called; those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -95,10 +95,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", buckets=1 << 16, trusted_rows=20_000, prior=5.0, threshold=-0.2) -> DataFrame:
     """All columns of `docs`, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    rest = [c for c in docs.columns if c not in own]
+    carried = {f"__c{i}": c for i, c in enumerate(c for c in docs.columns if c not in own)}
+    rest = list(carried)  # under other names, none of which can be taken for one of these
     ratios = log_ratios(docs, labels, id_col, text_col, buckets, trusted_rows, prior)
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(NOT_BLANK))
-    step = docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), words(text_col).alias("__words"))
+    step = docs.select(*[docs[f"`{c}`"].alias(n) for n, c in carried.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"), words(text_col).alias("__words"))
     step = step.withColumn("__lines", lines).select(
         *rest,
         "__words",
@@ -120,4 +121,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
         _fenced(F.when(F.size("__h") > 0, total / (F.size("__h") + F.size("__p"))).otherwise(F.lit(0.0))).alias("llr"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    return step.select(*[F.col(n).alias(c) for n, c in carried.items()], *own)
