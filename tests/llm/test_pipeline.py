@@ -69,6 +69,24 @@ def test_run(spark, folder):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns) and got.count() > 0
 
 
+def test_stages_lose_no_row(spark, folder):
+    """Null ids, equal ids with different texts, repeated rows and a lone label: nothing goes that has no copy elsewhere."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [prose(400 + i, 40) for i in range(6)]
+    rows = [(None, texts[0], "en", "s", 1), (None, texts[1], "en", None, 1), (7, texts[2], "en", "s", 1), (7, texts[3], "en", "s", 1), (8, texts[4], "en", "s", 1), (8, texts[4], "fr", "s", 2), (9, texts[5], None, "s", None)]
+    docs = spark.createDataFrame([*rows, rows[0]], schema)
+    assert sorted(map(str, (tuple(r) for r in P.near_dedup(spark, docs, folder[0]).collect()))) == sorted(str(r) for r in rows if r[2] != "fr")
+    assert {r.text for r in P.line_dedup(spark, docs, folder[0]).collect()} == set(texts)
+    assert {tuple(r) for r in P.mixing_sources(spark, docs, folder[0]).collect()} <= set(rows)
+    assert {tuple(r) for r in P.quality_rules(spark, docs, folder[0]).collect()} <= set(rows)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
+
+
 def test_near_dedup_against_brute_force(spark, folder):
     rng = np.random.default_rng(3)
     texts = [prose(9000 + i, int(rng.integers(3, 160))) for i in range(60)] + ["", None, " ", "a b", "A  b"]
