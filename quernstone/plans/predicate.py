@@ -2,7 +2,8 @@
 
 A predicate is a mapping: source, filter, op, field, return_field, round. The filter's entries hold together; a scalar
 asks for the same string (a missing value counts as ''), a mapping of min and max for min <= value < max of the number (what is
-no number fails). Numbers are read from strings with commas; whole-number views take no decimals."""
+no number, or not a number, fails). Numbers are read from strings with commas; whole-number views take no decimals. Averages and
+medians are rounded half to even, to whole numbers where `round` is not given; over nothing every op but count is null."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -39,59 +41,65 @@ def real(c: Column) -> Column:
     return F.trim(F.replace(c.cast("string"), F.lit(","), F.lit(""))).try_cast("double")
 
 
-def condition(wanted: dict[str, Any], views: dict[str, Column] | None = None) -> Column:
-    """One conjunction, which Catalyst can push to the scan.
+def number(df: DataFrame, key: str, views: dict[str, Column] | None = None) -> Column:
+    """A field's number: its view; a column of numbers as it is, so that the scan can prune by it; else what its text says."""
+    if views and key in views:
+        return views[key]
+    return df[key] if isinstance(df.schema[key].dataType, T.NumericType) else real(df[key])
 
-    A range on a column that is a number already is compared as it is, so that the scan can prune by it."""
-    views = views or {}
+
+def condition(df: DataFrame, wanted: dict[str, Any], views: dict[str, Column] | None = None) -> Column:
+    """One conjunction, which Catalyst can push to the scan."""
 
     def one(key, value):
-        if not isinstance(value, dict):
+        if not isinstance(value, dict) or not value.keys() & {"min", "max"}:
             return F.coalesce(F.col(key).cast("string"), F.lit("")) == F.lit(str(value))
-        number = views.get(key, F.col(key))
-        parts = [number >= F.lit(value["min"])] if "min" in value else []
-        parts += [number < F.lit(value["max"])] if "max" in value else []
-        return reduce(Column.__and__, parts, number.isNotNull())
+        n = number(df, key, views)
+        parts = [n >= F.lit(value["min"])] if "min" in value else []
+        # not a number is greater than all numbers here
+        parts += [n < F.lit(value["max"])] if "max" in value else [~F.isnan(n)] if "double" in df.select(n).dtypes[0][1] else []
+        return reduce(Column.__and__, parts, n.isNotNull())
 
     return reduce(Column.__and__, (one(k, v) for k, v in wanted.items()), F.lit(True))
 
 
 def select(tables: dict[str, DataFrame], p: Predicate, views: dict[str, Column] | None = None) -> DataFrame:
     """P4."""
-    return tables[p.source].filter(condition(p.filter, views))
+    return tables[p.source].filter(condition(tables[p.source], p.filter, views))
 
 
-def aggregate(p: Predicate, order: list[str], views: dict[str, Column] | None = None) -> Column:
+def aggregate(df: DataFrame, p: Predicate, order: list[str], views: dict[str, Column] | None = None) -> Column:
     """The aggregate that the predicate asks for. order: the columns that stand for file order in ties."""
-    number = (views or {}).get(p.field, F.col(p.field)) if p.field else None
-    digits = p.round
-    rounded = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))
+    n = number(df, p.field, views) if p.field else None
+    digits = p.round or 0
+    rounded = lambda c: F.bround(c, digits) if digits else F.bround(c, 0).cast("long")
+    returned = lambda: F.coalesce(F.col(p.return_field).cast("string"), F.lit(""))
     ord_up = F.struct(*order)
     match p.op:
         case "count":
             return F.count(F.lit(1))
         case "sum":
-            return F.sum(number)
+            return F.sum(n)
         case "min":
-            return F.min(number)
+            return F.min(n)
         case "max":
-            return F.max(number)
+            return F.max(n)
         case "avg":
-            return rounded(F.avg(number))
+            return rounded(F.avg(n))
         case "median":
-            return rounded(F.median(number))
+            return rounded(F.median(n))
         case "argmin":
-            return F.coalesce(F.min_by(F.coalesce(F.col(p.return_field).cast("string"), F.lit("")), F.when(number.isNotNull(), F.struct(number.alias("v"), ord_up.alias("o")))), F.lit(""))
+            return F.min_by(returned(), F.when(n.isNotNull(), F.struct(n.alias("v"), ord_up.alias("o"))))
         case "argmax":
             # the first in order of the greatest: the least by (-value, order)
-            return F.coalesce(F.min_by(F.coalesce(F.col(p.return_field).cast("string"), F.lit("")), F.when(number.isNotNull(), F.struct((-number).alias("v"), ord_up.alias("o")))), F.lit(""))
+            return F.min_by(returned(), F.when(n.isNotNull(), F.struct((-n).alias("v"), ord_up.alias("o"))))
     raise ValueError(f"no such op: {p.op}")
 
 
 def recompute(tables: dict[str, DataFrame], p: Predicate, order: list[str], by: list[str] | None = None, views: dict[str, Column] | None = None) -> DataFrame:
     """The predicate's value, over all that matches or by groups of it."""
     rows = select(tables, p, views)
-    return rows.groupBy(*(by or [])).agg(aggregate(p, order, views).alias("value"))
+    return rows.groupBy(*(by or [])).agg(aggregate(rows, p, order, views).alias("value"))
 
 
 def sample_ids(rows: DataFrame, id_col: str, order: list[str], n: int = 20) -> DataFrame:
