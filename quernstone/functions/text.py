@@ -30,7 +30,9 @@ def tokens(c: Column) -> Column:
     """T4: lower-case words, then the character pairs of the words that hold Hangul; repeats stay."""
     words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.concat(words, F.flatten(F.transform(F.filter(words, lambda w: w.rlike(HANGUL) & (F.length(w) > 1)), pairs)))
+    every = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(HANGUL) & (F.length(w) > 1)), pairs))
+    # looked for once in the text, before any word is
+    return F.when(c.rlike(HANGUL), F.concat(words, every)).otherwise(words)
 
 
 def token_set(c: Column) -> Column:

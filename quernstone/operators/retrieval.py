@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
+from .numbering import checkpointed
 
 
 def split_pages(docs: DataFrame, mark: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -40,19 +41,17 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k1=1.5, b=0.75) -> DataFrame:
     """(query, doc, score) of each pair that shares a term; score has 6 decimals.
 
-    Terms of the queries, a stated set, are joined first, so that only their postings go on; the join is by term, and
-    a term of the whole corpus is summed to its document frequency before it meets anything."""
-    post = postings(docs, id_col, text_col)
-    size = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    Texts are tokenised once, into the index that the document lengths are summed from, too. Terms of the queries, a stated set, are
+    joined first, so that only their postings go on; the join is by term, and a term of the whole corpus is summed to its
+    document frequency before it meets anything."""
+    post = checkpointed(postings(docs, id_col, text_col))
+    words, n = post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0], docs.count()
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = size.select(F.struct("n", "mean").alias("s")).scalar()
-    weighed = wanted.join(df, "term").withColumn("__s", stats)
-    idf = F.log((F.col("__s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    mean = F.when(F.col("__s.mean") > 0, F.col("__s.mean")).otherwise(1.0)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return weighed.withColumn("__w", part).join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum("__w"), 6).alias("score"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(words / n if words else 1.0)))
+    return wanted.join(df, "term").withColumn("__w", part).join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum("__w"), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, doc="doc", query="query") -> DataFrame:
@@ -76,6 +75,90 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def similarities(queries: DataFrame, docs: DataFrame, block: int = 4096) -> DataFrame:
+    """(query, doc, score) of every query (query, q) with every other row (doc, v): a stated set against all rows, in blocks.
+
+    Queries lie in blocks, rows in as many parts as there are shuffle partitions; a block and a part meet by their numbers, in a join
+    that Spark broadcasts only where it has measured the queries to be few."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query", "q", of("query", blocks).alias("b"), every(parts).alias("p"))
+    right = docs.select("doc", "v", of("doc", parts).alias("p"), every(blocks).alias("b"))
+    return right.join(left, ["b", "p"]).filter(F.col("query") != F.col("doc")).select("query", "doc", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+
+
+GRAM = 4
+
+
+def containing(passages: DataFrame, docs: DataFrame, passage_id: str, passage: str, id_col: str, text_col: str) -> DataFrame:
+    """(query, doc) of each passage and each text that holds it, character by character.
+
+    Whole words of a passage (all but its first and last, which may end within others) stand in the text as well: its first GRAM of
+    these, or its longest, where it has fewer, are looked up among the text's by hash, and what meets is checked. A passage without whole
+    words is compared with all texts."""
+    words = lambda c: F.split(F.col(c), r"\s+")
+    grams = lambda a, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(a, i, n)))
+    p = passages.select(F.col(passage_id).alias("query"), F.col(passage).alias("passage"), F.slice(words(passage), F.lit(2), F.greatest(F.size(words(passage)) - 2, F.lit(0))).alias("inner"))
+    p = p.filter("passage IS NOT NULL")
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    holds = F.contains("text", F.col("passage"))
+    long = p.filter(F.size("inner") >= GRAM).select("query", "passage", F.xxhash64(F.slice("inner", 1, GRAM)).alias("g"))
+    short = p.filter(F.size("inner").between(1, GRAM - 1)).select("query", "passage", F.xxhash64(F.array(F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])).alias("g"))
+    none = p.filter(F.size("inner") < 1).select("query", "passage")
+    # a column of its own: within the function below, the text would be split anew for each gram
+    split = d.select("doc", words("text").alias("words"))
+    found = []
+    for side, n in ((long, GRAM), (short, 1)):
+        # keys of the texts, without the texts; these come back to the few that meet
+        keys = split.select("doc", F.explode(F.array_distinct(grams(F.col("words"), n))).alias("g"))
+        met = keys.join(side, "g").select("query", "passage", "doc").distinct()
+        found.append(met.join(d, "doc").filter(holds).select("query", "doc"))
+    return found[0].union(found[1]).union(d.join(none, holds).select("query", "doc")).distinct()
+
+
+def retrieve(retriever: str, rankings: dict[str, DataFrame], k: int, page: str | None = None, most: int = 0) -> DataFrame:
+    """(query, doc) of what a retriever picks: bm25 or dense (rankings: query, doc, rank), hybrid (both fused), each with at most so
+    many of a page; or oracle, all of its ranking. An unknown name is an error."""
+    match retriever:
+        case "oracle":
+            return rankings["oracle"].select("query", "doc")
+        case "bm25" | "dense":
+            full = rankings[retriever]
+        case "hybrid":
+            both = fused([rankings["bm25"], rankings["dense"]])
+            full = both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")).cast("long"))
+            full = full.join(rankings["pages"], "doc") if page and most > 0 else full
+        case _:
+            raise ValueError(f"no such retriever: {retriever}")
+    picked = diverse(full, page, most) if page else full
+    return picked.filter(F.col("rank") <= k).select("query", "doc")
+
+
+def diagnosed(ranking: DataFrame, gold: DataFrame, pages: DataFrame, ks: list[int]) -> tuple[DataFrame, DataFrame]:
+    """By k, how many queries have a gold document among the first k, and the mean number of tokens there; and in one row: queries,
+    queries with a gold document in the ranking, the least, upper median and greatest of its ranks, and the mean number of
+    repeated pages among the first five. pages: doc, page, tokens; queries: those of gold."""
+    asked = gold.select("query").distinct()
+    best = gold.join(ranking.select("query", "doc", "rank"), ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("best"))
+    listed = ranking.join(asked, "query", "left_semi").join(pages, "doc")
+    sums = [F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("tokens"))), F.lit(0)).alias(f"t{k}") for k in ks]
+    top5 = F.col("rank") <= 5
+    each = listed.groupBy("query").agg(*sums, (F.count_if(top5) - F.countDistinct(F.when(top5, F.col("page")))).alias("dup5"))
+    rows = best.join(each, "query", "left").na.fill(0, ["dup5", *(f"t{k}" for k in ks)])
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("tokens")) for k in ks])).alias("x")
+    by_k = rows.select("best", at).groupBy(F.col("x.k").alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("best") <= F.col("x.k"), 1.0).otherwise(0.0)), 6).alias("hit"), F.round(F.avg("x.tokens"), 6).alias("mean_tokens")
+    )
+    # the upper median of ranks from their counts, of which there are no more than ranks
+    counts = rows.filter("best IS NOT NULL").groupBy("best").agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("best"))).withColumn("all", F.sum("c").over(Window.partitionBy(F.lit(0))))
+    ranks = upto.agg(F.min("best").alias("rank_min"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("best"))).alias("rank_median"), F.max("best").alias("rank_max"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count("best").alias("found"), F.round(F.avg("dup5"), 6).alias("mean_dup5"))
+    return by_k, whole.crossJoin(ranks)  # one row each
+
+
 def fused(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal ranks summed over rankings (query, doc, rank)."""
     every = rankings[0].select("query", "doc", "rank")

@@ -14,7 +14,8 @@ POST = f"t AS (SELECT doc_id, {TOK} AS w FROM documents), p AS (SELECT doc_id, d
 BM = f"""{POST}, n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 q AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+z AS (SELECT * FROM s UNION ALL SELECT b.item_id, f.doc_id, 0 FROM benchmark b, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.item_id = b.item_id AND s.doc_id = f.doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM z)"""
 DENSE = """v AS (SELECT a.vec_id AS q, b.vec_id AS d, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 dr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM v)"""
 GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -25,21 +26,24 @@ def scores(spark, d):
 
 
 def top(spark, d, k=5):
-    return R.ranked(scores(spark, d), k)
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return R.ranked(R.with_zeros(scores(spark, d), asked, docs, "item_id", "doc_id", k), k)
 
 
 def gold(spark, d):
-    """Documents that hold a passage: the passages, a stated set, go to every task."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return spread(table(spark, d, "documents").select("doc_id", "text")).join(b, F.contains("text", F.col("passage"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
+    """Documents that hold a passage."""
+    return R.containing(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), "item_id", "text", "doc_id", "text")
 
 
-def dense(spark, d, k=10):
-    """Exact neighbours of the asked vectors (every 50th) by dot product."""
+def similar(spark, d):
     e = table(spark, d, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    pairs = e.join(asked, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("doc"), F.round(R.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return R.ranked(pairs, k)
+    return R.similarities(asked, spread(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))))
+
+
+def dense(spark, d, k=10):
+    """Exact neighbours of the asked vectors (every 50th) by dot product."""
+    return R.ranked(similar(spark, d), k)
 
 
 @query("r1_pages", "SELECT doc_id, i - 1 AS page_no, length(p) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || 'The ')) AS p, generate_subscripts(string_split(text, chr(10) || 'The '), 1) AS i FROM documents) WHERE regexp_replace(p, '\\s+', '', 'g') <> ''")
@@ -81,20 +85,23 @@ def r6(spark, d):
     return top(spark, d).select("query", "doc", "rank")
 
 
-@query("r6_zero_scores", """
-WITH q AS (SELECT item_id FROM benchmark), f AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3)
-SELECT item_id AS query, doc_id AS doc, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM q, f""")
+@query("r6_zero_scores", f"""
+WITH {POST}, n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'zzzz' ELSE split_part(text, ' ', 1) END AS text FROM benchmark), q AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM b),
+s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY 1, 2),
+a AS (SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id, doc_id FROM b, documents) LEFT JOIN s USING (item_id, doc_id))
+SELECT item_id AS query, doc_id AS doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= 25""")
 def r6_zero(spark, d):
-    b = table(spark, d, "benchmark")
-    none = spark.createDataFrame([], "query long, doc long, score double")
-    return R.ranked(R.with_zeros(none, b, table(spark, d, "documents"), "item_id", "doc_id", 3), 3).select("query", "doc", "rank")
+    """Queries of one word: few documents have it, and those without fill the ranking up."""
+    asked = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "zzzz").otherwise(F.split_part("text", F.lit(" "), F.lit(1))).alias("text"))
+    docs = table(spark, d, "documents")
+    found = R.bm25(asked, spread(docs.select("doc_id", "text")), "item_id", "text", "doc_id", "text")
+    return R.ranked(R.with_zeros(found, asked, docs, "item_id", "doc_id", 25), 25).select("query", "doc", "score", "rank")
 
 
-@query("r7_similarity", f"WITH {DENSE} SELECT q AS query, d AS doc, score FROM v WHERE d < 50")
+@query("r7_similarity", f"WITH {DENSE} SELECT q AS query, d AS doc, score FROM v")
 def r7(spark, d):
-    e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return e.filter("vec_id < 50").join(asked, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("doc"), F.round(R.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return similar(spark, d)
 
 
 @query("r8_dense_top", f"WITH {DENSE} SELECT q AS query, d AS doc, rank FROM dr WHERE rank <= 10")
@@ -131,6 +138,29 @@ def r13(spark, d):
     return top(spark, d).groupBy("query").agg(F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))
 
 
+_DISPATCH = f"""{BM}, {GOLD}, dv AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 6) AS score FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b JOIN documents ON doc_id = b.vec_id WHERE a.vec_id <> b.vec_id),
+de AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM dv),
+hs AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM de WHERE rank <= 20) GROUP BY 1, 2),
+hy AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hs),
+u AS (SELECT 'bm25' AS retriever, item_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT 'dense', item_id, doc_id, rank FROM de WHERE rank <= 20 UNION ALL SELECT 'hybrid', item_id, doc_id, rank FROM hy),
+dd AS (SELECT *, row_number() OVER (PARTITION BY retriever, item_id, source ORDER BY rank) AS nth FROM u JOIN documents USING (doc_id)),
+pk AS (SELECT retriever, item_id, doc_id, row_number() OVER (PARTITION BY retriever, item_id ORDER BY rank) AS place FROM dd WHERE nth <= 1)"""
+
+
+@query("r13_dispatch", f"""WITH {_DISPATCH} SELECT retriever, item_id AS query, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs
+FROM (SELECT retriever, item_id, doc_id FROM pk WHERE place <= 5 UNION ALL SELECT 'oracle', item_id, doc_id FROM g) GROUP BY 1, 2""")
+def r13_dispatch(spark, d):
+    """Each retriever's picks in reading order, one of a source at most; vectors of the same id stand for the embeddings of passages and documents."""
+    e = table(spark, d, "embeddings")
+    asked = e.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    rows = e.join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
+    rankings = {"bm25": top(spark, d, 20).join(sources, "doc"), "dense": R.ranked(R.similarities(asked, rows), 20).join(sources, "doc"), "oracle": gold(spark, d), "pages": sources}
+    picks = [R.retrieve(name, rankings, 5, "source", 1).withColumn("retriever", F.lit(name)) for name in ("bm25", "dense", "hybrid", "oracle")]
+    every = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
+    return every.groupBy("retriever", "query").agg(F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))
+
+
 @query("r14_slice", "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars BETWEEN 500 AND 2000 ORDER BY doc_id LIMIT 25")
 def r14(spark, d):
     return table(spark, d, "documents").filter("lang = 'en' AND n_chars BETWEEN 500 AND 2000").select("doc_id", "lang").orderBy("doc_id").limit(25)
@@ -157,10 +187,24 @@ def r16(spark, d):
     return best_ranks(spark, d)
 
 
-@query("r17_hits_at_k", f"{_RANKS} SELECT k, count(*) AS n, round(avg(CASE WHEN best <= k THEN 1.0 ELSE 0.0 END), 6) AS hit FROM h, (VALUES (1), (3), (5), (10)) v(k) GROUP BY 1")
+_TOKENS = f"{_RANKS}, l AS (SELECT r.item_id, r.rank, d.source, length(d.text) // 2 AS tok FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10)"
+
+
+def diagnosed(spark, d):
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("page"), F.floor(F.length("text") / 2).alias("tokens"))
+    return R.diagnosed(top(spark, d, 10), gold(spark, d), pages, [1, 3, 5, 10])
+
+
+@query("r17_hits_at_k", f"{_TOKENS}, e AS (SELECT h.item_id, best, k, (SELECT coalesce(sum(tok), 0) FROM l WHERE l.item_id = h.item_id AND l.rank <= k) AS tok FROM h, (VALUES (1), (3), (5), (10)) v(k)) SELECT k, count(*) AS n, round(avg(CASE WHEN best <= k THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(tok), 6) AS mean_tokens FROM e GROUP BY 1")
 def r17(spark, d):
-    ks = F.explode(F.array(*map(F.lit, (1, 3, 5, 10))))
-    return best_ranks(spark, d).withColumn("k", ks).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("best") <= F.col("k"), 1.0).otherwise(0.0)), 6).alias("hit"))
+    return diagnosed(spark, d)[0]
+
+
+@query("r17_diagnostics", f"""{_TOKENS}, u AS (SELECT h.item_id, (SELECT count(*) - count(DISTINCT source) FROM l WHERE l.item_id = h.item_id AND l.rank <= 5) AS dup FROM h),
+o AS (SELECT best, row_number() OVER (ORDER BY best) - 1 AS i, count(*) OVER () AS c FROM h WHERE best IS NOT NULL)
+SELECT (SELECT count(*) FROM h) AS n, (SELECT count(*) FROM o) AS found, (SELECT round(avg(dup), 6) FROM u) AS mean_dup5, (SELECT min(best) FROM o) AS rank_min, (SELECT best FROM o WHERE i = c // 2) AS rank_median, (SELECT max(best) FROM o) AS rank_max""")
+def r17_diagnostics(spark, d):
+    return diagnosed(spark, d)[1]
 
 
 @query("r18_confusion", f"{_RANKS} SELECT best <= 1 AS retrieved, item_id % 3 = 0 AS right_answer, count(*) AS n FROM h WHERE best IS NOT NULL GROUP BY 1, 2")
@@ -176,13 +220,13 @@ def r19(spark, d):
 
 
 @query("r20_recall_cuts", f"""
-WITH {BM}, {GOLD}, x AS (SELECT g.item_id, count(r.doc_id) / count(*)::DOUBLE AS rec, 1.0 / count(*) AS w, CASE WHEN g.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.rank <= 5 GROUP BY g.item_id)
+WITH {BM}, {GOLD}, x AS (SELECT g.item_id, count(r.doc_id) / count(*)::DOUBLE AS rec, 1.0 / count(*) AS w, CASE WHEN g.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split, 'task' || g.item_id % 3 AS task, CASE WHEN count(*) > 2 THEN 'large' ELSE 'small' END AS tier FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.rank <= 5 GROUP BY g.item_id)
 SELECT cut, value, count(*) AS n, round(avg(rec), 6) AS recall, round(avg(CASE WHEN rec > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(sum(w * rec) / sum(w), 6) AS weighted
-FROM (SELECT *, 'ALL' AS cut, 'ALL' AS value FROM x UNION ALL SELECT *, 'split', split FROM x) GROUP BY 1, 2""")
+FROM (SELECT *, 'ALL' AS cut, 'ALL' AS value FROM x UNION ALL SELECT *, 'split', split FROM x UNION ALL SELECT *, 'task', task FROM x UNION ALL SELECT *, 'tier', tier FROM x) GROUP BY 1, 2""")
 def r20(spark, d):
     found = top(spark, d).groupBy("query").agg(F.collect_list("doc").alias("found"))
     rows = gold(spark, d).groupBy("query").agg(F.collect_set("doc").alias("gold")).join(found, "query", "left")
     rec = F.coalesce(R.recall(F.col("found"), F.col("gold")), F.lit(0.0))
-    rows = rows.select(rec.alias("rec"), (F.lit(1.0) / F.size("gold")).alias("w"), F.when(F.col("query") % 2 == 0, "even").otherwise("odd").alias("split"))
+    rows = rows.select(rec.alias("rec"), (F.lit(1.0) / F.size("gold")).alias("w"), F.when(F.col("query") % 2 == 0, "even").otherwise("odd").alias("split"), F.concat(F.lit("task"), F.col("query") % 3).alias("task"), F.when(F.size("gold") > 2, "large").otherwise("small").alias("tier"))
     hit = F.when(F.col("rec") > 0, 1.0).otherwise(0.0)
-    return R.multi_cut(rows, ["split"], [F.count(F.lit(1)).alias("n"), F.round(F.avg("rec"), 6).alias("recall"), F.round(F.avg(hit), 6).alias("hit"), F.round(F.sum(F.col("w") * F.col("rec")) / F.sum("w"), 6).alias("weighted")])
+    return R.multi_cut(rows, ["split", "task", "tier"], [F.count(F.lit(1)).alias("n"), F.round(F.avg("rec"), 6).alias("recall"), F.round(F.avg(hit), 6).alias("hit"), F.round(F.sum(F.col("w") * F.col("rec")) / F.sum("w"), 6).alias("weighted")])
