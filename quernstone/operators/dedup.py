@@ -6,53 +6,70 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .numbering import checkpointed, numbered
 
-# What a signature masks, in order.
-MASKS = [(r"\[[^\]]*\]", "[T]"), (r"\"[^\"]*\"", "Q"), (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "D"), (r"[0-9][0-9,.]*", "N")]
+# Provinces, and what a signature masks, in order.
+PROVINCES = "서울특별시 부산광역시 대구광역시 인천광역시 광주광역시 대전광역시 울산광역시 세종특별자치시 경기도 강원특별자치도 강원도 충청북도 충청남도 전북특별자치도 전라북도 전라남도 경상북도 경상남도 제주특별자치도".split()
+MASKS = [
+    ("「[^」]*」", "「T」"),
+    ('"[^"]*"', '"A"'),
+    (r"\(p\.[0-9]+\)", "(p.N)"),
+    ("|".join(PROVINCES), "<시도>"),
+    (r"[\x{AC00}-\x{D7A3}]+(?:시|군|구)([^0-9A-Za-z_\x{AC00}-\x{D7A3}]|$)", "<시군구>{1}"),
+    (r"20[0-9]{2}\s*년?\s*[0-9]{0,2}\s*월?", "<날짜>"),
+    (r"[0-9][0-9,.]*", "<수>"),
+]
 
 
-def signature(c: Column) -> Column:
-    """The text with its variable parts masked."""
+def signature(c: Column, family: Column) -> Column:
+    """The family, and the text with its variable parts masked."""
     for pattern, mask in MASKS:
-        c = F.regexp_replace(c, pattern, mask)
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+        c = F.regexp_replace(c, pattern, mask.replace("{1}", "$1"))
+    return F.concat(F.coalesce(family, F.lit("")), F.lit("|"), F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
-    """cluster_id by first appearance, size and weight. Signatures are numbered once each, not rows."""
+    """cluster_id by first appearance, from 0, size and weight. Signatures are numbered once each, not rows."""
     first = df.groupBy(sig).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("cluster_size"))
-    digits = F.col("__number").cast("string")
+    digits = (F.col("__number") - 1).cast("string")
     named = numbered(first, ["__first"], "__number").withColumn("cluster_id", F.concat(F.lit("clu_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))).drop("__number")
     return df.join(named.withColumn("cluster_weight", F.round(1 / F.col("cluster_size"), 6)).drop("__first"), sig)
 
 
-def jaccard_matches(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> DataFrame:
-    """Pairs (a < b) of a family whose word sets have a Jaccard of at least `least`.
+def summary(sizes: DataFrame, sig: str, largest: int = 5) -> DataFrame:
+    """From a row a cluster (signature, cluster_size): rows, clusters, singletons, their share, and the largest sizes."""
+    whole = sizes.agg(F.sum("cluster_size").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("cluster_size") == 1).alias("singletons"))
+    top = sizes.orderBy(F.desc("cluster_size"), F.desc(sig)).limit(largest).agg(F.array_join(F.reverse(F.array_sort(F.collect_list("cluster_size"))), ",").alias("largest"))
+    return whole.crossJoin(top).withColumn("share", F.round(F.col("singletons") / F.col("clusters"), 6))  # one row each
 
-    Prefix filter: with J >= t, two sets share one of their (1 - t) * n + 1 rarest words, so only rows that meet
-    in such a word are compared. Equal sets are compared once: a row a set, with its ids."""
+
+def last_matches(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, sid) of each row, and (sid, last): the greatest id of a row of the same family whose word set is the set sid
+    or has a Jaccard of at least `least` with it. Sets are told apart by a SHA-256.
+
+    Prefix filter: with J >= t, two sets share one of their (1 - t) * n + 1 rarest words, so only sets that meet in such a
+    word are compared, and of these only those whose sizes, and places of the word, leave room for the similarity."""
     rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    # read five times below: written once
-    sets = checkpointed(rows.groupBy(family, "w").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("sid", F.xxhash64(family, "w")))
-    freq = sets.select(family, F.explode("w").alias("t")).groupBy(family, "t").agg(F.count(F.lit(1)).alias("df"))
-    rare = sets.select(family, "sid", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, [family, "t"])
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t"))
-    # the few rarest words of each set, joined with themselves: written once
-    heads = checkpointed(rare.withColumn("r", rank).filter(F.col("r") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1).select(family, "sid", "n", "t"))
-    a, b = heads.alias("a"), heads.alias("b")
-    near = (F.col("a.sid") < F.col("b.sid")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, (F.col(f"a.{family}") == F.col(f"b.{family}")) & (F.col("a.t") == F.col("b.t")) & near).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
-    x, y = sets.select(F.col("sid").alias("x"), F.col("w").alias("wx"), F.col("ids").alias("ix")), sets.select(F.col("sid").alias("y"), F.col("w").alias("wy"), F.col("ids").alias("iy"))
-    share = F.size(F.array_intersect("wx", "wy")) / F.size(F.array_union("wx", "wy"))
-    close = pairs.join(x, "x").join(y, "y").filter(share >= least).select("ix", "iy")
-    return close
+    rows = checkpointed(rows.withColumn("sid", F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(family, F.lit("")), F.array_join("w", " ")), 256))))
+    # read several times below: written once
+    sets = checkpointed(rows.groupBy("sid").agg(F.first(family).alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")))
+    each = sets.select("sid", "fam", F.size("w").alias("n"), F.explode(F.transform("w", lambda t: F.xxhash64(t))).alias("t"))
+    freq = each.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("df"))
+    # a word of one set alone meets nothing, but stands in its prefix; its place is what counts
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t")) - 1
+    ranked = each.join(freq, each.fam.eqNullSafe(freq.fam) & (each.t == freq.t)).select("sid", each.fam, "n", each.t, "df").withColumn("at", place)
+    heads = checkpointed(ranked.filter((F.col("at") <= F.floor((1 - least) * F.col("n") + 1e-9)) & (F.col("df") > 1)).select("sid", "fam", "n", "t", "at"))
+    b = heads.select(*[F.col(c).alias(f"{c}2") for c in heads.columns])
+    room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
+    # J >= t asks for t / (1 + t) of both sizes in common; the first common word stands at such places
+    fits = (F.least("n", "n2") >= least * F.greatest("n", "n2")) & (room + F.least("at", "at2") >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
+    pairs = heads.join(b, F.col("fam").eqNullSafe(F.col("fam2")) & (F.col("t") == F.col("t2")) & (F.col("sid") < F.col("sid2")) & fits).select("sid", "sid2").distinct()
+    one, two = sets.select("sid", "w", "last"), sets.select(F.col("sid").alias("sid2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
+    share = F.size(F.array_intersect("w", "w2"))
+    close = checkpointed(pairs.join(one, "sid").join(two, "sid2").filter(share >= least * (F.size("w") + F.size("w2") - share)).select("sid", "sid2", "last", "last2"))
+    every = sets.select("sid", "last").union(close.select("sid", "last2")).union(close.select("sid2", "last"))
+    return rows.select("id", "sid"), every.groupBy("sid").agg(F.max("last").alias("last"))
 
 
 def with_later_match(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> DataFrame:
     """The ids that have a later near-duplicate in their family (each counted once)."""
-    rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    # copies: all but the last of equal sets
-    last = rows.groupBy(family, "w").agg(F.max("id").alias("last"))
-    copies = rows.join(last, [family, "w"]).filter(F.col("id") < F.col("last")).select("id")
-    close = jaccard_matches(df, id_col, family, words, least)
-    both = close.select(F.explode("ix").alias("id"), F.array_max("iy").alias("m")).union(close.select(F.explode("iy").alias("id"), F.array_max("ix").alias("m")))
-    return copies.union(both.filter(F.col("id") < F.col("m")).select("id")).distinct()
+    rows, last = last_matches(df, id_col, family, words, least)
+    return rows.join(last, "sid").filter(F.col("id") < F.col("last")).select("id")

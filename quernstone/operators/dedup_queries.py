@@ -9,13 +9,23 @@ from ..registry import query
 from ..sources.tables import spread, table
 from . import dedup as N
 
-LINE = "regexp_extract(text, '^[^\\n]*', 0)"
-SIG = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({LINE}, '\\[[^\\]]*\\]', '[T]', 'g'), '\"[^\"]*\"', 'Q', 'g'), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 'D', 'g'), '[0-9][0-9,.]*', 'N', 'g'), '\\s+', ' ', 'g'))"
-CLU = f"s AS (SELECT doc_id, {SIG} AS sig FROM documents), f AS (SELECT sig, min(doc_id) AS first, count(*) AS n FROM s GROUP BY 1), k AS (SELECT sig, n, 'clu_' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 4, '0') AS cid FROM f)"
+LINE = "(CASE doc_id % 4 WHEN 0 THEN '서울특별시 강남구 2024년 3월 「공고」 ' WHEN 1 THEN '경기도 수원시 \"기준\" (p.12) 1,234.5 ' WHEN 2 THEN '2023년 12월 (p.3) ' ELSE '' END || regexp_extract(text, '^[^\\n]*', 0))"
+_masked = LINE
+for _pattern, _mask in N.MASKS:
+    _masked = f"regexp_replace({_masked}, '{_pattern}', '{_mask.replace('{1}', chr(92) + '1')}', 'g')"
+SIG = f"coalesce(lang, '') || '|' || trim(regexp_replace({_masked}, '\\s+', ' ', 'g'))"
+CLU = f"s AS (SELECT doc_id, {SIG} AS sig FROM documents), f AS (SELECT sig, min(doc_id) AS first, count(*) AS n FROM s GROUP BY 1), k AS (SELECT sig, n, 'clu_' || lpad(CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR), 4, '0') AS cid FROM f)"
+
+
+def lines(spark, d):
+    """First lines of documents, with what questions hold in front."""
+    k = F.col("doc_id") % 4
+    lead = F.when(k == 0, "서울특별시 강남구 2024년 3월 「공고」 ").when(k == 1, '경기도 수원시 "기준" (p.12) 1,234.5 ').when(k == 2, "2023년 12월 (p.3) ").otherwise("")
+    return table(spark, d, "documents").select("doc_id", "lang", F.concat(lead, F.regexp_extract("text", r"^[^\n]*", 0)).alias("line"))
 
 
 def firsts(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", N.signature(F.regexp_extract("text", r"^[^\n]*", 0)).alias("sig"))
+    return lines(spark, d).select("doc_id", "lang", N.signature(F.col("line"), F.col("lang")).alias("sig"))
 
 
 @query("n1_signature", f"SELECT doc_id, {SIG} AS sig FROM documents")
@@ -34,6 +44,11 @@ def n3(spark, d):
     return sizes.groupBy("cluster_size").agg(F.count(F.lit(1)).alias("clusters"), F.round(F.count(F.lit(1)).cast("double"), 6).alias("weight"))
 
 
+@query("n3_cluster_summary", f"WITH {CLU} SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, round(count(*) FILTER (n = 1) / count(*)::DOUBLE, 6) AS share, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FROM (SELECT n FROM k ORDER BY n DESC LIMIT 5)) AS largest FROM k")
+def n3_summary(spark, d):
+    return N.summary(firsts(spark, d).groupBy("sig").agg(F.count(F.lit(1)).alias("cluster_size")), "sig")
+
+
 @query("n4_jaccard", f"""
 WITH s AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
 SELECT DISTINCT a.doc_id AS id FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(list_intersect(a.w, b.w)) >= 0.92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
@@ -55,7 +70,6 @@ def n6(spark, d):
 
 @query("n7_rewrite_fallback", f"WITH r AS (SELECT doc_id, {LINE} AS old, {SIG} AS new FROM documents) SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY new ORDER BY doc_id) = 1 THEN new ELSE old END AS t FROM r")
 def n7(spark, d):
-    line = F.regexp_extract("text", r"^[^\n]*", 0)
-    rows = table(spark, d, "documents").select("doc_id", line.alias("old"), N.signature(line).alias("new"))
+    rows = lines(spark, d).select("doc_id", F.col("line").alias("old"), N.signature(F.col("line"), F.col("lang")).alias("new"))
     nth = F.row_number().over(Window.partitionBy("new").orderBy("doc_id"))
     return rows.select("doc_id", F.when(nth == 1, F.col("new")).otherwise(F.col("old")).alias("t"))

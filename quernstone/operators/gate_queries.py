@@ -27,6 +27,12 @@ def v2(spark, d):
     return V.dangling(table(spark, d, "labels"), "doc_id", known, "doc_id").select("doc_id")
 
 
+@query("v2_references_of_two", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 9 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+def v2_two(spark, d):
+    known = V.known_ids((table(spark, d, "nation").filter("n_nationkey < 9"), "n_nationkey"), (table(spark, d, "supplier").filter("s_acctbal > 5000"), "s_suppkey"))
+    return V.dangling(table(spark, d, "events"), "user_id", known, "id").select("event_id")
+
+
 @query("v3_id_existence", "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) GROUP BY 1")
 def v3(spark, d):
     known = table(spark, d, "supplier").filter("s_acctbal > 0")
@@ -63,9 +69,19 @@ def v8(spark, d):
     return checked(spark, d).groupBy("o_orderpriority", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v9_forbidden_keys", "SELECT 'text' AS field")
+@query("v9_forbidden_keys", """
+SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['gold'] WHEN 1 THEN ['a.gold', 'a.list.answer'] WHEN 2 THEN ['a.list.answer'] ELSE [] END) AS path FROM events WHERE event_id % 4 < 3 AND value > 20""")
 def v9(spark, d):
-    return spark.createDataFrame([(k,) for k in V.forbidden_keys(table(spark, d, "documents"), {"text", "html", "raw"})], "field string")
+    """Properties of events, with keys at several depths, in objects and lists; some texts are no JSON."""
+    k = F.col("event_id") % 4
+    deep = F.when(k == 0, F.concat(F.lit('{"gold": '), "props", F.lit("}"))).when(k == 1, F.concat(F.lit('{"a": {"gold": "x", "list": [{"answer": 1}, {"answer": '), "props", F.lit("}]}}")))
+    deep = deep.when(k == 2, F.concat(F.lit('{"text": "gold", "a": {"list": [1, {"answer": null}]}, "b": '), "props", F.lit("}"))).otherwise(F.concat(F.lit('{"gold": '), "props"))
+    return V.forbidden_in_json(table(spark, d, "events").filter("value > 20").select("event_id", deep.alias("j")), "event_id", "j", {"gold", "answer"})
+
+
+@query("v9_forbidden_fields", "SELECT column_name AS field FROM (DESCRIBE documents) WHERE column_name IN ('text', 'html', 'raw', 'lang')")
+def v9_fields(spark, d):
+    return spark.createDataFrame([(k,) for k in V.forbidden_keys(table(spark, d, "documents"), {"text", "html", "raw", "lang"})], "field string")
 
 
 @query("v10_forbidden_terms", "SELECT doc_id, term FROM documents, (VALUES ('License'), ('token'), ('@mail')) v(term) WHERE contains(text, term)")
@@ -79,6 +95,14 @@ def v11(spark, d):
     return table(spark, d, "documents").filter(F.col("text").rlike(pattern)).select("doc_id", F.regexp_extract("text", pattern, 1).alias("secret"))
 
 
+_SECRETS = {"token": 'token = "([0-9a-f]{40})"', "access": "(AKIA[A-Z0-9]{12,})", "card": "([0-9]{16})"}
+
+
+@query("v11_secret_kinds", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}', 1))) AS secret FROM documents" for k, p in _SECRETS.items()))
+def v11_kinds(spark, d):
+    return V.secret_values(table(spark, d, "documents"), "doc_id", "text", _SECRETS)
+
+
 @query("v12_thresholds", """
 SELECT rule, value, value BETWEEN lo AND hi AS ok FROM (SELECT 'rows' AS rule, count(*)::DOUBLE AS value, 100 AS lo, 1e12 AS hi FROM documents UNION ALL SELECT 'sources', count(DISTINCT source)::DOUBLE, 5, 1e9 FROM documents UNION ALL SELECT 'longest', max(length(text))::DOUBLE, 0, 5000 FROM documents)""")
 def v12(spark, d):
@@ -108,10 +132,20 @@ def v16(spark, d):
     return table(spark, d, "conversations").agg(share(F.contains("text", F.lit("?"))).alias("asked"), share(F.length("text") < 100).alias("short"))
 
 
-@query("v17_steps", "SELECT * FROM (VALUES ('scan', 'done'), ('count', 'done'), ('fail', 'failed: on purpose')) v(step, outcome)")
+@query("v17_steps", "SELECT 'scan' AS step, 'done: ' || (SELECT count(*) FROM lineitem) AS outcome UNION ALL SELECT 'count', 'done: ' || (SELECT count(DISTINCT l_orderkey) FROM lineitem) UNION ALL SELECT 'gate', 'failed: ' || (SELECT count(*) FROM lineitem WHERE l_quantity > 49) || ' rows above'")
 def v17(spark, d):
-    def fail():
-        raise ValueError("on purpose")
+    """A gate that fails stops what comes after."""
+    lines = table(spark, d, "lineitem")
+
+    def gate():
+        if n := lines.filter("l_quantity > 49").count():
+            raise ValueError(f"{n} rows above")
+
+    return spark.createDataFrame(V.run_steps([("scan", lines.count), ("count", lambda: lines.select("l_orderkey").distinct().count()), ("gate", gate), ("never", lines.count)]), "step string, outcome string")
+
 
-    scan = table(spark, d, "region")
-    return spark.createDataFrame(V.run_steps([("scan", lambda: scan.schema), ("count", scan.count), ("fail", fail), ("never", scan.count)]), "step string, outcome string")
+@query("v17_missing", "SELECT table_name AS step, 'missing' AS outcome FROM (VALUES ('answers'), ('bundles')) v(table_name) WHERE (SELECT count(*) FROM region) > 0")
+def v17_missing(spark, d):
+    """Preconditions are asked for before any step runs."""
+    there = {"region": table(spark, d, "region").count() > 0, "answers": False, "bundles": False}
+    return spark.createDataFrame(V.run_steps([("scan", lambda: 1 / 0)], there), "step string, outcome string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,14 @@ def report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("errors", errors(rules)).withColumn("status", F.when(F.size("errors") == 0, "ok").otherwise("fail"))
 
 
+def known_ids(*tables: tuple[DataFrame, str]) -> DataFrame:
+    """V2: the ids of several tables together."""
+    every = [df.select(F.col(key).alias("id")) for df, key in tables]
+    for df in every[1:]:
+        every[0] = every[0].union(df)
+    return every[0].distinct()
+
+
 def dangling(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
     """V2, V3: rows whose key no known row has."""
     return rows.join(known.select(F.col(known_key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
@@ -41,6 +51,40 @@ def forbidden_keys(df: DataFrame, names: set[str]) -> list[str]:
     return [k for k in keys_of(df.schema) if k.rpartition(".")[2] in names]
 
 
+def forbidden_in_json(df: DataFrame, key: str, column: str, names: set[str]) -> DataFrame:
+    """V9: (key, path) of forbidden keys at any depth of a JSON text; what is no JSON has none."""
+
+    def paths(value, path):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k in names:
+                    yield f"{path}{k}"
+                yield from paths(v, f"{path}{k}.")
+        elif isinstance(value, list):
+            for v in value:
+                yield from paths(v, path)
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for t in b.column(1):
+                try:
+                    value = json.loads(t.as_py() or "null")
+                except ValueError:
+                    value = None
+                found.append(sorted(set(paths(value, ""))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=[key, "paths"])
+
+    made = df.select(key, F.col(column).cast("string")).mapInArrow(run, df.select(key).schema.add("paths", "array<string>"))
+    return made.select(key, F.explode("paths").alias("path"))
+
+
+def secret_values(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """(key, kind, secret) of every match of every pattern, its first group."""
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias("found")) for kind, p in patterns.items()])
+    return df.select(key, F.inline(each)).select(key, "kind", F.explode("found").alias("secret"))
+
+
 def scanned(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, term) of each forbidden term that a text holds, by word boundaries where a term begins or ends in a letter."""
     each = F.explode(F.array(*map(F.lit, terms)))
@@ -69,14 +113,14 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 
 
 def run_steps(steps: list[tuple[str, object]], ready: dict[str, bool] | None = None) -> list[tuple[str, str]]:
-    """Named steps in order; a missing precondition stops all before the first, a failure all after it."""
+    """Named steps in order, with what they return; a missing precondition stops all before the first, a failure all after it."""
     if missing := [k for k, v in (ready or {}).items() if not v]:
         return [(k, "missing") for k in missing]
     done = []
     for name, step in steps:
         try:
-            step()
+            said = step()
         except Exception as e:
             return [*done, (name, f"failed: {re.sub(chr(10), ' ', str(e))[:80]}")]
-        done.append((name, "done"))
+        done.append((name, "done" if said is None else f"done: {said}"))
     return done

@@ -54,6 +54,40 @@ def compared(df: DataFrame, group: str, key: str, value: str, most: int) -> Data
     return rows.filter(F.col("other").isNotNull() & (F.col("nth") <= most)).select(group, pair.alias("pair"), F.col(key).alias("winner"))
 
 
+def all_pairs(df: DataFrame, group: str, key: str, value: str, most: int) -> DataFrame:
+    """All pairs (a < b) of a group's members with the one of the greater value (none: a tie), the first `most` of a group.
+
+    A group is small by nature (members of a region): the pairs of one are made in one row, and only as many as are kept."""
+    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    each = listed.select(group, F.posexplode(F.slice(pairs, 1, most)).alias("nth", "p"))
+    winner = F.when(F.col(f"p.a.{value}") > F.col(f"p.b.{value}"), F.col(f"p.a.{key}")).when(F.col(f"p.a.{value}") < F.col(f"p.b.{value}"), F.col(f"p.b.{key}"))
+    return each.select(group, F.col(f"p.a.{key}").alias("a"), F.col(f"p.b.{key}").alias("b"), winner.alias("winner"))
+
+
+def quantity_cells(df: DataFrame, cell: Column, header: Column, confidence: Column, grounded: Column, units: list[str], least: float = 0.9, longest: int = 40) -> DataFrame:
+    """Cells that hold a number, with a unit in the cell or its header, sure and short enough, and grounded."""
+    unit = "|".join(units)
+    return df.filter(cell.rlike("[0-9]") & (cell.rlike(unit) | header.rlike(unit)) & (confidence >= least) & (F.length(cell) <= longest) & (F.length(header) > 0) & grounded)
+
+
+def eligible(cell: Column, keywords: list[str], refused: str) -> Column:
+    """The cell has one of the words, and nothing of the refused pattern."""
+    return F.exists(F.array(*map(F.lit, keywords)), lambda w: F.contains(cell, w)) & ~cell.rlike(refused)
+
+
+def schedule_cells(df: DataFrame, cell: Column, pattern: str, headers: list[Column]) -> DataFrame:
+    """Cells that hold a date of a pattern, with the first usable of the headers; without any they are left out."""
+    return df.withColumn("header", F.coalesce(*[F.when(F.length(F.trim(h)) > 0, h) for h in headers])).filter(cell.rlike(pattern) & F.col("header").isNotNull())
+
+
+def absent_pairs(entities: DataFrame, values: DataFrame, have: DataFrame) -> DataFrame:
+    """Pairs of an entity and a value, each a column, that no row of `have` has. values: a small set, gathered once."""
+    name = values.columns[0]
+    wanted = entities.withColumn("__v", values.agg(F.array_sort(F.collect_set(name))).scalar())
+    return wanted.select(*entities.columns, F.explode("__v").alias(name)).join(have.distinct(), [*entities.columns, name], "left_anti")
+
+
 def keep_first(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
     """The first row of each key in order."""
     w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a local master, whose tasks share this machine, gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder (a temporary one where none is set), and read from there on."""
+    """Written to the session's shared checkpoint folder, and read from there on."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -28,3 +38,43 @@ def numbered(df: DataFrame, order: list, out: str = "number") -> DataFrame:
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     # a row a partition: as small as the number of partitions, which is set
     return dealt.withColumn("__own", within).join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__before") + F.col("__own")).cast("long")).drop("__part", "__own", "__before")
+
+
+def running(df: DataFrame, by: list[str], order: list, weight: str, out: str = "cum") -> DataFrame:
+    """`df` with the running sum of `weight` within `by`, the row's own included; `order` is total within a group.
+
+    A group, however large, is dealt by ranges of its order; each range is summed on its own and starts after the sums of those
+    before, of which a group has as many as shuffle partitions at most."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part", *by).agg(F.sum(weight).alias("__sum"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return dealt.withColumn("__own", F.sum(weight).over(within)).join(offsets, same).select(*df.columns, (F.col("__before") + F.col("__own")).alias(out))
+
+
+def next_fit(df: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
+    """by, order, size and `part` (from 0): rows of a group in order, a new part where the next would pass `most`.
+
+    Where a part ends hangs on the part before; a group's rows stream past one state of two numbers, in Arrow batches."""
+    schema = df.select(by, order, size).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, part, begun = None, 0, 0, False
+        for b in batches:
+            parts = []
+            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or g != group:
+                    group, held, part, begun = g, 0, 0, True
+                if held and held + n > most:
+                    held, part = 0, part + 1
+                held += n
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int64())], names=[*b.schema.names, "part"])
+
+    rows = df.select(by, order, size).repartition(by).sortWithinPartitions(by, order)
+    return rows.mapInArrow(run, schema.add("part", "long"))

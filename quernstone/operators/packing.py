@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-def running(df: DataFrame, by: list[str], order: list, weight: str, out="cum") -> DataFrame:
-    """Inclusive running sum of `weight`; minus the row's own weight it is the offset."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(weight).over(w))
+from .numbering import running
 
 
 def prefix_pack(df: DataFrame, by: list[str], order: list, weight: str, budget: int | Column) -> DataFrame:
@@ -25,8 +21,10 @@ def cyclic(df: DataFrame, by: list[str], order: list, weight: str, budget: int,
     """The list again and again while the total before a row is under the budget; at most `guard` rows a group.
 
     A cycle's length is known beforehand, so each row knows its copies without a loop."""
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    rows = running(df, by, order, weight).withColumn("__total", total).withColumn("__before", F.col("cum") - F.col(weight))
+    # a row a group, joined: a window over a group would hold all of it
+    totals = df.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.sum(weight).alias("__total"))
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+    rows = running(df, by, order, weight).join(totals, same).drop(*[f"__g{i}" for i in range(len(by))]).withColumn("__before", F.col("cum") - F.col(weight))
     # cycles c with c * total + before < budget
     copies = F.when(F.col("__total") > 0, F.ceil((F.lit(budget) - F.col("__before")) / F.col("__total"))).otherwise(0)
     many = rows.filter(copies > 0).withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.least(copies.cast("long"), F.lit(guard)) - 1)))
@@ -52,3 +50,17 @@ def interleaved(df: DataFrame, group: str, order: list) -> DataFrame:
 def covers(needed: Column, have: Column) -> Column:
     """All needed ids are there (relational division)."""
     return F.size(F.array_except(needed, have)) == 0
+
+
+def largest_covering(needs: DataFrame, bundles: DataFrame, item: str, needed: str, have: str, rank: list) -> DataFrame:
+    """For each item the first by `rank` of the bundles that hold all ids it needs; items that no bundle covers are left out.
+
+    Joined by id: only bundles that hold one of an item's ids are counted, and a bundle that covers it is met as often as it has ids."""
+    asked = needs.select(item, F.size(F.array_distinct(needed)).alias("__n"), F.explode(F.array_distinct(needed)).alias("__id"))
+    held = bundles.select(*[c for c in bundles.columns if c != have], F.explode(F.array_distinct(have)).alias("__id"))
+    others = [c for c in bundles.columns if c != have]
+    met = asked.join(held, "__id").groupBy(item, "__n", *others).agg(F.count(F.lit(1)).alias("__met")).filter("__met = __n")
+    return met.withColumn("__r", F.row_number().over(Window.partitionBy(item).orderBy(*rank))).filter("__r = 1").select(item, *others)
+
+
+__all__ = ["running", "prefix_pack", "prefill", "cyclic", "band", "blocks", "interleaved", "covers", "largest_covering"]

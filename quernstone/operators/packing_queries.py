@@ -8,6 +8,7 @@ from ..functions.text import token_length
 from ..registry import query
 from ..sources.tables import table
 from . import packing as K
+from .numbering import next_fit
 
 C = "c AS (SELECT doc_id, source, lang, CAST(length(text) // 2 AS BIGINT) AS tok FROM documents)"
 RUN = f"WITH {C}, r AS (SELECT *, sum(tok) OVER (PARTITION BY source ORDER BY doc_id) AS cum, sum(tok) OVER (PARTITION BY source ORDER BY doc_id DESC) AS back, sum(tok) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM c)"
@@ -18,7 +19,8 @@ def parts(spark, d):
 
 
 def banded(spark, d):
-    rows = K.running(parts(spark, d), ["source"], ["doc_id"], "tok").withColumn("total", F.sum("tok").over(Window.partitionBy("source")))
+    totals = parts(spark, d).groupBy("source").agg(F.sum("tok").alias("total"))
+    rows = K.running(parts(spark, d), ["source"], ["doc_id"], "tok").join(totals, "source")
     return rows.withColumn("band", K.band(F.col("cum") - F.col("tok"), F.col("tok"), F.col("total")))
 
 
@@ -31,6 +33,15 @@ def d1(spark, d):
     return one(table(spark, d, "documents"), "document", "doc_id", F.col("source")).unionByName(one(table(spark, d, "benchmark"), "passage", "item_id", F.lit("benchmark")))
 
 
+@query("d1_row_blocks", "SELECT o_orderstatus, b AS block, '## ' || o_orderstatus || ' ' || b || chr(10) || string_agg(o_orderkey || ',' || o_custkey, chr(10) ORDER BY o_orderkey) AS component, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 60 AS b FROM orders) GROUP BY 1, 2")
+def d1_rows(spark, d):
+    """The third kind of component: blocks of rows, with a header line."""
+    rows = K.blocks(table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_custkey"), ["o_orderstatus"], ["o_orderkey"], 60)
+    made = rows.groupBy("o_orderstatus", "block").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("r"))
+    lines = F.array_join(F.transform("r", lambda x: F.concat_ws(",", x["o_orderkey"], x["o_custkey"])), "\n")
+    return made.select("o_orderstatus", "block", F.concat(F.lit("## "), "o_orderstatus", F.lit(" "), F.col("block").cast("string"), F.lit("\n"), lines).alias("component"), F.size("r").cast("long").alias("n"))
+
+
 @query("d2_blocks", "SELECT o_orderstatus, b AS block, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ' ' ORDER BY o_orderkey) AS ids FROM (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 60 AS b FROM orders) GROUP BY 1, 2")
 def d2(spark, d):
     rows = K.blocks(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], ["o_orderkey"], 60)
@@ -69,17 +80,9 @@ f(source, a, ids, i, part, held) AS (SELECT source, a, ids, 1, 0, a[1] FROM l UN
 SELECT source, a, ids, i + 1, CASE WHEN held + a[i + 1] > 20000 THEN part + 1 ELSE part END, CASE WHEN held + a[i + 1] > 20000 THEN a[i + 1] ELSE held + a[i + 1] END FROM f WHERE i < len(a))
 SELECT source, ids[i] AS doc_id, CAST(part AS BIGINT) AS part FROM f""")
 def d8(spark, d):
-    """Next-fit: where a part ends depends on the part before, so a source's sizes (not its texts) are folded in order."""
-    sizes = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("n")))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("part"), F.array().cast("array<bigint>").alias("parts"))
-
-    def step(a, x):
-        full = (a["held"] > 0) & (a["held"] + x["n"] > 20000)
-        part = F.when(full, a["part"] + 1).otherwise(a["part"])
-        return F.struct(F.when(full, x["n"]).otherwise(a["held"] + x["n"]).alias("held"), part.alias("part"), F.concat(a["parts"], F.array(part)).alias("parts"))
-
-    folded = sizes.select("source", "s", F.aggregate("s", start, step, lambda a: a["parts"]).alias("p"))
-    return folded.select("source", F.inline(F.transform(F.arrays_zip("s", "p"), lambda z: F.struct(z["s"]["doc_id"].alias("doc_id"), z["p"].alias("part")))))
+    """Next-fit of a source's sizes (not its texts) in order."""
+    sizes = table(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
+    return next_fit(sizes, "source", "doc_id", "n", 20000).select("source", "doc_id", "part")
 
 
 @query("d9_bands", BANDS + " SELECT doc_id, source, band FROM b")
@@ -130,6 +133,25 @@ def d15(spark, d):
     return have.filter(K.covers(F.array(F.lit("en"), F.lit("de")), F.col("langs"))).select("source", "tokens")
 
 
+@query("d15_largest_bundle", TIERS + """, n AS (SELECT source, min(doc_id) AS a, max(doc_id) AS z FROM r WHERE rn <= 3 GROUP BY 1), m AS (SELECT n.source, tier, count(DISTINCT doc_id) AS met, count(DISTINCT CASE WHEN doc_id IN (a, z) THEN doc_id END) AS hit, CASE WHEN a = z THEN 1 ELSE 2 END AS need FROM n JOIN t ON t.source = n.source GROUP BY 1, 2, a, z)
+SELECT source, max(tier) AS tier FROM m WHERE hit = need GROUP BY 1""")
+def d15_largest(spark, d):
+    """The largest of a source's bundles that holds both its first and its third document."""
+    first = K.running(parts(spark, d).withColumn("one", F.lit(1)), ["source"], ["doc_id"], "one", "rn").filter("rn <= 3")
+    needs = first.groupBy("source").agg(F.array(F.min("doc_id"), F.max("doc_id")).alias("needed"))
+    bundles = tiered(spark, d).groupBy(F.col("source").alias("bundle"), "tier").agg(F.collect_list("doc_id").alias("have"))
+    return K.largest_covering(needs, bundles, "source", "needed", "have", [F.desc("tier"), "bundle"]).select("source", "tier")
+
+
+@query("d17_stale_references", TIERS + " SELECT l.doc_id, max(tier) AS tier FROM labels l LEFT JOIN t ON t.doc_id = l.doc_id AND t.tier <> 8000 GROUP BY 1")
+def d17_stale(spark, d):
+    """References to bundles that are not there any more are dropped; the item stays, without one if need be."""
+    there = tiered(spark, d).filter("tier <> 8000").select("doc_id", "tier")
+    wanted = table(spark, d, "labels").select("doc_id").distinct().join(tiered(spark, d).select("doc_id", F.col("tier").alias("asked")), "doc_id", "left")
+    kept = wanted.join(there.select("doc_id", F.col("tier").alias("asked"), "tier"), ["doc_id", "asked"], "left")
+    return kept.groupBy("doc_id").agg(F.max("tier").alias("tier"))
+
+
 @query("d16_middle", TIERS + " SELECT doc_id, tier FROM t WHERE up = n // 2 + 1")
 def d16(spark, d):
     w = Window.partitionBy("doc_id")

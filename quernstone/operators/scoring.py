@@ -56,10 +56,11 @@ def accuracy(ok: Column, weight: Column | None = None) -> Column:
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """M7: the interval of a share p of n (which may be fractional), in [0, 1]."""
+    """M7: the interval of a share p of n (which may be fractional), in [0, 1]; of nothing: (0, 0)."""
+    p, n = F.when(n > 0, p), F.when(n > 0, n)
     middle, root = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     low, high = (middle - root) / (1 + z * z / n), (middle + root) / (1 + z * z / n)
-    return F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(low, F.lit(0.0))), F.when(n.isNull(), 0.0).otherwise(F.least(high, F.lit(1.0)))
 
 
 def shifted(df: DataFrame, order: str, value: str) -> DataFrame:
@@ -70,6 +71,29 @@ def shifted(df: DataFrame, order: str, value: str) -> DataFrame:
     return placed.withColumn("__from", F.pmod(F.col("__at") + by, F.col("__n"))).join(other, "__from").drop("__at", "__n", "__from")
 
 
+def predicted(name: str, df: DataFrame, order: str, question: str, answer: str, dummy: str = "cannot be determined") -> DataFrame:
+    """`df` with the prediction of a trivial baseline: oracle (the answer), dummy (one sentence), echo (the question), or random
+    (the answers, shifted). An unknown name is an error."""
+    match name:
+        case "oracle":
+            return df.withColumn("prediction", F.col(answer))
+        case "dummy":
+            return df.withColumn("prediction", F.lit(dummy))
+        case "echo":
+            return df.withColumn("prediction", F.col(question))
+        case "random":
+            return shifted(df, order, answer).withColumnRenamed("shifted", "prediction")
+    raise ValueError(f"no such baseline: {name}")
+
+
+def verdicts(raw: DataFrame, line: str) -> DataFrame:
+    """M9: (qa_id, judge_correct) from the lines of a judge's output: the answer says YES in any case; no answer says no."""
+    body = F.from_json(line, "custom_id string, response struct<body: struct<choices: array<struct<message: struct<content: string>>>>>")
+    said = F.coalesce(F.get(F.col("b.response.body.choices"), F.lit(0))["message"]["content"], F.lit(""))
+    parsed = raw.filter(F.trim(line) != "").select(body.alias("b"))
+    return parsed.select(F.split("b.custom_id", "__", 2)[1].alias("qa_id"), F.contains(F.upper(said), F.lit("YES")).alias("judge_correct"))
+
+
 def kappa(both: Column, only_a: Column, only_b: Column, neither: Column) -> Column:
     """Cohen's kappa of a 2 x 2 table."""
     n = both + only_a + only_b + neither

@@ -97,10 +97,41 @@ def m8_rollup(spark, d):
     return r.withColumns({"source": F.coalesce("source", F.lit("ALL")), "lang": F.coalesce("lang", F.lit("ALL"))})
 
 
-@query("m9_verdicts", "SELECT role, count(*) AS n, count(*) FILTER (contains(upper(text), 'YES') OR contains(upper(text), 'THE')) AS yes FROM conversations GROUP BY 1")
+@query("m7_wilson_of_nothing", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 0.0 ELSE 0.206543 END::DOUBLE AS low, CASE WHEN item_id % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS high FROM benchmark")
+def m7_nothing(spark, d):
+    n = (F.col("item_id") % 2).cast("double")
+    low, high = M.wilson(F.when(n > 0, 1.0), n)
+    return table(spark, d, "benchmark").select("item_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_JUDGED = "j AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Yes, it is.' WHEN 1 THEN 'no' WHEN 2 THEN 'YES' END AS said, 'task' || item_id % 3 AS task FROM benchmark WHERE item_id % 7 <> 0)"
+
+
+@query("m9_verdicts", f"WITH {_JUDGED} SELECT cut, value, count(*) AS n, count(*) FILTER (contains(upper(coalesce(said, '')), 'YES')) AS yes FROM (SELECT *, 'ALL' AS cut, 'ALL' AS value FROM j UNION ALL SELECT *, 'task', task FROM j) GROUP BY 1, 2")
 def m9(spark, d):
-    up = F.upper("text")
-    return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(up, F.lit("YES")) | F.contains(up, F.lit("THE"))).alias("yes"))
+    """Lines as a judge writes them: some requests have no line, some lines no answer."""
+    b = table(spark, d, "benchmark").filter("item_id % 7 <> 0")
+    k = F.col("item_id") % 4
+    content = F.when(k == 0, "Yes, it is.").when(k == 1, "no").when(k == 2, "YES")
+    message = F.struct(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body"))
+    raw = b.select(F.to_json(F.struct(F.concat(F.lit("judge__"), F.col("item_id").cast("string")).alias("custom_id"), F.when(k != 3, message).alias("response"))).alias("line"))
+    tasks = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qa_id"), F.concat(F.lit("task"), (F.col("item_id") % 3).cast("string")).alias("task"))
+    rows = M.verdicts(raw, "line").join(tasks, "qa_id", "left")
+    return multi_cut(rows, ["task"], [F.count(F.lit(1)).alias("n"), F.count_if(F.col("judge_correct")).alias("yes")])
+
+
+_BASE = """b AS (SELECT item_id, substr(text, 1, 40) AS q, CASE WHEN item_id % 5 = 0 THEN 'cannot be determined' ELSE text END AS a, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark),
+s AS (SELECT 'oracle' AS baseline, a, a AS pred FROM b UNION ALL SELECT 'dummy', a, 'cannot be determined' FROM b UNION ALL SELECT 'echo', a, q FROM b UNION ALL SELECT 'random', x.a, y.a FROM b x JOIN b y ON y.i = (x.i + greatest(1, x.n // 3)) % x.n)"""
+
+
+@query("m10_baselines", f"WITH {_BASE} SELECT baseline, count(*) AS n, round(avg(CASE WHEN a = pred THEN 1.0 ELSE 0.0 END), 6) AS same, round(avg(CASE WHEN contains(a, pred) OR contains(pred, a) THEN 1.0 ELSE 0.0 END), 6) AS within FROM s GROUP BY 1")
+def m10_baselines(spark, d):
+    answer = F.when(F.col("item_id") % 5 == 0, "cannot be determined").otherwise(F.col("text"))
+    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("q"), answer.alias("a"))
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    each = [M.predicted(name, b, "item_id", "q", "a").select(F.lit(name).alias("baseline"), "a", F.col("prediction").alias("p")) for name in ("oracle", "dummy", "echo", "random")]
+    every = each[0].union(each[1]).union(each[2]).union(each[3])
+    return every.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), share(F.col("a") == F.col("p")).alias("same"), share(F.contains("a", F.col("p")) | F.contains("p", F.col("a"))).alias("within"))
 
 
 @query("m10_shifted_baseline", "WITH o AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) SELECT a.item_id, b.item_id AS other FROM o a JOIN o b ON b.i = (a.i + greatest(1, a.n // 3)) % a.n")

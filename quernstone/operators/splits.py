@@ -47,3 +47,60 @@ def quotas(df: DataFrame, by: str, total: int, least: int = 4) -> DataFrame:
     floor = F.greatest(F.lit(least), F.floor(F.lit(total) / (2 * F.count(F.lit(1)).over(w))))
     share = F.bround(F.lit(float(total)) * F.col("n") / F.sum("n").over(w))
     return counts.withColumn("quota", F.least(F.col("n"), F.greatest(floor, share)).cast("long"))
+
+
+def drawn(df: DataFrame, by: str, cluster: str, total: int, seed: str, key: str, per_cluster: int = 1, least: int = 4) -> DataFrame:
+    """A stratified draw: each stratum's quota in shuffled order, rows of clusters that are not drawn yet first; what is over the
+    total is taken back from the largest strata, the last drawn first, down to the floor."""
+    order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    shuffled = df.withColumn("__o", order)
+    nth = F.row_number().over(Window.partitionBy(by, cluster).orderBy("__o", key))
+    rows = shuffled.withColumn("__late", nth > per_cluster).join(quotas(df, by, total, least).select(by, "quota"), by)
+    height = F.row_number().over(Window.partitionBy(by).orderBy("__late", "__o", key))
+    picked = rows.withColumn("__h", height).filter(F.col("__h") <= F.col("quota"))
+    floor = F.greatest(F.lit(least), F.floor(F.lit(total) / (2 * F.lit(df.select(by).distinct().count()))))
+    # the draw is a sample of about `total` rows: one task orders it
+    over = picked.agg(F.greatest(F.count(F.lit(1)) - total, F.lit(0))).scalar()
+    rank = F.row_number().over(Window.orderBy(F.col("__h") <= floor, F.desc("__h"), by))
+    return picked.withColumn("__rank", rank).filter((F.col("__h") <= floor) | (F.col("__rank") > over)).select(*df.columns)
+
+
+def review_sample(df: DataFrame, key: str, strata: dict[str, int], ensure: tuple[str, list[str], int], total: int, seed: str) -> DataFrame:
+    """Up to so many of each value of each column, then, if fewer than so many rows have one of the ensured values, as many more of
+    them, then any rows up to the total. A sample: its counts are taken on the driver."""
+    picked = None
+    for i, (column, most) in enumerate(strata.items()):
+        some = capped(df, [column], most, f"{seed}{i}", key).select(key)
+        picked = some if picked is None else picked.union(some)
+    picked = picked.distinct()
+    column, values, least = ensure
+    if df.filter(F.col(column).isin(values)).join(picked, key, "left_semi").count() < least:
+        pool = df.filter(F.col(column).isin(values)).join(picked, key, "left_anti")
+        picked = picked.union(pool.orderBy(F.md5(F.concat(F.lit(f"{seed}e"), F.col(key).cast("string")).cast("binary")), key).limit(least).select(key))
+    if (lacking := total - picked.count()) > 0:
+        pool = df.join(picked, key, "left_anti")
+        picked = picked.union(pool.orderBy(F.md5(F.concat(F.lit(f"{seed}t"), F.col(key).cast("string")).cast("binary")), key).limit(lacking).select(key))
+    return picked
+
+
+def blind_sample(df: DataFrame, key: str, hard: tuple[str, list[str], int], tier: tuple[str, str, int], verdict: str, total: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(sheet, key file): so many of each hard category and verdict, so many of a tier, half of what is lacking from wrong ones, the
+    rest from right ones. The sheet is numbered in another shuffled order and does not show the verdict."""
+    order = [F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), F.col(key)]
+    picked = df.sparkSession.createDataFrame([], df.select(key).schema)
+
+    def take(pool, n):
+        nonlocal picked
+        if n > 0:
+            picked = picked.union(pool.join(picked, key, "left_anti").orderBy(*order).limit(n).select(key))
+
+    column, values, each = hard
+    first = df.filter(F.col(column).isin(values))
+    picked = picked.union(capped(first, [column, verdict], each, seed, key).select(key))
+    take(df.filter(F.col(tier[0]) == tier[1]), tier[2])
+    take(df.filter(~F.col(verdict)), max(0, (total - picked.count()) // 2))
+    take(df.filter(verdict), total - picked.count())
+    rows = df.join(picked, key, "left_semi")
+    again = F.md5(F.concat(F.lit(f"{seed}s"), F.col(key).cast("string")).cast("binary"))
+    sheet = rows.withColumn("row", F.row_number().over(Window.orderBy(again, key)).cast("long")).drop(verdict)
+    return sheet, rows.select(key, verdict)

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import checkpointed, running
+
 
 @dataclass
 class Predicate:
@@ -99,9 +101,32 @@ def aggregate(df: DataFrame, p: Predicate, order: list[str], views: dict[str, Co
 def recompute(tables: dict[str, DataFrame], p: Predicate, order: list[str], by: list[str] | None = None, views: dict[str, Column] | None = None) -> DataFrame:
     """The predicate's value, over all that matches or by groups of it."""
     rows = select(tables, p, views)
+    if p.op == "median":
+        return median(rows, p, by or [], views)
     return rows.groupBy(*(by or [])).agg(aggregate(rows, p, order, views).alias("value"))
 
 
+def median(rows: DataFrame, p: Predicate, by: list[str], views: dict[str, Column] | None = None) -> DataFrame:
+    """Exact, with no task that holds a group's values: equal ones are counted first, and running counts, which are split over
+    ranges of the values, say where the middle is."""
+    values = rows.select(*by, number(rows, p.field, views).cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    values = checkpointed(values)
+    totals = values.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.sum("__n").alias("__all"))
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+    upto = running(values, by, ["__v"], "__n", "__upto")
+    placed = upto.join(totals, same) if by else upto.crossJoin(totals)  # one row
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    first = lambda at: F.min(F.when(F.col("__upto") >= at, F.col("__v")))
+    middle = (first(low) + first(high)) / 2
+    # groups without a number stay, with none
+    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    digits = p.round or 0
+    value = F.bround("__m", digits) if digits else F.bround("__m", 0).cast("long")
+    found = placed.groupBy(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)]).agg(middle.alias("__m"))
+    joined = groups.join(found, [F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)], "left") if by else groups.crossJoin(found)
+    return joined.select(*by, value.alias("value"))
+
+
 def sample_ids(rows: DataFrame, id_col: str, order: list[str], n: int = 20) -> DataFrame:
     """P10: the first n ids in order: a top-n of each task, then of those."""
     return rows.orderBy(*order).limit(n).select(F.col(id_col).alias("row_id"))

@@ -6,7 +6,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.numbering import numbered
+from ..operators.numbering import next_fit, numbered
 
 
 def json_text(*columns: str) -> Column:
@@ -52,19 +52,9 @@ def rendered(df: DataFrame, group: str, order: list[str], columns: list[str]) ->
 
 
 def file_parts(df: DataFrame, group: str, order: str, line: str, most_bytes: int) -> DataFrame:
-    """Next-fit of lines to files of at most most_bytes each: `part` from 0, within each group.
-
-    The next file depends on where the last one ended: a fold over the sizes of one group."""
-    sizes = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (F.octet_length(line) + 1).cast("long").alias("b")))).alias("__s"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(a, x):
-        full = (a["used"] > 0) & (a["used"] + x["b"] > most_bytes)
-        part = F.when(full, a["part"] + 1).otherwise(a["part"])
-        return F.struct(F.when(full, x["b"]).otherwise(a["used"] + x["b"]).alias("used"), part.alias("part"), F.concat(a["parts"], F.array(part)).alias("parts"))
-
-    folded = sizes.select(group, "__s", F.aggregate("__s", start, step, lambda a: a["parts"]).alias("__p"))
-    return folded.select(group, F.inline(F.transform(F.arrays_zip("__s", "__p"), lambda z: F.struct(z["__s"]["o"].alias(order), z["__s"]["b"].alias("bytes"), z["__p"].cast("long").alias("part")))))
+    """Next-fit of lines to files of at most most_bytes each: `part` from 0, within each group."""
+    sizes = df.select(group, order, (F.octet_length(line) + 1).cast("long").alias("bytes"))
+    return next_fit(sizes, group, order, "bytes", most_bytes)
 
 
 def inside(path: str, root: str) -> str:

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.numbering import shared_folder
 from ..registry import query
 from . import sinks as K
 from . import tables as S
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared one of the session; a temporary one where none is set."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
-    return f"{home.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder in the shared one of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 @query("s1_json_lines", "SELECT item_id, text FROM benchmark")
