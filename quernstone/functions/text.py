@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Unicode white space, and the numbers of the tokeniser's alphabet.
@@ -46,13 +49,15 @@ def page_text(c: Column) -> Column:
     return F.regexp_replace(lines, r"^\n+|\n+$", "")
 
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+def unescaped(c: Column) -> Column:
+    """Character references, named and numeric ones, decoded once."""
+    from pyspark.sql.functions import pandas_udf
 
+    @pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
-def unescaped(c: Column) -> Column:
-    for name, sign in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return c
+    return decode(c)
 
 
 def stripped_tags(c: Column) -> Column:
@@ -170,3 +175,64 @@ def quotes(c: Column, least: int = 5) -> Column:
     """Quoted spans of at least so many characters, white space aside."""
     spans = F.regexp_extract_all(c, F.lit("[\"'‘’“”]([^\"'‘’“”]+)[\"'‘’“”]"), F.lit(1))
     return F.filter(F.transform(spans, squeezed), lambda s: F.length(s) >= least)
+
+
+def keyed(c: Column, holds: Column, longer: int, table: dict[str, str]) -> Column:
+    """The text of the first key that `holds` holds, where `holds` is longer than so many characters; else c."""
+    out = c
+    for key, text in reversed(table.items()):
+        out = F.when(F.contains(holds, F.lit(key)) & (F.length(holds) > longer), F.lit(text)).otherwise(out)
+    return out
+
+
+def rewritten(c: Column, kind: Column, rules: dict[str, tuple[str, str, list[tuple[str, str]]]], default: str = "kept") -> tuple[Column, Column]:
+    """(text, style): by kind, what goes in front and which literal replacements are made, one after another; the style names it."""
+    text, style = c, F.lit(default)
+    for name, (tag, front, replacements) in rules.items():
+        made = c
+        for old, new in replacements:
+            made = F.replace(made, F.lit(old), F.lit(new))
+        text = F.when(kind == name, F.concat(F.lit(front), made)).otherwise(text)
+        style = F.when(kind == name, F.lit(tag)).otherwise(style)
+    return text, style
+
+
+def balanced(c: Column) -> Column:
+    """Without an opening bracket that nothing closes (and what follows it), or a closing one that nothing opened (and what precedes it)."""
+    opened = F.regexp_replace(c, r"\s*\([^()]*$", "")
+    return F.regexp_replace(opened, r"^[^()]*\)\s*", "")
+
+
+def cloze_question(c: Column, pattern: str, before: int, after: int) -> Column:
+    """A question from the words before and after a blank, as groups of a pattern; what is no cloze gives null."""
+    part = lambda i: F.btrim(balanced(F.regexp_extract(c, pattern, i)), F.lit(" .,;:"))
+    a, b = part(before), part(after)
+    asked = F.when((a != "") & (b != ""), F.concat(F.lit("what comes between "), a, F.lit(" and "), b, F.lit("?"))).when(a != "", F.concat(F.lit("what comes after "), a, F.lit("?")))
+    return F.when(c.rlike(pattern), asked)
+
+
+def cascaded(*steps: Column) -> Column:
+    """The first that is neither null nor blank."""
+    return F.coalesce(*[F.when(F.length(F.trim(s)) > 0, s) for s in steps])
+
+
+def token_counts(c: Column, path: str, pattern: str) -> Column:
+    """The number of tokens by a tokeniser of the tiktoken library with a local rank file, loaded once a worker."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        import base64
+
+        import tiktoken
+
+        if (path, pattern) not in _TOKENISERS:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+            _TOKENISERS[path, pattern] = tiktoken.Encoding("local ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return texts.map(lambda t: 0 if t is None else len(_TOKENISERS[path, pattern].encode_ordinary(t)))
+
+    return count(c)
+
+
+_TOKENISERS: dict = {}

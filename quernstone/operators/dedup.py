@@ -52,10 +52,10 @@ def last_matches(df: DataFrame, id_col: str, family: str, words: Column, least:
     # read several times below: written once
     sets = checkpointed(rows.groupBy("sid").agg(F.first(family).alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")))
     each = sets.select("sid", "fam", F.size("w").alias("n"), F.explode(F.transform("w", lambda t: F.xxhash64(t))).alias("t"))
-    freq = each.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("df"))
+    freq = each.groupBy(F.col("fam").alias("__fam"), F.col("t").alias("__t")).agg(F.count(F.lit(1)).alias("df"))
     # a word of one set alone meets nothing, but stands in its prefix; its place is what counts
     place = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t")) - 1
-    ranked = each.join(freq, each.fam.eqNullSafe(freq.fam) & (each.t == freq.t)).select("sid", each.fam, "n", each.t, "df").withColumn("at", place)
+    ranked = each.join(freq, F.col("fam").eqNullSafe(F.col("__fam")) & (F.col("t") == F.col("__t"))).select("sid", "fam", "n", "t", "df").withColumn("at", place)
     heads = checkpointed(ranked.filter((F.col("at") <= F.floor((1 - least) * F.col("n") + 1e-9)) & (F.col("df") > 1)).select("sid", "fam", "n", "t", "at"))
     b = heads.select(*[F.col(c).alias(f"{c}2") for c in heads.columns])
     room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)

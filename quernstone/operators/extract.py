@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapsed
-from .numbering import numbered
+from .numbering import checkpointed, numbered
 
 
 def facts(df: DataFrame, id_col: str, text_col: str, pattern: str, around: int = 80) -> DataFrame:
@@ -64,11 +64,19 @@ def cells(df: DataFrame, id_col: str, grid: Column) -> DataFrame:
 def aligned(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: Column, right_words: Column, least: float = 0.5) -> DataFrame:
     """Each left text's page of the greatest share of its words, if it is `least` or more; ties to the smaller id.
 
-    Joined by words: only pairs that share one are counted."""
-    a = left.select(F.col(left_id).alias("l"), F.size(F.array_distinct(left_words)).alias("n"), F.explode(F.array_distinct(left_words)).alias("w"))
-    b = right.select(F.col(right_id).alias("r"), F.explode(F.array_distinct(right_words)).alias("w"))
-    share = a.join(b, "w").groupBy("l", "n", "r").agg((F.count(F.lit(1)) / F.col("n")).alias("share")).filter(F.col("share") >= least)
-    best = share.groupBy("l").agg(F.min_by("r", F.struct((-F.col("share")).alias("s"), F.col("r").alias("i"))).alias("r"), F.max("share").alias("share"))
+    A page with that share has one of any n - least * n + 1 of the n words, so pages are met by the rarest of these only; the whole sets
+    are compared for what has met."""
+    a = checkpointed(left.select(F.col(left_id).alias("l"), F.array_distinct(left_words).alias("lw")))
+    b = checkpointed(right.select(F.col(right_id).alias("r"), F.array_distinct(right_words).alias("rw")))
+    each = a.select("l", F.size("lw").alias("n"), F.explode("lw").alias("w"))
+    words = b.select("r", F.explode("rw").alias("w")).join(each.select("w").distinct(), "w", "left_semi")
+    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    rare = each.join(freq, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    met = words.join(rare.select("l", "w"), "w").select("l", "r").distinct()
+    share = F.size(F.array_intersect("lw", "rw")) / F.size("lw")
+    kept = met.join(a, "l").join(b, "r").select("l", "r", share.alias("share")).filter(F.col("share") >= least)
+    best = kept.groupBy("l").agg(F.min_by("r", F.struct((-F.col("share")).alias("s"), F.col("r").alias("i"))).alias("r"), F.max("share").alias("share"))
     return best.select("l", "r", F.round("share", 6).alias("share"))
 
 
@@ -77,6 +85,24 @@ def pseudo_pages(text: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / width), F.lit(0)).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))
 
 
+def paragraph_pages(text: Column, least: int = 2600) -> Column:
+    """Trimmed paragraphs, blank ones left out, joined to pages that end with the paragraph at which they reach `least`
+    characters; a text without paragraphs is one page.
+
+    Where a page begins depends on the page before: a fold over one text's paragraphs, inside the row."""
+    paragraphs = F.filter(F.transform(F.split(text, "\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    begin = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("size"))
+
+    def step(a, p):
+        held, size = F.concat(a["held"], F.array(p)), a["size"] + F.length(p)
+        full = size >= least
+        done = F.when(full, F.concat(a["done"], F.array(F.array_join(held, "\n")))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.when(full, F.array().cast("array<string>")).otherwise(held).alias("held"), F.when(full, 0).otherwise(size).alias("size"))
+
+    pages = F.aggregate(paragraphs, begin, step, lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["done"], F.array(F.array_join(a["held"], "\n")))).otherwise(a["done"]))
+    return F.when(F.size(paragraphs) == 0, F.array(text)).otherwise(pages)
+
+
 def scored(c: Column, words: list[str]) -> Column:
     """How often the words come, together."""
     return sum((F.regexp_count(c, F.lit(w)) for w in words[1:]), F.regexp_count(c, F.lit(words[0]))).cast("long")
@@ -87,3 +113,23 @@ def ring_pairs(df: DataFrame, id_col: str, offsets: list[int]) -> DataFrame:
     placed = numbered(df.select(F.col(id_col).alias("a")), ["a"], "i").select("a", (F.col("i") - 1).alias("i")).withColumn("n", df.agg(F.count(F.lit(1))).scalar())
     other = placed.select(F.col("a").alias("b"), F.col("i").alias("j"))
     return placed.withColumn("o", F.explode(F.array(*map(F.lit, offsets)))).withColumn("j", F.pmod(F.col("i") + F.col("o"), F.col("n"))).join(other, "j").select("a", "b")
+
+
+def all_pairs(df: DataFrame, id_col: str) -> DataFrame:
+    """Every pair a < b of a stated set, in blocks that meet by their numbers."""
+    blocks = max(1, -(-df.count() // 4096))
+    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(F.col(id_col).alias("a"), block.alias("x"), every.alias("y"))
+    b = df.select(F.col(id_col).alias("b"), block.alias("y"), every.alias("x"))
+    return a.join(b, ["x", "y"]).filter("a < b").select("a", "b")
+
+
+def merged_arrays(spark, path: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """(items with their file, faults) of files that each hold a JSON array: a fault names the file and what is wrong."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.trim("value").alias("value"))
+    kind = F.get_json_object("value", "$")
+    listed = F.when(F.startswith("value", F.lit("[")) & kind.isNotNull(), F.from_json("value", f"array<{item}>"))
+    reason = F.when(kind.isNull(), "no JSON").when(~F.startswith("value", F.lit("[")), "not a list")
+    read = files.select("file", listed.alias("items"), reason.alias("reason"))
+    return read.filter("reason IS NULL").select("file", F.inline("items")), read.filter("reason IS NOT NULL").select("file", "reason")

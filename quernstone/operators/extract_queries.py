@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER, WORD, tokens
 from ..registry import query
+from ..sources.source_queries import scratch
 from ..sources.tables import spread, table
 from . import extract as X
 
@@ -57,15 +58,20 @@ def x7(spark, d):
     return table(spark, d, "pages").filter(F.col("url").rlike("(html|/)$") & ~F.col("url").rlike("/(de|fr)/")).select("page_id", "url")
 
 
-@query("x8_cells")
+@query("x8_cells", """
+WITH g AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')), lambda x: list_transform(string_split(x, '|'), lambda c: trim(c))) AS g FROM documents),
+d AS (SELECT doc_id, g, len(list_filter(flatten(g), lambda c: c <> '')) / len(flatten(g))::DOUBLE AS density FROM g WHERE len(g) >= 2 AND len(g[1]) >= 2),
+r AS (SELECT doc_id, density, g[1] AS head, unnest(g) AS row, generate_subscripts(g, 1) - 1 AS row_index FROM d),
+c AS (SELECT doc_id, density, head, row[1] AS row_header, row_index, unnest(row) AS cell_text, generate_subscripts(row, 1) - 1 AS col_index FROM r WHERE row_index > 0)
+SELECT doc_id, row_index, col_index, row_header, head[col_index + 1] AS col_header, cell_text, round(least(density, CASE WHEN length(cell_text) = 0 THEN 0.2 WHEN length(cell_text) <= 40 THEN 1.0 ELSE 0.7 END), 4) AS confidence FROM c WHERE col_index > 0""")
 def x8(spark, d):
     grid = F.transform(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|"))), lambda x: F.transform(F.split(x, "[|]"), lambda c: F.trim(c)))
     return X.cells(table(spark, d, "documents"), "doc_id", grid)
 
 
-@query("x9_alignment", f"WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM benchmark), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents WHERE n_chars < 1500), s AS (SELECT item_id AS l, doc_id AS r, len(list_intersect(b.w, t.w)) / len(b.w)::DOUBLE AS share FROM b, t) SELECT l, r, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY share DESC, r) AS k FROM s WHERE share >= 0.5) WHERE k = 1")
+@query("x9_alignment", f"WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM benchmark), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents), s AS (SELECT item_id AS l, doc_id AS r, len(list_intersect(b.w, t.w)) / len(b.w)::DOUBLE AS share FROM b, t) SELECT l, r, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY share DESC, r) AS k FROM s WHERE share >= 0.5) WHERE k = 1")
 def x9(spark, d):
-    pages = spread(table(spark, d, "documents").filter("n_chars < 1500").select("doc_id", "text"))
+    pages = spread(table(spark, d, "documents").select("doc_id", "text"))
     return X.aligned(table(spark, d, "benchmark"), pages, "item_id", "doc_id", tokens(F.col("text")), tokens(F.col("text")))
 
 
@@ -75,6 +81,15 @@ def x10(spark, d):
     return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.length("p").cast("long").alias("n"))
 
 
+@query("x10_paragraph_pages", r"""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS a, text FROM documents),
+f(doc_id, a, i, page, size) AS (SELECT doc_id, a, 1, 0, length(a[1]) FROM l WHERE len(a) > 0 UNION ALL SELECT doc_id, a, i + 1, CASE WHEN size >= 600 THEN page + 1 ELSE page END, CASE WHEN size >= 600 THEN length(a[i + 1]) ELSE size + length(a[i + 1]) END FROM f WHERE i < len(a))
+SELECT doc_id, page AS page_no, CAST(sum(length(a[i])) + count(*) - 1 AS BIGINT) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, length(text) FROM l WHERE len(a) = 0""")
+def x10_paragraphs(spark, d):
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.paragraph_pages(F.col("text"), 600)).alias("page_no", "p"))
+    return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.length("p").cast("long").alias("n"))
+
+
 @query("x11_lead_marker", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE turn <= 6 AND contains(text, 'the') GROUP BY 1")
 def x11(spark, d):
     return table(spark, d, "conversations").filter((F.col("turn") <= 6) & F.contains("text", F.lit("the"))).groupBy("conv_id").agg(F.min_by("turn", "turn").alias("turn"))
@@ -90,12 +105,35 @@ def x13(spark, d):
     return X.ring_pairs(table(spark, d, "benchmark"), "item_id", [1, 3])
 
 
-@query("x14_static_facts", "SELECT * FROM (VALUES ('engine', 'spark'), ('oracle', 'duckdb')) v(name, value)")
+@query("x13_all_pairs", "SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id")
+def x13_all(spark, d):
+    return X.all_pairs(table(spark, d, "benchmark"), "item_id")
+
+
+_FACTS = {"documents": "doc_id", "orders": "o_orderkey", "events": "event_id"}
+
+
+@query("x14_static_facts", " UNION ALL ".join(f"SELECT '{t}' AS name, '{k}' AS key, count(*) AS rows, count(DISTINCT {k}) = count(*) AS is_key FROM {t}" for t, k in _FACTS.items()))
 def x14(spark, d):
-    return spark.createDataFrame([("engine", "spark"), ("oracle", "duckdb")], "name string, value string")
+    """Facts about the sources themselves: literals (name, key) beside what is counted."""
+    each = [table(spark, d, t).agg(F.lit(t).alias("name"), F.lit(k).alias("key"), F.count(F.lit(1)).alias("rows"), (F.countDistinct(k) == F.count(F.lit(1))).alias("is_key")) for t, k in _FACTS.items()]
+    return each[0].union(each[1]).union(each[2])
+
+
+def _authored(spark, d):
+    """A folder with a file a language: arrays of documents, but one file is broken and one holds no array."""
+    path = scratch(spark)
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.to_json(F.collect_list(F.struct("doc_id", "n_chars"))).alias("value"))
+    value = F.when(F.col("lang") == "de", F.substring("value", 1, 30)).when(F.col("lang") == "fr", F.concat(F.lit('{"items": '), "value", F.lit("}"))).otherwise(F.col("value"))
+    rows.select("lang", value.alias("value")).write.partitionBy("lang").text(path)
+    return path + "/*"
 
 
-@query("x15_merge_arrays", "SELECT conv_id, turn, role FROM conversations")
+@query("x15_merge_arrays", "SELECT doc_id, n_chars FROM documents WHERE lang NOT IN ('de', 'fr')")
 def x15(spark, d):
-    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("payload"))
-    return whole.select("conv_id", F.inline(F.from_json("payload", "array<struct<turn: bigint, role: string>>")))
+    return X.merged_arrays(spark, _authored(spark, d), "struct<doc_id: bigint, n_chars: bigint>")[0].select("doc_id", "n_chars")
+
+
+@query("x15_bad_files", "SELECT CASE lang WHEN 'de' THEN 'no JSON' ELSE 'not a list' END AS reason, count(DISTINCT lang) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1")
+def x15_bad(spark, d):
+    return X.merged_arrays(spark, _authored(spark, d), "struct<doc_id: bigint, n_chars: bigint>")[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -75,7 +75,7 @@ def forbidden_in_json(df: DataFrame, key: str, column: str, names: set[str]) ->
                 found.append(sorted(set(paths(value, ""))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=[key, "paths"])
 
-    made = df.select(key, F.col(column).cast("string")).mapInArrow(run, df.select(key).schema.add("paths", "array<string>"))
+    made = df.select(key, F.col(column).cast("string")).mapInArrow(run, df.select(key).schema.add("paths", T.ArrayType(T.StringType())))
     return made.select(key, F.explode("paths").alias("path"))
 
 

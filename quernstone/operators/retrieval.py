@@ -89,33 +89,50 @@ def similarities(queries: DataFrame, docs: DataFrame, block: int = 4096) -> Data
     return right.join(left, ["b", "p"]).filter(F.col("query") != F.col("doc")).select("query", "doc", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
 
 
-GRAM = 4
-
-
-def containing(passages: DataFrame, docs: DataFrame, passage_id: str, passage: str, id_col: str, text_col: str) -> DataFrame:
-    """(query, doc) of each passage and each text that holds it, character by character.
-
-    Whole words of a passage (all but its first and last, which may end within others) stand in the text as well: its first GRAM of
-    these, or its longest, where it has fewer, are looked up among the text's by hash, and what meets is checked. A passage without whole
-    words is compared with all texts."""
-    words = lambda c: F.split(F.col(c), r"\s+")
-    grams = lambda a, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(a, i, n)))
-    p = passages.select(F.col(passage_id).alias("query"), F.col(passage).alias("passage"), F.slice(words(passage), F.lit(2), F.greatest(F.size(words(passage)) - 2, F.lit(0))).alias("inner"))
-    p = p.filter("passage IS NOT NULL")
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    holds = F.contains("text", F.col("passage"))
-    long = p.filter(F.size("inner") >= GRAM).select("query", "passage", F.xxhash64(F.slice("inner", 1, GRAM)).alias("g"))
-    short = p.filter(F.size("inner").between(1, GRAM - 1)).select("query", "passage", F.xxhash64(F.array(F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])).alias("g"))
-    none = p.filter(F.size("inner") < 1).select("query", "passage")
-    # a column of its own: within the function below, the text would be split anew for each gram
-    split = d.select("doc", words("text").alias("words"))
-    found = []
-    for side, n in ((long, GRAM), (short, 1)):
-        # keys of the texts, without the texts; these come back to the few that meet
-        keys = split.select("doc", F.explode(F.array_distinct(grams(F.col("words"), n))).alias("g"))
-        met = keys.join(side, "g").select("query", "passage", "doc").distinct()
-        found.append(met.join(d, "doc").filter(holds).select("query", "doc"))
-    return found[0].union(found[1]).union(d.join(none, holds).select("query", "doc")).distinct()
+BLOCK_CHARS = 2_000_000
+
+
+def containing(terms: DataFrame, docs: DataFrame, term_id: str, term: str, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(query, doc) of each term and each text that holds it, character by character; null and empty terms are held by none.
+
+    The terms, a stated set, are looked for all at once by an Aho-Corasick automaton, in one pass over the texts for each block of about
+    `block_chars` characters of them: that bounds what a task holds and what the driver gathers at a time."""
+    asked = terms.select(F.col(term_id).alias("query"), F.col(term).alias("term")).filter(F.length("term") > 0)
+    chars = asked.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // block_chars))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    schema = asked.select("query").schema.add(rows.schema["doc"])
+    found = None
+    for block in range(blocks):
+        part = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("query", "term"), F.lit(blocks)) == block).collect()]
+        one = rows.mapInArrow(_finder(part), schema)
+        found = one if found is None else found.union(one)
+    return found
+
+
+def _finder(terms: list[tuple]):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        by_term: dict[str, list] = {}
+        for q, t in terms:
+            by_term.setdefault(t, []).append(q)
+        machine = ahocorasick.Automaton()
+        for t, qs in by_term.items():
+            machine.add_word(t, qs)
+        machine.make_automaton()
+        for b in batches:
+            queries, docs = [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                seen = {id(qs): qs for _, qs in machine.iter(text.as_py() or "")} if by_term else {}
+                for qs in seen.values():
+                    queries += qs
+                    docs += [doc] * len(qs)
+            if queries:
+                yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(docs, b.schema.field(0).type)], names=["query", "doc"])
+
+    return run
 
 
 def retrieve(retriever: str, rankings: dict[str, DataFrame], k: int, page: str | None = None, most: int = 0) -> DataFrame:

@@ -32,16 +32,6 @@ def l3(spark, d):
     return items(spark, d).select("doc_id", F.array_join(L.entities(F.array("source"), F.array(page)), ",").alias("entities"))
 
 
-@query("l4_leak_eval", f"SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (SELECT source, {SPLIT} AS split FROM documents) WHERE split IN ('test', 'hidden') GROUP BY 1 HAVING count(DISTINCT split) > 1")
-def l4(spark, d):
-    return L.leaked(items(spark, d), "source", "split", ["test", "hidden"]).select("source", F.array_join("splits", ",").alias("splits"))
-
-
-@query("l5_leak_first_seen", f"SELECT source, arg_min({SPLIT}, doc_id) AS first_split FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1")
-def l5(spark, d):
-    return L.moved(items(spark, d), "source", "split", "doc_id")
-
-
 _SPLIT = "s AS (SELECT source, doc_id, CASE WHEN doc_id % 13 = 0 THEN 'test' WHEN doc_id % 17 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents)"
 
 
@@ -50,12 +40,12 @@ def leaky(spark, d):
     return table(spark, d, "documents").select("source", "doc_id", F.when(k % 13 == 0, "test").when(k % 17 == 0, "dev").otherwise("train").alias("split"))
 
 
-@query("l4_leaking_sources", f"WITH {_SPLIT} SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM s WHERE split IN ('dev', 'test') GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("l4_leak_eval", f"WITH {_SPLIT} SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM s WHERE split IN ('dev', 'test') GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def l4_leaking(spark, d):
     return L.leaked(leaky(spark, d), "source", "split", ["dev", "test"]).select("source", F.array_join("splits", ",").alias("splits"))
 
 
-@query("l5_moved_sources", f"WITH {_SPLIT} SELECT source, arg_min(split, doc_id) AS first_split FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("l5_leak_first_seen", f"WITH {_SPLIT} SELECT source, arg_min(split, doc_id) AS first_split FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def l5_moved(spark, d):
     return L.moved(leaky(spark, d), "source", "split", "doc_id")
 
