@@ -58,8 +58,7 @@ def a6(spark, d):
 
 @query("a7_locator_prompt", "SELECT source, array_to_string(list(doc_id ORDER BY doc_id)[1:20], ', ') || CASE WHEN count(*) > 20 THEN ' +' || (count(*) - 20) || ' more' ELSE '' END AS ids FROM documents GROUP BY 1")
 def a7(spark, d):
-    ids = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("i"))
-    return ids.select("source", A.listed(F.transform("i", lambda x: x.cast("string"))).alias("ids"))
+    return A.listed_ids(table(spark, d, "documents"), "source", "doc_id")
 
 
 @query("a8_prompt", "SELECT conv_id, 'Answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(substr(text, 1, 30), chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: next?' AS prompt FROM conversations GROUP BY 1")
@@ -74,6 +73,62 @@ def a9(spark, d):
     return table(spark, d, "labels").filter("quality = 1").join(docs, "doc_id").select("doc_id", F.concat(F.lit("Label it: "), F.substring("text", 1, 60)).alias("prompt"))
 
 
+_NEEDS = "l AS (SELECT l.doc_id, CASE WHEN l.doc_id % 11 = 0 THEN 'gone' ELSE 'b' || l.doc_id % 5 END AS bundle FROM labels l), q AS (SELECT doc_id, substr(text, 1, 40) AS q FROM documents WHERE lang <> 'fr'), b AS (SELECT 'b' || r_regionkey AS bundle, r_name AS body FROM region)"
+
+
+def prompted(spark, d):
+    key = F.col("doc_id")
+    items = table(spark, d, "labels").select("doc_id", F.when(key % 11 == 0, "gone").otherwise(F.concat(F.lit("b"), (key % 5).cast("string"))).alias("bundle"))
+    answers = table(spark, d, "documents").filter("lang <> 'fr'").select("doc_id", F.substring("text", 1, 40).alias("q"))
+    bundles = table(spark, d, "region").select(F.concat(F.lit("b"), F.col("r_regionkey").cast("string")).alias("bundle"), F.col("r_name").alias("body"))
+    return A.prompts(items, answers, bundles, "doc_id", "bundle", F.lit("Answer."), F.col("q"), F.col("body"))
+
+
+@query("a9_bundle_prompts", f"WITH {_NEEDS} SELECT doc_id, 'Answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || body || chr(10) || chr(10) || 'Question: ' || q AS prompt FROM l JOIN q USING (doc_id) JOIN b USING (bundle)")
+def a9_bundles(spark, d):
+    return prompted(spark, d)[0]
+
+
+@query("a9_skipped", f"WITH {_NEEDS} SELECT CASE WHEN q IS NULL THEN 'no question' ELSE 'no bundle' END AS reason, count(*) AS n FROM l LEFT JOIN q USING (doc_id) LEFT JOIN b USING (bundle) WHERE q IS NULL OR body IS NULL GROUP BY 1")
+def a9_skipped(spark, d):
+    return prompted(spark, d)[1]
+
+
+@query("a11_requests", """SELECT item_id, CASE item_id % 2 WHEN 0 THEN '{"model":"gpt-5-small","messages":[{"role":"user","content":"item ' || item_id || '"}],"max_completion_tokens":64}' ELSE '{"model":"plain","messages":[{"role":"user","content":"item ' || item_id || '"}],"max_tokens":64,"temperature":0.0}' END AS body FROM benchmark""")
+def a11(spark, d):
+    model = F.when(F.col("item_id") % 2 == 0, "gpt-5-small").otherwise("plain")
+    return table(spark, d, "benchmark").select("item_id", A.chat_request(model, F.concat(F.lit("item "), F.col("item_id").cast("string")), 64).alias("body"))
+
+
+@query("a11_mock_run", "SELECT item_id, 'mock answer' AS prediction FROM benchmark")
+def a11_mock(spark, d):
+    """A provider that cannot be made is never asked for in a mock run."""
+    return A.generated(table(spark, d, "benchmark"), "item_id", "text", lambda: 1 / 0, mock=True)
+
+
+@query("a11_local_provider", "SELECT item_id, reverse(substr(text, 1, 20)) AS prediction FROM benchmark")
+def a11_local(spark, d):
+    """A provider that needs no network: the first characters in reverse."""
+    return A.generated(table(spark, d, "benchmark"), "item_id", "text", lambda: lambda t: t[:20][::-1])
+
+
+@query("a11_dry_run", "SELECT lang, count(*) AS requests, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) // 2) AS BIGINT) AS tokens, round(sum(length(text) // 2) * 0.4::DOUBLE / 1000000, 9) AS dollars FROM documents GROUP BY 1")
+def a11_dry(spark, d):
+    return A.dry_run(table(spark, d, "documents"), "text", "lang", 0.4)
+
+
+@query("a14_stored_pages", "SELECT n_nationkey AS id, n_name AS completion FROM nation")
+def a14(spark, d):
+    """A store of completions that gives seven at a time."""
+    stored = [{"id": r.n_nationkey, "completion": r.n_name} for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
+
+    def fetch(after, limit):
+        rest = [r for r in stored if after is None or r["id"] > after]
+        return rest[:limit], len(rest) > limit
+
+    return spark.createDataFrame([(r["id"], r["completion"]) for r in A.all_pages(fetch, 7)], "id int, completion string")
+
+
 @query("a10_injection", "SELECT page_id, CASE WHEN contains(html, '<article>') THEN replace(html, '<article>', '<article>NEW') ELSE html END AS html FROM pages")
 def a10(spark, d):
     return table(spark, d, "pages").select("page_id", A.injected(F.col("html"), "<article>", F.lit("NEW")).alias("html"))

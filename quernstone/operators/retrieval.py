@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from .numbering import checkpointed
@@ -201,3 +202,37 @@ def multi_cut(rows: DataFrame, cuts: list[str], measures: list[Column]) -> DataF
     """Measures over all rows and over each of the cuts, in one pass: (cut, value, measures)."""
     named = rows.select("*", F.explode(F.array(F.struct(F.lit("ALL").alias("cut"), F.lit("ALL").alias("value")), *[F.struct(F.lit(c).alias("cut"), F.col(c).cast("string").alias("value")) for c in cuts])).alias("__c"))
     return named.groupBy(F.col("__c.cut").alias("cut"), F.col("__c.value").alias("value")).agg(*measures)
+
+
+def hashed_words(dimensions: int = 64):
+    """A local model: words hashed to signed places, of unit length; texts without words are zero."""
+    import numpy as np
+    import xxhash
+
+    def model(texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            for w in text.lower().split():
+                h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                row[h % dimensions] += 1 if h >> 63 else -1
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+
+    return model
+
+
+def embedded(df: DataFrame, id_col: str, text_col: str, provider, batch: int = 256) -> DataFrame:
+    """(id, embedding): texts go to the model in batches; provider() makes it, once a task. Null texts count as empty."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = None
+        for b in batches:
+            for start in range(0, b.num_rows, batch):
+                model = model or provider()
+                part = b.slice(start, batch)
+                made = model([t.as_py() or "" for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.float32()))], names=[id_col, "embedding"])
+
+    schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return df.select(id_col, text_col).mapInArrow(run, schema)

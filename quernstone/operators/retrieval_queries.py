@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions.text import WORD, quotes
+from ..functions.text import SPACE, WORD, quotes
 from ..registry import query
 from ..sources.tables import spread, table
 from . import retrieval as R
@@ -109,6 +109,13 @@ def r8(spark, d):
     return dense(spark, d).select("query", "doc", "rank")
 
 
+@query("r9_embeddings")
+def r9(spark, d):
+    """Embeddings by a local model of hashed words; a hosted one is another `provider`."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return R.embedded(docs, "doc_id", "text", R.hashed_words)
+
+
 @query("r10_fusion", f"""
 WITH {DENSE}, l AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d) AS lr FROM dr WHERE rank <= 10),
 u AS (SELECT q, d, rank AS k FROM l UNION ALL SELECT q, d, lr FROM l)
@@ -166,7 +173,7 @@ def r14(spark, d):
     return table(spark, d, "documents").filter("lang = 'en' AND n_chars BETWEEN 500 AND 2000").select("doc_id", "lang").orderBy("doc_id").limit(25)
 
 
-@query("r15_no_quote")
+@query("r15_no_quote", f"WITH {GOLD} SELECT b.item_id, count(*) AS n_gold FROM benchmark b JOIN g ON g.item_id = b.item_id WHERE len(list_filter(list_transform(regexp_extract_all(b.text, '[\"''‘’“”]([^\"''‘’“”]+)[\"''‘’“”]', 1), lambda s: regexp_replace(s, '{SPACE}+', '', 'g')), lambda s: length(s) >= 5)) = 0 GROUP BY 1")
 def r15(spark, d):
     """Passages with a source document that quote nothing of five characters or more from it."""
     b = table(spark, d, "benchmark").select("item_id", "text")

@@ -37,6 +37,11 @@ def csv_text(df: DataFrame, *columns: str) -> DataFrame:
     return head.unionByName(body)
 
 
+def write_csv_with_bom(df: DataFrame, path: str, *columns: str) -> None:
+    """One CSV file for a spreadsheet: a sheet that people fill in, so one task writes it."""
+    csv_text(df, *columns).coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
 def rendered(df: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each group's rows as plain text, Markdown, CSV and JSON: one row a group and format."""
     as_text = [F.col(c).cast("string") for c in columns]
@@ -73,6 +78,14 @@ def catalogued(df: DataFrame, name: Column, rules: list[tuple[str, str]]) -> Col
     return out
 
 
+def artifacts(spark, path: str, rules: list[tuple[str, str]], field: str = "prediction") -> DataFrame:
+    """By class of file (by its name under the path): files, lines, and lines whose field is blank."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    blank = F.trim(F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit(""))) == ""
+    per_file = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"))
+    return per_file.groupBy(catalogued(per_file, F.col("file"), rules).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("blank").alias("blank"))
+
+
 def upsert(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The registry with the rows whose key it lacks."""
     return registry.unionByName(rows.join(registry.select(key), key, "left_anti"), allowMissingColumns=True)

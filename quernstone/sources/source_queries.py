@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators.numbering import shared_folder
@@ -39,12 +40,24 @@ def s2(spark, d):
     return rows.agg(F.count("item_id").alias("rows")).withColumn("faults", faults.agg(F.count("line")).scalar())
 
 
-@query("s3_json_document", "SELECT conv_id, turn FROM conversations WHERE conv_id < 5")
+@query("s2_fault_lines", "SELECT item_id + 1 + CASE WHEN item_id >= 10 THEN 1 ELSE 0 END AS line_no, '{broken ' || item_id AS line FROM benchmark WHERE item_id % 5 = 0")
+def s2_lines(spark, d):
+    """Faults with the number of their line; a blank line counts, too."""
+    path = scratch(spark)
+    rows = S.table(spark, d, "benchmark")
+    value = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("{broken "), F.col("item_id").cast("string"))).otherwise(F.to_json(F.struct("item_id")))
+    lines = rows.select("item_id", F.explode(F.when(F.col("item_id") == 10, F.array(F.lit(""), value)).otherwise(F.array(value))).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("item_id", "value").select("value").write.text(path)
+    return S.strict_json_lines(spark, path, spark.createDataFrame([], "item_id bigint").schema)[1].select("line_no", "line")
+
+
+@query("s3_json_document", "SELECT conv_id, turn FROM conversations")
 def s3(spark, d):
     path = scratch(spark)
-    rows = S.table(spark, d, "conversations").filter("conv_id < 5").select("conv_id", "turn")
-    rows.groupBy().agg(F.to_json(F.collect_list(F.struct("conv_id", "turn"))).alias("value")).coalesce(1).write.text(path)
-    return S.json_document(spark, path, "conv_id bigint, turn bigint")
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    # a document a role, each a file of one JSON value
+    rows.groupBy("role").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn"))).alias("value")).repartition("role").write.partitionBy("role").text(path)
+    return S.json_document(spark, path, "conv_id bigint, turn bigint").select("conv_id", "turn")
 
 
 @query("s4_partitioned", "SELECT doc_id, lang, source FROM documents WHERE lang = 'de'")
@@ -56,7 +69,7 @@ def s4(spark, d):
 
 @query("s5_xml_items", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
 def s5(spark, d):
-    item = F.format_string("<response><items><item><name>%s</name><region>%d</region></item></items></response>", "n_name", "n_regionkey")
+    item = F.format_string("<response><header><resultCode>00</resultCode></header><items><item><name>%s</name><region>%d</region></item></items></response>", "n_name", "n_regionkey")
     rows = S.table(spark, d, "nation").select("n_nationkey", item.alias("xml"))
     return rows.select("n_nationkey", F.inline(S.xml_items(F.col("xml"), "name string, region string")))
 
@@ -64,14 +77,20 @@ def s5(spark, d):
 @query("s6_json_items", "SELECT n_nationkey, n_name AS name FROM nation")
 def s6(spark, d):
     listed = F.to_json(F.array(F.struct(F.col("n_name").alias("name"))))
-    body = F.when(F.col("n_nationkey") % 2 == 0, listed).otherwise(F.concat(F.lit('{"data": '), listed, F.lit("}")))
+    held = lambda k: F.concat(F.lit(f'{{"ERROR_CODE": "0", "total": 1, "{k}": '), listed, F.lit("}"))
+    k = F.col("n_nationkey") % 4
+    body = F.when(k == 0, listed).when(k == 1, held("data")).when(k == 2, held("result")).otherwise(held("rows"))
     rows = S.table(spark, d, "nation").select("n_nationkey", body.alias("body"))
-    return rows.select("n_nationkey", F.inline(S.json_items(F.col("body"), "struct<name: string>", ["items", "data"])))
+    return rows.select("n_nationkey", F.inline(S.json_items(F.col("body"), "struct<name: string>")))
 
 
-@query("s7_digests", "SELECT item_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM benchmark")
+@query("s7_digests", "SELECT item_id, sha256(text || chr(10)) AS sha256, CAST(strlen(text) + 1 AS BIGINT) AS bytes FROM benchmark")
 def s7(spark, d):
-    return S.table(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+    """Files that were acquired before: one for each passage."""
+    path = scratch(spark)
+    S.table(spark, d, "benchmark").select("item_id", "text").repartition(4, "item_id").write.partitionBy("item_id").text(path)
+    audit = S.digests(spark, path)
+    return audit.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "sha256", "bytes")
 
 
 @query("s8_fetch_plan", "SELECT r_name, strftime(m, '%Y%m') AS month FROM region, range(DATE '2023-11-01', DATE '2024-03-01', INTERVAL 1 MONTH) t(m)")
@@ -85,14 +104,47 @@ def s9(spark, d):
     return S.text_pages(docs).select("doc_id", "page_no")
 
 
-@query("s12_html_blocks", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]+')) AS blocks FROM pages")
+@query("s10_grids", "SELECT doc_id, len(g) AS n_rows, len(g[1]) AS n_cols FROM (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')), lambda x: string_split(x, '|')) AS g FROM documents) WHERE len(g) >= 2 AND len(g[1]) >= 2")
+def s10(spark, d):
+    rows = S.table(spark, d, "documents").select("doc_id", S.grids(F.col("text")).alias("g")).filter("g IS NOT NULL")
+    return rows.select("doc_id", F.size("g").cast("long").alias("n_rows"), F.size(F.get("g", F.lit(0))).cast("long").alias("n_cols"))
+
+
+@query("s11_hwpx_text", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name || chr(10) || 'region ' || n_regionkey END AS text FROM nation")
+def s11(spark, d):
+    """Archives made of rows, and some bytes that are none."""
+
+    @F.pandas_udf("binary")
+    def archive(key: pd.Series, name: pd.Series, region: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        def one(k, n, r):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr("Contents/section1.xml", f'<s xmlns:hp="urn:p"><hp:p><hp:run><hp:t>region </hp:t><hp:t>{r}</hp:t></hp:run></hp:p></s>')
+                z.writestr("Contents/section0.xml", f'<s xmlns:hp="urn:p"><hp:p><hp:t>{n}</hp:t></hp:p></s>')
+            return held.getvalue() if k % 5 else b"no archive"
+
+        return pd.Series([one(*x) for x in zip(key, name, region, strict=True)])
+
+    files = S.table(spark, d, "nation").select("n_nationkey", archive("n_nationkey", "n_name", "n_regionkey").alias("content"))
+    return S.hwpx_text(files, "n_nationkey", "content")
+
+
+@query("s12_html_blocks", r"""
+SELECT page_id, i - 1 AS block, t AS text FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>', chr(1)), '\x01([^\x01]*)', 1), lambda x: regexp_replace(regexp_replace(replace(replace(x, '</p>', ''), '<br>', chr(10)), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM pages))""")
 def s12(spark, d):
-    return S.table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p>[^<]+")).cast("long").alias("blocks"))
+    rows = S.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("main"))
+    return rows.select("page_id", F.posexplode(S.html_blocks(F.col("main"))).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
 
 
-@query("s13_json_sink", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS line FROM region")
+@query("s13_json_sink", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || ' é한\"}' AS line FROM region")
 def s13(spark, d):
-    return S.table(spark, d, "region").select("r_regionkey", K.json_text("r_regionkey", "r_name").alias("line"))
+    """The lines of the files that the sink wrote: characters stay as they are."""
+    path = scratch(spark)
+    K.write_json_lines(S.table(spark, d, "region").select("r_regionkey", F.concat("r_name", F.lit(" é한")).alias("r_name")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("s14_rewrite", "SELECT r_regionkey, lower(r_name) AS r_name FROM region")
@@ -102,9 +154,13 @@ def s14(spark, d):
     return K.rewrite(spark.read.parquet(path).withColumn("r_name", F.lower("r_name")), path, scratch(spark)).select("r_regionkey", "r_name")
 
 
-@query("s15_csv_bom", "SELECT 0 AS line_no, chr(65279) || 'r_regionkey,r_name' AS line UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey), r_regionkey || ',' || CASE WHEN contains(r_name, ' ') THEN r_name ELSE r_name END FROM region")
+@query("s15_csv_bom", "SELECT chr(65279) || 'r_regionkey,r_name' AS line UNION ALL SELECT r_regionkey || ',' || r_name FROM region")
 def s15(spark, d):
-    return K.csv_text(S.table(spark, d, "region"), "r_regionkey", "r_name")
+    """The lines of the file that the sink wrote, from its bytes: a text scan would hide the mark."""
+    path = scratch(spark)
+    K.write_csv_with_bom(S.table(spark, d, "region"), path, "r_regionkey", "r_name")
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.decode("content", "UTF-8").alias("t"))
+    return whole.select(F.explode(F.split(F.rtrim("t", F.lit("\n")), "\n")).alias("line"))
 
 
 @query("s16_renderings", """
@@ -123,10 +179,29 @@ def s17(spark, d):
     return K.file_parts(rows, "role", "line_id", "text", 4000)
 
 
-@query("s19_catalogue", "SELECT CASE WHEN regexp_matches(url, '[.]html$') THEN 'html' WHEN regexp_matches(url, '/$') THEN 'folder' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+@query("s18_safe_output", "SELECT n_nationkey, n_nationkey % 4 < 2 AS allowed FROM nation")
+def s18(spark, d):
+    """Where outputs may go is asked for before any job: the paths are the plan's, on the driver."""
+    paths = [(r.n_nationkey, ["/out/{}", "/out/deep/./{}", "/elsewhere/{}", "/out/../{}"][r.n_nationkey % 4].format(r.n_name)) for r in S.table(spark, d, "nation").collect()]
+
+    def allowed(path):
+        try:
+            return bool(K.inside(path, "/out"))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(k, allowed(p)) for k, p in paths], "n_nationkey int, allowed boolean")
+
+
+@query("s19_catalogue", "SELECT CASE role WHEN 'user' THEN 'questions' WHEN 'assistant' THEN 'answers' ELSE 'other' END AS kind, count(DISTINCT conv_id % 3) AS files, count(*) AS lines, count(*) FILTER (turn % 4 = 1) AS blank FROM conversations GROUP BY 1")
 def s19(spark, d):
-    kind = K.catalogued(S.table(spark, d, "pages"), F.col("url"), [("[.]html$", "html"), ("/$", "folder")])
-    return S.table(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Prediction files, by folders; some predictions are blank or missing."""
+    path = scratch(spark)
+    c = S.table(spark, d, "conversations")
+    said = F.when(F.col("turn") % 8 == 1, F.lit("  ")).when(F.col("turn") % 8 != 5, F.lit("x"))
+    lines = c.select("role", (F.col("conv_id") % 3).alias("part"), F.to_json(F.struct("turn", said.alias("prediction"))).alias("value"))
+    lines.repartition(1).write.partitionBy("role", "part").text(path)
+    return K.artifacts(spark, path, [("role=user/", "questions"), ("role=assistant/", "answers")])
 
 
 @query("s20_upsert", "SELECT doc_id, 'old' AS state FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
