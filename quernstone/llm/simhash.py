@@ -5,9 +5,10 @@ Fingerprints that differ in `radius` bits at most are linked; components of link
 Links are looked up in BK-trees, whose children hang on edges keyed by the Hamming distance to the parent: a search
 follows only edges within the radius of its own distance. One tree of all fingerprints would be neither small enough to
 broadcast nor allowed to be collected, so fingerprints are dealt to shards, each with a tree of its own, built and searched
-where the shard lies. Shards: the 64 bits are four blocks of 16, and with two differing bits at least two blocks
+where the shard lies. (The README has figures for both ways.) Shards: the 64 bits are four blocks of 16, and with two differing bits at least two blocks
 are equal; so each fingerprint goes to the six shards named by two of its blocks, and linked ones meet in one of them. A
-shard of more than `split` fingerprints is dealt again by three pieces of its other 32 bits, of which one must be equal.
+shard of more than `split` fingerprints is dealt again by three pieces of its other 32 bits, of which one must be equal: as they
+are distinct, a part then has 2^22 fingerprints at most.
 
 Size. Only distinct fingerprints are searched (copies share one), a shard gives at most one link a member, to the tree's
 member it was found near, and components are found by distributed stars; nothing but counts reaches the driver.
