@@ -8,8 +8,9 @@ Template. user: `[INST]text[/INST]`; assistant: `<s>text</s>`; any other role: `
 and roles a backslash goes before each backslash, `<` and `[`; so no control string can come from a text, and
 removing the backslashes restores it. The loss mask of an example is one span: the reply's escaped text.
 
-Size. Conversations are dealt by conv_id and sorted by turn; a task streams them and holds one conversation at a time, as the
-last example has all of it anyway. Examples leave as they are made.
+Size. Conversations are dealt by conv_id and sorted by turn (the sort spills). A task streams turn after turn and holds what it has
+formatted of one conversation, which the last example has all of anyway; examples leave as they are made. What is made of a
+conversation grows with the square of its turns, as each reply has all turns before it: that is the method.
 
 Cases. Null texts and roles count as empty. Rows of one conversation with the same turn stand by role, then text; repeated rows
 are turns of their own; null turns stand first. Null conv_ids make one conversation. An empty table gives no
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -50,7 +53,7 @@ def render(role: str, text: str) -> tuple[str, str]:
     return f"<<SYS>>{escape(role)}<<:>>", "<</SYS>>"
 
 
-def expand(turns: list[tuple[str, str]]) -> Iterator[tuple[int | None, str, int, int]]:
+def expand(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[int | None, str, int, int]]:
     """(target turn, formatted text, start and end of the loss mask) of each example; no target: None, 0, 0."""
     prefix, fresh = "", False
     for k, (role, text) in enumerate(turns):
@@ -86,36 +89,21 @@ def examples(conversations: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    def made(conv, turns):
-        out, size = [], 0
-        for k, (target, text, start, end) in enumerate(expand(turns)):
-            out.append((conv, k, target, text, start, end))
-            size += len(text)
-            if size > 1 << 22:
-                yield out
-                out, size = [], 0
-        yield out
-
     def run(batches):
-        conv, turns, ready, any_row = None, [], [], False
-
-        def flush():
-            nonlocal ready
-            for out in made(conv, turns):
-                ready += out
-                if sum(len(r[3]) for r in ready) > 1 << 22 or len(ready) > 4096:
+        def stream():
+            for b in batches:
+                for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    yield c, role or "", text or ""
+
+        ready, size = [], 0
+        for conv, turns in groupby(stream(), key=itemgetter(0)):
+            # turns come as they are read: only what was formatted so far is held
+            for k, (target, text, start, end) in enumerate(expand((role, text) for _, role, text in turns)):
+                ready.append((conv, k, target, text, start, end))
+                size += len(text)
+                if size > 1 << 22 or len(ready) == 4096:
                     yield batch(ready)
-                    ready = []
-
-        for b in batches:
-            for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if any_row and c != conv:
-                    yield from flush()
-                    turns = []
-                conv, any_row = c, True
-                turns.append((role or "", text or ""))
-        if any_row:
-            yield from flush()
+                    ready, size = [], 0
         if ready:
             yield batch(ready)
 

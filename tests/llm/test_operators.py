@@ -376,6 +376,21 @@ def test_html_by_brute_force(spark):
         assert got[i].text == want
 
 
+def test_html_places_of_templates(spark):
+    """Around a main part a smaller share makes a template than inside it, where a page's own words stay."""
+    block = "<div><p>seen on a few</p></div>"
+    page = lambda i: f"<body>{block if i % 10 == 0 else ''}<article><p>story {i}</p>{block if i % 10 == 1 else ''}</article><p>rest {i}</p></body>"
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(60)], "page_id long, url string, html string")
+    found = {tuple(map(len, (r.template, r.around))) for r in html.templates(df).collect()}
+    assert found == {(0, 2)}  # the division and its paragraph
+    got = by_id(html.extract(df), "page_id")
+    assert all(got[i].text == f"story {i}{' seen on a few' if i % 10 == 1 else ''}" for i in range(60))
+    deleted = []
+    _, within, around = html.scan(page(0))
+    html.scan(page(0), frozenset(), frozenset(around), deleted)
+    assert (True, len("seenonafew") + 3) in deleted
+
+
 def test_html_keeps_the_bulk(spark):
     """A recurring subtree that holds most of the text of its pages is no template."""
     body = "<div><p>long story</p><p>told many times over and over</p></div>"
@@ -418,6 +433,19 @@ def test_chat(spark):
     assert chat.read_back(chat.examples(df.limit(0))).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """A conversation whose examples together are far larger than any task's batch."""
+    n = 3000
+    turns = [(5, i, "assistant" if i % 2 else "user", f"t{i} [x]") for i in range(n)] + [(6, 0, "user", "alone")]
+    made = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4))
+    got = by_id(chat.read_back(made), "conv_id")
+    loss = "".join(f"t{i} [x]" for i in range(1, n, 2))
+    assert got[5].n_turns == n and got[5].loss_chars == len(loss) and got[5].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[5].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns[:n]).encode()).hexdigest()
+    assert got[5].formatted_chars > 30_000_000 and got[6].n_turns == 1
+    assert made.filter("conv_id = 5").count() == n // 2
+
+
 @pytest.mark.parametrize("text", ["", "\\", "[INST]", "<s></s>", "\\[", "\\\\<", "<</SYS>>\\"])
 def test_chat_escapes(text):
     assert chat.unescape(chat.escape(text)) == text
