@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import dedup, extract, generate, packing, retrieval, scoring
+from quernstone.operators import assemble, dedup, extract, generate, numbering, packing, retrieval, scoring
 from quernstone.plans.predicate import Predicate, condition, real, recompute, whole
-from quernstone.sources import sinks
+from quernstone.sources import sinks, tables
 
 
 def one(spark, column, **values):
@@ -89,7 +89,81 @@ def test_predicate(spark):
     assert value(Predicate("t", {"name": "none"}, "sum", "v")) is None
     assert value(Predicate("t", {}, "median", "v", round=0)) == 44  # 44.5, half to even
     assert str(Predicate("t", {"v": {"min": 1, "max": 2}}, "avg", "v")) == "t[v=1..2].avg(v)"
-    assert rows.filter(condition({"v": {"min": 0}}, views)).count() == 4
+    assert rows.filter(condition(rows, {"v": {"min": 0}}, views)).count() == 4
+
+
+def test_predicate_on_strings(spark):
+    rows = spark.createDataFrame([("a", "2.5", 1), ("b", "4", 2), ("c", "NaN", 3), ("d", "1,200", 4), ("e", "junk", 5), ("f", None, 6)], "name string, v string, ord long")
+    value = lambda *p, **k: recompute({"t": rows}, Predicate("t", *p, **k), ["ord"]).first().value
+    assert value({"v": {"min": 0, "max": 10}}) == 2 and value({"v": {"min": 0}}) == 3  # not a number is in no range
+    assert value({"v": {"max": 10}}, "avg", "v") == 3 and value({"v": {"max": 10}}, "avg", "v", round=2) == 3.25
+    assert value({"v": {"max": 10}}, "median", "v") == 3
+    assert value({"name": "none"}, "argmax", "v", "name") is None and value({"name": "none"}, "median", "v") is None
+    assert value({"v": {"max": 5000}}, "argmax", "v", "name") == "d"
+
+
+def test_running_over_ranges(spark):
+    rows = [(i % 2 if i % 5 else None, i, i * 3 % 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "g long, i long, n long").repartition(5)
+    want, sums = {}, {}
+    for g, i, n in rows:
+        want[i] = sums[g] = sums.get(g, 0) + n
+    assert {r.i: r.cum for r in numbering.running(df, ["g"], ["i"], "n").collect()} == want
+
+
+def test_next_fit(spark):
+    df = spark.createDataFrame([("g", i, n) for i, n in enumerate([4, 4, 4, 12, 1, 9, 1])] + [("h", 0, 99)], "g string, i long, n long")
+    got = {(r.g, r.i): r.part for r in numbering.next_fit(df, "g", "i", "n", 10).collect()}
+    assert [got["g", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["h", 0] == 0
+
+
+def test_containing_in_blocks(spark):
+    texts = ["abc abd", "xabcx", "", None, "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    terms = [(0, "ab"), (1, "abc"), (2, ""), (3, None), (4, "c a"), (5, "ab"), (6, "zz")]
+    asked = spark.createDataFrame(terms, "q long, t string")
+    want = {(q, d) for q, t in terms if t for d, x in enumerate(texts) if x and t in x}
+    for chars in (1, 1000):
+        assert {tuple(r) for r in retrieval.containing(asked, docs, "q", "t", "d", "t", chars).collect()} == want
+
+
+def test_retrievers(spark):
+    ranking = spark.createDataFrame([(0, d, r, d % 2) for r, d in enumerate([4, 2, 0, 1], 1)], "query long, doc long, rank long, page long")
+    pick = lambda *a: {r.doc for r in retrieval.retrieve(*a).collect()}
+    assert pick("bm25", {"bm25": ranking}, 2) == {4, 2} and pick("bm25", {"bm25": ranking}, 3, "page", 1) == {4, 1}
+    with pytest.raises(ValueError):
+        retrieval.retrieve("none", {}, 1)
+
+
+def test_responses(spark):
+    xml = "<r><resultCode>{}</resultCode><item><a>1</a></item></r>"
+    assert one(spark, tables.xml_items(F.col("t"), "a string"), t=xml.format("00"))[0].a == "1"
+    assert one(spark, tables.json_items(F.col("t"), "struct<a: int>"), t='{"total": 1, "list": [{"a": 1}]}')[0].a == 1
+    for bad in (tables.xml_items(F.lit(xml.format("99")), "a string"), tables.json_items(F.lit('{"ERROR_CODE": "7", "data": []}'), "struct<a: int>")):
+        with pytest.raises(Exception, match="code (99|7)"):
+            spark.range(1).select(bad).collect()
+
+
+def test_paragraph_pages(spark):
+    assert one(spark, extract.paragraph_pages(F.col("t"), 5), t=" aaa \n\nbbb\ncc") == ["aaa\nbbb", "cc"]
+    assert one(spark, extract.paragraph_pages(F.col("t"), 5), t=" \n") == [" \n"]
+
+
+def test_unescaped(spark):
+    assert one(spark, X.unescaped(F.col("t")), t="&amp;lt; &#233; &#xE9; &eacute; &nope;") == "&lt; é é é &nope;"
+
+
+def test_signature(spark):
+    text = '서울특별시 강남구 「공고 1」 "a b" (p.12)  2024년 3월 1,234.5개'
+    assert one(spark, dedup.signature(F.col("t"), F.lit("f")), t=text) == 'f|<시도> <시군구> 「T」 "A" (p.N) <날짜> <수>개'
+
+
+def test_providers(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "i long, t string")
+    assert {r.prediction for r in assemble.generated(df, "i", "t", lambda: 1 / 0, mock=True).collect()} == {"mock answer"}
+    assert {r.i: r.prediction for r in assemble.generated(df, "i", "t", lambda: str.upper).collect()} == {1: "AB", 2: ""}
+    with pytest.raises(ValueError):
+        list(assemble.all_pages(lambda after, n: ([{"id": 1}], True)))
 
 
 def test_nested_caps(spark):
