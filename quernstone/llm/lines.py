@@ -121,9 +121,10 @@ def drop_recurring(docs: DataFrame, leading=4, min_tokens=6, id_col="doc_id", te
     gone = dropped_lines(docs, leading, min_tokens, id_col, text_col, wide).select(F.col("key").alias("__key"), F.col("uid").alias("__uid"), F.col("dropped").alias("__dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # the row is packed: no column of it can be taken for one of these
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), doc_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
-    packed = packed.select("row", "key", "uid", F.split("text", "\n").alias("lines"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), doc_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("uid"))
     joined = packed.join(gone, (F.col("key") == F.col("__key")) & (F.col("uid") == F.col("__uid")), "left")
+    # split after the join: a text is shuffled once, not beside its lines
+    joined = joined.select("row", "__dropped", F.split(F.col("row")[text_col], "\n").alias("lines"))
     # sets of numbers, so that a long document costs its lines and not their square
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
