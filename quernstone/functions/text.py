@@ -38,6 +38,11 @@ def tokens(c: Column) -> Column:
     return F.when(c.rlike(HANGUL), F.concat(words, every)).otherwise(words)
 
 
+def token_total(c: Column) -> Column:
+    """T4: how many tokens there are; without Hangul they are counted as they are matched, and none is made."""
+    return F.when(c.rlike(HANGUL), F.size(tokens(c))).otherwise(F.regexp_count(F.lower(c), F.lit(WORD))).cast("long")
+
+
 def token_set(c: Column) -> Column:
     """T5."""
     return F.array_distinct(tokens(c))

@@ -34,6 +34,9 @@ def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
     return df.join(named.withColumn("cluster_weight", F.round(1 / F.col("cluster_size"), 6)).drop("__first"), sig)
 
 
+COMMON = 2000
+
+
 def summary(sizes: DataFrame, sig: str, largest: int = 5) -> DataFrame:
     """From a row a cluster (signature, cluster_size): rows, clusters, singletons, their share, and the largest sizes."""
     whole = sizes.agg(F.sum("cluster_size").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("cluster_size") == 1).alias("singletons"))
@@ -45,18 +48,19 @@ def last_matches(df: DataFrame, id_col: str, family: str, words: Column, least:
     """(id, sid) of each row, and (sid, last): the greatest id of a row of the same family whose word set is the set sid
     or has a Jaccard of at least `least` with it. Sets are told apart by a SHA-256.
 
-    Prefix filter: with J >= t, two sets share one of their (1 - t) * n + 1 rarest words, so only sets that meet in such a
-    word are compared, and of these only those whose sizes, and places of the word, leave room for the similarity."""
+    Prefix filter: in one order of all words, with J >= t, two sets share one of their first (1 - t) * n + 1 words, so only sets that meet
+    in such a word are compared, and of these only those whose sizes, and places of the word, leave room for the similarity. Any order is
+    right; words that a sixteenth of the sets shows to be common (COMMON at most) come last, so that few prefixes hold them."""
     rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    rows = checkpointed(rows.withColumn("sid", F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(family, F.lit("")), F.array_join("w", " ")), 256))))
+    sid = F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(family, F.lit("")), F.array_join("w", " ")), 256))
+    rows = checkpointed(rows.select("id", sid.alias("sid"), F.col(family).alias("fam"), F.array_sort(F.transform("w", lambda t: F.xxhash64(t))).alias("w")))
     # read several times below: written once
-    sets = checkpointed(rows.groupBy("sid").agg(F.first(family).alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")))
-    each = sets.select("sid", "fam", F.size("w").alias("n"), F.explode(F.transform("w", lambda t: F.xxhash64(t))).alias("t"))
-    freq = each.groupBy(F.col("fam").alias("__fam"), F.col("t").alias("__t")).agg(F.count(F.lit(1)).alias("df"))
-    # a word of one set alone meets nothing, but stands in its prefix; its place is what counts
-    place = F.row_number().over(Window.partitionBy("sid").orderBy("df", "t")) - 1
-    ranked = each.join(freq, F.col("fam").eqNullSafe(F.col("__fam")) & (F.col("t") == F.col("__t"))).select("sid", "fam", "n", "t", "df").withColumn("at", place)
-    heads = checkpointed(ranked.filter((F.col("at") <= F.floor((1 - least) * F.col("n") + 1e-9)) & (F.col("df") > 1)).select("sid", "fam", "n", "t", "at"))
+    sets = checkpointed(rows.groupBy("sid").agg(F.first("fam").alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")))
+    shown = sets.filter(F.pmod(F.xxhash64("sid"), F.lit(16)) == 0).select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    common = shown.filter("df >= 8").orderBy(F.desc("df"), "t").limit(COMMON).agg(F.collect_list("t").alias("c")).scalar()
+    ordered = sets.select("sid", "fam", "w", common.alias("c")).select("sid", "fam", F.size("w").alias("n"), F.concat(F.array_except("w", "c"), F.array_intersect("w", "c")).alias("o"))
+    length = (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")
+    heads = checkpointed(ordered.select("sid", "fam", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "t")))
     b = heads.select(*[F.col(c).alias(f"{c}2") for c in heads.columns])
     room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
     # J >= t asks for t / (1 + t) of both sizes in common; the first common word stands at such places

@@ -64,16 +64,18 @@ def cells(df: DataFrame, id_col: str, grid: Column) -> DataFrame:
 def aligned(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: Column, right_words: Column, least: float = 0.5) -> DataFrame:
     """Each left text's page of the greatest share of its words, if it is `least` or more; ties to the smaller id.
 
-    A page with that share has one of any n - least * n + 1 of the n words, so pages are met by the rarest of these only; the whole sets
-    are compared for what has met."""
-    a = checkpointed(left.select(F.col(left_id).alias("l"), F.array_distinct(left_words).alias("lw")))
-    b = checkpointed(right.select(F.col(right_id).alias("r"), F.array_distinct(right_words).alias("rw")))
-    each = a.select("l", F.size("lw").alias("n"), F.explode("lw").alias("w"))
-    words = b.select("r", F.explode("rw").alias("w")).join(each.select("w").distinct(), "w", "left_semi")
-    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    Of n words a page must have least * n; so of the n - least * n + s rarest it has s. Pages are met by those only (s is half of what
+    they must have), which leaves the commonest words of a text out of the join, and whole sets are compared for what has s of them."""
+    hashed = lambda words: F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    a = checkpointed(left.select(F.col(left_id).alias("l"), hashed(left_words).alias("lw")))
+    b = checkpointed(right.select(F.col(right_id).alias("r"), hashed(right_words).alias("rw")))
+    need = F.ceil(F.lit(least) * F.size("lw")).cast("int")
+    each = a.select("l", F.size("lw").alias("n"), need.alias("need"), F.greatest(F.lit(1), F.floor(need / 2)).cast("int").alias("s"), F.explode("lw").alias("w"))
+    words = b.select("r", F.explode("rw").alias("w"))
+    freq = words.join(each.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    rare = each.join(freq, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    met = words.join(rare.select("l", "w"), "w").select("l", "r").distinct()
+    rare = each.join(freq, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.col("need") + F.col("s")).select("l", "s", "w")
+    met = words.join(rare, "w").groupBy("l", "r", "s").agg(F.count(F.lit(1)).alias("c")).filter("c >= s").select("l", "r")
     share = F.size(F.array_intersect("lw", "rw")) / F.size("lw")
     kept = met.join(a, "l").join(b, "r").select("l", "r", share.alias("share")).filter(F.col("share") >= least)
     best = kept.groupBy("l").agg(F.min_by("r", F.struct((-F.col("share")).alias("s"), F.col("r").alias("i"))).alias("r"), F.max("share").alias("share"))

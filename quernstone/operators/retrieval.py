@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import token_total, tokens
 from .numbering import checkpointed
 
 
@@ -42,13 +42,15 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k1=1.5, b=0.75) -> DataFrame:
     """(query, doc, score) of each pair that shares a term; score has 6 decimals.
 
-    Texts are tokenised once, into the index that the document lengths are summed from, too. Terms of the queries, a stated set, are
-    joined first, so that only their postings go on; the join is by term, and a term of the whole corpus is summed to its
-    document frequency before it meets anything."""
-    post = checkpointed(postings(docs, id_col, text_col))
-    words, n = post.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0], docs.count()
+    Terms of the queries, a stated set, meet the tokens before these are grouped, so that only their postings are shuffled; the lengths of all
+    texts are counted without making tokens. The join is by term, and a term of the whole corpus is summed to its document
+    frequency before it meets anything."""
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
+    n, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(token_total(F.col(text_col))), F.lit(0))).first()
+    split = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("__t"))
+    each = split.select("doc", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # read twice below: written once
+    wanted = checkpointed(each.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(words / n if words else 1.0)))
