@@ -57,8 +57,9 @@ def compared(df: DataFrame, group: str, key: str, value: str, most: int) -> Data
 def all_pairs(df: DataFrame, group: str, key: str, value: str, most: int) -> DataFrame:
     """All pairs (a < b) of a group's members with the one of the greater value (none: a tie), the first `most` of a group.
 
-    A group is small by nature (members of a region): the pairs of one are made in one row, and only as many as are kept."""
-    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("m"))
+    The first `most` pairs are of the first `most` + 1 members, whatever a group has: only these are gathered."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    listed = df.select(group, key, value).withColumn("__r", nth).filter(F.col("__r") <= most + 1).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("m"))
     pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     each = listed.select(group, F.posexplode(F.slice(pairs, 1, most)).alias("nth", "p"))
     winner = F.when(F.col(f"p.a.{value}") > F.col(f"p.b.{value}"), F.col(f"p.a.{key}")).when(F.col(f"p.a.{value}") < F.col(f"p.b.{value}"), F.col(f"p.b.{key}"))
