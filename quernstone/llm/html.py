@@ -1,8 +1,9 @@
 """HTML extraction by site template removal.
 
 Method. Every element's subtree (tag, texts, children) is hashed; Spark counts on how many pages of a host each hash stands,
-and subtrees that recur on `min_pages` pages or more, and on `share` of the host's pages, are that host's template: they are deleted from
-its pages, inside the article as well as outside. Pages of the same text count once (so copies of an article, or a row stored many times,
+and subtrees that recur on `min_pages` pages or more are that host's template: they are deleted from its pages. They must also stand on
+a share of the host's pages: on `around` of them for subtrees outside of a page's main part, where hosts rotate what they show, and on
+`share` inside it, or where a page has none, so that a phrase which several articles have stays. Pages of the same text count once (so copies of an article, or a row stored many times,
 do not make a template), inline elements, items and cells only go with what holds them, and a subtree that holds more than half of a page's
 text is never deleted, nor is a part of it.
 
@@ -17,7 +18,7 @@ space. Nothing else is dropped or cut. Unclosed and misnested elements are close
 deeper than `DEPTH` levels belong to the one at that depth, as in browsers. A tag that no `>` ends is text. A page is read in one
 pass, whose time is in proportion to its length, however broken it is.
 
-Size. A page is scanned twice (to hash, to extract). Only (host, hash) keys are shuffled for the counts, once a page and
+Size. A page is scanned twice: to hash, whose hashes are written to the shared folder, and to extract. Only (host, hash) keys are shuffled for the counts, once a page and
 summed before the shuffle; the flagged hashes of a page, bounded by its own elements, come back to it by a SHA-256 of its row.
 
 Cases. Null or empty html gives empty text and no subtree. Pages with a null or odd url share the host ''. Repeated rows count
@@ -34,7 +35,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import digest as row_digest, ship
+from .common import checkpointed, digest as row_digest, ship
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -62,7 +63,7 @@ DEPTH = 512  # as deep as browsers go
 PAGE = -1  # stands for the page itself among the hashes, which are not negative
 
 
-STRONG, WEAK = 2, 1
+STRONG, WEAK, WITHIN, AROUND = range(1, 5)
 
 
 def _named(attributes: str, whole: bool) -> int:
@@ -104,16 +105,17 @@ def _tokens(page: str):
             at = start + 1
 
 
-def scan(page: str, template: frozenset[int] | set[int] = frozenset(), deleted: list | None = None) -> tuple[str, list[int]]:
-    """The page's text without the template's subtrees, and the hashes of the subtrees that a template may hold. deleted: gets
-    (whether by the template, characters) of each deletion that takes text, in page order, the outer of nested ones."""
+def scan(page: str, template=frozenset(), around=frozenset(), deleted: list | None = None) -> tuple[str, list[int], list[int]]:
+    """The page's text without the template's subtrees, and the hashes of the subtrees that a template may hold: those in a main part (or of
+    a page without one), and those around it. template, around: the hashes to delete in either place. deleted: gets (whether by the
+    template, characters) of each deletion that takes text, in page order, the outer of nested ones."""
     # a frame: tag, whether inside a main part, how it is named, parts for the hash, where its text begins, the place of the nearest block or paragraph
     frames: list[list] = [["", False, 0, [], 0, 0]]
     open_: dict[str, int] = {}
     out: list[str] = []
     main: list[tuple[int, int]] = []
-    cuts: list[tuple[int, int, int]] = []  # (start, end, STRONG, WEAK or 0: the template's)
-    hashes: list[int] = []
+    cuts: list[tuple[int, int, int]] = []  # (start, end, STRONG, WEAK, or whose template: WITHIN, AROUND)
+    hashes: tuple[list[int], list[int]] = [], []
     digest = xxhash.xxh64_intdigest
 
     def close():
@@ -122,12 +124,14 @@ def scan(page: str, template: frozenset[int] | set[int] = frozenset(), deleted:
         h = digest("\x1f".join([tag, *parts])) >> 1
         frames[-1][3].append(str(h))
         if tag not in MAIN and tag not in ROOTS and tag != "head" and tag not in INLINE and tag not in CLOSES:
-            hashes.append(h)
+            hashes[not inside].append(h)
         if len(out) > start:
             if named:
                 cuts.append((start, len(out), named))
             if h in template:
-                cuts.append((start, len(out), 0))
+                cuts.append((start, len(out), WITHIN))
+            elif h in around and not inside:
+                cuts.append((start, len(out), AROUND))
             if tag in MAIN and not inside:
                 main.append((start, len(out)))
                 out.append(" ")
@@ -198,7 +202,9 @@ def scan(page: str, template: frozenset[int] | set[int] = frozenset(), deleted:
         out.append(entities.unescape(page[at:]))
     while len(frames) > 1:
         close()
-    return _kept(out, main, cuts, deleted), hashes
+    if not main:
+        return _kept(out, main, [c for c in cuts if c[2] != AROUND], deleted), hashes[0] + hashes[1], []
+    return _kept(out, main, cuts, deleted), *hashes
 
 
 def _kept(out: list[str], main: list[tuple[int, int]], cuts: list[tuple[int, int, int]], deleted: list | None) -> str:
@@ -222,14 +228,14 @@ def _kept(out: list[str], main: list[tuple[int, int]], cuts: list[tuple[int, int
     holds_main = lambda s, e: (i := bisect_left(starts, s)) < len(starts) and main[i][1] <= e
     bulk = lambda s, e: 2 * (length[e] - length[s]) > total
     # what recurs with most of the page's text is content that recurs, with all its parts
-    content = _outer([(s, e) for s, e, how in cuts if how == 0 and bulk(s, e)])
+    content = _outer([(s, e) for s, e, how in cuts if how in (WITHIN, AROUND) and bulk(s, e)])
     begins = [s for s, _ in content]
     in_content = lambda s, e: (i := bisect_right(begins, s)) > 0 and e <= content[i - 1][1]
     chosen = [(s, e, how) for s, e, how in cuts if how == STRONG or not bulk(s, e) and not (holds_main(s, e) if how == WEAK else in_content(s, e))]
     for s, e in _outer([(s, e) for s, e, _ in chosen]):
         cut(s, e)
     if deleted is not None:
-        by_template = {(s, e) for s, e, how in chosen if how == 0}
+        by_template = {(s, e) for s, e, how in chosen if how in (WITHIN, AROUND)}
         for s, e in _outer([(s, e) for s, e, _ in chosen]):
             if size := sum(len(p.strip()) for p in out[s:e]):
                 deleted.append(((s, e) in by_template, size))
@@ -252,30 +258,38 @@ def _keyed(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), page.alias("html"), host.alias("host")).withColumn("uid", row_digest(F.col("page_id"), F.col("url"), F.col("html")))
 
 
-def templates(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col="url") -> DataFrame:
-    """uid, flagged: the template's subtree hashes that each page has (pages that have some). uid: digest of the whole row."""
+def templates(pages: DataFrame, min_pages=5, share=0.25, around=0.02, html_col="html", url_col="url") -> DataFrame:
+    """uid, template, around: the template's subtree hashes that each page has, in either place (pages that have some). uid: digest of the whole row."""
 
     def run(batches):
         for b in batches:
             scanned = [scan(p.as_py()) for p in b.column(2)]
-            content = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 for text, _ in scanned]
-            hashes = [[PAGE, *sorted(set(found))] for _, found in scanned]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "content", "hashes"])
+            content = [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 for text, _, _ in scanned]
+            places = [[PAGE, *sorted(set(found[k]))] if k == 1 else sorted(set(found[k])) for found in scanned for k in (1, 2)]
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(places[::2], lists), pa.array(places[1::2], lists)], names=["uid", "host", "content", "within", "around"])
 
     rows = _keyed(pages, html_col, url_col).select("uid", "host", "html")
-    hashed = ship(rows).mapInArrow(run, "uid binary, host string, content long, hashes array<long>")
-    each = hashed.select("uid", F.xxhash64("host").alias("host"), "content", F.explode("hashes").alias("h"))
-    counts = each.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("h") == PAGE))
+    # read three times below: pages are scanned once, and their hashes written
+    hashed = ship(rows).mapInArrow(run, "uid binary, host string, content long, within array<long>, around array<long>")
+    # a place is shorter than a digest, for the many rows below
+    hashed = checkpointed(hashed.select("uid", F.monotonically_increasing_id().alias("place"), F.xxhash64("host").alias("host"), "content", "within", "around"))
+    each = hashed.select("host", "content", F.explode(F.concat("within", "around")).alias("h"))
+    counts = each.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("h") == PAGE))
     hosts = counts.filter(F.col("h") == PAGE).select("host", F.col("n").alias("all"))
-    common = counts.filter(F.col("h") != PAGE).join(hosts, "host").filter(F.col("n") >= share * F.col("all")).select("host", "h")
-    return each.join(common, ["host", "h"]).groupBy("uid").agg(F.collect_set("h").alias("flagged"))
+    common = counts.filter(F.col("h") != PAGE).join(hosts, "host").filter(F.col("n") >= around * F.col("all")).select("host", "h", (F.col("n") >= share * F.col("all")).alias("often"))
+    part = lambda c, outside: F.transform(c, lambda h: F.struct(h.alias("h"), F.lit(outside).alias("outside")))
+    found = hashed.select("place", "host", F.inline(F.concat(part("within", False), part("around", True)))).join(common, ["host", "h"]).filter("often OR outside")
+    sets = found.groupBy("place").agg(F.collect_set(F.when(F.col("often"), F.col("h"))).alias("template"), F.collect_set(F.when(~F.col("often"), F.col("h"))).alias("around"))
+    # rows that are stored twice have the same sets
+    return hashed.select("place", "uid").join(sets, "place").groupBy("uid").agg(F.first("template").alias("template"), F.first("around").alias("around"))
 
 
-def extract(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col="url") -> DataFrame:
+def extract(pages: DataFrame, min_pages=5, share=0.25, around=0.02, html_col="html", url_col="url") -> DataFrame:
     """A row a page: page_id, url, text, n_chars."""
 
     def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             packed = pa.array([squeeze(p.as_py().encode()) for p in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), packed], names=["uid", "page_id", "url", "packed"])
@@ -283,13 +297,13 @@ def extract(pages: DataFrame, min_pages=5, share=0.25, html_col="html", url_col=
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = [scan(expand(p.as_py()).decode(), set(f.as_py() or ()))[0] for p, f in zip(b.column(2), b.column(3), strict=True)]
+            texts = [scan(expand(p.as_py()).decode(), set(t.as_py() or ()), set(a.as_py() or ()))[0] for p, t, a in zip(b.column(2), b.column(3), b.column(4), strict=True)]
             columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     rows = _keyed(pages, html_col, url_col).select("uid", "page_id", "url", "html")
     # pages cross the shuffle packed, at under half of their size
     rows = ship(rows).mapInArrow(pack, "uid binary, page_id long, url string, packed binary")
-    flagged = templates(pages, min_pages, share, html_col, url_col)
-    joined = rows.join(flagged, "uid", "left").select("page_id", "url", "packed", "flagged")
+    flagged = templates(pages, min_pages, share, around, html_col, url_col)
+    joined = rows.join(flagged, "uid", "left").select("page_id", "url", "packed", "template", "around")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
