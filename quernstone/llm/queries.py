@@ -1,10 +1,10 @@
-"""The registered queries of the training-data operators: op1 to op10 and the pipeline."""
+"""The registered queries of the training-data operators: op1 to op13 and the pipeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, lines, mixing, pivots, quality, secrets, shards, simhash
+from . import bpe, chat, html, lines, migrate, mixing, pivots, quality, secrets, shards, simhash, sketches, treaps
 from .common import spread, table
 
 
@@ -57,6 +57,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", "size", "source_size", "target", "taken", "n_copies", "position", "last_position")
 
 
+def op11_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(table(spark, sf_dir, "benchmark"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=20)
+
+
+def op12_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return migrate.rewritten_clients(spark, table(spark, sf_dir, "clients"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), shingle=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,10 +86,13 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_treaps": op11_treaps,
+    "op12_migration": op12_migration,
+    "op13_minhash": op13_minhash,
     "pipeline": pipeline,
 }
 
-#: SQL has no XXH64, no CRC-32, no byte-pair merges and no places of matches: the other queries are tested against brute force.
+#: SQL has no XXH64, no CRC-32, no byte-pair merges and no places of matches, and op12 writes files: the other queries are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_pivot_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, row_number() OVER () AS uid FROM embeddings
@@ -111,4 +126,22 @@ z AS (SELECT *, list_transform(shares, lambda s: CASE WHEN lean = 0 THEN s ELSE
 SELECT doc_id, source, size, source_size, target, CAST(coalesce(list_sum(list_transform(copies, lambda x: x.words)), 0) AS BIGINT) AS taken, CAST(len(copies) AS INTEGER) AS n_copies,
   CAST(floor(asked * times[1] + leaning * (times[1] * times[1] - times[1])) AS BIGINT) AS position, CAST(floor(asked * times[-1] + leaning * (times[-1] * times[-1] - times[-1])) AS BIGINT) AS last_position
 FROM z, u""",
+    "op11_treaps": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+n AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(terms)) AS BIGINT) AS ll FROM d WHERE len(terms) > 0),
+i AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT item, item_id, term, CAST(count(*) AS BIGINT) AS times FROM i GROUP BY ALL),
+p AS (SELECT uid, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+t AS (SELECT uid, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM p WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, n GROUP BY term, nn),
+s AS (SELECT item, item_id, uid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score FROM a JOIN t USING (term) JOIN w USING (term), n GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
+    "op13_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, uid, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS s FROM w),
+e AS MATERIALIZED (SELECT uid, len(s) AS n, unnest(s) AS g FROM d),
+p AS MATERIALIZED (SELECT a.uid AS x, b.uid AS y FROM e a JOIN e b ON a.g = b.g AND a.uid <> b.uid AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.uid, b.uid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT uid, uid AS z FROM d UNION SELECT r.uid, p.y FROM r JOIN p ON r.z = p.x)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM d JOIN r ON d.uid = r.uid JOIN d o ON o.uid = r.z GROUP BY d.uid, d.doc_id, d.s""",
 }
