@@ -214,7 +214,9 @@ def rewrite(files: DataFrame, target: pa.Schema, defaults: dict, spare: str) ->
             yield b
 
     schema = "version long, start_columns string, old string, path string, rewritten boolean"
-    report = checkpointed(ship(files).repartition("path").mapInArrow(run, schema))
+    # paths are few bytes: without a number, all files would be put into one task
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    report = checkpointed(ship(files).repartition(tasks, "path").mapInArrow(run, schema))
     return checkpointed(report.mapInArrow(drop, schema)).drop("old")
 
 

@@ -6,18 +6,18 @@ sets have a Jaccard similarity of 0.8 or more; components of links are groups, n
 Sketch. A sketch has `SIZE` coordinates. In each round every element of the set is hashed to a bin, and a coordinate takes the first, least
 hash that falls into it. In the first `SIZE` rounds the bin is hashed, too; then round `SIZE` + i throws all elements into bin i, so that
 every coordinate is filled after 2 `SIZE` rounds at most, however small the set. A set of n elements fills nearly all in about
-SIZE log SIZE / n rounds, and equal coordinates estimate the similarity with the concentration of independent draws. A band is `ROWS`
-coordinates; sets that share a band are candidates. At a similarity of 0.8 a pair shares none of the `SIZE` / `ROWS` bands with a probability
-of (1 - 0.8^ROWS)^(SIZE / ROWS), about 7e-10; near copies are more alike than that.
+SIZE log SIZE / n rounds, and equal coordinates estimate the similarity with the concentration of independent draws. A byte of each coordinate is
+kept. A band is `ROWS` coordinates; sets that share a band, and `ENOUGH` coordinates in all, are candidates. At a similarity of 0.8 a pair shares no
+band with a probability of (1 - 0.8^ROWS)^(SIZE / ROWS), about 5e-9, and fewer coordinates with one of about 1e-11; near copies are more alike than that.
 
-Verification. Candidates are compared by their whole sets. In a bucket (sets of one band), ordered by size, each set is first paired with
-the next `NEIGHBOURS`; what these links join is one cluster. Then sets of different clusters are paired, if their sizes allow a similarity of 0.8:
+Verification. Candidates are compared by their whole sets. In a bucket (sets of one band; the first `GUIDES` bands only), ordered by size, each set is
+first paired with the next; what these links join is one cluster. Then, in the buckets of all bands, sets of different clusters are paired:
 a large group of near copies gives no square of pairs, and no pair is left out. Buckets are dealt by ranges, not by key, so a hot one
 lies in many tasks: for the second pairing it is cut into fragments, which meet two by two. There only sets outside of a bucket's largest cluster
 look for mates.
 
-Size. Documents of equal sets are one node. Only bands (hashes) and the sets of candidates are shuffled; components are found by
-distributed stars. Only sums reach the driver.
+Size. Documents of equal sets are one node. Only bands (hashes), the sketches of sets that share some, and the texts of candidates are shuffled;
+components are found by distributed stars. Only sums reach the driver.
 
 Cases. A-Z are lower-cased; words are runs of characters other than space and U+0009 to U+000D. Null texts, and texts without words, have an empty
 set and are linked with nothing. Null ids count as the greatest id; a group of null ids only has a null component, and its rows are kept.
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpointed, doc_key, ship
 from .components import components
 
-SIZE, ROWS = 160, 4
-NEIGHBOURS = 2
+SIZE, ROWS, ENOUGH = 240, 5, 150
+GUIDES = 12
 FRAGMENT = 256
 NO_ID = 2**63 - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -77,72 +77,58 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return best
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    """A hash for each band of the sketch, different bands apart."""
-    rows = coordinates.reshape(-1, ROWS)
-    made = np.arange(1, len(rows) + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        made = _mixed(made + _A + rows[:, i])
-    return made.view(np.int64)
-
-
 def sketched(docs: DataFrame, shingle=2, id_col="doc_id", text_col="text") -> DataFrame:
-    """key, n (the set's size), uid (a hash of 128 bits of the set), bands (none for an empty set) of each row."""
+    """key, row (a hash of the text), n (the set's size), uid (a hash of 128 bits of the set), sketch (null for an empty set) of each row."""
 
     def run(batches):
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
-                made = [bands(sketch(s)) if len(s) else np.empty(0, np.int64) for s in sets]
-                columns = [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(made, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "uid", "bands"])
+                sets = [shingles(t.as_py(), shingle) for t in part.column(2)]
+                made = [sketch(s).astype(np.uint8).tobytes() if len(s) else None for s in sets]
+                columns = [part.column(0), part.column(1), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "row", "n", "uid", "sketch"])
 
-    rows = docs.select(doc_key(docs, id_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return ship(rows).mapInArrow(run, "key long, n long, uid binary, bands array<long>")
+    return ship(_texts(docs, id_col, text_col)).mapInArrow(run, "key long, row long, n long, uid binary, sketch binary")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """node, hashes: the sets of these nodes (uid, node), from one text each."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(doc_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
 
-    def run(batches):
-        seen: set[bytes] = set()  # copies within a batch only; the rest is dropped below
-        for b in batches:
-            seen.clear()
-            for start in range(0, b.num_rows, 256):
-                made = [shingles(t.as_py(), shingle) for t in b.column(0).slice(start, 256)]
-                uids = [xxhash.xxh3_128_digest(s.tobytes()) for s in made]
-                new = [k for k, u in enumerate(uids) if u not in seen and not seen.add(u)]
-                yield pa.RecordBatch.from_arrays([pa.array([uids[k] for k in new], pa.binary()), pa.array([made[k].view(np.int64) for k in new], pa.list_(pa.int64()))], names=["uid", "hashes"])
 
-    found = ship(docs.select(F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, "uid binary, hashes array<long>")
-    return found.join(nodes, "uid").select("node", "hashes").dropDuplicates(["node"])
+def banded(nodes: DataFrame) -> DataFrame:
+    """node, n, k, band: a row for each band of a node; band is a hash of its number k and its coordinates."""
+    each = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.substring("sketch", ROWS * k + 1, ROWS)).alias("band")) for k in range(SIZE // ROWS)]
+    return nodes.select("node", "n", F.inline(F.array(*each)))
 
 
-def _fits(n: str, m: str):
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).sum(axis=-1) >= ENOUGH
 
 
 def neighbours(buckets: DataFrame) -> DataFrame:
-    """(a, b): each row of a bucket (band, n, node) and the next ones of its bucket by size."""
+    """(a, b): each row of a bucket (band, n, node, sketch) and the next one of its bucket by size, if they are candidates."""
 
     def run(batches):
-        last: list[tuple] = []
+        last = None
         for b in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                last = [x for x in last[-NEIGHBOURS:] if x[0] == row[0]]
-                found += [(min(x[2], row[2]), max(x[2], row[2])) for x in last if 5 * x[1] >= 4 * row[1]]
-                last.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            band, n, node = (c.to_numpy() for c in b.columns[:3])
+            rows = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SIZE)
+            if last:
+                band, n, node, rows = (np.concatenate([x, y]) for x, y in zip(last, (band, n, node, rows), strict=True))
+            if not len(band):
+                continue
+            last = [x[-1:] for x in (band, n, node, rows)]
+            fit = (band[1:] == band[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & _alike(rows[1:], rows[:-1])
+            a, z = node[:-1][fit], node[1:][fit]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], names=["a", "b"])
 
     order = ["band", "n", "node"]
-    return ship(buckets.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)).mapInArrow(run, "a long, b long").distinct()
+    return ship(buckets.select(*order, "sketch").repartitionByRange(*order).sortWithinPartitions(*order)).mapInArrow(run, "a long, b long").distinct()
 
 
-def across(buckets: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
-    """(a, b): all pairs of different clusters (root) within a bucket (band, n, node, root) whose sizes allow a link.
+def across(buckets: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
+    """(a, b): all candidates of different clusters (root) within a bucket (band, n, node, root). nodes: node, sketch.
 
     Only strays, the members outside of a bucket's largest cluster, look for mates, so that a bucket of one cluster gives nothing and one of m
     members and s strays compares s * m. Strays are dealt to fragments of about `fragment` rows, members to those of 16 times as many,
@@ -156,42 +142,86 @@ def across(buckets: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     )
     of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = buckets.join(mixed, "band").withColumns({"p": of("ps"), "q": of("qs"), "stray": F.col("root") != F.col("main")})
-    left = members.filter("stray").select("band", "n", "node", "root", "p", every("qs").alias("q"))
-    right = members.select("band", F.col("n").alias("m"), F.col("node").alias("mate"), F.col("root").alias("mate_root"), "stray", every("ps").alias("p"), "q")
-    # two strays are a pair once
-    pairs = left.join(right, ["band", "p", "q"]).filter((F.col("root") != F.col("mate_root")) & _fits("n", "m") & (~F.col("stray") | (F.col("node") < F.col("mate"))))
-    return pairs.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
+    members = buckets.join(mixed, "band").withColumns({"p": of("ps"), "q": of("qs"), "stray": F.col("root") != F.col("main")}).join(nodes.select("node", "sketch"), "node")
+    looking = members.filter("stray").select("band", "p", every("qs").alias("q"), F.lit(True).alias("left"), "stray", "n", "node", "root", "sketch")
+    found = members.select("band", every("ps").alias("p"), "q", F.lit(False).alias("left"), "stray", "n", "node", "root", "sketch")
+
+    def meet(left, right):
+        for start in range(0, len(left[0]), 64):
+            some = [c[start : start + 64, None] for c in left[:4]]
+            stray, n, node, root = (c[None] for c in right[:4])
+            # two strays are a pair once
+            fit = (some[3] != root) & (5 * np.minimum(some[1], n) >= 4 * np.maximum(some[1], n)) & (~stray | (some[2] < node))
+            i, j = np.nonzero(fit)
+            for at in range(0, len(i), 16_384):
+                x, y = i[at : at + 16_384] + start, j[at : at + 16_384]
+                like = _alike(left[4][x], right[4][y])
+                a, z = left[2][x[like]], right[2][y[like]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], names=["a", "b"])
 
+    def run(batches):
+        at, held = None, ([], [])
 
-def links(docs: DataFrame, nodes: DataFrame, shingle=2, text_col="text", fragment: int = FRAGMENT) -> DataFrame:
-    """(a, b): links between nodes (uid, node, n, bands), enough to join all that are linked."""
-    each = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
-    buckets = checkpointed(each.join(shared, "band"))
-    wanted = buckets.select("node").distinct().join(nodes, "node").select("uid", "node")
-    # the sets of candidates, once
-    sets = checkpointed(_sets(docs, wanted, shingle, text_col))
+        def flush():
+            if held[0] and held[1]:
+                sides = []
+                for rows in held:
+                    stray, n, node, root, prints = zip(*rows, strict=True)
+                    sides.append([np.array(stray), *(np.array(c, np.int64) for c in (n, node, root)), np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SIZE)])
+                yield from meet(*sides)
 
-    def checked(pairs):
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        common, sizes = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
-        # the union has sizes - common
-        return checkpointed(both.filter(100 * common >= 80 * (sizes - common)).select("a", "b"))
+        for b in batches:
+            for band, p, q, left, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, p, q) != at:
+                    yield from flush()
+                    at, held = (band, p, q), ([], [])
+                held[not left].append(row)
+        yield from flush()
 
-    first = checked(neighbours(buckets))
+    keys = ["band", "p", "q"]
+    return ship(looking.union(found)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle=2, id_col="doc_id", text_col="text") -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets have a similarity of 0.8 or more. nodes: node, and key and row of one of its documents."""
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                made = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1).slice(start, 256)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 256), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key", "row")
+    # equal rows are one; a text that has only its hash in common is told apart by its set
+    texts = _texts(docs, id_col, text_col).join(wanted, ["key", "row"]).select("node", "text").dropDuplicates(["node"])
+    sets = checkpointed(ship(texts).mapInArrow(run, "node long, hashes array<long>"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common, sizes = F.size(F.array_intersect("x", "y")).cast("long"), (F.size("x") + F.size("y")).cast("long")
+    # the union has sizes - common
+    return checkpointed(both.filter(100 * common >= 80 * (sizes - common)).select("a", "b"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, shingle=2, id_col="doc_id", text_col="text", fragment: int = FRAGMENT) -> DataFrame:
+    """(a, b): links between nodes (node, key, row, n, sketch), enough to join all that are linked."""
+    each = banded(nodes)
+    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
+    buckets = checkpointed(each.join(shared, "band"))
+    guides = buckets.filter(F.col("k") < GUIDES).join(nodes.select("node", "sketch"), "node")
+    first = confirmed(neighbours(guides), docs, nodes, shingle, id_col, text_col)
     roots = components(first).withColumnRenamed("node", "own")
     rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("band", "n", "node", F.coalesce("root", "node").alias("root"))
-    return first.union(checked(across(rooted, fragment)))
+    return first.union(confirmed(across(rooted, nodes, fragment), docs, nodes, shingle, id_col, text_col))
 
 
 def near_duplicates(docs: DataFrame, shingle=2, id_col="doc_id", text_col="text", fragment: int = FRAGMENT) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is its own)."""
     rows = checkpointed(sketched(docs, shingle, id_col, text_col))
-    firsts = rows.filter("n > 0").groupBy("uid").agg(F.min("key").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = checkpointed(firsts.withColumn("node", F.monotonically_increasing_id()))
-    stars = components(links(docs, nodes, shingle, text_col, fragment)).withColumnRenamed("node", "own")
-    rooted = nodes.join(stars, F.col("node") == F.col("own"), "left").select("uid", "first", F.coalesce("root", "node").alias("root"))
+    firsts = rows.filter("n > 0").groupBy("uid").agg(F.min(F.struct("key", "row")).alias("of"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = checkpointed(firsts.select("uid", "of.*", "n", "sketch", F.monotonically_increasing_id().alias("node")))
+    stars = components(links(docs, nodes, shingle, id_col, text_col, fragment)).withColumnRenamed("node", "own")
+    rooted = nodes.join(stars, F.col("node") == F.col("own"), "left").select("uid", F.col("key").alias("first"), F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of = rooted.join(groups, "root").select("uid", "component")
     known = lambda c: F.when(c != NO_ID, c)

@@ -38,7 +38,7 @@ SHARD_DOCS, SHARD_WORDS = 4096, 2_000_000
 UNIT_WORDS = 6_000_000
 BLOCK = 256
 WIDTH = 512
-POSTING = np.dtype([("doc", "<i8"), ("row", "<i8"), ("n", "<i8"), ("tf", "<i8")])
+POSTING = np.dtype([("doc", "<i8"), ("row", "<i8"), ("n", "<i4"), ("tf", "<i4")])
 NO_ID = 2**63 - 1
 #: A row of this term, which no text has, tells of a shard its documents with a term, and their terms.
 SUMS = b""
@@ -115,8 +115,8 @@ class Treaps:
         self.docs = all_["doc"][first][by_id]
         place = rank[back]
         order = np.lexsort((place, term))
-        self.place, tf = place[order], all_["tf"][order]
-        m = 75 + 25 * all_["n"][order] * n // max(total, 1)
+        self.place, tf = place[order], all_["tf"][order].astype(np.int64)
+        m = 75 + 25 * all_["n"][order].astype(np.int64) * n // max(total, 1)
         self.impact = 1_000_000_000 * tf // (1000 * tf + 12 * m)
         self.key = term << 32 | self.place
         self.scored = 0  # documents that were scored in full

@@ -106,21 +106,28 @@ def test_sketch_estimates_similarity():
 
 def test_recall_of_bands():
     rng = np.random.default_rng(6)
-    for n in (5, 20, 200):
+    for n in (9, 18, 180):
         for _ in range(200):
-            k = max(1, n // 10)
-            # n - k of n + k: a similarity of 0.8 or a little more
+            k = n // 9
+            # n - k of n + k: a similarity of 0.8
             pool = rng.integers(0, 2**63, n + k).astype(np.uint64)
-            a, b = sketches.bands(sketches.sketch(pool[:n])), sketches.bands(sketches.sketch(pool[k:]))
-            assert len(np.intersect1d(a, b)) > 0
+            a, b = (sketches.sketch(x).astype(np.uint8) for x in (pool[:n], pool[k:]))
+            assert (a == b).reshape(-1, sketches.ROWS).all(1).any() and (a == b).sum() >= sketches.ENOUGH
 
 
 def test_strays_meet_every_other_cluster(spark):
-    # two buckets: one of three clusters, one of a single cluster
+    # two buckets: one of three clusters, one of a single cluster; one set has another sketch
     rows = [(1, 10, i, 0 if i < 30 else i % 2 + 1) for i in range(40)] + [(2, 10, i, 0) for i in range(30)]
-    buckets = spark.createDataFrame([(*r,) for r in rows], "band long, n long, node long, root long")
-    root = {node: r for _, _, node, r in rows if node < 40}
-    root.update({i: i % 2 + 1 for i in range(30, 40)})
+    buckets = spark.createDataFrame(rows, "band long, n long, node long, root long")
+    nodes = spark.createDataFrame([(i, bytes([7 * (i == 33)]) * sketches.SIZE) for i in range(40)], "node long, sketch binary")
+    root = {node: r for band, _, node, r in rows if band == 1}
     for fragment in (1, 3, 256):
-        got = [tuple(r) for r in sketches.across(buckets, fragment).collect()]
-        assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if root[a] != root[b]]
+        got = [tuple(r) for r in sketches.across(buckets, nodes, fragment).collect()]
+        assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if root[a] != root[b] and 33 not in (a, b)]
+
+
+def test_neighbours(spark):
+    # five alike in a bucket, of which the last is too large, and one that is unlike the others
+    rows = [(1, n, i, bytes([i == 2]) * sketches.SIZE) for i, n in enumerate([10, 10, 10, 11, 11, 20])] + [(2, 20, 5, bytes(sketches.SIZE)), (2, 21, 6, bytes(sketches.SIZE))]
+    got = sketches.neighbours(spark.createDataFrame(rows, "band long, n long, node long, sketch binary").repartition(3))
+    assert sorted(map(tuple, got.coalesce(1).collect())) in ([(0, 1), (3, 4), (5, 6)], [(0, 1), (5, 6)], [(3, 4), (5, 6)])
