@@ -57,6 +57,105 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id
     return wanted.join(df, "term").withColumn("__w", part).join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum("__w"), 6).alias("score"))
 
 
+#: Documents of a unit, which one task searches, and of a block; blocks that are scored at once.
+UNIT_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 8192, 16, 32
+#: Stands beside the tokens of every text, so that one pass over the texts gives their number and lengths, too; no text has it.
+EVERY = ""
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k: int, k1=1.5, b=0.75, unit=UNIT_DOCS) -> DataFrame:
+    """(query, doc, score) of `bm25` for the documents that can be among a query's k best, by a block-max index.
+
+    Texts are tokenised once; postings of asked terms, with their parts of a score, are dealt by document to units. A unit meets all queries, a
+    stated set, in a cogroup, and gives its k best documents of each (more where scores are equal): pairs of a query and a document are no rows."""
+    asked = checkpointed(queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
+    spark, terms = asked.sparkSession, asked.select("term").distinct()
+    split = docs.select(F.col(id_col).alias("doc"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("__t"))
+    each = split.select("doc", F.size("__t").alias("dl"), F.explode(F.concat("__t", F.array(F.lit(EVERY)))).alias("term"))
+    wanted = each.join(terms.union(spark.createDataFrame([(EVERY,)], "term string")), "term", "left_semi")
+    wanted = checkpointed(wanted.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, words = wanted.filter(F.col("term") == EVERY).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    found = wanted.filter(F.col("term") != EVERY)
+    df = checkpointed(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("number", F.monotonically_increasing_id()))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(words / n if words else 1.0)))
+    units = max(-(-n // unit), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    postings = found.join(df, "term").select(F.pmod(F.xxhash64("doc"), F.lit(units)).alias("unit"), "doc", F.col("number").alias("term"), part.alias("part"))
+    every = asked.join(df, "term").select("query", F.col("number").alias("term"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"))
+    schema = T.StructType([asked.schema["query"], found.schema["doc"], T.StructField("score", T.DoubleType())])
+    best = postings.groupBy("unit").cogroup(every.groupBy("unit")).applyInArrow(_block_max(k), schema)
+    return best.withColumn("score", F.round("score", 6))
+
+
+class BlockMax:
+    """Postings of a unit (doc: 0 to n - 1, term, part), in blocks of documents; a block has each term's greatest part."""
+
+    def __init__(self, doc, term, part, block: int = BLOCK_DOCS):
+        import numpy as np
+
+        _, term_at, df = np.unique(term, return_inverse=True, return_counts=True)
+        # documents that share their commonest term (mostly a language), and are of like weight, lie together
+        by_df = np.lexsort((df[term_at], doc))
+        last = np.flatnonzero(np.diff(doc[by_df], append=-1))
+        self.docs = np.lexsort((np.bincount(doc, part), term_at[by_df][last]))
+        place = np.empty_like(self.docs)
+        place[self.docs] = np.arange(len(self.docs))
+        order = np.lexsort((place[doc], term))
+        self.place, self.part, term = place[doc][order], part[order], term[order]
+        at = self.place // block
+        self.starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+        self.ends = np.append(self.starts[1:], len(term))
+        self.most, self.block, self.term = np.maximum.reduceat(self.part, self.starts), at[self.starts], term[self.starts]
+        self.blocks, self.scored = -(-len(self.docs) // block), 0
+
+    def best(self, terms, k: int, first: int = FIRST_BLOCKS):
+        """Places of documents and their scores: all of the k best by rounded scores, and perhaps more."""
+        import numpy as np
+
+        spans = [np.arange(s, e) for s, e in zip(np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, "right"), strict=True)]
+        rows = np.concatenate(spans) if spans else np.empty(0, np.int64)
+        bound = np.bincount(self.block[rows], self.most[rows], self.blocks)
+
+        def scores(chosen):
+            use = rows[chosen[self.block[rows]]]
+            sizes = self.ends[use] - self.starts[use]
+            at = np.repeat(self.starts[use] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            made = np.bincount(self.place[at], self.part[at], len(self.docs))
+            self.scored += int((made > 0).sum())
+            return made
+
+        begun = np.zeros(self.blocks, bool)
+        begun[np.argsort(-bound, kind="stable")[:first]] = True
+        score = scores(begun)
+        least = lambda: np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        # a bound that rounds to the k-th best score reaches it
+        score = score + scores(~begun & (bound > 0) & (bound >= least() - 1e-6))
+        found = np.flatnonzero((score > 0) & (score >= least() - 1e-6))
+        return found, score[found]
+
+
+def _block_max(k: int):
+    def run(postings, asked):
+        import numpy as np
+        import pyarrow as pa
+
+        doc, query = (t[c].combine_chunks().dictionary_encode() for t, c in ((postings, "doc"), (asked, "query")))
+        if not len(doc) or not len(query):
+            return pa.table([query.dictionary.slice(0, 0), doc.dictionary.slice(0, 0), pa.array([], pa.float64())], names=["query", "doc", "score"])
+        index = BlockMax(doc.indices.to_numpy(), postings["term"].to_numpy(), postings["part"].to_numpy())
+        of, term = query.indices.to_numpy(), asked["term"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        queries, docs, scores = [], [], []
+        for q, terms in enumerate(np.split(term[order], np.flatnonzero(np.diff(of[order])) + 1)):
+            at, score = index.best(terms, k)
+            queries.append(np.full(len(at), of[order[0]] + q))
+            docs.append(index.docs[at])
+            scores.append(score)
+        return pa.table([query.dictionary.take(pa.array(np.concatenate(queries))), doc.dictionary.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(scores))], names=["query", "doc", "score"])
+
+    return run
+
+
 def ranked(scores: DataFrame, k: int, doc="doc", query="query") -> DataFrame:
     """The k best of each query, ties by document; only k of a task's rows leave it."""
     w = Window.partitionBy(query).orderBy(F.desc("score"), doc)
@@ -92,48 +191,65 @@ def similarities(queries: DataFrame, docs: DataFrame, block: int = 4096) -> Data
     return right.join(left, ["b", "p"]).filter(F.col("query") != F.col("doc")).select("query", "doc", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
 
 
-BLOCK_CHARS = 2_000_000
+#: Bytes of a gram, and grams of a window: a term that fills a window has marks, a shorter one is a gram of its own length.
+GRAM, WINDOW = 8, 16
 
 
-def containing(terms: DataFrame, docs: DataFrame, term_id: str, term: str, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def containing(terms: DataFrame, docs: DataFrame, term_id: str, term: str, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(query, doc) of each term and each text that holds it, character by character; null and empty terms are held by none.
 
-    The terms, a stated set, are looked for all at once by an Aho-Corasick automaton, in one pass over the texts for each block of about
-    `block_chars` characters of them: that bounds what a task holds and what the driver gathers at a time."""
+    Of each window of neighbouring grams in a text the least hash is a mark. A text that holds a term has the term's windows and so its marks:
+    marks meet by hash, and of a term's marks the one that fewest texts have gives the candidates, which are looked through. Terms shorter than a
+    window are looked up among all grams of their length. Texts are read once for the marks, whatever the number of terms, and candidates once
+    more; only the lengths of short terms (fewer than a window has bytes) reach the driver."""
     asked = terms.select(F.col(term_id).alias("query"), F.col(term).alias("term")).filter(F.length("term") > 0)
-    chars = asked.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    schema = asked.select("query").schema.add(rows.schema["doc"])
-    found = None
-    for block in range(blocks):
-        part = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("query", "term"), F.lit(blocks)) == block).collect()]
-        one = rows.mapInArrow(_finder(part), schema)
-        found = one if found is None else found.union(one)
-    return found
-
-
-def _finder(terms: list[tuple]):
+    each = asked.select("term").distinct()
+    n_bytes, whole = F.octet_length("term"), gram + window - 1
+    short = sorted(r[0] for r in each.filter(n_bytes < whole).select(n_bytes).distinct().collect())
+    of_term = each.mapInArrow(_marks(gram, window, None), "key string, h long").withColumnRenamed("key", "term")
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("copy", T.LongType()), T.StructField("h", T.LongType())])
+    hits = checkpointed(rows.mapInArrow(_marks(gram, window, short), schema).join(of_term.select("h").distinct(), "h", "left_semi"))
+    seen = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarest = of_term.join(seen, "h", "left").groupBy("term").agg(F.min_by("h", F.struct(F.coalesce("n", F.lit(0)), "h")).alias("h"))
+    # copies of a row are one candidate, and meet all of their rows below
+    pairs = hits.join(rarest, "h").select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy"), "term").distinct()
+    held = rows.join(pairs, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("copy") == F.col("__copy"))).filter(F.contains("text", "term"))
+    return held.select("doc", "term").join(asked, "term").select("query", "doc")
+
+
+def _marks(gram: int, window: int, lengths: list[int] | None):
+    """From columns of which the last is text: the others, or the text itself if there is none, and the hashes of its different marks. lengths: of
+    the short terms that texts are looked through for; None: the texts are the terms."""
+
     def run(batches):
-        import ahocorasick
+        import numpy as np
         import pyarrow as pa
 
-        by_term: dict[str, list] = {}
-        for q, t in terms:
-            by_term.setdefault(t, []).append(q)
-        machine = ahocorasick.Automaton()
-        for t, qs in by_term.items():
-            machine.add_word(t, qs)
-        machine.make_automaton()
+        def grams(raw, n):
+            x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+            h = np.full(max(0, len(x) - n + 1), n, np.uint64)
+            for i in range(n):
+                h = (h ^ x[i : len(h) + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            return h
+
         for b in batches:
-            queries, docs = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen = {id(qs): qs for _, qs in machine.iter(text.as_py() or "")} if by_term else {}
-                for qs in seen.values():
-                    queries += qs
-                    docs += [doc] * len(qs)
-            if queries:
-                yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(docs, b.schema.field(0).type)], names=["query", "doc"])
+            keys = list(b.columns[:-1]) or [b.columns[-1]]
+            rows, made = [], []
+            for row, text in enumerate(b.columns[-1]):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                own = lengths if lengths is not None else [len(raw)] if len(raw) < gram + window - 1 else []
+                found = [grams(raw, n) for n in own]
+                if len(raw) >= gram + window - 1:
+                    found.append(np.lib.stride_tricks.sliding_window_view(grams(raw, gram), window).min(axis=1))
+                marks = np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
+                rows.append(np.full(len(marks), row))
+                made.append(marks)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                names = [*b.schema.names[:-1], "h"] if len(b.columns) > 1 else ["key", "h"]
+                yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(np.concatenate(made))], names=names)
 
     return run
 

@@ -1,5 +1,6 @@
 """Small fixtures worked out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,14 +118,48 @@ def test_next_fit(spark):
     assert [got["g", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["h", 0] == 0
 
 
-def test_containing_in_blocks(spark):
-    texts = ["abc abd", "xabcx", "", None, "ab"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
-    terms = [(0, "ab"), (1, "abc"), (2, ""), (3, None), (4, "c a"), (5, "ab"), (6, "zz")]
+@pytest.mark.parametrize("gram, window", [(2, 2), (3, 4), (8, 16)])
+def test_containing(spark, gram, window):
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
+    texts = ["abc abd", "xabcx", "", None, "ab", "abc abd", "日本語の文", long, "aaaaaaaaaaaa", long[:1500]]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "ab"), (0, "ab"), (0, "ab")], "d long, t string").repartition(2)
+    terms = [(0, "ab"), (1, "abc"), (2, ""), (3, None), (4, "c a"), (5, "ab"), (5, "ab"), (6, "zz"), (None, "本語"), (8, long), (9, long[1400:1600]), (10, long[700:760]), (11, long[701:760] + "?"), (12, "aaaa"), (13, "a" * 13)]
     asked = spark.createDataFrame(terms, "q long, t string")
-    want = {(q, d) for q, t in terms if t for d, x in enumerate(texts) if x and t in x}
-    for chars in (1, 1000):
-        assert {tuple(r) for r in retrieval.containing(asked, docs, "q", "t", "d", "t", chars).collect()} == want
+    rows = [*enumerate(texts), (None, "ab"), (0, "ab"), (0, "ab")]
+    want = sorted(((q, d) for q, t in terms if t for d, x in rows if x and t in x), key=repr)
+    assert sorted(map(tuple, retrieval.containing(asked, docs, "q", "t", "d", "t", gram, window).collect()), key=repr) == want
+    assert retrieval.containing(asked.limit(0), docs, "q", "t", "d", "t").collect() == retrieval.containing(asked, docs.limit(0), "q", "t", "d", "t").collect() == []
+
+
+def test_block_max_is_bm25(spark):
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(30)]
+    share = 1 / np.arange(1, 31)
+    prose = lambda n: " ".join(rng.choice(names, n, p=share / share.sum()))
+    texts = [prose(int(rng.integers(1, 30))) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts + texts[:50]), (900, None), (901, "")], "d long, t string").repartition(3)
+    asked = spark.createDataFrame([(i, prose(6)) for i in range(8)] + [(8, "w29"), (9, "zzz"), (10, None), (11, "")], "q long, t string")
+    full = retrieval.bm25(asked, docs, "q", "t", "d", "t")
+    for k, unit in ((1, 1000), (7, 50), (600, 100)):
+        want = sorted(map(tuple, retrieval.ranked(full, k).collect()))
+        assert sorted(map(tuple, retrieval.ranked(retrieval.bm25_top(asked, docs, "q", "t", "d", "t", k, unit=unit), k).collect())) == want
+    assert retrieval.bm25_top(asked, docs.limit(0), "q", "t", "d", "t", 3).collect() == retrieval.bm25_top(asked.limit(0), docs, "q", "t", "d", "t", 3).collect() == []
+
+
+def test_block_max_skips_blocks():
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(20_000), 6)
+    # a document's terms come from one of twenty languages
+    term = (doc % 20) * 100 + np.minimum(rng.zipf(1.5, len(doc)), 100) - 1
+    pairs = np.unique(doc * 10_000 + term)
+    doc, term = pairs // 10_000, pairs % 10_000
+    part = np.log(20_000 / np.bincount(term)[term]) * rng.uniform(0.3, 1, len(doc))
+    index = retrieval.BlockMax(doc, term, part)
+    for terms in ([300, 301, 340], [500, 511], [700, 1201, 1222]):
+        at, score = index.best(terms, 5)
+        full = np.bincount(doc[np.isin(term, terms)], part[np.isin(term, terms)], 20_000)
+        assert sorted(score)[-5:] == pytest.approx(np.sort(full)[-5:].tolist()) and np.allclose(full[index.docs[at]], score)
+    assert index.scored < 3 * 20_000 / 20
 
 
 def test_retrievers(spark):
