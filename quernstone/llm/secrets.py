@@ -2,18 +2,20 @@
 
 Method. Base findings come from three patterns and always stay. Every other candidate is scored by a network in numpy. Candidates are
 what base findings leave of the maximal runs of `SIGN` characters, without stops at their edges: those of 12 characters
-or more that hold a letter and a digit, and, after a word that gives a secret away, any of 6 or more. The network sees the
+or more that hold a letter and a digit; after a word that gives a secret away, any of 6 or more (each such word counts, also one that
+follows another); and what stands between user and host of an address. A bare run is no candidate if it reads like a name (three quarters of its
+letters in words that can be spoken), is a UUID, data after `base64,`, or a short argument of a web address. The network sees the
 candidate and `AROUND` characters on either side, as characters that know whether they belong to the candidate: one
-convolution with ReLU, maxima over the candidate's and the context's places, and a logistic unit. A candidate longer than
+convolution with ReLU, maxima over four parts of the candidate's places and over those on either side, and a logistic unit. A candidate longer than
 `INSIDE` is seen through windows that move by half their width to its end, and has the greatest of their scores.
 
 Training. The network is trained by the driver on labelled findings: `labelled(n, seed)` writes `n` of them (n bounds the
 sample), half true: keys, tokens, passwords and pass phrases of many shapes, after words that give them away or bare, and half false:
-identifiers, mail and web addresses, numbers of all kinds, versions, paths, dates, and plain words after the same giving words.
+identifiers, part numbers, mail and web addresses, numbers of all kinds, versions, paths, dates, and plain words after the same giving words.
 Like the scan, it takes candidates that base findings leave. Half of them train, a quarter calibrates the scores (Platt's logistic
 fit) and sets the threshold: the greatest that still finds a share of `recall` of the true ones; the last quarter measures
-(`Model.report`), and a recall under 0.9 there is an error. Labelled findings of one's own may be added. All
-randomness is seeded: every run has the same weights. The weights (some 90 KB, whatever the input) go with the task.
+(`Model.report`), and a recall under 0.9 there is an error. Shapes written apart from this generator are in the tests. Labelled findings of one's own
+may be added. All randomness is seeded: every run has the same weights. The weights (some 100 KB, whatever the input) go with the task.
 
 Cases. Null texts count as empty ones; no findings give counts 0, the digest of the empty string and empty spans. Spans
 are in code points of the whole text, end exclusive; texts are never cut, and a text's time is in proportion to its length. Repeated
@@ -45,14 +47,19 @@ KEYWORD = re.compile(r"(?:passw|secret|token|api_?key)", re.A | re.I)
 
 SIGN = r"[A-Za-z0-9+/_=~!@#$%^&*.:-]"
 RUN = re.compile(SIGN + "{12,}")
-LONG, SHORT = 12, 6
+LONG, SHORT, IN_ADDRESS = 12, 6, 20
 #: Words that give a secret away, and what may stand between them and it.
 GIVING = ["pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential"]
-TOLD = re.compile(
-    r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_ -]?key|auth|authorization|bearer|credentials?)"
-    r"""["']?(?:\s*[:=]+\s*|\s+(?:is|was)\s+|\s+)["'(]?(""" + SIGN + "{6,})",
-    re.I,
-)
+NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_ -]?key|auth(?:orization)?|bearer|credentials?)"
+#: Only the giving word is used up, so that each of several in a row gives what follows it.
+TOLD = re.compile(NAMES + r"""(?=(["']?(?:\s{0,8}[:=]{1,3}\s{0,8}|\s{1,8}(?:is|was)\s{1,8}|\s{1,8})["'(]?)""" + SIGN + "{6})", re.I)
+NAME_ONLY = re.compile(NAMES + "s?[:=]*", re.I)
+TOKEN = re.compile(SIGN + "{6,}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Words of 3 to 15 letters with a vowel, alone or in mixed case.
+SPOKEN = re.compile(r"(?<![a-z])[A-Z]?(?=[a-z]{0,14}[aeiouy])[a-z]{2,14}(?![a-z])|(?<![A-Za-z0-9])(?=[A-Z]*[AEIOUY])[A-Z]{3,}(?![A-Za-z0-9])")
+#: A password between a user and a host.
+LOGIN = re.compile(r"://[A-Za-z0-9._~%+-]{0,64}:([^\s/@\"'<>]{6,256})@")
 AROUND, INSIDE = 24, 48
 LENGTH = 2 * AROUND + INSIDE
 
@@ -90,6 +97,17 @@ def _left(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(a, b) for a, b in [*parts, (s, e)] if b - a >= SHORT]
 
 
+def _reads(part: str) -> bool:
+    """Whether a bare run reads like a name: three quarters of its letters lie in words that can be spoken."""
+    letters = sum(c.isalpha() for c in part)
+    return 4 * sum(len(w) for w in SPOKEN.findall(part)) >= 3 * letters
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    part = text[s:e].rstrip(".:!&")
+    return s + len(part) - len(part.lstrip("=:.!&")), s + len(part)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Spans of the candidates, in order: none overlaps a base finding, and what those leave of a run is looked at."""
     taken: list[tuple[int, int]] = []
@@ -100,20 +118,37 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             taken.append((s, e))
     found: dict[int, int] = {}  # by end: a secret that was told begins within its run
     for m in RUN.finditer(text):
-        if HAS_DIGIT.search(text, *m.span()) and HAS_LETTER.search(text, *m.span()):
+        # what follows `base64,` is data that is shown as such
+        if HAS_DIGIT.search(text, *m.span()) and HAS_LETTER.search(text, *m.span()) and not text.startswith("base64,", m.start() - 7):
             for s, e in _left(*m.span(), taken) if taken else [m.span()]:
-                part = text[s:e].rstrip(".:!&")
-                e, s = s + len(part), s + len(part) - len(part.lstrip("=:.!&"))
+                s, e = _trimmed(text, s, e)
+                if e - s < IN_ADDRESS and "://" in text[max(0, s - 256) : s].rpartition(" ")[2]:
+                    continue  # a short argument of a web address that no word gives away
+                if _reads(text[s:e]) or UUID.fullmatch(text, s, e):
+                    continue  # names and numbers of things, but for what a giving word says below
                 if e - s >= LONG and HAS_DIGIT.search(text, s, e) and HAS_LETTER.search(text, s, e):
                     found[e] = s
     low = text.lower()
     if any(word in low for word in GIVING):
+        # of several giving words before an end, the nearest counts: a run is scanned once
+        nearest: dict[int, int] = {}
+        runs = [m.span() for m in TOKEN.finditer(text)]
         for m in TOLD.finditer(text):
-            for s, e in _left(*m.span(1), taken):
-                part = text[s:e].rstrip(".:!&")
-                e, s = s + len(part), s + len(part) - len(part.lstrip("=:.!&"))
-                if e - s >= SHORT:
+            at = m.end(1)
+            k = bisect_right(runs, at, key=lambda r: r[0]) - 1
+            if k >= 0 and at < runs[k][1]:
+                nearest[k] = max(at, nearest.get(k, at))
+        for k, at in nearest.items():
+            for s, e in _left(at, runs[k][1], taken):
+                s, e = _trimmed(text, s, e)
+                if e - s >= SHORT and not NAME_ONLY.fullmatch(text, s, min(e, s + 32)):
                     found[e] = max(s, found.get(e, s))
+    if "://" in text:
+        for m in LOGIN.finditer(text):
+            inside = [(s, e) for s, e in _left(*m.span(1), taken)]
+            if inside:
+                # the address around it is no candidate of its own
+                found = {e: s for e, s in found.items() if e <= m.start() or s >= m.end()} | {e: s for s, e in inside}
     return sorted((s, e) for e, s in found.items())
 
 
@@ -132,26 +167,28 @@ def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nda
 
 
 class Network:
-    """One convolution of `width` characters with `filters` outputs, maxima over the inner and the outer places, a logistic unit."""
+    """One convolution of `width` characters with `filters` outputs, maxima over `PARTS` parts of the inner places and over the places before and
+    after them, a logistic unit. The parts tell a string that is odd throughout from a name with one odd place."""
+
+    PARTS = 4
 
     def __init__(self, filters=24, width=5, seed=7):
         rng = np.random.default_rng(seed)
         self.width = width
         self.table = rng.normal(0, 0.15, (width, 2 * ALPHABET, filters)).astype(np.float32)
         self.bias = np.zeros(filters, np.float32)
-        self.out = rng.normal(0, 0.2, 2 * filters).astype(np.float32)
+        self.out = rng.normal(0, 0.2, (self.PARTS + 2) * filters).astype(np.float32)
         self.offset = np.float32(0)
-        places = np.arange(LENGTH - width + 1) + width // 2
-        self.inner = (places >= AROUND) & (places < AROUND + INSIDE)
+        inner = np.arange(AROUND - width // 2, AROUND + INSIDE - width // 2)
+        self.groups = [np.arange(inner[0]), *np.array_split(inner, self.PARTS), np.arange(inner[-1] + 1, LENGTH - width + 1)]
         self.scale, self.shift = 1.0, 0.0
 
     def _maxima(self, x):
+        """The greatest value of each filter in each group of places, and where it is."""
         n = LENGTH - self.width + 1
         z = self.bias + sum(self.table[k][x[:, k : k + n]] for k in range(self.width))
-        z_in, z_out = z[:, self.inner], z[:, ~self.inner]
-        at_in, at_out = z_in.argmax(1), z_out.argmax(1)
-        raw = np.concatenate([np.take_along_axis(z_in, at_in[:, None], 1)[:, 0], np.take_along_axis(z_out, at_out[:, None], 1)[:, 0]], 1)
-        return raw, at_in, at_out
+        at = [g[z[:, g].argmax(1)] for g in self.groups]
+        return np.concatenate([np.take_along_axis(z, a[:, None], 1)[:, 0] for a in at], 1), np.concatenate(at, 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         parts = [np.maximum(self._maxima(x[i : i + 256])[0], 0) @ self.out + self.offset for i in range(0, len(x), 256)]
@@ -166,17 +203,15 @@ class Network:
         names = ["table", "bias", "out", "offset"]
         first = {n: np.zeros_like(getattr(self, n)) for n in names}
         second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        inner_at, outer_at = np.nonzero(self.inner)[0], np.nonzero(~self.inner)[0]
-        filters, step = len(self.bias), 0
+        groups, step = len(self.groups), 0
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                raw, at_in, at_out = self._maxima(x[rows])
+                raw, place = self._maxima(x[rows])
                 active = np.maximum(raw, 0)
                 error = (1 / (1 + np.exp(-(active @ self.out + self.offset))) - y[rows]) / len(rows)
                 back = (error[:, None] * self.out) * (raw > 0)
-                grads = {"out": active.T @ error, "offset": error.sum(), "bias": back[:, :filters].sum(0) + back[:, filters:].sum(0), "table": np.zeros_like(self.table)}
-                place = np.concatenate([inner_at[at_in], outer_at[at_out]], 1)
-                column = np.tile(np.arange(filters), 2)[None].repeat(len(rows), 0)
+                grads = {"out": active.T @ error, "offset": error.sum(), "bias": back.sum(0).reshape(groups, -1).sum(0), "table": np.zeros_like(self.table)}
+                column = np.tile(np.arange(len(self.bias)), groups)[None].repeat(len(rows), 0)
                 for k in range(self.width):
                     np.add.at(grads["table"][k], (np.take_along_axis(x[rows], place + k, 1), column), back)
                 step += 1
@@ -196,7 +231,7 @@ class Network:
         self.scale, self.shift = a, b
 
 
-def labelled(n: int = 6000, seed: int = 3) -> list[tuple[str, int, int, int]]:
+def labelled(n: int = 14000, seed: int = 3) -> list[tuple[str, int, int, int]]:
     """Labelled findings, from `n` written ones those that base patterns leave: (text, start, end, 1 for a secret)."""
     rng = np.random.default_rng(seed)
     pick = lambda s: s[int(rng.integers(len(s)))]
@@ -215,15 +250,19 @@ def labelled(n: int = 6000, seed: int = 3) -> list[tuple[str, int, int, int]]:
         lambda: "eyJ" + some(low + up + dig, 14, 24) + "." + some(low + up + dig + "_-", 16, 60),
         lambda: some(low + up + dig + "_-", 24, 43),
     ]
+    uuid = lambda: "-".join(some("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12))
     told = [
         *bare,
+        *[uuid] * 3,
+        lambda: plain(1, 2).capitalize() + pick("!@#$%&*_-") + some(dig, 2, 4) + pick(["", "!", plain(1, 1)]),
+        lambda: plain(2, 3) + some(dig, 1, 4),
         lambda: some("ABCDEF" + dig, 24, 48),
         lambda: some(low + up + dig, 3, 8) + pick("!@#$%^&*") + some(low + up + dig, 3, 8),
         lambda: some(low + up + dig, 7, 14),
         lambda: "-".join(plain(1, 3) for _ in range(int(rng.integers(3, 6)))),
         lambda: some(low + up, 8, 20),
     ]
-    name = lambda: pick(["pwd", "passphrase", "auth", "access key", "access_key", "private key", "credential", "bearer", "Authorization: Bearer", "passcode", "password", "secret", "token", "api key"])
+    name = lambda: pick(["the secret token", "ssh password", "X-Api-Key", "client secret", "auth token", "pwd", "passphrase", "auth", "access key", "access_key", "private key", "credential", "bearer", "Authorization: Bearer", "passcode", "password", "secret", "token", "api key"])
     given = lambda: name() + pick([" = ", ": ", "=", ":", " is ", " "]) + pick(["", "", chr(34), "'"])
     other = [
         lambda: f"{plain()}.{some(dig, 1, 3)}@mail{some(dig, 1, 1)}.example.com",
@@ -238,6 +277,13 @@ def labelled(n: int = 6000, seed: int = 3) -> list[tuple[str, int, int, int]]:
         lambda: f"{plain(2, 4).upper()}!!{plain(1, 3).upper()}{some(dig, 1, 2)}",
         lambda: f"{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}{pick(['/', ':', '***', '&&&'])}{plain(1, 1)}",
         lambda: f"#{plain(2, 4)}:{some(dig, 2, 6)}",
+        *[lambda: pick(["get", "set", "find", "load", "is", "make"]) + "".join(plain(1, 3).capitalize() for _ in range(int(rng.integers(2, 5)))) + some(dig, 1, 2) + "".join(plain(1, 3).capitalize() for _ in range(int(rng.integers(1, 3))))] * 2,
+        lambda: "".join(plain(1, 3).capitalize() for _ in range(int(rng.integers(2, 5)))) + some(dig, 1, 3),
+        lambda: "-".join(some(up, 2, 5) if k % 2 == 0 else some(dig, 2, 6) for k in range(int(rng.integers(3, 6)))),
+        lambda: some(up, 2, 5) + "-" + some(up + dig, 4, 6) + "-" + some(dig, 3, 6),
+        lambda: pick(["ENSG", "ENST", "NM_", "XP_", "rs", "ISBN-", "DOI:10.", "IBAN:DE"]) + some(dig, 9, 14) + pick(["", ".1", ".12"]),
+        lambda: "https://" + pick(["www.", "", "m."]) + plain(2, 3) + ".example.com/" + pick(["watch?v=", "v/", "embed/", "p/", "clip/"]) + some(low + up + dig + "_-", 8, 12),
+        lambda: f"{plain(1, 3)}_{plain(1, 3)}_{plain(1, 3)}_v{some(dig, 1, 2)}" + pick(["", "_final", ".tar.gz"]),
         lambda: f"+{some(dig, 1, 2)}-{some(dig, 3, 3)}-{some(dig, 3, 4)}-{some(dig, 4, 4)}x{some(dig, 1, 3)}",
     ]
     rows = []
@@ -247,12 +293,15 @@ def labelled(n: int = 6000, seed: int = 3) -> list[tuple[str, int, int, int]]:
             alone = rng.random() < 0.3
             core = pick(bare if alone else told)()
             lead = before + pick([" ", "\n", ' "']) if alone else f"{before} {given()}"
+            if rng.random() < 0.08:
+                core, lead = re.sub(r"[/@\"'<>]", "x", core), f"{before} {pick(['postgres', 'mysql', 'amqp', 'redis', 'https', 'ftp'])}://{plain(1, 2)}:"
+                after = f"@{plain(2, 3)}.example.org:{some(dig, 4, 4)}/{plain()} {after}"
         elif rng.random() < 0.75:
             core = pick(other)()
             lead = before + pick([" ", " ", "\n", " | "]) if rng.random() < 0.9 else f"{before} {pick(['id', 'mail', 'see', 'version', 'file', 'url'])}{pick([' = ', ': ', ' '])}"
         else:
             core, lead = plain(2, 5) + pick(["", "", ".", "!"]), f"{before} {given()}"
-        text = lead + core + pick([" ", "\n", '" ', "; "]) + after
+        text = lead + core + ("" if after.startswith("@") else pick([" ", "\n", '" ', "; "])) + after
         for s, e in candidates(text, base_findings(text)):
             if s >= len(lead) - 1 and s < len(lead) + len(core):
                 rows.append((text, s, e, k % 2))
@@ -261,7 +310,7 @@ def labelled(n: int = 6000, seed: int = 3) -> list[tuple[str, int, int, int]]:
 
 
 class Model:
-    def __init__(self, recall=0.97, rows=6000, extra=()):
+    def __init__(self, recall=0.98, rows=14000, extra=()):
         found = [*labelled(rows), *extra]
         order = np.random.default_rng(5).permutation(len(found))
         train, held, test = np.split(order, [len(found) // 2, 3 * len(found) // 4])
@@ -305,11 +354,11 @@ class Model:
 
 
 @lru_cache(maxsize=4)
-def model(recall=0.97, rows=6000) -> Model:
+def model(recall=0.98, rows=14000) -> Model:
     return Model(recall, rows)
 
 
-def scan(docs: DataFrame, recall=0.97, rows=6000, id_col="doc_id", text_col="text") -> DataFrame:
+def scan(docs: DataFrame, recall=0.98, rows=14000, id_col="doc_id", text_col="text") -> DataFrame:
     """A row a document: doc_id, findings: array of (kind, start, end, text), sorted by start, then kind."""
     fitted = model(recall, rows)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
