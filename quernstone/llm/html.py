@@ -39,6 +39,7 @@ from .common import checkpointed, digest as row_digest, ship
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+QUOTED = re.compile(r"""\"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed values of HTML: elements without content, of raw text, that end a paragraph, and that are blocks of their own.
@@ -63,11 +64,14 @@ DEPTH = 512  # as deep as browsers go
 PAGE = -1  # stands for the page itself among the hashes, which are not negative
 
 
+#: The words of compound names that count inside a main part, too.
+INNER = frozenset("comment comments commentlist disqus replies respond advert advertisement adsense sponsor sponsored nav navbar navigation menu sidebar breadcrumb breadcrumbs pagination newsletter cookie cookies consent footer".split())
+
 STRONG, WEAK, WITHIN, AROUND = range(1, 5)
 
 
-def _named(attributes: str, whole: bool) -> int:
-    """STRONG if the element is hidden, or if its class, id or role is or has a name of no article; WEAK if only a word of it is one."""
+def _named(attributes: str, inside: bool) -> int:
+    """STRONG if the element is hidden; WEAK if its class, id or role is or has a name of no article, or a word of such a name."""
     said = 0
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
@@ -75,9 +79,7 @@ def _named(attributes: str, whole: bool) -> int:
             return STRONG
         if m[2] and name in ("class", "id", "role"):
             value = m[2].strip("\"'").lower()
-            if not NAMED.isdisjoint(value.split()):
-                return STRONG
-            if not whole and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            if not NAMED.isdisjoint(value.split()) or not (INNER if inside else NAMED).isdisjoint(re.split(r"[^a-z0-9]+", value)):
                 said = WEAK
     return said
 
@@ -86,6 +88,12 @@ def _tokens(page: str):
     """(start, end, name, closing, attributes) of each tag; name None for comments and declarations."""
     at, n = 0, len(page)
     last = page.rfind(">")
+    dead: list[tuple[int, list[int], list[int]]] = []  # scans that found no end: where they began, and where their quotes open and close
+
+    def hopeless(start):
+        # outside of the quotes of a scan that found no end, another finds none
+        return any(start >= s and ((k := bisect_right(opens, start) - 1) < 0 or start >= closes[k]) for s, opens, closes in dead)
+
     while True:
         start = page.find("<", at)
         if start < 0 or start > last and not page.startswith("<!--", start):
@@ -97,7 +105,10 @@ def _tokens(page: str):
         elif page.startswith(("<!", "<?"), start):
             at = yield start, page.index(">", start) + 1, None, False, ""
         elif m := NAME.match(page, start):
-            rest = REST.match(page, m.end())
+            rest = None if hopeless(m.end()) else REST.match(page, m.end())
+            if not rest and not hopeless(m.end()):
+                quotes = [q.span() for q in QUOTED.finditer(page, m.end())]
+                dead.append((m.end(), [s for s, _ in quotes], [e for _, e in quotes]))
             # a quote that nothing closes: the tag ends at the next `>`
             end = rest.end() if rest else page.index(">", m.end()) + 1
             at = yield start, end, m[1].lower(), page[start + 1] == "/", page[m.end() : end - 1]
@@ -183,7 +194,7 @@ def scan(page: str, template=frozenset(), around=frozenset(), deleted: list | No
             elif len(frames) <= DEPTH or tag in RAW:
                 inside = frames[-1][1] or frames[-1][0] in MAIN
                 kind = tag in DROPPED or tag == "header" and not inside
-                named = STRONG if kind else 0 if attributes == "" or tag in ROOTS else _named(attributes, inside or tag in MAIN)
+                named = STRONG if kind else 0 if attributes == "" or tag in ROOTS or tag in MAIN and not inside and "hidden" not in attributes else _named(attributes, inside)
                 opened(tag, inside, named)
                 if tag in RAW:
                     stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -224,6 +235,12 @@ def _kept(out: list[str], main: list[tuple[int, int]], cuts: list[tuple[int, int
     total = length[-1]
     # a main part inside what is cut for sure is none
     main = _outer([(s, e) for s, e in main if not gone[s]])
+    # main parts within what is named (an article of a comment) are none where there are others
+    named = _outer([(s, e) for s, e, how in cuts if how == WEAK])
+    within = lambda s, e: (i := bisect_right(named, (s, float("inf")))) > 0 and e <= named[i - 1][1] and named[i - 1] != (s, e)
+    own = [(s, e) for s, e in main if not within(s, e)]
+    main = own if sum(length[e] - length[s] for s, e in own) > 0 else main
+    held = sum(length[e] - length[s] for s, e in main)
     starts = [s for s, _ in main]
     holds_main = lambda s, e: (i := bisect_left(starts, s)) < len(starts) and main[i][1] <= e
     bulk = lambda s, e: 2 * (length[e] - length[s]) > total
@@ -231,7 +248,9 @@ def _kept(out: list[str], main: list[tuple[int, int]], cuts: list[tuple[int, int
     content = _outer([(s, e) for s, e, how in cuts if how in (WITHIN, AROUND) and bulk(s, e)])
     begins = [s for s, _ in content]
     in_content = lambda s, e: (i := bisect_right(begins, s)) > 0 and e <= content[i - 1][1]
-    chosen = [(s, e, how) for s, e, how in cuts if how == STRONG or not bulk(s, e) and not (holds_main(s, e) if how == WEAK else in_content(s, e))]
+    # a name never takes the bulk of a page, or of a main part that it stands in
+    much = lambda s, e: (i := bisect_right(starts, s)) > 0 and e <= main[i - 1][1] and 2 * (length[e] - length[s]) > held
+    chosen = [(s, e, how) for s, e, how in cuts if how == STRONG or not bulk(s, e) and not (holds_main(s, e) or much(s, e) if how == WEAK else in_content(s, e))]
     for s, e in _outer([(s, e) for s, e, _ in chosen]):
         cut(s, e)
     if deleted is not None:
