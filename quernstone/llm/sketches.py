@@ -8,7 +8,7 @@ hash that falls into it. In the first `SIZE` rounds the bin is hashed, too; then
 every coordinate is filled after 2 `SIZE` rounds at most, however small the set. A set of n elements fills nearly all in about
 SIZE log SIZE / n rounds, and equal coordinates estimate the similarity with the concentration of independent draws. A byte of each coordinate is
 kept. A band is `ROWS` coordinates; sets that share a band, and `ENOUGH` coordinates in all, are candidates. At a similarity of 0.8 a pair shares no
-band with a probability of (1 - 0.8^ROWS)^(SIZE / ROWS), about 5e-9, and fewer coordinates with one of about 1e-11; near copies are more alike than that.
+band with a probability of (1 - 0.8^ROWS)^(SIZE / ROWS), about 5e-9, and fewer coordinates with one of about 5e-9; near copies are more alike than that.
 
 Verification. Candidates are compared by their whole sets. In a bucket (sets of one band; the first `GUIDES` bands only), ordered by size, each set is
 first paired with the next; what these links join is one cluster. Then, in the buckets of all bands, sets of different clusters are paired:
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpointed, doc_key, ship
 from .components import components
 
-SIZE, ROWS, ENOUGH = 240, 5, 150
+SIZE, ROWS, ENOUGH = 240, 5, 156
 GUIDES = 12
 FRAGMENT = 256
 NO_ID = 2**63 - 1
@@ -128,7 +128,8 @@ def neighbours(buckets: DataFrame) -> DataFrame:
 
 
 def across(buckets: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
-    """(a, b): all candidates of different clusters (root) within a bucket (band, n, node, root). nodes: node, sketch.
+    """(a, b): all candidates of different clusters (root) within a bucket (k, band, n, node, root), each made in the first band that the two
+    share. nodes: node, sketch.
 
     Only strays, the members outside of a bucket's largest cluster, look for mates, so that a bucket of one cluster gives nothing and one of m
     members and s strays compares s * m. Strays are dealt to fragments of about `fragment` rows, members to those of 16 times as many,
@@ -143,10 +144,13 @@ def across(buckets: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> Da
     of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = buckets.join(mixed, "band").withColumns({"p": of("ps"), "q": of("qs"), "stray": F.col("root") != F.col("main")}).join(nodes.select("node", "sketch"), "node")
-    looking = members.filter("stray").select("band", "p", every("qs").alias("q"), F.lit(True).alias("left"), "stray", "n", "node", "root", "sketch")
-    found = members.select("band", every("ps").alias("p"), "q", F.lit(False).alias("left"), "stray", "n", "node", "root", "sketch")
+    looking = members.filter("stray").select("band", "p", every("qs").alias("q"), F.lit(True).alias("left"), "k", "stray", "n", "node", "root", "sketch")
+    found = members.select("band", every("ps").alias("p"), "q", F.lit(False).alias("left"), "k", "stray", "n", "node", "root", "sketch")
 
-    def meet(left, right):
+    def first_band(x, y):
+        return (x == y).reshape(len(x), -1, ROWS).all(axis=2).argmax(axis=1)
+
+    def meet(k, left, right):
         for start in range(0, len(left[0]), 64):
             some = [c[start : start + 64, None] for c in left[:4]]
             stray, n, node, root = (c[None] for c in right[:4])
@@ -155,7 +159,7 @@ def across(buckets: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> Da
             i, j = np.nonzero(fit)
             for at in range(0, len(i), 16_384):
                 x, y = i[at : at + 16_384] + start, j[at : at + 16_384]
-                like = _alike(left[4][x], right[4][y])
+                like = _alike(left[4][x], right[4][y]) & (first_band(left[4][x], right[4][y]) == k)
                 a, z = left[2][x[like]], right[2][y[like]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], names=["a", "b"])
@@ -167,9 +171,9 @@ def across(buckets: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> Da
             if held[0] and held[1]:
                 sides = []
                 for rows in held:
-                    stray, n, node, root, prints = zip(*rows, strict=True)
+                    numbers, stray, n, node, root, prints = zip(*rows, strict=True)
                     sides.append([np.array(stray), *(np.array(c, np.int64) for c in (n, node, root)), np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SIZE)])
-                yield from meet(*sides)
+                yield from meet(numbers[0], *sides)
 
         for b in batches:
             for band, p, q, left, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -211,7 +215,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle=2, id_col="doc_id", text_co
     guides = buckets.filter(F.col("k") < GUIDES).join(nodes.select("node", "sketch"), "node")
     first = confirmed(neighbours(guides), docs, nodes, shingle, id_col, text_col)
     roots = components(first).withColumnRenamed("node", "own")
-    rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("band", "n", "node", F.coalesce("root", "node").alias("root"))
+    rooted = buckets.join(roots, F.col("node") == F.col("own"), "left").select("k", "band", "n", "node", F.coalesce("root", "node").alias("root"))
     return first.union(confirmed(across(rooted, nodes, fragment), docs, nodes, shingle, id_col, text_col))
 
 

@@ -59,7 +59,7 @@ def corpus(seed):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("seed, fragment", [(1, 256), (2, 2), (3, 1)])
+@pytest.mark.parametrize("seed, fragment", [(1, 256), (2, 1)])
 def test_near_duplicates_are_all_pairs(spark, seed, fragment):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "n", "b") for i, t in docs], SCHEMA).repartition(3)
@@ -118,7 +118,8 @@ def test_recall_of_bands():
 def test_strays_meet_every_other_cluster(spark):
     # two buckets: one of three clusters, one of a single cluster; one set has another sketch
     rows = [(1, 10, i, 0 if i < 30 else i % 2 + 1) for i in range(40)] + [(2, 10, i, 0) for i in range(30)]
-    buckets = spark.createDataFrame(rows, "band long, n long, node long, root long")
+    # the same sets meet in a later band, too, and are no pairs there
+    buckets = spark.createDataFrame([(k, 10 * k + r[0], *r[1:]) for r in rows for k in (0, 3)], "k int, band long, n long, node long, root long")
     nodes = spark.createDataFrame([(i, bytes([7 * (i == 33)]) * sketches.SIZE) for i in range(40)], "node long, sketch binary")
     root = {node: r for band, _, node, r in rows if band == 1}
     for fragment in (1, 3, 256):
