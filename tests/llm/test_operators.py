@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures with nulls, empties, ties, copies and long texts."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -99,38 +100,42 @@ def test_lines(spark, empty):
     assert got[3].text == own[2] and got[4].text == ""  # copies
     assert got[5].text == rows[4][1] and got[6].text == own[4]  # a word varies
     assert got[7].text is None and got[8].text == "" and got[9].text == rows[8][1] and got[None].text == ""
-    assert got[10].text == rows[9][1] and got[11].text == "1 2 3"  # mostly variables
+    assert got[10].text == rows[9][1] and got[11].text == rows[10][1]  # lines with many variables must be equal
     assert got[12].text == rows[11][1] and got[13].text == ""  # variables only
     assert lines.drop_recurring(empty).count() == 0
 
 
-def slow_lines(rows, leading=4, min_tokens=6, runs=6):
-    """Each line against all lines of smaller ids, by the words themselves."""
-    digit, kept, earlier = re.compile("[0-9]"), {}, {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        left, mine, seen = [], [], earlier
-        for raw in text.split("\n"):
-            tokens = SPLIT.findall(raw)
-            if not tokens:
-                left.append(raw)
-                continue
+def slow_lines(rows, leading=4, min_tokens=6, runs=6, support=5):
+    """The templates of every line as tuples of words, with the lines and documents that take them."""
+    digit, taken = re.compile("[0-9]"), {}
+
+    def templates(tokens):
+        masked = ["*" if digit.search(t) else t for t in tokens]
+        n, variables = len(tokens), masked.count("*")
+        if n < min_tokens or 3 * variables > n:
+            yield tuple(tokens), True
+            return
+        rest, few = masked[leading:], 6 * variables <= n
+        cuts = range(len(rest) + 1) if len(rest) <= runs else [len(rest) * k // runs for k in range(runs + 1)]
+        parts = [tuple(rest[x:y]) for x, y in itertools.pairwise(cuts)]
+        if not few:
+            yield ("equal", *tokens), True
+        for r in range(1 + few + (n >= 8 and not variables)):
+            for vary in itertools.combinations(range(len(parts)), r):
+                yield (n, *masked[:leading], *("any" if k in vary else p for k, p in enumerate(parts))), few and (r == 0 or n >= 30)
+
+    for i, text in rows:
+        for tokens in map(SPLIT.findall, text.split("\n")):
             masked = ["*" if digit.search(t) else t for t in tokens]
-            n, variables = len(tokens), masked.count("*")
-            masked = masked if variables < n else tokens
-            if n < min_tokens or 2 * variables > n:
-                key, parts, free = (n, *masked), [], 0
-            else:
-                rest = masked[leading:]
-                m, free = len(rest), 1 if n < 8 else 2
-                parts = rest if m <= runs else [tuple(rest[m * k // runs : m * (k + 1) // runs]) for k in range(runs)]
-                key = (n, *masked[:leading])
-            if not any(sum(a != b for a, b in zip(parts, other, strict=True)) <= free for j, other in seen.get(key, []) if j < i):
-                left.append(raw)
-            mine.append((key, parts))
-        kept[i] = "\n".join(left)
-        for key, parts in mine:
-            earlier.setdefault(key, []).append((i, parts))
-    return kept
+            line = tuple(masked if 6 * masked.count("*") <= len(tokens) else tokens)
+            for t, _ in templates(tokens):
+                lines = taken.setdefault(t, {})
+                lines[line] = min(i, lines.get(line, i))
+
+    def goes(i, tokens):
+        return any(min(taken[t].values()) < i and (two or len(set(taken[t].values())) >= support) for t, two in templates(tokens))
+
+    return {i: "\n".join(raw for raw in text.split("\n") if not SPLIT.findall(raw) or not goes(i, SPLIT.findall(raw))) for i, text in rows}
 
 
 @pytest.mark.parametrize("wide", [1, 7, 10_000])
@@ -138,7 +143,8 @@ def test_lines_by_brute_force(spark, wide):
     """Whatever is salted, and however many lines a leaf has: exactly the lines that an earlier document has a like one of."""
     rng = np.random.default_rng(12)
     heads = ["alpha beta gamma delta", "alpha beta gamma other", "the and of to"]
-    line = lambda: heads[int(rng.integers(3))] + " " + " ".join(WORDS[int(k)] if rng.random() < 0.5 else "same" for k in rng.integers(0, 6, int(rng.choice([2, 4, 9]))))
+    word = lambda k: WORDS[k] if rng.random() < 0.4 else str(k) if rng.random() < 0.15 else "same"
+    line = lambda: heads[int(rng.integers(3))] + " " + " ".join(map(word, rng.integers(0, 6, int(rng.choice([2, 4, 9, 30])))))
     rows = [(i, "\n".join([line() for _ in range(int(rng.integers(1, 4)))] + ["All rights reserved."] * (i % 3) + [f"page {i % 4}"])) for i in range(160)]
     got = by_id(lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), wide=wide))
     want = slow_lines(rows)
@@ -146,6 +152,19 @@ def test_lines_by_brute_force(spark, wide):
     assert 100 < sum(r.n_dropped for r in got.values()) < 600
 
 
+def test_unlike_lines_stay(spark):
+    """Facts told in the same words are no template until `support` documents tell some; numbers alone make no rows equal."""
+    places = [("Germany", "Berlin"), ("France", "Paris"), ("Italy", "Rome"), ("Spain", "Madrid"), ("Peru", "Lima")]
+    told = [f"The capital city of {a} is called {b}" for a, b in places]
+    rows = [(i, f"{told[i]}\nTotal revenue {1200 + i}\nRow {i} {7 * i} of table {i} has 1{i} and 2{i}") for i in range(5)]
+    schema = "doc_id long, text string"
+    assert all(r.n_dropped == 0 for r in lines.drop_recurring(spark.createDataFrame(rows[:4], schema)).collect())
+    got = by_id(lines.drop_recurring(spark.createDataFrame(rows, schema)))
+    assert got[0].n_dropped == 0 and all(got[i].text == rows[i][1].partition("\n")[2] for i in range(1, 5))
+    one = [(0, told[0]), (1, "\n".join(told))]  # all but one in the same document
+    assert by_id(lines.drop_recurring(spark.createDataFrame(one, schema)))[1].text == "\n".join(told[1:])
+
+
 def test_lines_of_long_texts(spark):
     long = "\n".join(f"{prose(i, 9)} end{'xyz'[i % 3]}" for i in range(20_000))
     got = by_id(lines.drop_recurring(spark.createDataFrame([(1, long), (2, long + "\nmore")], "doc_id long, text string")))
