@@ -114,11 +114,13 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 def read_back(made: DataFrame) -> DataFrame:
     """A row a conversation, from its examples alone (as `examples` gives them): n_turns, digests of the turns and of all
-    text under the loss masks, and how many characters the examples have. The last example has every turn."""
+    text under the loss masks, and how many characters the examples have. The last example has every turn.
+
+    A conversation's examples must lie together, in order, as `examples` leaves them; rows in another order are an error."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        done, conv, last, chars, formatted, loss = [], None, None, 0, 0, hashlib.sha256()
+        done, conv, at, last, chars, formatted, loss = [], None, -1, None, 0, 0, hashlib.sha256()
 
         def row():
             said = hashlib.sha256()
@@ -134,6 +136,9 @@ def read_back(made: DataFrame) -> DataFrame:
                     if last is not None:
                         done.append(row())
                     conv, chars, formatted, loss = c, 0, 0, hashlib.sha256()
+                elif (c, k) != (conv, at + 1):
+                    raise ValueError(f"example {k} of conversation {c} follows example {at} of conversation {conv}")
+                at = k
                 part = unescape(text[start:end])
                 chars, formatted, last = chars + len(part), formatted + len(text), text
                 loss.update(part.encode())

@@ -464,6 +464,8 @@ def test_chat_of_many_turns(spark):
     assert got[5].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns[:n]).encode()).hexdigest()
     assert got[5].formatted_chars > 30_000_000 and got[6].n_turns == 1
     assert made.filter("conv_id = 5").count() == n // 2
+    with pytest.raises(Exception, match="follows example"):  # in another order there is nothing to read back
+        chat.read_back(made.orderBy(F.desc("example"))).collect()
 
 
 @pytest.mark.parametrize("text", ["", "\\", "[INST]", "<s></s>", "\\[", "\\\\<", "<</SYS>>\\"])
