@@ -86,7 +86,7 @@ def secret_values(df: DataFrame, key: str, text: str, patterns: dict[str, str])
 
 
 def scanned(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, term) of each forbidden term that a text holds, by word boundaries where a term begins or ends in a letter."""
+    """(key, term) of each forbidden term that a text holds anywhere, inside words as well."""
     each = F.explode(F.array(*map(F.lit, terms)))
     return df.select(key, text, each.alias("term")).filter(F.contains(text, F.col("term"))).select(key, "term")
 
