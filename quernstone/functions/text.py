@@ -54,15 +54,24 @@ def page_text(c: Column) -> Column:
     return F.regexp_replace(lines, r"^\n+|\n+$", "")
 
 
+#: The character references of XML; the ampersand's is decoded last.
+XML_NAMES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
 def unescaped(c: Column) -> Column:
-    """Character references, named and numeric ones, decoded once."""
+    """Character references, named and numeric ones, decoded once. Only texts with others than XML's five go to Python."""
     from pyspark.sql.functions import pandas_udf
 
+    others = c.rlike(f"&(?!(?:{'|'.join(XML_NAMES)});)[#A-Za-z]")
+    plain = c
+    for name, sign in XML_NAMES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(sign))
+
     @pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+        return texts.map(lambda t: html.unescape(t) if t is not None else t)
 
-    return decode(c)
+    return F.when(others, decode(F.when(others, c))).otherwise(plain)
 
 
 def stripped_tags(c: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators.numbering import shared_folder
 from ..registry import query
+from . import markup as M
 from . import sinks as K
 from . import tables as S
 
@@ -139,6 +140,43 @@ def s12(spark, d):
     return rows.select("page_id", F.posexplode(S.html_blocks(F.col("main"))).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
 
 
+_DECODED = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("s12_selected_blocks", f"""
+SELECT page_id, i AS block, {_DECODED.format("trim(l[i])")} AS text FROM (SELECT page_id, regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1) AS l FROM pages), range(1, 1000) t(i) WHERE i <= len(l) AND trim(l[i]) <> ''""")
+def s12_selected(spark, d):
+    """Elements by tag and class, from the tree of a page as rows."""
+    tree = M.page_tree(S.spread(S.table(spark, d, "pages")), "page_id", "html")
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pre")).cast("long")
+    return M.texts(tree, "page_id", M.chosen("div", "ad")).select("page_id", nth.alias("block"), "text")
+
+
+@query("s12_nested_links", f"""
+SELECT page_id, href, {_DECODED.format("label")} AS label, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)) GROUP BY ALL""")
+def s12_nested(spark, d):
+    """Links within the menus of a page: elements inside elements."""
+    tree = M.page_tree(S.spread(S.table(spark, d, "pages")), "page_id", "html")
+    links = tree.filter(M.chosen("a")).select("page_id", "pre", F.col("attributes")["href"].alias("href"))
+    within = M.inside(tree.filter(M.chosen("nav")).select("page_id", "pre", "last"), links, "page_id").select("page_id", "inner.*")
+    said = within.join(M.texts(tree, "page_id", M.chosen("a")).select("page_id", "pre", F.col("text").alias("label")), ["page_id", "pre"])
+    return said.groupBy("page_id", "href", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_table_cells", """
+WITH l AS (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_returnflag) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+c AS (SELECT l_orderkey, 0::BIGINT AS row_no, j AS col_no, (['order & line', 'part', 'mode'])[j + 1] AS text FROM (SELECT DISTINCT l_orderkey FROM l), range(0, 3) t(j) UNION ALL SELECT l_orderkey, 1, 0, l_orderkey::VARCHAR FROM l WHERE r = 1 UNION ALL SELECT l_orderkey, r, 1, l_partkey::VARCHAR FROM l UNION ALL SELECT l_orderkey, r, 2, l_returnflag FROM l)
+SELECT c.l_orderkey, row_no, col_no, text, coalesce(CASE WHEN row_no = 0 THEN 'order & line' WHEN row_no = 1 THEN c.l_orderkey::VARCHAR END, '') AS row_header, (['order & line', 'part', 'mode'])[col_no + 1] AS col_header FROM c""")
+def s10_table(spark, d):
+    """Grids of tables in markup: a page an order, whose first cell reaches down all its lines."""
+    lines = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_returnflag"))).alias("l"))
+    first = F.concat(F.lit("<td rowspan='"), F.size("l").cast("string"), F.lit("'>"), F.col("l_orderkey").cast("string"))
+    row = lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), F.lit("<td>\n "), x["l_partkey"].cast("string"), F.lit("<td><b>"), x["l_returnflag"], F.lit("</b></td>"))
+    body = F.array_join(F.transform("l", row), "\n")
+    pages = lines.select("l_orderkey", F.concat(F.lit("<p>Lines<table class=grid><tr><th>order &amp; line<th>part<th>mode</tr>"), body, F.lit("</table>")).alias("html"))
+    return M.table_cells(M.page_tree(pages, "l_orderkey", "html"), "l_orderkey").drop("table_no")
+
+
 @query("s13_json_sink", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || ' é한\"}' AS line FROM region")
 def s13(spark, d):
     """The lines of the files that the sink wrote: characters stay as they are."""
