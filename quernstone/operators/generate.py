@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -14,36 +16,41 @@ def unique_in(df: DataFrame, *keys: str) -> DataFrame:
 def nested_caps(df: DataFrame, group: str, order: list[str], caps: dict[str, int]) -> DataFrame:
     """Rows of a group in order, each taken while none of its caps is used up; a refused row uses up nothing.
 
-    Whether a row is taken hangs on those taken before: a loop over one group, with counts as its only state. With a
-    single cap a row number says the same and nothing but the caps' keys and the order is sent."""
+    A row equal to a refused one in all keys is refused as well, so that of equal rows the first few are enough, as many as the least cap: the
+    others go before the shuffle. What is left of a group streams past counts of its keys; no group is held. With a single cap that is all."""
     names = list(caps)
+    nth = F.row_number().over(Window.partitionBy(*dict.fromkeys([group, *names])).orderBy(*order))
+    few = df.withColumn("__r", nth).filter(F.col("__r") <= min(caps.values())).drop("__r")
     if len(names) == 1:
-        nth = F.row_number().over(Window.partitionBy(group, names[0]).orderBy(*order))
-        return df.withColumn("__r", nth).filter(F.col("__r") <= caps[names[0]]).drop("__r")
+        return few
 
-    def take(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: list = []
         used: dict[tuple, int] = {}
-        keep = []
-        for row in f[names].itertuples(index=False):
-            keys = list(zip(names, row, strict=True))
-            ok = all(used.get(k, 0) < caps[k[0]] for k in keys)
-            if ok:
-                for k in keys:
+        for b in batches:
+            keep = []
+            for g, *row in zip(*(b.column(c).to_pylist() for c in [group, *names]), strict=True):
+                if [g] != at:
+                    at, used = [g], {}
+                keys = list(zip(names, row, strict=True))
+                ok = all(used.get(k, 0) < caps[k[0]] for k in keys)
+                for k in keys if ok else ():
                     used[k] = used.get(k, 0) + 1
-            keep.append(ok)
-        return f[keep]
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.groupBy(group).applyInPandas(take, df.schema)
+    return few.repartition(group).sortWithinPartitions(group, *order).mapInArrow(take, df.schema)
 
 
 def ends(df: DataFrame, by: str, page: str, order: list, early: int = 6, share: float = 0.58, caps: tuple[int, int] = (11, 7)) -> DataFrame:
     """Early rows (page <= early) and late ones (page >= max(8, floor(share * last))), up to a cap each."""
-    last = F.max(page).over(Window.partitionBy(by))
-    place = F.when(F.col(page) <= early, "early").when(F.col(page) >= F.greatest(F.lit(8), F.floor(last * share)), "late")
-    rows = df.withColumn("place", place).filter("place IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy(by, "place").orderBy(*order))
-    return rows.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("place") == "early", caps[0]).otherwise(caps[1])).drop("nth")
+    # a row a group, joined; caps that are literals cut a group before its rows are sent
+    last = df.groupBy(F.col(by).alias("__by")).agg(F.max(page).alias("__last"))
+    place = F.when(F.col(page) <= early, "early").when(F.col(page) >= F.greatest(F.lit(8), F.floor(F.col("__last") * share)), "late")
+    rows = df.join(last, F.col(by).eqNullSafe(F.col("__by"))).withColumn("place", place).drop("__by", "__last")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    some = [rows.filter(F.col("place") == name).withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth") for name, most in zip(("early", "late"), caps, strict=True)]
+    return some[0].unionByName(some[1])
 
 
 def compared(df: DataFrame, group: str, key: str, value: str, most: int) -> DataFrame:

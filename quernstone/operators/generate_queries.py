@@ -8,6 +8,7 @@ from ..registry import query
 from ..sources.sinks import rendered
 from ..sources.tables import table
 from . import generate as G
+from .numbering import running
 
 
 @query("g1_unique_pairs", "SELECT l_suppkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1")
@@ -66,7 +67,7 @@ e AS (SELECT *, CASE WHEN page <= 6 THEN 'early' WHEN page >= greatest(8, floor(
 r AS (SELECT *, row_number() OVER (PARTITION BY source, place ORDER BY doc_id) AS nth FROM e WHERE place IS NOT NULL)
 SELECT doc_id, place FROM r WHERE nth <= CASE place WHEN 'early' THEN 4 ELSE 3 END""")
 def g7(spark, d):
-    pages = table(spark, d, "documents").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"))
+    pages = running(table(spark, d, "documents").select("doc_id", "source", F.lit(1).alias("one")), ["source"], ["doc_id"], "one", "page")
     return G.ends(pages, "source", "page", ["doc_id"], caps=(4, 3)).select("doc_id", "place")
 
 

@@ -38,8 +38,9 @@ def band(offset: Column, size: Column, total: Column) -> Column:
 
 
 def blocks(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    """The number of the block of n rows that a row belongs to, from 0."""
-    return df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / n).cast("long"))
+    """The number of the block of n rows that a row belongs to, from 0; no task numbers a whole group."""
+    nth = running(df.withColumn("__one", F.lit(1)), by, order, "__one", "__nth")
+    return nth.withColumn("block", F.floor((F.col("__nth") - 1) / n).cast("long")).drop("__one", "__nth")
 
 
 def interleaved(df: DataFrame, group: str, order: list) -> DataFrame:

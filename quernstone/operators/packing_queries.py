@@ -107,9 +107,8 @@ def d12(spark, d):
 
 @query("d13_inverted", BANDS + " SELECT doc_id, string_agg(source || ':' || band, ',') AS places FROM b GROUP BY 1")
 def d13(spark, d):
-    manifest = banded(spark, d).groupBy("source").agg(F.collect_list(F.struct("doc_id", "band")).alias("components"))
-    each = manifest.select("source", F.inline("components"))
-    return each.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "source", "band"))), ",").alias("places"))
+    """From the manifest's rows; no bundle is gathered."""
+    return banded(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "source", "band"))), ",").alias("places"))
 
 
 #: Bundles: a source's documents up to a tier's budget; the tiers of each document.

@@ -35,8 +35,12 @@ def unanimous(df: DataFrame, item: str, split: str, default: str = "dev") -> Dat
 def capped(df: DataFrame, by: list[str], most: int | Column, seed: str, key: str) -> DataFrame:
     """Up to so many rows a stratum, in an order fixed by the key's hash and a seed.
 
-    Smaller draws are beginnings of greater ones. The order is MD5, which other engines have as well."""
+    Smaller draws are beginnings of greater ones. The order is MD5, which other engines have as well. A task sends no more than the greatest
+    cap of a stratum: where caps are a column, their maximum (one number) is asked for first."""
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    if isinstance(most, Column):
+        greatest = df.agg(F.max(most)).first()[0] or 0
+        return capped(df, by, int(greatest), seed, key).filter(F.col("draw") <= most)
     return df.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(order, key)).cast("long")).filter(F.col("draw") <= most)
 
 
@@ -53,11 +57,14 @@ def drawn(df: DataFrame, by: str, cluster: str, total: int, seed: str, key: str,
     """A stratified draw: each stratum's quota in shuffled order, rows of clusters that are not drawn yet first; what is over the
     total is taken back from the largest strata, the last drawn first, down to the floor."""
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    shuffled = df.withColumn("__o", order)
-    nth = F.row_number().over(Window.partitionBy(by, cluster).orderBy("__o", key))
-    rows = shuffled.withColumn("__late", nth > per_cluster).join(quotas(df, by, total, least).select(by, "quota"), by)
-    height = F.row_number().over(Window.partitionBy(by).orderBy("__late", "__o", key))
-    picked = rows.withColumn("__h", height).filter(F.col("__h") <= F.col("quota"))
+    quota = quotas(df, by, total, least).select(by, "quota")
+    greatest = int(quota.agg(F.max("quota")).first()[0] or 0)
+    # ranks under a literal bound: a task sends the first few of a cluster or stratum alone
+    first = lambda rows, keys, n: rows.withColumn("__h", F.row_number().over(Window.partitionBy(*keys).orderBy("__late", "__o", key))).filter(F.col("__h") <= n)
+    shuffled = df.withColumns({"__o": order, "__late": F.lit(False)})
+    early = first(shuffled, [by, cluster], per_cluster).drop("__h")
+    late = shuffled.join(early.select(key), key, "left_anti").withColumn("__late", F.lit(True))
+    picked = first(early.unionByName(first(late, [by], greatest).drop("__h")), [by], greatest).join(quota, by).filter(F.col("__h") <= F.col("quota"))
     floor = F.greatest(F.lit(least), F.floor(F.lit(total) / (2 * F.lit(df.select(by).distinct().count()))))
     # the draw is a sample of about `total` rows: one task orders it
     over = picked.agg(F.greatest(F.count(F.lit(1)) - total, F.lit(0))).scalar()

@@ -1,5 +1,7 @@
 """Small fixtures worked out by hand."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,43 @@ def test_next_fit(spark):
     assert [got["g", i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4] and got["h", 0] == 0
 
 
+@pytest.mark.parametrize("kind", ["random", "zeros", "ones", "huge", "many groups"])
+def test_next_fit_over_many_partitions(spark, kind):
+    """A group's parts hang on one another over all ranges; nothing but the order decides them."""
+    rng = random.Random(kind)
+    draw = {"random": lambda: rng.randint(0, 9), "zeros": lambda: rng.choice([0, 0, 0, 11, 5]), "ones": lambda: 1, "huge": lambda: rng.choice([25, 3, 0, 10]), "many groups": lambda: rng.randint(0, 6)}[kind]
+    groups = 40 if kind == "many groups" else 1
+    rows = [(i % groups if i % 7 else None, i, draw() if i % 31 else None) for i in range(900)]
+    want, state = {}, {}
+    for g, i, n in rows:
+        held, part = state.get(g, (0, 0))
+        if held and held + (n or 0) > 10:
+            held, part = 0, part + 1
+        state[g], want[i] = (held + (n or 0), part), part
+    df = spark.createDataFrame(rows, "g long, i long, n long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert {r.i: r.part for r in numbering.next_fit(df, "g", "i", "n", 10).collect()} == want
+        assert numbering.next_fit(df.filter("false"), "g", "i", "n", 10).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_range_tells_what_comes_of_anything_held():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 2, 5, 12]) for _ in range(rng.randint(1, 30))]
+        entries = numbering._chains(np.array(sizes), 10)
+        for start in range(16):
+            held, parts = start, 0
+            for n in sizes:
+                if held and held + n > 10:
+                    held, parts = 0, parts + 1
+                held += n
+            met = entries[0] if not start else [e for e in entries[1:] if start > e[0]][-1]
+            assert (parts, held) == (met[1], start + sum(sizes) if met[2] < 0 else met[2])
+
+
 @pytest.mark.parametrize("gram, window", [(2, 2), (3, 4), (8, 16)])
 def test_containing(spark, gram, window):
     long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
@@ -208,6 +247,20 @@ def test_nested_caps(spark):
     assert sorted(r.i for r in got) == [0, 2]
 
 
+def test_nested_caps_equal_the_loop(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("gh"), rng.choice("abcd"), rng.choice([1, 2, None])) for i in range(400)]
+    caps, used, want = {"g": 9, "p": 3, "t": 4}, {}, []
+    for i, g, p, t in rows:
+        keys = [(g, "g", g), (g, "p", p), (g, "t", t)]
+        if all(used.get(k, 0) < caps[k[1]] for k in keys):
+            want.append(i)
+            for k in keys:
+                used[k] = used.get(k, 0) + 1
+    df = spark.createDataFrame(rows, "i long, g string, p string, t long").repartition(3)
+    assert sorted(r.i for r in generate.nested_caps(df, "g", ["i"], caps).collect()) == want
+
+
 def test_facts(spark):
     df = spark.createDataFrame([(1, "ab 12 cd 345")], "i long, t string")
     assert [(r.ord, r.value, r.start, r.snippet) for r in extract.facts(df, "i", "t", "[0-9]+", 3).collect()] == [(0, "12", 3, "ab 12 cd"), (1, "345", 9, "cd 345")]
