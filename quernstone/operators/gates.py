@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
@@ -91,6 +91,12 @@ def scanned(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return df.select(key, text, each.alias("term")).filter(F.contains(text, F.col("term"))).select(key, "term")
 
 
+def scanned_files(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(file, term) of each forbidden term on a line of a file under a path, at any depth. A line is a row: no file is held whole."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return scanned(lines, "file", "value", terms).distinct()
+
+
 def thresholds(df: DataFrame, rules: dict[str, tuple[Column, float, float]]) -> DataFrame:
     """(rule, value, ok) of aggregates that must lie within bounds; one pass."""
     values = df.agg(*[c.cast("double").alias(k) for k, (c, _, _) in rules.items()])

@@ -64,4 +64,38 @@ def largest_covering(needs: DataFrame, bundles: DataFrame, item: str, needed: st
     return met.withColumn("__r", F.row_number().over(Window.partitionBy(item).orderBy(*rank))).filter("__r = 1").select(item, *others)
 
 
-__all__ = ["running", "prefix_pack", "prefill", "cyclic", "band", "blocks", "interleaved", "covers", "largest_covering"]
+def attached(items: DataFrame, places: DataFrame, item: str, family: str, pages: str, rules: dict[str, str], default: str = "middle") -> DataFrame:
+    """(item, bundle, tier, position) of every item: the bundle that its family's rule finds, or nulls, so that no stale reference stays.
+
+    places: a row (bundle, tier, page, band) for each page of each bundle. Rules: `early` and `late` take the smallest and the largest tier that has the
+    item's first page in that band, `all` the largest that has all its pages (position `multi`), `middle` the middle one by tier of those that have
+    the first page. Ties go to the smaller bundle. What a page offers is worked out once, a row a page, and then joined: items that share a page
+    don't multiply its bundles."""
+    rule = F.lit(default)
+    for name, what in rules.items():
+        rule = F.when(F.col(family) == name, what).otherwise(rule)
+    asked = items.select(item, F.col(pages).alias("__pages"), F.get(pages, F.lit(0)).alias("__page"), rule.alias("__rule"))
+    up = F.struct("tier", "bundle", "band")
+    down = F.struct((-F.col("tier")).alias("down"), F.col("bundle"))
+    ordered = Window.partitionBy("page").orderBy("tier", "bundle")
+    # a page's bundles are as many as hold it; they are ranked, not gathered
+    ranked = places.withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy("page")), "__nth": F.row_number().over(ordered)})
+    offers = ranked.groupBy(F.col("page").alias("__page")).agg(
+        F.min(F.when(F.col("band") == "early", up)).alias("early"),
+        F.min(F.when(F.col("band") == "late", down)).alias("late"),
+        F.min(F.when(F.col("__nth") == F.floor(F.col("__n") / 2) + 1, up)).alias("middle"),
+    )
+    told = lambda bundle, tier, position: F.struct(bundle.alias("bundle"), tier.alias("tier"), position.alias("position"))
+    of = F.when((F.col("__rule") == "early") & F.col("early").isNotNull(), told(F.col("early.bundle"), F.col("early.tier"), F.lit("early")))
+    of = of.when((F.col("__rule") == "late") & F.col("late").isNotNull(), told(F.col("late.bundle"), (-F.col("late.down")).cast(places.schema["tier"].dataType), F.lit("late")))
+    of = of.when((F.col("__rule") == "middle") & F.col("middle").isNotNull(), told(F.col("middle.bundle"), F.col("middle.tier"), F.col("middle.band")))
+    one = asked.filter("__rule <> 'all'").join(offers, "__page", "left").select(item, of.alias("__at"))
+    several = asked.filter("__rule = 'all'")
+    wanted = several.select(item, F.size(F.array_distinct("__pages")).alias("__n"), F.explode(F.array_distinct("__pages")).alias("page"))
+    met = wanted.join(places.select("page", "bundle", "tier").distinct(), "page").groupBy(item, "__n", "bundle", "tier").agg(F.count(F.lit(1)).alias("__met")).filter("__met = __n")
+    best = met.groupBy(item).agg(F.min(F.struct((-F.col("tier")).alias("down"), F.col("bundle"), F.col("tier"))).alias("__b"))
+    many = several.select(item).join(best, item, "left").select(item, F.when(F.col("__b").isNotNull(), told(F.col("__b.bundle"), F.col("__b.tier"), F.lit("multi"))).alias("__at"))
+    return one.unionByName(many).select(item, "__at.bundle", "__at.tier", "__at.position")
+
+
+__all__ = ["running", "prefix_pack", "prefill", "cyclic", "band", "blocks", "interleaved", "covers", "largest_covering", "attached"]

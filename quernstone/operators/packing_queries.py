@@ -166,6 +166,17 @@ def d17(spark, d):
     return docs.select("doc_id", F.when(F.col("lang") == "en", F.col("a")).when(F.col("lang") == "de", F.col("z")).alias("tier"))
 
 
+@query("d17_attach", TIERS + BANDS[len(RUN):] + """, f AS (SELECT source, min(doc_id) AS f FROM r GROUP BY 1), o AS (SELECT t.doc_id, t.source, min(tier) AS a, max(tier) AS z, max(CASE WHEN up = n // 2 + 1 THEN tier END) AS m FROM t GROUP BY 1, 2),
+p AS (SELECT d.doc_id, d.source, CASE d.lang WHEN 'en' THEN CASE WHEN band = 'early' THEN a END WHEN 'de' THEN CASE WHEN band = 'late' THEN z END WHEN 'fr' THEN z ELSE m END AS tier, CASE d.lang WHEN 'en' THEN 'early' WHEN 'de' THEN 'late' WHEN 'fr' THEN 'multi' ELSE band END AS position FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id)
+SELECT doc_id, CASE WHEN tier IS NOT NULL THEN source END AS bundle, tier, CASE WHEN tier IS NOT NULL THEN position END AS position FROM p""")
+def d17_attach(spark, d):
+    """Documents as items and pages, bundles by source and tier; an item of the third family needs its source's first document as well."""
+    where = tiered(spark, d).join(banded(spark, d).select("doc_id", "band"), "doc_id").select(F.col("source").alias("bundle"), "tier", F.col("doc_id").alias("page"), "band")
+    first = parts(spark, d).groupBy("source").agg(F.min("doc_id").alias("first"))
+    items = parts(spark, d).join(first, "source").select("doc_id", "lang", F.when(F.col("lang") == "fr", F.array("doc_id", "first")).otherwise(F.array("doc_id")).alias("pages"))
+    return K.attached(items, where, "doc_id", "lang", "pages", {"en": "early", "de": "late", "fr": "all"})
+
+
 @query("d18_coverage", BANDS + " SELECT band, count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS bundles FROM b GROUP BY 1")
 def d18(spark, d):
     return banded(spark, d).groupBy("band").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("source").alias("bundles"))

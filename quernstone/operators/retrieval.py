@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import token_total, tokens
+from ..functions.text import quotes, squeezed, token_total, tokens
 from .numbering import checkpointed
 
 
@@ -354,3 +354,16 @@ def embedded(df: DataFrame, id_col: str, text_col: str, provider, batch: int = 2
 
     schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def non_quote_slice(items: DataFrame, bundles: DataFrame, item: str, question: str, pages: str, bundle: str, text: str, have: str, style: str, styles: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(slice, missing): the first `most` items of the given styles whose bundle has one of their pages and none of the spans they quote;
+    and the bundles that items of those styles name but that are not there, with how many items go for it: a slice without them is not whole.
+
+    Items without a bundle or pages take no part. Only items with quotes meet their bundle's text."""
+    fit = items.filter(F.col(style).isin(styles) & F.col(bundle).isNotNull() & (F.size(pages) > 0)).withColumn("__q", F.array_distinct(quotes(F.col(question))))
+    missing = fit.join(bundles.select(bundle), bundle, "left_anti").groupBy(bundle).agg(F.count(F.lit(1)).alias("n_items"))
+    met = fit.join(bundles.select(bundle, F.col(have).alias("__have")), bundle).filter(F.arrays_overlap(pages, "__have")).drop("__have")
+    spans = met.select(item, bundle, F.explode("__q").alias("__span"))
+    quoting = spans.join(bundles.select(bundle, squeezed(F.col(text)).alias("__text")), bundle).filter(F.contains("__text", F.col("__span"))).select(item).distinct()
+    return met.join(quoting, item, "left_anti").drop("__q").orderBy(item).limit(most), missing

@@ -182,6 +182,30 @@ def r15(spark, d):
     return b.join(g, "item_id").filter(F.size(quotes(F.col("text"))) == 0).select("item_id", "n_gold")
 
 
+_ASKED = f"""i AS (SELECT l.doc_id, CASE l.doc_id % 3 WHEN 0 THEN 'Who said "' || substr(d.text, 3, 18) || '"?' WHEN 1 THEN 'Who said "never in any text"?' ELSE 'Who?' END AS question, CASE WHEN l.doc_id % 2 = 0 THEN 'user' WHEN l.doc_id % 5 = 0 THEN 'analyst' ELSE 'cloze' END AS style, d.text, l.doc_id % 11 = 0 AS gone, l.doc_id % 7 <> 0 AS has FROM (SELECT DISTINCT doc_id FROM labels) l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def asked_items(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id")
+    k = F.col("doc_id")
+    question = F.when(k % 3 == 0, F.concat(F.lit('Who said "'), F.substring("text", 3, 18), F.lit('"?'))).when(k % 3 == 1, 'Who said "never in any text"?').otherwise("Who?")
+    style = F.when(k % 2 == 0, "user").when(k % 5 == 0, "analyst").otherwise("cloze")
+    items = docs.select(k, question.alias("question"), F.array(k).alias("pages"), k.alias("bundle"), style.alias("style"))
+    bundles = docs.filter(k % 11 != 0).select(k.alias("bundle"), "text", F.when(k % 7 != 0, F.array(k)).otherwise(F.array().cast("array<long>")).alias("have"))
+    return R.non_quote_slice(items, bundles, "doc_id", "question", "pages", "bundle", "text", "have", "style", ["user", "analyst"], 120)
+
+
+@query("r15_non_quote_slice", f"""WITH {_ASKED} SELECT doc_id, style FROM i WHERE style <> 'cloze' AND NOT gone AND has AND len(list_filter(list_transform(regexp_extract_all(question, '[\"''‘’“”]([^\"''‘’“”]+)[\"''‘’“”]', 1), lambda s: regexp_replace(s, '{SPACE}+', '', 'g')), lambda s: length(s) >= 5 AND contains(regexp_replace(i.text, '{SPACE}+', '', 'g'), s))) = 0 ORDER BY doc_id LIMIT 120""")
+def r15_slice(spark, d):
+    """Questions of two styles about documents, some of which quote theirs."""
+    return asked_items(spark, d)[0].select("doc_id", "style")
+
+
+@query("r15_missing_bundles", f"WITH {_ASKED} SELECT doc_id AS bundle, count(*) AS n_items FROM i WHERE style <> 'cloze' AND gone GROUP BY 1")
+def r15_missing(spark, d):
+    return asked_items(spark, d)[1]
+
+
 _RANKS = f"WITH {BM}, {GOLD}, h AS (SELECT b.item_id, min(r.rank) AS best FROM benchmark b JOIN g ON g.item_id = b.item_id LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.rank <= 10 GROUP BY 1)"
 
 

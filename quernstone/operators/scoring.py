@@ -23,6 +23,22 @@ def legacy_correct(metric: Column, pred: Column, gold: Column, gold_numbers: Col
     return F.when(F.coalesce(p, F.lit("")) == "", False).otherwise(F.when(metric == "abstain", said).when(metric == "number", numeric).otherwise(either))
 
 
+def listed_ids(lines: DataFrame, column: str = "value", field: str = "id") -> DataFrame:
+    """M5: (id: string), each once, of the lines of an ids file: an id a line, or JSON objects with the id in a field, so that a file of predictions
+    serves as well. An object without the field is left out; what begins like an object and is none counts as an id. Blank lines are none."""
+    line = F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    broken = F.try_parse_json(line).isNull()
+    ids = F.when(F.startswith(line, F.lit("{")) & ~broken, F.get_json_object(line, f"$.{field}")).otherwise(line)
+    return lines.select(ids.alias("id")).filter("id <> ''").distinct()
+
+
+def subset(gold: DataFrame, key: str, ids: DataFrame | None = None, predictions: DataFrame | None = None) -> DataFrame:
+    """M5: the gold rows among the listed ids (`listed_ids`) and, if predictions are given, with one of these. Keys are compared as text."""
+    for kept in [x for x in (ids.select(F.col("id").alias("__id")) if ids is not None else None, predictions.select(F.col(key).cast("string").alias("__id")) if predictions is not None else None) if x is not None]:
+        gold = gold.join(kept, F.col(key).cast("string") == F.col("__id"), "left_semi")
+    return gold
+
+
 def token_recall(pred: Column, gold: Column) -> Column:
     """M3: the share of the gold's token set that the prediction has; no token: 0."""
     g = token_set(gold)

@@ -59,6 +59,15 @@ def m5(spark, d):
     return table(spark, d, "labels").select("doc_id", "quality").join(ids, "doc_id", "left_semi")
 
 
+@query("m5_listed_subset", "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')) AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 700)")
+def m5_listed(spark, d):
+    """Gold rows by the lines of an ids file, half of them bare ids and half JSON with blanks around, and by predictions."""
+    docs = table(spark, d, "documents")
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("doc_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("doc_id").alias("id"), F.lit("x").alias("text"))))
+    ids = M.listed_ids(docs.filter("lang IN ('en', 'de')").select(line.alias("value")))
+    return M.subset(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", ids, docs.filter("n_chars > 700").select("doc_id"))
+
+
 GRADED = "g AS (SELECT l.doc_id, lang, source, (quality = 1) = (n_chars > 500) AS ok, CASE WHEN l.doc_id % 5 = 0 THEN NULL ELSE 1.0::DOUBLE / (1 + l.doc_id % 3) END AS w FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import assemble, dedup, extract, generate, numbering, packing, retrieval, scoring
+from quernstone.operators import assemble, dedup, extract, gates, generate, numbering, packing, retrieval, scoring
 from quernstone.plans.predicate import Predicate, condition, real, recompute, whole
 from quernstone.sources import sinks, tables
 
@@ -261,6 +261,32 @@ def test_nested_caps_equal_the_loop(spark):
     assert sorted(r.i for r in generate.nested_caps(df, "g", ["i"], caps).collect()) == want
 
 
+def test_attached(spark):
+    places = spark.createDataFrame([("a", 8, 1, "early"), ("b", 32, 1, "early"), ("c", 32, 1, "late"), ("d", 128, 1, "late"), ("d", 128, 2, "early"), ("b", 32, 2, "late")], "bundle string, tier int, page long, band string")
+    rows = [(1, "e", [1]), (2, "l", [1]), (3, "m", [2, 1]), (4, "m", [1, 9]), (5, "x", [1]), (6, "l", [7]), (7, None, [2]), (8, "e", []), (9, "m", None)]
+    items = spark.createDataFrame(rows, "item long, family string, pages array<long>")
+    got = {r.item: (r.bundle, r.tier, r.position) for r in packing.attached(items, places, "item", "family", "pages", {"e": "early", "l": "late", "m": "all"}).collect()}
+    nothing = (None, None, None)
+    assert got == {1: ("a", 8, "early"), 2: ("d", 128, "late"), 3: ("d", 128, "multi"), 4: nothing, 5: ("c", 32, "late"), 6: nothing, 7: ("d", 128, "early"), 8: nothing, 9: nothing}
+
+
+def test_subset_by_listed_ids(spark):
+    lines = spark.createDataFrame([(x,) for x in ["1", " 2 ", '{"id": 3}', '{"id": "4", "p": {}}', "{broken", '{"no": 5}', "", None, "1"]], "value string")
+    ids = scoring.listed_ids(lines)
+    assert sorted(r.id for r in ids.collect()) == ["1", "2", "3", "4", "{broken"]
+    gold, preds = spark.range(1, 7).toDF("k"), spark.createDataFrame([("2",), ("4",), ("6",)], "k string")
+    kept = lambda *x: sorted(r.k for r in scoring.subset(gold, "k", *x).collect())
+    assert (kept(ids), kept(None, preds), kept(ids, preds), kept()) == ([1, 2, 3, 4], [2, 4, 6], [2, 4], [1, 2, 3, 4, 5, 6])
+
+
+def test_scanned_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.md").write_text("fine\nclick onclick here\nonclick")
+    (tmp_path / "deep" / "b.txt").write_text("serviceKey=1")
+    got = sorted((r.file.rpartition("/")[2], r.term) for r in gates.scanned_files(spark, str(tmp_path), ["onclick", "serviceKey", "none"]).collect())
+    assert got == [("a.md", "onclick"), ("b.txt", "serviceKey")]
+
+
 def test_facts(spark):
     df = spark.createDataFrame([(1, "ab 12 cd 345")], "i long, t string")
     assert [(r.ord, r.value, r.start, r.snippet) for r in extract.facts(df, "i", "t", "[0-9]+", 3).collect()] == [(0, "12", 3, "ab 12 cd"), (1, "345", 9, "cd 345")]
