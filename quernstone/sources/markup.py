@@ -1,7 +1,6 @@
 """Pages as trees of rows (S12, S10): nodes with intervals, selections of elements, their texts, grids of tables.
 
-A node's descendants are those of its page with `pre` up to its `last`, so that what lies inside what is a range join: it goes by
-the aligned powers of two that make up an interval, an equal join whose size is that of its result times a logarithm."""
+A node's descendants are those of its page with `pre` up to its `last`: what lies inside what is found as nodes stream by in page order."""
 
 from __future__ import annotations
 
@@ -167,40 +166,97 @@ def chosen(tag: str | None = None, cls: str | None = None, **attributes: str) ->
     return ok
 
 
-def _covers(first: Column, last: Column) -> Column:
-    """The aligned blocks (level, block) that make up an interval of numbers from 1: two a level at most."""
-    def level(n):
-        size = F.pow(F.lit(2.0), n)
-        low, high = F.floor((first + size - 1) / size).cast("long"), F.floor((last + 1) / size).cast("long")
-        left = F.when((low < high) & (low % 2 == 1), F.struct(n.alias("level"), low.alias("block")))
-        right = F.when((low < high) & (high % 2 == 1), F.struct(n.alias("level"), (high - 1).alias("block")))
-        return F.array(left, right)
+def inside(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
+    """(key, outer: struct, inner: struct): every pair of nodes of a page of which the second lies in the first, at any depth, nested ones as well.
 
-    levels = F.sequence(F.lit(0), F.floor(F.log2(last + 1)).cast("int"))
-    return F.filter(F.flatten(F.transform(levels, level)), lambda x: x.isNotNull())
+    Both go once through the shuffle, by page, and stream by in page order past the outer nodes that are open."""
+    held = lambda df: F.struct(*[c for c in df.columns if c != key])
+    a = outer.select(key, "pre", "last", F.lit(1).alias("kind"), held(outer).alias("outer"))
+    b = inner.select(key, "pre", F.col("pre").alias("last"), F.lit(0).alias("kind"), held(inner).alias("inner"))
+    schema = T.StructType([a.schema[key], T.StructField("outer", a.schema["outer"].dataType), T.StructField("inner", b.schema["inner"].dataType)])
+    every = a.unionByName(b, allowMissingColumns=True).filter(F.col(key).isNotNull())
+    # a node does not lie in itself: at equal places the inner one comes first
+    return every.repartition(key).sortWithinPartitions(key, "pre", "kind").mapInArrow(_paired, schema)
 
 
-def _blocks(number: Column) -> Column:
-    """The aligned blocks (level, block) that hold a number from 1."""
-    at = lambda n: F.struct(n.alias("level"), F.floor(number / F.pow(F.lit(2.0), n)).cast("long").alias("block"))
-    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(number)).cast("int")), at)
+def _paired(batches: Iterator[pa.RecordBatch], most: int = 65536) -> Iterator[pa.RecordBatch]:
+    """Pairs of an open node and one inside it, from the nodes of both kinds in page order; open nodes alone are held from batch to batch."""
+    page, ends, held = None, [], None
+    for b in batches:
+        outer = b.column("outer")
+        pool = outer if held is None else pa.concat_arrays([held, outer])
+        # places in the pool of the nodes that are open, beside their ends
+        first, at, made = len(pool) - len(outer), list(range(len(ends))), ([], [])
+
+        def pairs() -> pa.RecordBatch:
+            of = pa.array(made[1], pa.int64())  # noqa: B023
+            return pa.RecordBatch.from_arrays([b.column(0).take(of), pool.take(pa.array(made[0], pa.int64())), b.column("inner").take(of)], names=[b.schema.names[0], "outer", "inner"])  # noqa: B023
+
+        for i, (k, pre, last, kind) in enumerate(zip(*(b.column(c).to_pylist() for c in (b.schema.names[0], "pre", "last", "kind")), strict=True)):
+            if k != page:
+                page, ends, at = k, [], []
+            while ends and ends[-1] < pre:
+                ends.pop()
+                at.pop()
+            if kind:
+                ends.append(last)
+                at.append(first + i)
+                continue
+            made[0].extend(at)
+            made[1].extend([i] * len(at))
+            if len(made[0]) >= most:
+                yield pairs()
+                made = ([], [])
+        if made[0]:
+            yield pairs()
+        held = pool.take(pa.array(at, pa.int64()))
 
 
-def inside(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
-    """(key, outer: struct, inner: struct): every pair of nodes of a page of which the second lies in the first, at any depth, nested ones as well."""
-    a = outer.select(key, F.struct(*[c for c in outer.columns if c != key]).alias("outer"), F.explode(_covers(F.col("pre") + 1, F.col("last"))).alias("at"))
-    b = inner.select(key, F.struct(*[c for c in inner.columns if c != key]).alias("inner"), F.explode(_blocks(F.col("pre"))).alias("at"))
-    return a.join(b, [key, "at"]).drop("at")
+def _in_page_order(tree: DataFrame, key: str, *columns: str | Column) -> DataFrame:
+    return tree.filter(F.col(key).isNotNull()).select(key, "pre", "last", *columns).repartition(key).sortWithinPartitions(key, "pre")
 
 
 def texts(tree: DataFrame, key: str, wanted: Column, sep: str = "\n") -> DataFrame:
     """(key, pre, text): the text of each wanted element: its pieces, decoded and trimmed, empty ones and scripts left out, in order.
 
-    An element without text has no row; one inside another wanted one is told with it and on its own. An element's pieces are of one page."""
-    pieces = tree.filter((F.col("tag") == "#text") & (F.regexp_replace("text", r"(?U)\s+", "") != "")).select(key, "pre", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"))
-    met = inside(tree.filter(wanted).select(key, "pre", "last"), pieces, key)
-    made = met.groupBy(key, F.col("outer.pre").alias("pre")).agg(F.array_sort(F.collect_list("inner")).alias("p"))
-    return made.select(key, "pre", F.array_join(F.transform("p", lambda x: x["text"]), sep).alias("text"))
+    An element without text has no row; one inside another wanted one is told with it and on its own. Pieces stream by in page order and
+    go once through the shuffle; the texts of open elements are held."""
+    piece = (F.col("tag") == "#text") & (F.regexp_replace("text", r"(?U)\s+", "") != "")
+    nodes = tree.filter(wanted | piece).withColumn("text", F.when(piece, F.regexp_replace("text", r"(?U)^\s+|\s+$", "")))
+    return _in_page_order(nodes, key, "text").mapInArrow(_said(sep), T.StructType([tree.schema[key], *T._parse_datatype_string("pre long, text string").fields]))
+
+
+def _said(sep: str, batch: int = 8192):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, stack, rows, schema = None, [], [], None
+
+        def close(before: int | None) -> None:
+            while stack and (before is None or stack[-1][1] < before):
+                pre, _, pieces = stack.pop()
+                if pieces:
+                    rows.append((page, pre, sep.join(pieces)))
+
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+            rows.clear()
+            return made
+
+        for b in batches:
+            names, schema = [b.schema.names[0], "pre", "text"], [b.schema.field(0).type, pa.int64(), pa.string()]
+            for k, pre, last, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                close(None if k != page else pre)
+                page = k
+                if text is None:
+                    stack.append((pre, last, []))
+                for _, _, pieces in stack if text is not None else ():
+                    pieces.append(text)
+                if len(rows) >= batch:
+                    yield told()
+        close(None)
+        if rows:
+            yield told()
+
+    return run
 
 
 def table_cells(tree: DataFrame, key: str, least: int = 2) -> DataFrame:
@@ -208,19 +264,14 @@ def table_cells(tree: DataFrame, key: str, least: int = 2) -> DataFrame:
 
     Only tables of at least `least` rows and as many cells in the first row. A cell that spans columns fills only the first of them and moves
     those after it; one that spans rows moves those of later rows the same way. White space of a cell becomes single spaces.
-    A cell inside a table inside a cell is of the inner table, and its text is of the outer cell as well."""
-    tables = tree.filter(F.col("tag") == "table").select(key, "pre", "last")
-    lines = tree.filter(F.col("tag").isin("tr", "td", "th")).select(key, "pre", "tag", "attributes")
-    # the innermost table that holds a row or a cell
-    own = inside(tables, lines, key).groupBy(key, F.col("inner.pre").alias("pre")).agg(F.max("outer.pre").alias("table"), F.first("inner.tag").alias("tag"), F.first("inner.attributes").alias("attributes"))
+    A cell inside a table inside a cell is of the inner table, and its text is of the outer cell as well.
+    Nodes go once through the shuffle, by page, and cells once more; nothing is broadcast."""
     span = lambda name: F.greatest(F.lit(1), F.least(F.lit(1000), F.coalesce(F.expr(f"try_cast(attributes['{name}'] AS int)"), F.lit(1))))
-    said = texts(tree, key, F.col("tag").isin("td", "th"), " ").select(key, "pre", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
-    cells = own.join(said, [key, "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = Window.partitionBy(key, "table").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = cells.withColumn("row_no", F.sum((F.col("tag") == "tr").cast("long")).over(rows) - 1).filter("tag <> 'tr' AND row_no >= 0")
-    grid = numbered.select(key, "table", "row_no", "pre", span("colspan").alias("wide"), span("rowspan").alias("high"), "text")
+    nodes = tree.filter(F.col("tag").isin("table", "tr", "td", "th", "#text"))
     schema = T.StructType([tree.schema[key], *T._parse_datatype_string("table long, row_no long, col_no long, text string").fields])
-    placed = grid.repartition(key, "table").sortWithinPartitions(key, "table", "pre").mapInArrow(_placed, schema)
+    placed = _in_page_order(nodes, key, "tag", span("colspan").alias("wide"), span("rowspan").alias("high"), "text").mapInArrow(_placed, schema)
+    # by page, so that every window below finds its rows together
+    placed = placed.repartition(key).withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
     whole, down, along = Window.partitionBy(key, "table"), Window.partitionBy(key, "table", "col_no").orderBy("row_no"), Window.partitionBy(key, "table", "row_no").orderBy("col_no")
     head = F.when(F.first("row_no").over(down) == 0, F.first("text").over(down)).otherwise("")
     side = F.when(F.first("col_no").over(along) == 0, F.first("text").over(along)).otherwise("")
@@ -230,20 +281,50 @@ def table_cells(tree: DataFrame, key: str, least: int = 2) -> DataFrame:
     return kept.select(key, nth.alias("table_no"), "row_no", "col_no", "text", "row_header", "col_header")
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns that cells come to stand in, past those that reach down from rows above; tables stream by, one after the other."""
-    table, row, col, until = None, -1, 0, {}
+def _placed(batches: Iterator[pa.RecordBatch], batch: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The cells of tables, each as it ends: its innermost table, its row there, the column that it comes to stand in, past those that reach
+    down from rows above, and its text. Nodes come in page order; what is open is held."""
+    page, tables, cells, rows = None, [], [], []
+
+    def close(before: int | None) -> None:
+        while cells and (before is None or cells[-1][0] < before):
+            _, at, pieces = cells.pop()
+            if at:
+                rows.append((page, *at, " ".join(pieces)))
+        while tables and (before is None or tables[-1]["last"] < before):
+            tables.pop()
+
+    def told() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [kind, pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=[name, "table", "row_no", "col_no", "text"])
+        rows.clear()
+        return made
+
     for b in batches:
-        key = b.schema.names[0]
-        columns = []
-        for *at, r, wide, high in zip(*(b.column(c).to_pylist() for c in (key, "table", "row_no", "wide", "high")), strict=True):
-            if at != table:
-                table, row, until = at, -1, {}
-            if r != row:
-                row, col = r, 0
-            while until.get(col, 0) > r:
-                col += 1
-            columns.append(col)
-            until.update(dict.fromkeys(range(col, col + wide), r + high))
-            col += wide
-        yield pa.RecordBatch.from_arrays([b.column(key), b.column("table"), b.column("row_no"), pa.array(columns, pa.int64()), b.column("text")], names=[key, "table", "row_no", "col_no", "text"])
+        name, kind = b.schema.names[0], b.schema.field(0).type
+        for k, pre, last, tag, wide, high, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            close(None if k != page else pre)
+            page = k
+            if tag == "#text":
+                for _, _, pieces in cells:
+                    pieces.append(text)
+            elif tag == "table":
+                tables.append({"pre": pre, "last": last, "row": -1, "col": 0, "until": {}})
+            elif tag == "tr":
+                if tables:
+                    tables[-1]["row"] += 1
+                    tables[-1]["col"] = 0
+            else:
+                at = None
+                if tables and (t := tables[-1])["row"] >= 0:
+                    col, row, until = t["col"], t["row"], t["until"]
+                    while until.get(col, 0) > row:
+                        col += 1
+                    until.update(dict.fromkeys(range(col, col + wide), row + high))
+                    t["col"] = col + wide
+                    at = t["pre"], row, col
+                cells.append((last, at, []))
+            if len(rows) >= batch:
+                yield told()
+    close(None)
+    if rows:
+        yield told()

@@ -81,3 +81,23 @@ def test_any_page_is_a_tree():
                 up.pop()
             assert depth == len(up) and last >= pre and (not up or last <= up[-1])
             up.append(last)
+
+
+def test_pages_are_read_once_and_nothing_is_joined(spark):
+    t = tree(spark, "<table><tr><td>a<td>b<tr><td>c<td>d</table>")
+    for made in (M.table_cells(t, "id"), M.texts(t, "id", M.chosen("td")), M.inside(t.filter("tag = 'tr'").select("id", "pre", "last"), t.select("id", "pre"), "id")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan
+    assert M.table_cells(t, "id")._jdf.queryExecution().executedPlan().toString().count("MapInArrow run") == 1
+
+
+def test_pairs_over_batches(spark):
+    page = "<b><i>" + "<u></u>" * 50 + "</i></b><u></u>"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        t = tree(spark, page, page)
+        got = M.inside(t.filter("tag IN ('b', 'i')"), t.filter("tag = 'u'").select("id", "pre"), "id").groupBy("id", "outer.tag").count().collect()
+        assert sorted(map(tuple, got)) == [(0, "b", 50), (0, "i", 50), (1, "b", 50), (1, "i", 50)]
+        assert said(spark, M.chosen("b"), "<b>1<i>2</i>3<i>4</b>5") == [(0, "1\n2\n3\n4")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
