@@ -20,7 +20,7 @@ def public(df: DataFrame, allowed: list[str]) -> Column:
 
 
 def united(sources: list[tuple[str, DataFrame]], key: str, order: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """A2: (kept, dropped): rows of ranked sources, the first of each key with sequential ids; the rest with their source."""
+    """A2: (kept, dropped): rows of ranked sources, the first of each key with sequential numbers (qa_no) and ids; the rest with their source."""
     every = None
     for rank, (name, df) in enumerate(sources):
         marked = df.withColumns({"origin": F.lit(name), "__rank": F.lit(rank)})
@@ -28,7 +28,7 @@ def united(sources: list[tuple[str, DataFrame]], key: str, order: str, prefix: s
     nth = F.row_number().over(Window.partitionBy(key).orderBy("__rank", order))
     ranked = every.withColumn("__r", nth)
     kept = ranked.filter("__r = 1")
-    kept = numbered(kept, ["__rank", order], "__number").withColumn("qa_id", F.format_string(f"{prefix}_%04d", "__number")).drop("__r", "__rank", "__number")
+    kept = numbered(kept, ["__rank", order], "qa_no").withColumn("qa_id", F.format_string(f"{prefix}_%04d", "qa_no")).drop("__r", "__rank")
     return kept, ranked.filter("__r > 1").drop("__r", "__rank")
 
 

@@ -27,10 +27,10 @@ def signature(c: Column, family: Column) -> Column:
 
 
 def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
-    """cluster_id by first appearance, from 0, size and weight. Signatures are numbered once each, not rows."""
+    """cluster_no by first appearance, from 0, cluster_id, size and weight. Signatures are numbered once each, not rows."""
     first = df.groupBy(sig).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("cluster_size"))
-    digits = (F.col("__number") - 1).cast("string")
-    named = numbered(first, ["__first"], "__number").withColumn("cluster_id", F.concat(F.lit("clu_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))).drop("__number")
+    digits = F.col("cluster_no").cast("string")
+    named = numbered(first, ["__first"], "__number").withColumn("cluster_no", F.col("__number") - 1).withColumn("cluster_id", F.concat(F.lit("clu_"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))).drop("__number")
     return df.join(named.withColumn("cluster_weight", F.round(1 / F.col("cluster_size"), 6)).drop("__first"), sig)
 
 

@@ -309,3 +309,25 @@ def test_references_without_a_semicolon_stay(spark):
     """As the SQL has it."""
     assert one(spark, X.unescaped(F.col("t")), t="a&amp b &copy; c&copy &notit; &eacute;") == "a&amp b © c&copy &notit; é"
     assert one(spark, X.clean_title(F.col("t")), t="ver&amp &nbsp;") == "ver&amp"
+
+
+@pytest.fixture
+def many_documents(spark, tmp_path):
+    """10,050 documents of different texts in two languages, and some copies."""
+    k = F.col("id")
+    docs = spark.range(10100).select(k.alias("doc_id"), F.concat(F.lit("line of "), F.translate((k % 10050).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["a2_union_keep_first", "n2_clusters"])
+def test_numbers_of_five_digits_agree_with_sql(spark, many_documents, name):
+    import duckdb
+
+    from quernstone import catalog
+
+    got = catalog.queries()[name](spark, many_documents)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{many_documents}/documents.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
