@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .numbering import checkpointed, numbered
@@ -35,6 +37,16 @@ def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
 
 
 COMMON = 2000
+#: Longs of a set's parities.
+PARITIES = 4
+
+
+def parities(w: Column, n: int = PARITIES) -> list[Column]:
+    """64 * n bits of a set of hashes: whether an odd number of members falls on each. Two sets' bits differ no oftener than their members do."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    at = lambda x: F.pmod(F.shiftright(x, 6), F.lit(n))
+    part = lambda i: F.aggregate(w, F.lit(0).cast("long"), lambda a, x: F.when(at(x) == i, a.bitwiseXOR(bit(x))).otherwise(a))
+    return [part(i) for i in range(n)]
 
 
 def summary(sizes: DataFrame, sig: str, largest: int = 5) -> DataFrame:
@@ -50,27 +62,32 @@ def last_matches(df: DataFrame, id_col: str, family: str, words: Column, least:
 
     Prefix filter: in one order of all words, with J >= t, two sets share one of their first (1 - t) * n + 1 words, so only sets that meet
     in such a word are compared, and of these only those whose sizes, and places of the word, leave room for the similarity. Any order is
-    right; words that a sixteenth of the sets shows to be common (COMMON at most) come last, so that few prefixes hold them."""
+    right; words that a sixteenth of the sets shows to be common (COMMON at most) come last, so that few prefixes hold them. Candidates whose
+    parities differ oftener than such sets can are left out before whole sets are sent."""
     rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
     sid = F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(family, F.lit("")), F.array_join("w", " ")), 256))
     rows = checkpointed(rows.select("id", sid.alias("sid"), F.col(family).alias("fam"), F.array_sort(F.transform("w", lambda t: F.xxhash64(t))).alias("w")))
     # read several times below: written once
-    sets = checkpointed(rows.groupBy("sid").agg(F.first("fam").alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")))
+    sets = checkpointed(rows.groupBy("sid").agg(F.first("fam").alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")).withColumn("k", F.monotonically_increasing_id()))
     shown = sets.filter(F.pmod(F.xxhash64("sid"), F.lit(16)) == 0).select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     common = shown.filter("df >= 8").orderBy(F.desc("df"), "t").limit(COMMON).agg(F.collect_list("t").alias("c")).scalar()
-    ordered = sets.select("sid", "fam", "w", common.alias("c")).select("sid", "fam", F.size("w").alias("n"), F.concat(F.array_except("w", "c"), F.array_intersect("w", "c")).alias("o"))
+    bits = [f"p{i}" for i in range(PARITIES)]
+    ordered = sets.select("k", "fam", "w", *[p.alias(c) for p, c in zip(parities(F.col("w")), bits, strict=True)], common.alias("c"))
+    ordered = ordered.select("k", "fam", *bits, F.size("w").alias("n"), F.concat(F.array_except("w", "c"), F.array_intersect("w", "c")).alias("o"))
     length = (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")
-    heads = checkpointed(ordered.select("sid", "fam", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "t")))
-    b = heads.select(*[F.col(c).alias(f"{c}2") for c in heads.columns])
-    room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
+    heads = checkpointed(ordered.select("k", "fam", *bits, "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "t")))
+    b = heads.select(*[F.col(c).alias(f"{c}_2") for c in heads.columns])
+    room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_2") - F.col("at_2") - 1)
     # J >= t asks for t / (1 + t) of both sizes in common; the first common word stands at such places
-    fits = (F.least("n", "n2") >= least * F.greatest("n", "n2")) & (room + F.least("at", "at2") >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
-    pairs = heads.join(b, F.col("fam").eqNullSafe(F.col("fam2")) & (F.col("t") == F.col("t2")) & (F.col("sid") < F.col("sid2")) & fits).select("sid", "sid2").distinct()
-    one, two = sets.select("sid", "w", "last"), sets.select(F.col("sid").alias("sid2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
+    fits = (F.least("n", "n_2") >= least * F.greatest("n", "n_2")) & (room + F.least("at", "at_2") >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-9)
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in bits])
+    fits = fits & (unlike <= (1 - least) / (1 + least) * (F.col("n") + F.col("n_2")) + 1e-9)
+    pairs = heads.join(b, F.col("fam").eqNullSafe(F.col("fam_2")) & (F.col("t") == F.col("t_2")) & (F.col("k") < F.col("k_2")) & fits).select("k", "k_2").distinct()
+    one, two = sets.select("k", "w", "last"), sets.select(F.col("k").alias("k_2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
     share = F.size(F.array_intersect("w", "w2"))
-    close = checkpointed(pairs.join(one, "sid").join(two, "sid2").filter(share >= least * (F.size("w") + F.size("w2") - share)).select("sid", "sid2", "last", "last2"))
-    every = sets.select("sid", "last").union(close.select("sid", "last2")).union(close.select("sid2", "last"))
-    return rows.select("id", "sid"), every.groupBy("sid").agg(F.max("last").alias("last"))
+    close = checkpointed(pairs.join(one, "k").join(two, "k_2").filter(share >= least * (F.size("w") + F.size("w2") - share)).select("k", "k_2", "last", "last2"))
+    every = sets.select("k", "last").union(close.select("k", "last2")).union(close.select("k_2", "last"))
+    return rows.select("id", "sid"), every.groupBy("k").agg(F.max("last").alias("last")).join(sets.select("k", "sid"), "k").select("sid", "last")
 
 
 def with_later_match(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> DataFrame:

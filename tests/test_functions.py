@@ -331,3 +331,31 @@ def test_numbers_of_five_digits_agree_with_sql(spark, many_documents, name):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{many_documents}/documents.parquet/*.parquet'")
     want = c.sql(catalog.oracle_sql()[name])
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_parities_never_differ_oftener_than_members(spark):
+    """A lossless filter, and one that tells unlike sets apart."""
+    rng = random.Random(3)
+    member = lambda: rng.getrandbits(64) - 2**63
+    pairs = []
+    for n, other in [(1, 1), (30, 2), (200, 12), (200, 200), (0, 3), (5, 0)]:
+        both = [member() for _ in range(n)]
+        pairs.append((both + [member() for _ in range(other)], both + [member() for _ in range(other // 2)]))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    unlike = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(dedup.parities(F.col("a")), dedup.parities(F.col("b")), strict=True)), F.lit(0))
+    got = [r[0] for r in df.select(unlike).collect()]
+    true = [len(set(a) ^ set(b)) for a, b in pairs]
+    assert all(g <= t and (t - g) % 2 == 0 for g, t in zip(got, true, strict=True)) and got[3] > 60
+
+
+def test_jaccard_links_by_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        base = rng.sample(words, 60) if i % 4 == 0 else [w for w in base if rng.random() > 0.03]
+        rows.append((i, "f" if i % 8 < 4 else None, " ".join(base)))
+    sets = [(i, f, set(t.split())) for i, f, t in rows]
+    want = {i for i, f, a in sets for j, g, b in sets if f == g and i < j and len(a & b) >= 0.92 * len(a | b)}
+    df = spark.createDataFrame(rows, "i long, f string, t string")
+    assert {r.id for r in dedup.with_later_match(df, "i", "f", F.split("t", " "), 0.92).collect()} == want and len(want) > 20
