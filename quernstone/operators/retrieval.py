@@ -177,18 +177,90 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(queries: DataFrame, docs: DataFrame, block: int = 4096) -> DataFrame:
-    """(query, doc, score) of every query (query, q) with every other row (doc, v): a stated set against all rows, in blocks.
+#: Queries that a task holds at once, rows of a part, and pairs that are scored at once.
+QUERY_BLOCK, PART_ROWS, TILE = 8192, 16384, 1 << 20
 
-    Queries lie in blocks, rows in as many parts as there are shuffle partitions; a block and a part meet by their numbers, in a join
-    that Spark broadcasts only where it has measured the queries to be few."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-queries.count() // block))
+
+def similarities(queries: DataFrame, docs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, doc, score) of every query (query, q) with every other row (doc, v): a stated set against all rows, in blocks."""
+    return _scored(queries, docs, None, block)
+
+
+def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Of `similarities` the rows that can be among a query's k best by rounded scores: about k of a batch of rows leave a task."""
+    return _scored(queries, docs, k, block)
+
+
+def _scored(queries: DataFrame, docs: DataFrame, k: int | None, block: int) -> DataFrame:
+    """Each part of the rows streams past each block of the queries, in tiles of pairs; a task holds a block of queries, a batch of rows and a tile.
+
+    Products are summed in the vectors' order. Vectors that are null, of another length, or hold null or non-finite numbers meet the others one by one."""
+    spark = docs.sparkSession
+    fine = lambda c, n: F.coalesce((F.size(c) == n) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+    n_rows, size = docs.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    size = max(size or 0, 1)
+    n_queries, odd_queries = queries.agg(F.count(F.lit(1)), F.count_if(~fine("q", size))).first()
+    parts, blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // PART_ROWS)), max(1, -(-n_queries // block))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query", "q", of("query", blocks).alias("b"), every(parts).alias("p"))
-    right = docs.select("doc", "v", of("doc", parts).alias("p"), every(blocks).alias("b"))
-    return right.join(left, ["b", "p"]).filter(F.col("query") != F.col("doc")).select("query", "doc", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    left = queries.filter(fine("q", size)).select(of("query", blocks).alias("b"), every(parts).alias("p"), F.lit(0).alias("kind"), F.col("query").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    right = docs.filter(fine("v", size)).select(every(blocks).alias("b"), of("doc", parts).alias("p"), F.lit(1).alias("kind"), F.col("doc").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    met = left.union(right).repartition(parts, "p", "b").sortWithinPartitions("p", "b", "kind")
+    schema = T.StructType([T.StructField("query", met.schema["id"].dataType), T.StructField("doc", met.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    made = met.mapInArrow(_tiles(size, k), schema).select(F.col("query").cast(queries.schema["query"].dataType).alias("query"), F.col("doc").cast(docs.schema["doc"].dataType).alias("doc"), F.round("score", 6).alias("score"))
+    plain = lambda a, z: a.join(z, F.col("query") != F.col("doc")).select("query", "doc", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    if odd_queries:
+        made = made.union(plain(queries.filter(~fine("q", size)), docs))
+    if docs.filter(~fine("v", size)).limit(1).count():
+        made = made.union(plain(queries.filter(fine("q", size)), docs.filter(~fine("v", size))))
+    return made
+
+
+def _tiles(size: int, k: int | None):
+    """Scores of pairs from rows (b, p, kind, id, v): of a block the queries (kind 0) first, then the rows; k: only those that can be the k best."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, held = None, []
+
+        def exact(q, v):
+            out = np.zeros(np.broadcast_shapes(q.shape[:-1], v.shape[:-1]))
+            for j in range(size):
+                out += q[..., j] * v[..., j]
+            return out
+
+        def pairs(ids, vectors):
+            asked, q = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            slack = 1e-6 + 1e-13 * size * np.linalg.norm(q, axis=1).max() * np.linalg.norm(vectors, axis=1).max()
+            step = max(1, TILE // len(ids))
+            for s in range(0, len(asked), step):
+                of, some = asked[s : s + step], q[s : s + step]
+                other = of[:, None] != ids
+                if k is None or len(ids) <= k + 1:
+                    x, y = np.nonzero(other)
+                    score = exact(some[:, None], vectors[None])[other]
+                else:
+                    near = np.where(other, some @ vectors.T, -np.inf)
+                    x, y = np.nonzero(other & (near >= np.partition(near, -k, axis=1)[:, -k][:, None] - slack))
+                    score = exact(some[x], vectors[y])
+                yield pa.RecordBatch.from_arrays([pa.array(of[x]), pa.array(ids[y]), pa.array(score)], names=["query", "doc", "score"])
+
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("p", "b", "kind")])
+            cuts = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1), b.num_rows] if b.num_rows else []
+            for start, end in zip(cuts, cuts[1:]):
+                p, block, kind = marks[:, start]
+                if (p, block) != at:
+                    at, held = (p, block), []
+                ids, v = b.column("id").slice(start, end - start).to_numpy(), b.column("v").slice(start, end - start).flatten().to_numpy().reshape(-1, size)
+                if not kind:
+                    held.append((ids, v))
+                elif held:
+                    yield from pairs(ids, v)
+
+    return run
 
 
 #: Bytes of a gram, and grams of a window: a term that fills a window has marks, a shorter one is a gram of its own length.

@@ -36,15 +36,15 @@ def gold(spark, d):
     return R.containing(table(spark, d, "benchmark"), spread(table(spark, d, "documents").select("doc_id", "text")), "item_id", "text", "doc_id", "text")
 
 
-def similar(spark, d):
+def vectors(spark, d):
+    """The asked vectors, every 50th, and all."""
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return R.similarities(asked, spread(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))))
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
 
 
 def dense(spark, d, k=10):
     """Exact neighbours of the asked vectors (every 50th) by dot product."""
-    return R.ranked(similar(spark, d), k)
+    return R.ranked(R.nearest(*vectors(spark, d), k), k)
 
 
 @query("r1_pages", "SELECT doc_id, i - 1 AS page_no, length(p) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10) || 'The ')) AS p, generate_subscripts(string_split(text, chr(10) || 'The '), 1) AS i FROM documents) WHERE regexp_replace(p, '\\s+', '', 'g') <> ''")
@@ -102,7 +102,7 @@ def r6_zero(spark, d):
 
 @query("r7_similarity", f"WITH {DENSE} SELECT q AS query, d AS doc, score FROM v")
 def r7(spark, d):
-    return similar(spark, d)
+    return R.similarities(*vectors(spark, d))
 
 
 @query("r8_dense_top", f"WITH {DENSE} SELECT q AS query, d AS doc, rank FROM dr WHERE rank <= 10")
@@ -163,7 +163,7 @@ def r13_dispatch(spark, d):
     asked = e.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     rows = e.join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     sources = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source")
-    rankings = {"bm25": top(spark, d, 20).join(sources, "doc"), "dense": R.ranked(R.similarities(asked, rows), 20).join(sources, "doc"), "oracle": gold(spark, d), "pages": sources}
+    rankings = {"bm25": top(spark, d, 20).join(sources, "doc"), "dense": R.ranked(R.nearest(asked, rows, 20), 20).join(sources, "doc"), "oracle": gold(spark, d), "pages": sources}
     picks = [R.retrieve(name, rankings, 5, "source", 1).withColumn("retriever", F.lit(name)) for name in ("bm25", "dense", "hybrid", "oracle")]
     every = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
     return every.groupBy("retriever", "query").agg(F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))

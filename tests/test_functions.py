@@ -359,3 +359,19 @@ def test_jaccard_links_by_brute_force(spark):
     want = {i for i, f, a in sets for j, g, b in sets if f == g and i < j and len(a & b) >= 0.92 * len(a | b)}
     df = spark.createDataFrame(rows, "i long, f string, t string")
     assert {r.id for r in dedup.with_later_match(df, "i", "f", F.split("t", " "), 0.92).collect()} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_nearest_holds_the_best_and_odd_vectors(spark, block):
+    """All pairs, equal scores, vectors of other lengths, null and not finite."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(200)]
+    rows += [(200, rows[3][1]), (201, None), (202, [1.0, 2.0]), (203, [float("nan"), *[1.0] * 7]), (204, [None, *[1.0] * 7]), (205, [float("inf"), *[1.0] * 7])]
+    docs = spark.createDataFrame(rows, "doc long, v array<float>")
+    queries = docs.filter("doc % 10 = 0 OR doc > 200").select(F.col("doc").alias("query"), F.col("v").alias("q"))
+    every = queries.join(docs, F.col("query") != F.col("doc")).select("query", "doc", F.round(retrieval.dot(F.col("q"), F.col("v")), 6).alias("score"))
+    told = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+    assert told(retrieval.similarities(queries, docs, block)) == told(every)
+    found = retrieval.nearest(queries, docs, 5, block)
+    assert told(retrieval.ranked(found, 5)) == told(retrieval.ranked(every, 5))
+    assert "BroadcastNestedLoopJoin" not in retrieval.nearest(queries.filter("query < 200"), docs.filter("doc < 200"), 5)._jdf.queryExecution().executedPlan().toString()
