@@ -290,8 +290,8 @@ def containing(terms: DataFrame, docs: DataFrame, term_id: str, term: str, id_co
     return held.select("doc", "term").join(asked, "term").select("query", "doc")
 
 
-def _marks(gram: int, window: int, lengths: list[int] | None):
-    """From columns of which the last is text: the others, or the text itself if there is none, and the hashes of its different marks. lengths: of
+def _marks(gram: int, window: int, lengths: list[int] | None, most: int = 65536):
+    """In batches of about `most` rows, from columns of which the last is text: the others, or the text itself if there is none, and the hashes of its different marks. lengths: of
     the short terms that texts are looked through for; None: the texts are the terms."""
 
     def run(batches):
@@ -306,22 +306,39 @@ def _marks(gram: int, window: int, lengths: list[int] | None):
                 h ^= h >> np.uint64(29)
             return h
 
+        def least(h):
+            """The least of each `window` neighbours, by doubling."""
+            n = 1
+            while n < window:
+                step = min(n, window - n)
+                h, n = np.minimum(h[:-step], h[step:]), n + step
+            # runs of one mark are one
+            return np.unique(h[np.append(True, h[1:] != h[:-1])])
+
         for b in batches:
             keys = list(b.columns[:-1]) or [b.columns[-1]]
-            rows, made = [], []
+            names = [*b.schema.names[:-1], "h"] if len(b.columns) > 1 else ["key", "h"]
+            rows, made, held = [], [], 0
+
+            def told():
+                at = pa.array(np.concatenate(rows))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(np.concatenate(made))], names=names)  # noqa: B023
+
             for row, text in enumerate(b.columns[-1]):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 own = lengths if lengths is not None else [len(raw)] if len(raw) < gram + window - 1 else []
-                found = [grams(raw, n) for n in own]
+                marks = [np.unique(grams(raw, n)) for n in own]
                 if len(raw) >= gram + window - 1:
-                    found.append(np.lib.stride_tricks.sliding_window_view(grams(raw, gram), window).min(axis=1))
-                marks = np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
-                rows.append(np.full(len(marks), row))
+                    marks.append(least(grams(raw, gram)))
+                marks = np.unique(np.concatenate(marks)).view(np.int64) if marks else np.empty(0, np.int64)
+                rows.append(np.full(len(marks), row, np.int32))
                 made.append(marks)
+                held += len(marks)
+                if held >= most:
+                    yield told()
+                    rows, made, held = [], [], 0
             if rows:
-                at = pa.array(np.concatenate(rows))
-                names = [*b.schema.names[:-1], "h"] if len(b.columns) > 1 else ["key", "h"]
-                yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(np.concatenate(made))], names=names)
+                yield told()
 
     return run
 

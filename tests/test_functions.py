@@ -375,3 +375,29 @@ def test_nearest_holds_the_best_and_odd_vectors(spark, block):
     found = retrieval.nearest(queries, docs, 5, block)
     assert told(retrieval.ranked(found, 5)) == told(retrieval.ranked(every, 5))
     assert "BroadcastNestedLoopJoin" not in retrieval.nearest(queries.filter("query < 200"), docs.filter("doc < 200"), 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_come_in_bounded_batches():
+    """Whatever the number and length of the texts of a batch."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in [0, 5, 22, 23, 24, *[400] * 200]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+    out = list(retrieval._marks(8, 16, [5], most=1000)([batch]))
+    whole = pa.Table.from_batches(retrieval._marks(8, 16, [5], most=10**9)([batch]))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 1000 + 1000 and pa.Table.from_batches(out).equals(whole)
+    grams = lambda raw, n: [hash_of(raw[i : i + n]) for i in range(len(raw) - n + 1)]
+
+    def hash_of(g):
+        h = len(g)
+        for x in g:
+            h = (h ^ x) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        return h
+
+    for doc, text in enumerate(texts[:8]):
+        raw = text.encode()
+        g = grams(raw, 8)
+        want = set(grams(raw, 5)) | {min(g[i : i + 16]) for i in range(len(g) - 15)}
+        assert {h % 2**64 for d, h in zip(*(whole[c].to_pylist() for c in ("doc", "h")), strict=True) if d == doc} == want
