@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import quotes, squeezed, token_total, tokens
+from ..functions.text import quotes, squeezed, tokens
 from .numbering import checkpointed
 
 
@@ -40,21 +40,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k1=1.5, b=0.75) -> DataFrame:
-    """(query, doc, score) of each pair that shares a term; score has 6 decimals.
-
-    Terms of the queries, a stated set, meet the tokens before these are grouped, so that only their postings are shuffled; the lengths of all
-    texts are counted without making tokens. The join is by term, and a term of the whole corpus is summed to its document
-    frequency before it meets anything."""
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    n, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(token_total(F.col(text_col))), F.lit(0))).first()
-    split = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("__t"))
-    each = split.select("doc", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # read twice below: written once
-    wanted = checkpointed(each.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(words / n if words else 1.0)))
-    return wanted.join(df, "term").withColumn("__w", part).join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum("__w"), 6).alias("score"))
+    """(query, doc, score) of each pair that shares a term; score has 6 decimals. By units of documents, as `bm25_top`: a task holds
+    a unit's postings and scores, whatever the number of documents."""
+    return _searched(queries, docs, query_id, query_text, id_col, text_col, None, k1, b, UNIT_DOCS // 4)
 
 
 #: Documents of a unit, which one task searches, and of a block; blocks that are scored at once.
@@ -68,6 +56,11 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str
 
     Texts are tokenised once; postings of asked terms, with their parts of a score, are dealt by document to units. A unit meets all queries, a
     stated set, in a cogroup, and gives its k best documents of each (more where scores are equal): pairs of a query and a document are no rows."""
+    return _searched(queries, docs, query_id, query_text, id_col, text_col, k, k1, b, unit)
+
+
+def _searched(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k: int | None, k1: float, b: float, unit: int) -> DataFrame:
+    """Scores of the k best documents of each unit (None: of all that share a term)."""
     asked = checkpointed(queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
     spark, terms = asked.sparkSession, asked.select("term").distinct()
     split = docs.select(F.col(id_col).alias("doc"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("__t"))
@@ -108,6 +101,16 @@ class BlockMax:
         self.most, self.block, self.term = np.maximum.reduceat(self.part, self.starts), at[self.starts], term[self.starts]
         self.blocks, self.scored = -(-len(self.docs) // block), 0
 
+    def every(self, terms):
+        """Places of all documents that have a term, and their scores."""
+        import numpy as np
+
+        rows = [np.arange(self.starts[s], self.ends[e - 1]) for s, e in zip(np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, "right"), strict=True) if e > s]
+        rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        score = np.bincount(self.place[rows], self.part[rows], len(self.docs))
+        found = np.flatnonzero(score > 0)
+        return found, score[found]
+
     def best(self, terms, k: int, first: int = FIRST_BLOCKS):
         """Places of documents and their scores: all of the k best by rounded scores, and perhaps more."""
         import numpy as np
@@ -134,7 +137,7 @@ class BlockMax:
         return found, score[found]
 
 
-def _block_max(k: int):
+def _block_max(k: int | None):
     def run(postings, asked):
         import numpy as np
         import pyarrow as pa
@@ -147,7 +150,7 @@ def _block_max(k: int):
         order = np.argsort(of, kind="stable")
         queries, docs, scores = [], [], []
         for q, terms in enumerate(np.split(term[order], np.flatnonzero(np.diff(of[order])) + 1)):
-            at, score = index.best(terms, k)
+            at, score = index.best(terms, k) if k else index.every(terms)
             queries.append(np.full(len(at), of[order[0]] + q))
             docs.append(index.docs[at])
             scores.append(score)

@@ -401,3 +401,20 @@ def test_marks_come_in_bounded_batches():
         g = grams(raw, 8)
         want = set(grams(raw, 5)) | {min(g[i : i + 16]) for i in range(len(g) - 15)}
         assert {h % 2**64 for d, h in zip(*(whole[c].to_pylist() for c in ("doc", "h")), strict=True) if d == doc} == want
+
+
+def test_all_scores_come_by_units(spark):
+    """No aggregate of pairs, whose memory would grow with the documents; scores are those of the formula."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9))) if i % 13 else None) for i in range(90)]
+    asked = [(i, " ".join(rng.choice("abcdefghz") for _ in range(3))) for i in range(7)]
+    found = retrieval.bm25(spark.createDataFrame(asked, "q long, t string"), spark.createDataFrame(docs, "i long, t string"), "q", "t", "i", "t")
+    bags = {i: (t or "").split() for i, t in docs}
+    mean = sum(map(len, bags.values())) / len(bags)
+    df = {w: sum(w in bag for bag in bags.values()) for w in "abcdefghz"}
+    idf = lambda w: np.log((len(bags) - df[w] + 0.5) / (df[w] + 0.5) + 1)
+    want = {(q, i): sum(idf(w) * bag.count(w) * 2.5 / (bag.count(w) + 1.5 * (0.25 + 0.75 * len(bag) / mean)) for w in set(t.split())) for q, t in asked for i, bag in bags.items()}
+    want = {at: x for at, x in want.items() if x > 0}
+    got = {(r.query, r.doc): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[at] - want[at]) < 2e-6 for at in want)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
