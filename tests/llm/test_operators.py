@@ -705,3 +705,24 @@ def test_curriculum_order(spark, docs):
 def test_words(spark):
     df = spark.createDataFrame([("\x0b\x0c a\x1cb c\xa0d\r\n",), (None,), ("",)], "t string")
     assert [r.w for r in df.select(common.words("t").alias("w")).collect()] == [["a\x1cb", "c\xa0d"], [], []]
+
+
+def test_components_of_few_edges_take_no_rounds(spark):
+    """One task joins what it can hold; rounds give the same."""
+    import random
+
+    from quernstone.llm import components
+
+    random.seed(4)
+    edges = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5, 5), (-3, 2**62)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    made = []
+    whole = components.checkpointed
+    components.checkpointed = lambda x: made.append(1) or whole(x)
+    try:
+        got = {tuple(r) for r in components.components(df).collect()}
+        assert len(made) == 1
+        assert got == {tuple(r) for r in components.components(df, few=0).collect()} and len(made) > 2
+    finally:
+        components.checkpointed = whole
+    assert {b for a, b in got if a >= 1000 and a < 2**60} == {1000} and (2**62, -3) in got and components.components(df.limit(0)).collect() == []

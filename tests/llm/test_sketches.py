@@ -132,3 +132,32 @@ def test_neighbours(spark):
     rows = [(1, n, i, bytes([i == 2]) * sketches.SIZE) for i, n in enumerate([10, 10, 10, 11, 11, 20])] + [(2, 20, 5, bytes(sketches.SIZE)), (2, 21, 6, bytes(sketches.SIZE))]
     got = sketches.neighbours(spark.createDataFrame(rows, "band long, n long, node long, sketch binary").repartition(3))
     assert sorted(map(tuple, got.coalesce(1).collect())) in ([(0, 1), (3, 4), (5, 6)], [(0, 1), (5, 6)], [(3, 4), (5, 6)])
+
+
+def test_sets_just_under_the_bound_are_no_candidates(spark):
+    # 60 near copies of one text, each with 16 of 180 elements of its own: a similarity of about 0.7, which sketches alone let through
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 180).astype(np.uint64)
+    sets_of = []
+    for _ in range(60):
+        new = base.copy()
+        new[rng.choice(180, 16, replace=False)] = rng.integers(0, 2**63, 16).astype(np.uint64)
+        sets_of.append(np.unique(new))
+    sets_of.append(np.concatenate([sets_of[7][:-1], base[:1] + np.uint64(1)]))  # but for one element a copy
+    coordinates = [sketches.sketch(s).astype(np.uint8) for s in sets_of]
+    linked = {(i, j) for i in range(61) for j in range(i + 1, 61) if 9 * len(np.intersect1d(sets_of[i], sets_of[j])) >= 4 * (len(sets_of[i]) + len(sets_of[j]))}
+    passed = sum(bool(sketches._alike(coordinates[i], coordinates[j])) for i in range(61) for j in range(i + 1, 61))
+    nodes = spark.createDataFrame([(i, c.tobytes() + sketches.parities(s).tobytes()) for i, (c, s) in enumerate(zip(coordinates, sets_of, strict=True))], "node long, sketch binary")
+    rows = [(k, int.from_bytes(bytes([k, *c[5 * k : 5 * k + 5].tolist()])), len(s), i, i) for i, (c, s) in enumerate(zip(coordinates, sets_of, strict=True)) for k in range(48)]
+    got = {tuple(r) for r in sketches.across(spark.createDataFrame(rows, "k int, band long, n long, node long, root long"), nodes).collect()}
+    assert (7, 60) in linked and linked <= got and passed > 1000 and len(got) < len(linked) + 100
+
+
+@pytest.mark.parametrize("n", [1, 9, 180, 5000])
+def test_parities_are_a_lower_bound(n):
+    rng = np.random.default_rng(n)
+    for k in (0, 1, n // 9, n // 4, n):
+        pool = rng.integers(0, 2**63, n + k).astype(np.uint64)
+        x, y = (sketches.parities(s).view(np.uint64) for s in (pool[:n], pool[k:]))
+        assert np.bitwise_count(x ^ y).sum() <= 2 * k
+        assert sketches._near(np.int64(2 * n), x, y) or 18 * k > 2 * n
