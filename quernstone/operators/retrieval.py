@@ -45,6 +45,16 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id
     return _searched(queries, docs, query_id, query_text, id_col, text_col, None, k1, b, UNIT_DOCS // 4)
 
 
+#: Rows of a narrow table that a join broadcasts at most: a set number, whatever the size of the tables; more are shuffled, as what they meet is.
+FEW = 1 << 17
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """`df`, checkpointed, to be broadcast if it has `FEW` rows at most: then all tokens, marks or texts of a table stay where they are read."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 #: Documents of a unit, which one task searches, and of a block; blocks that are scored at once.
 UNIT_DOCS, BLOCK_DOCS, FIRST_BLOCKS = 8192, 16, 32
 #: Stands beside the tokens of every text, so that one pass over the texts gives their number and lengths, too; no text has it.
@@ -65,7 +75,7 @@ def _searched(queries: DataFrame, docs: DataFrame, query_id: str, query_text: st
     spark, terms = asked.sparkSession, asked.select("term").distinct()
     split = docs.select(F.col(id_col).alias("doc"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("__t"))
     each = split.select("doc", F.size("__t").alias("dl"), F.explode(F.concat("__t", F.array(F.lit(EVERY)))).alias("term"))
-    wanted = each.join(terms.union(spark.createDataFrame([(EVERY,)], "term string")), "term", "left_semi")
+    wanted = each.join(narrow(terms.union(spark.createDataFrame([(EVERY,)], "term string"))), "term", "left_semi")
     wanted = checkpointed(wanted.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     n, words = wanted.filter(F.col("term") == EVERY).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     found = wanted.filter(F.col("term") != EVERY)
@@ -281,15 +291,17 @@ def containing(terms: DataFrame, docs: DataFrame, term_id: str, term: str, id_co
     each = asked.select("term").distinct()
     n_bytes, whole = F.octet_length("term"), gram + window - 1
     short = sorted(r[0] for r in each.filter(n_bytes < whole).select(n_bytes).distinct().collect())
-    of_term = each.mapInArrow(_marks(gram, window, None), "key string, h long").withColumnRenamed("key", "term")
+    of_term = checkpointed(each.mapInArrow(_marks(gram, window, None), "key string, h long").withColumnRenamed("key", "term"))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc"], T.StructField("copy", T.LongType()), T.StructField("h", T.LongType())])
-    hits = checkpointed(rows.mapInArrow(_marks(gram, window, short), schema).join(of_term.select("h").distinct(), "h", "left_semi"))
+    hits = checkpointed(rows.mapInArrow(_marks(gram, window, short), schema).join(narrow(of_term.select("h").distinct()), "h", "left_semi"))
     seen = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarest = of_term.join(seen, "h", "left").groupBy("term").agg(F.min_by("h", F.struct(F.coalesce("n", F.lit(0)), "h")).alias("h"))
     # copies of a row are one candidate, and meet all of their rows below
-    pairs = hits.join(rarest, "h").select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy"), "term").distinct()
-    held = rows.join(pairs, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("copy") == F.col("__copy"))).filter(F.contains("text", "term"))
+    pairs = checkpointed(hits.join(rarest, "h").select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy"), "term").distinct())
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("copy") == F.col("__copy"))
+    looked = rows.join(narrow(pairs.select("__doc", "__copy").distinct()), same, "left_semi")
+    held = looked.join(pairs, same).filter(F.contains("text", "term"))
     return held.select("doc", "term").join(asked, "term").select("query", "doc")
 
 

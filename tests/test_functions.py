@@ -418,3 +418,20 @@ def test_all_scores_come_by_units(spark):
     got = {(r.query, r.doc): r.score for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[at] - want[at]) < 2e-6 for at in want)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stated_terms_leave_texts_where_they_are(spark, monkeypatch):
+    """Terms and marks of a stated set are broadcast up to a set number; more are shuffled, and give the same."""
+    from quernstone.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} a passage that is looked for {i % 3} and more words") for i in range(60)] + [(None, None), (None, "word1 a passage that is looked for 1 and")], "doc long, text string")
+    asked = spark.createDataFrame([(1, "a passage that is looked for 1 and"), (2, "word3 other2"), (3, None), (4, "word"), (5, "d3")], "q long, text string")
+    made = {}
+    for few in (1 << 17, 0):
+        monkeypatch.setattr(R, "FEW", few)
+        plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        made[few] = plain(R.containing(asked, docs, "q", "text", "doc", "text")), plain(R.bm25_top(asked, docs.filter("doc IS NOT NULL"), "q", "text", "doc", "text", 4))
+    assert made[0] == made[1 << 17] and {q for q, _ in made[0][0]} == {1, 2, 4, 5}
+    monkeypatch.setattr(R, "FEW", 10)
+    hinted = lambda n: "Hint" in R.narrow(spark.range(n))._jdf.queryExecution().logical().toString()
+    assert hinted(10) and not hinted(11)
