@@ -1,8 +1,10 @@
 """The pipeline: its contract, and its stages against brute force on a small corpus."""
 
 import hashlib
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -121,3 +123,32 @@ def test_near_dedup_against_brute_force(spark, folder):
     for wide in (2, 8):  # large runs are paired in two passes
         got = near.near_duplicates(docs, wide=wide)
         assert {r.key: r.component for r in got.collect()} == {i: up(i) for i in range(len(texts))}
+
+
+def test_near_dedup_counts_every_shingle():
+    """Hashes of texts' shingles, made for many texts at once, meet as the shingles do."""
+    odd = ["", " ", "a b", "A  b", "\ta\nb ", "ab", "a", "b a", "a b c d e", "A b\x0bC d e", "é b c d e", "É b c d e", "x" * 3000, "x" * 3001, "a b c d e f", "a b c d e a b c d e a b c d e"]
+
+    def grams(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    made = [set(x.tolist()) for x in near.shingles(pa.array(odd))]
+    alone = [set(near.shingles(pa.array(["zz", t, "q"], pa.large_string()))[1].tolist()) for t in odd]
+    assert made == alone and all(len(a & b) == len(grams(x) & grams(y)) for a, x in zip(made, odd, strict=True) for b, y in zip(made, odd, strict=True))
+    assert near.shingles(pa.array([], pa.string())) == []
+
+
+def test_common_shingles_cost_no_more_with_their_number(spark):
+    """As many as there may be of a large table took milliseconds a text."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(2000)], "doc_id long, text string").repartition(1).cache()
+    docs.count()
+
+    def took(common):
+        began = time.time()
+        assert near.prefixes(docs, common=common).count() > 0
+        return time.time() - began
+
+    none = np.empty(0, np.int64)
+    took(none)
+    assert took(np.sort(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, near.COMMON))) < 3 * took(none) + 1
