@@ -6,7 +6,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -328,3 +330,239 @@ def _placed(batches: Iterator[pa.RecordBatch], batch: int = 8192) -> Iterator[pa
     close(None)
     if rows:
         yield told()
+
+
+#: A tag that is as it should be: name, attributes. All attributes of a tag, as `_ATTRIBUTE` takes them one by one. White space, and numbers, as Spark knows them.
+_TAG = re.compile(r"""<(/?[a-zA-Z][^\s/>"'=<]*+)((?>[\s/]*[^\s/>="'<]++(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s>"'<]*+))?)*+[\s/]*)>""")
+_ATTRIBUTES = re.compile(rf"(?>{_ATTRIBUTE.pattern})*+")
+_BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACES = re.compile(f"[{_BLANKS}]+")
+_NUMBER = re.compile(r"[\x00-\x20\x7f]*\+?0*([0-9]{1,10})[\x00-\x20\x7f]*")
+_SCOPED = {n for names, scope in ENDS.values() for n in (*names, *scope)} | {"p", *SCOPES}
+
+
+def _tags(page: str) -> tuple[list[str], list[str], list[str]]:
+    """Names and attributes of the tags of a page, as `nodes` reads it, and the texts before, between and after them; a name may be empty, where
+    only text ends."""
+    parts = _TAG.split(page)
+    if 3 * page.count("<") == len(parts) - 1 and RAW.isdisjoint(map(str.lower, parts[1::3])):
+        return parts[1::3], parts[2::3], parts[::3]
+    names, attributes, texts = zip(*_odd_tags(page), strict=True)
+    return [*names[:-1]], [*attributes[:-1]], [*texts]
+
+
+def _odd_tags(page: str) -> Iterator[tuple[str, str, str]]:
+    """(name, attributes, the text before) of the tags of any page."""
+    at = said = 0
+    size = len(page)
+    none_after: dict[str, int] = {}
+    endless: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if none_after.get(what, size + 1) <= start:
+            return -1
+        if (i := page.find(what, start)) < 0:
+            none_after[what] = start
+        return i
+
+    while (lt := find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), lt):
+            yield "", "", page[said:lt]
+            what = "-->" if page.startswith("<!--", lt) else ">"
+            end = find(what, lt + 4 if what == "-->" else lt)
+            at = said = size if end < 0 else end + len(what)
+        elif page.startswith("</", lt) and (m := _NAME.match(page, lt + 2)):
+            yield "/" + m[0], "", page[said:lt]
+            end = find(">", m.end())
+            at = said = size if end < 0 else end + 1
+        elif m := _NAME.match(page, lt + 1):
+            end = _ATTRIBUTES.match(page, m.end()).end()
+            yield m[0], page[m.end() : end], page[said:lt]
+            at = _GAP.match(page, end).end()
+            at += at < size and page[at] == ">"
+            said = at
+            if (name := m[0].lower()) in RAW:
+                # its content is text up to its own end
+                end = None if name in endless else re.compile(f"</{name}", re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
+                at = end.start() if end else size
+                if name in HIDDEN:
+                    said = at
+                else:
+                    yield "", "", page[said:at]
+                    said = at
+        else:
+            at = lt + 1
+    yield "", "", page[said:]
+
+
+def _spans(attributes: str) -> list[int]:
+    """colspan and rowspan; what Spark casts to no int counts as 1."""
+    found: dict[str, str] = {}
+    at = 0
+    while a := _ATTRIBUTE.match(attributes, at):
+        value = a[2] or ""
+        found.setdefault(a[1].lower(), html.unescape(value[1:-1] if value[:1] in ('"', "'") and value[-1:] == value[:1] and len(value) > 1 else value))
+        at = a.end()
+    numbers = [_NUMBER.fullmatch(found.get(n, "")) for n in ("colspan", "rowspan")]
+    return [max(1, min(1000, n)) if m and (n := int(m[1])) < 2**31 else 1 for m in numbers]
+
+
+def _placed_cells(names: Sequence[str], attributes: Sequence[str]) -> list[list[tuple[int, int, list[int]]]]:
+    """(row, column, the numbers of its texts) of the cells of each table, tables in page order, by the tags alone: where `table_cells` puts `nodes`."""
+    held: dict[str, list[int]] = {n: [-1] for n in _SCOPED}  # the places of open elements of each name
+    td, th, tr, table, p = held["td"], held["th"], held["tr"], held["table"], held["p"]
+    stack: list[tuple[list[int], int]] = []  # those of its name; 1: a table, 2: a cell
+    made: list[list] = []
+    tables: list[list] = []  # of open ones: row, next column, until which row columns are taken, cells
+    cells: list[tuple] = []
+
+    def close(height: int) -> None:
+        while len(stack) > height:
+            own, kind = stack.pop()
+            own.pop()
+            if kind == 2:
+                to, *cell = cells.pop()
+                if to is not None:
+                    to.append(tuple(cell))
+            elif kind:
+                tables.pop()
+
+    for i, (name, given) in enumerate(zip(names, attributes, strict=True)):
+        for cell in cells:
+            cell[3].append(i)
+        if not name:
+            continue
+        name = name.lower()
+        kind = 0
+        if name == "td" or name == "th":
+            while True:
+                top, scope = td[-1] if td[-1] > th[-1] else th[-1], tr[-1] if tr[-1] > table[-1] else table[-1]
+                if top <= scope:
+                    break
+                close(top)
+            kind = 2
+            to, row, col = None, 0, 0
+            wide, high = _spans(given) if given else (1, 1)
+            if tables and (t := tables[-1])[0] >= 0:
+                row, col, until, to = t
+                if until:
+                    while until.get(col, 0) > row:
+                        col += 1
+                if wide > 1 or high > 1:
+                    until.update(dict.fromkeys(range(col, col + wide), row + high))
+                t[1] = col + wide
+            cells.append((to, row, col, []))
+        elif name[0] == "/":
+            if (own := held.get(name[1:])) and own[-1] >= 0:
+                close(own[-1])
+            continue
+        elif name == "tr":
+            while tr[-1] > table[-1]:
+                close(tr[-1])
+            if tables:
+                tables[-1][0] += 1
+                tables[-1][1] = 0
+        elif name in ENDS:
+            ended, scope = ENDS[name]
+            while (top := max([held[n][-1] for n in ended])) > max([held[n][-1] for n in scope]):
+                close(top)
+        else:
+            if p[-1] >= 0 and name in BLOCKS and p[-1] > max([held[n][-1] for n in SCOPES]):
+                close(p[-1])
+            if name in VOID:
+                continue
+            if name == "table":
+                kind = 1
+                made.append([])
+                tables.append([-1, 0, {}, made[-1]])
+        own = held.get(name)
+        if own is None:
+            own = held[name] = [-1]
+        own.append(len(stack))
+        stack.append((own, kind))
+    for cell in cells:
+        cell[3].append(len(names))
+    close(0)
+    return made
+
+
+class _Layout(NamedTuple):
+    """Of the cells of a page's tables that are large enough: where they stand, their texts, and the cells that head their rows and columns (-1: none)."""
+
+    table_no: list[int]
+    row_no: list[int]
+    col_no: list[int]
+    pieces: list[list[int]]
+    side: list[int]
+    head: list[int]
+
+
+def _laid_out(names: Sequence[str], attributes: Sequence[str], least: int) -> _Layout:
+    made = _Layout([], [], [], [], [], [])
+    no = 0
+    for cells in _placed_cells(names, attributes):
+        head = {col: i for i, (row, col, _) in enumerate(cells, len(made.row_no)) if not row}
+        if len(head) < least or max(row for row, *_ in cells) + 1 < least:
+            continue
+        no += 1
+        side = {row: i for i, (row, col, _) in enumerate(cells, len(made.row_no)) if not col}
+        for row, col, pieces in cells:
+            for column, value in zip(made, (no, row, col, pieces, side.get(row, -1), head.get(col, -1)), strict=True):
+                column.append(value)
+    return made
+
+
+@lru_cache(maxsize=256)
+def _known_layout(names: tuple[str, ...], attributes: tuple[str, ...], least: int) -> _Layout:
+    """Pages of one template have the same tags: the layouts of some are kept."""
+    return _laid_out(names, attributes, least)
+
+
+def _told(texts: list[str], pieces: list[int]) -> str:
+    said = (texts[pieces[0]] if len(pieces) == 1 else " ".join([texts[i] for i in pieces])).strip(_BLANKS)
+    return said if said.isalnum() else _SPACES.sub(" ", said)
+
+
+def page_cells(df: DataFrame, key: str, column: str, least: int = 2, batch: int = 16384) -> DataFrame:
+    """The rows of `table_cells`, from pages of markup: a page's cells are made where the page is, and nothing is shuffled.
+
+    Null keys and null pages have none; each row is a page of its own. The cells of one page are held at once."""
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("table_no long, row_no long, col_no long, text string, row_header string, col_header string").fields])
+    return df.filter(F.col(key).isNotNull()).select(key, F.col(column).cast("string")).mapInArrow(_cells_of(schema.names, least, batch), schema)
+
+
+def _cells_of(names: list[str], least: int, batch: int):
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, made = [], [[] for _ in types]
+
+            def told() -> pa.RecordBatch:
+                rows = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *map(pa.array, made, types)], names=names)  # noqa: B023
+                for x in (of, *made):  # noqa: B023
+                    x.clear()
+                return rows
+
+            for i, page in enumerate(b.column(1).to_pylist()):
+                if not page:
+                    continue
+                tags, attributes, texts = _tags(page)
+                at = _known_layout(tuple(tags), tuple(attributes), least) if len(tags) <= 1024 else _laid_out(tags, attributes, least)
+                if "&" in page:
+                    texts = [html.unescape(t) if "&" in t else t for t in texts]
+                said = [_told(texts, x) for x in at.pieces]
+                ends = [*said, ""]
+                for start in range(0, len(said), batch):
+                    to = slice(start, start + batch)
+                    for whole, more in zip(made, (at.table_no[to], at.row_no[to], at.col_no[to], said[to], [ends[x] for x in at.side[to]], [ends[x] for x in at.head[to]]), strict=True):
+                        whole += more
+                    of += [i] * len(said[to])
+                    if len(of) >= batch:
+                        yield told()
+            if of:
+                yield told()
+
+    return run

@@ -174,7 +174,7 @@ def s10_table(spark, d):
     row = lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), F.lit("<td>\n "), x["l_partkey"].cast("string"), F.lit("<td><b>"), x["l_returnflag"], F.lit("</b></td>"))
     body = F.array_join(F.transform("l", row), "\n")
     pages = lines.select("l_orderkey", F.concat(F.lit("<p>Lines<table class=grid><tr><th>order &amp; line<th>part<th>mode</tr>"), body, F.lit("</table>")).alias("html"))
-    return M.table_cells(M.page_tree(pages, "l_orderkey", "html"), "l_orderkey").drop("table_no")
+    return M.page_cells(pages, "l_orderkey", "html").drop("table_no")
 
 
 @query("s13_json_sink", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || ' é한\"}' AS line FROM region")

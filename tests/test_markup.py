@@ -101,3 +101,35 @@ def test_pairs_over_batches(spark):
         assert said(spark, M.chosen("b"), "<b>1<i>2</i>3<i>4</b>5") == [(0, "1\n2\n3\n4")]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cells_of_pages_are_those_of_their_trees(spark):
+    rng = random.Random(4)
+    bits = ["<p>", "</p>", "<", ">", "&amp;", "<!--", "-->", "<td>", "<TD colspan=2>", "<td rowspan=' 03' x>", '<th rowspan="2">', "<td colspan='2.5' rowspan=9999999999>", "<tr>", "<tr>", "<td>", "</tr>", "</td>", "<table>", "<table a=b>", "</table>"]
+    bits += ["<script>", "</script>", "x ", " \x1cy", "　", "'", "<hr>", "<li ", "<ul>", "=", "</", "<title>", "</title>", "<td colspan='&#50;'>", "<td = colspan=2>", '<a href=x"y>', "<b/>", "<!d>"]
+    tame = [x for x in bits if x[0] not in "<=>-'" or x[1:] and x[1] not in "! " and x[-1] == ">" and "= " not in x and '"y' not in x and x[1:3] not in ("sc", "/s", "ti", "/t")]
+    pages = ["<table><tr><td>1<td>2<tr>" * (i % 3 < 2) + "".join(rng.choices(tame if i % 2 else bits, k=rng.randint(5, 60))) for i in range(400)]
+    df = spark.createDataFrame([*enumerate([*pages, None, ""]), (None, pages[0])], "id long, html string")
+    got = M.page_cells(df, "id", "html", batch=7)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = M.table_cells(M.page_tree(df, "id", "html"), "id")
+    assert got.dtypes == want.dtypes
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) > 1000 and rows == sorted(map(tuple, want.collect()))
+
+
+def test_cells_take_linear_time():
+    def took(n):
+        began = time.process_time()
+        M._laid_out(*M._tags("<table><tr><td><b x='1'>a</b><td rowspan=2>c</table>" * n)[:2], 2)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 14 * took(5_000) + 0.3
+
+
+def test_table_query_shuffles_lines_only(spark):
+    from quernstone.sources.source_queries import s10_table
+
+    plan = s10_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
