@@ -1,10 +1,14 @@
-"""Near-duplicates of short texts: template signatures, clusters, weights, and Jaccard joins on rare tokens."""
+"""Near-duplicates of short texts: template signatures, clusters, weights, and Jaccard joins on equal parts of word sets."""
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .numbering import checkpointed, numbered
 
@@ -36,7 +40,6 @@ def clustered(df: DataFrame, sig: str, order: str) -> DataFrame:
     return df.join(named.withColumn("cluster_weight", F.round(1 / F.col("cluster_size"), 6)).drop("__first"), sig)
 
 
-COMMON = 2000
 #: Longs of a set's parities.
 PARITIES = 4
 
@@ -56,41 +59,135 @@ def summary(sizes: DataFrame, sig: str, largest: int = 5) -> DataFrame:
     return whole.crossJoin(top).withColumn("share", F.round(F.col("singletons") / F.col("clusters"), 6))  # one row each
 
 
-def last_matches(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, sid) of each row, and (sid, last): the greatest id of a row of the same family whose word set is the set sid
-    or has a Jaccard of at least `least` with it. Sets are told apart by a SHA-256.
-
-    Prefix filter: in one order of all words, with J >= t, two sets share one of their first (1 - t) * n + 1 words, so only sets that meet
-    in such a word are compared, and of these only those whose sizes, and places of the word, leave room for the similarity. Any order is
-    right; words that a sixteenth of the sets shows to be common (COMMON at most) come last, so that few prefixes hold them. Candidates whose
-    parities differ oftener than such sets can are left out before whole sets are sent."""
-    rows = df.select(family, F.col(id_col).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    sid = F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(family, F.lit("")), F.array_join("w", " ")), 256))
-    rows = checkpointed(rows.select("id", sid.alias("sid"), F.col(family).alias("fam"), F.array_sort(F.transform("w", lambda t: F.xxhash64(t))).alias("w")))
-    # read several times below: written once
-    sets = checkpointed(rows.groupBy("sid").agg(F.first("fam").alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")).withColumn("k", F.monotonically_increasing_id()))
-    shown = sets.filter(F.pmod(F.xxhash64("sid"), F.lit(16)) == 0).select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    common = shown.filter("df >= 8").orderBy(F.desc("df"), "t").limit(COMMON).agg(F.collect_list("t").alias("c")).scalar()
-    bits = [f"p{i}" for i in range(PARITIES)]
-    ordered = sets.select("k", "fam", "w", *[p.alias(c) for p, c in zip(parities(F.col("w")), bits, strict=True)], common.alias("c"))
-    ordered = ordered.select("k", "fam", *bits, F.size("w").alias("n"), F.concat(F.array_except("w", "c"), F.array_intersect("w", "c")).alias("o"))
-    length = (F.floor((1 - least) * F.col("n") + 1e-9) + 1).cast("int")
-    heads = checkpointed(ordered.select("k", "fam", *bits, "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "t")))
-    b = heads.select(*[F.col(c).alias(f"{c}_2") for c in heads.columns])
-    room = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_2") - F.col("at_2") - 1)
-    # J >= t asks for t / (1 + t) of both sizes in common; the first common word stands at such places
-    fits = (F.least("n", "n_2") >= least * F.greatest("n", "n_2")) & (room + F.least("at", "at_2") >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-9)
-    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in bits])
-    fits = fits & (unlike <= (1 - least) / (1 + least) * (F.col("n") + F.col("n_2")) + 1e-9)
-    pairs = heads.join(b, F.col("fam").eqNullSafe(F.col("fam_2")) & (F.col("t") == F.col("t_2")) & (F.col("k") < F.col("k_2")) & fits).select("k", "k_2").distinct()
-    one, two = sets.select("k", "w", "last"), sets.select(F.col("k").alias("k_2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
-    share = F.size(F.array_intersect("w", "w2"))
-    close = checkpointed(pairs.join(one, "k").join(two, "k_2").filter(share >= least * (F.size("w") + F.size("w2") - share)).select("k", "k_2", "last", "last2"))
-    every = sets.select("k", "last").union(close.select("k", "last2")).union(close.select("k_2", "last"))
-    return rows.select("id", "sid"), every.groupBy("k").agg(F.max("last").alias("last")).join(sets.select("k", "sid"), "k").select("sid", "last")
+#: Mates of a set that are looked at first; pairs that a task makes at once; sets whose keys it makes at once.
+NEXT, AT_ONCE, TOGETHER = 3, 1 << 18, 256
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that scatters its input (SplitMix64's finaliser)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _classes(least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the least size, the number of parts) of each class of sizes up to that of `most`: a set's mates are of its class or a next one. Of two sets
+    of a similarity of `least`, the smaller one of the class, fewer members than parts are in one of them only."""
+    low, parts = [1], []
+    while True:
+        high = math.floor(low[-1] / least + 1e-9)
+        parts.append(math.floor(high * (1 - least) / least + 1e-9) + 1)
+        if high >= most:
+            return np.array(low), np.array(parts)
+        low.append(high + 1)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """key, k, own: of each set (k, f, w) a key for each of its parts, by the class of its size (own) and by the one before."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, TOGETHER):
+            b = whole.slice(start, TOGETHER)
+            w, family = b.column(2), b.column(1).to_numpy().view(np.uint64)
+            members = w.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+            low, parts = _classes(least, max(1, int(n.max(initial=1))))
+            of, scattered, added = np.repeat(np.arange(len(n)), n), _mixed(members), _mixed(members + np.uint64(0x9E3779B97F4A7C15))
+            for own in (True, False):
+                slot = np.searchsorted(low, n, "right") - (1 if own else 2)
+                many = np.where((n > 0) & (slot >= 0), parts[np.maximum(slot, 0)], 0)
+                base = np.cumsum(many) - many
+                takes = many[of] > 0
+                at = of[takes]
+                sums = np.zeros(many.sum(), np.uint64)
+                np.add.at(sums, base[at] + (scattered[takes] % many[at].astype(np.uint64)).astype(np.int64), added[takes])
+                row = np.repeat(np.arange(len(n)), many)
+                place = (slot[row] << 32 | np.arange(len(row)) - base[row]).astype(np.uint64)
+                key = _mixed(sums + _mixed(place + _mixed(family[row]))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), pa.array(np.full(len(row), own))], names=["key", "k", "own"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """Calls `use` with the columns of whole runs of an equal first column, as they come; yields what it yields."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        held = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield from use([c[:last] for c in held])
+            held = [c[last:] for c in held]
+    if held is not None:
+        yield from use(held)
+
+
+def _ends(key: np.ndarray) -> np.ndarray:
+    """For each row of a sorted key, where its run ends."""
+    cuts = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    return np.repeat(cuts, np.diff(cuts, prepend=0))
+
+
+def _met(columns):
+    """The rows whose key several sets have, one of them by its own class."""
+    key, k, own = columns
+    end = _ends(key)
+    owners = np.concatenate([[0], np.cumsum(own)])
+    first = np.searchsorted(key, key)
+    some = (end - first > 1) & (owners[end] > owners[first])
+    if some.any():
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=["key", "k", "own"])
+
+
+def _mates(columns, most: int | None):
+    """(k, k_2): open rows and later ones of their key, the next `most` or all, a bounded number at a time."""
+    key, k, own, open_ = columns
+    after = np.where(open_, _ends(key) - np.arange(len(key)) - 1, 0)
+    if most:
+        after = np.minimum(after, most)
+    before = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + AT_ONCE, "right")) - 1)
+        i = np.repeat(np.arange(at, to), after[at:to])
+        j = i + 1 + np.arange(len(i)) - (before[i] - before[at])
+        new = (own[i] | own[j]) & (k[i] != k[j])
+        if new.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[i[new]]), pa.array(k[j[new]])], names=["k", "k_2"])
+        at = to
 
 
 def with_later_match(df: DataFrame, id_col: str, family: str, words: Column, least: float) -> DataFrame:
-    """The ids that have a later near-duplicate in their family (each counted once)."""
-    rows, last = last_matches(df, id_col, family, words, least)
-    return rows.join(last, "sid").filter(F.col("id") < F.col("last")).select("id")
+    """The ids that have a later near-duplicate in their family (each counted once): a row with a greater id whose word set is the same or has a
+    Jaccard of at least `least` with theirs. Sets are told apart by 128 bits; null ids and null sets have no match.
+
+    Pigeonholes: words are dealt by their hash to one part more than two such sets of their sizes can differ in members, so that one part at least is
+    equal. Parts have about least / (1 - least) words, so that sets that are not alike hardly share one, however many sets have the same
+    words. Sets that share a part are compared whole. Of a set only its greatest id is in doubt, and one later mate settles it: each
+    set looks at the next `NEXT` of a part first, and what then has no mate at all later ones, so that a large group of near copies does not give
+    its square."""
+    made = F.sort_array(F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))))
+    hashed = df.select(F.col(family).alias("fam"), F.col(id_col).alias("id"), made.alias("w"))
+    # nulls go after the checkpoint: a filter before it would make the words twice
+    rows = checkpointed(hashed.select("id", "fam", "w", F.xxhash64("fam", "w").alias("s1"), F.xxhash64(F.lit(1), "fam", "w").alias("s2"))).filter("id IS NOT NULL AND w IS NOT NULL")
+    # read several times below: written once
+    sets = checkpointed(rows.groupBy("s1", "s2").agg(F.first("fam").alias("fam"), F.first("w").alias("w"), F.max("id").alias("last")).withColumn("k", F.monotonically_increasing_id()))
+    keys = sets.select("k", F.xxhash64("fam").alias("f"), "w").mapInArrow(lambda b: _keys(b, least), "key long, k long, own boolean")
+    shared = checkpointed(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _runs(b, _met), "key long, k long, own boolean"))
+    # of the others, none is looked at again
+    likely = checkpointed(sets.select("k", "fam", "w", "last").join(shared.select("k").distinct(), "k", "left_semi"))
+    met = checkpointed(shared.join(likely.select("k", "last"), "k").select("key", "k", "own", "last"))
+
+    def mates(rows, most):
+        dealt = rows.repartition("key").sortWithinPartitions("key", "last", "k").select("key", "k", "own", "open")
+        pairs = dealt.mapInArrow(lambda b: _runs(b, lambda c: _mates(c, most)), "k long, k_2 long").distinct()
+        one, two = likely, likely.select(F.col("k").alias("k_2"), F.col("fam").alias("fam2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
+        share = F.size(F.array_intersect("w", "w2"))
+        alike = F.col("fam").eqNullSafe(F.col("fam2")) & (F.col("last") < F.col("last2")) & (share >= least * (F.size("w") + F.size("w2") - share))
+        return checkpointed(pairs.join(one, "k").join(two, "k_2").filter(alike).select("k").distinct())
+
+    first = mates(met.withColumn("open", F.lit(True)), NEXT)
+    second = mates(met.join(first.withColumn("done", F.lit(True)), "k", "left").withColumn("open", F.col("done").isNull()), None)
+    found = first.union(second).withColumn("later", F.lit(True))
+    settled = sets.select("s1", "s2", "k", "last").join(found, "k", "left").drop("k")
+    return rows.select("id", "s1", "s2").join(settled, ["s1", "s2"]).filter((F.col("id") < F.col("last")) | F.col("later")).select("id")

@@ -1,8 +1,10 @@
 """Small fixtures worked out by hand."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,3 +437,51 @@ def test_stated_terms_leave_texts_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(R, "FEW", 10)
     hinted = lambda n: "Hint" in R.narrow(spark.range(n))._jdf.queryExecution().logical().toString()
     assert hinted(10) and not hinted(11)
+
+
+def test_sets_alike_share_a_part_and_others_hardly_do():
+    """No pair is lost whatever its sizes, and sets of the same few words do not meet: words alone, which many sets share, gave their square."""
+    rng = random.Random(6)
+    member = lambda: rng.getrandbits(64) - 2**63
+    few = [member() for _ in range(400)]
+
+    def keys(sets, least):
+        arrays = [pa.array(range(len(sets))), pa.array([7] * len(sets)), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))]
+        rows = [r for b in dedup._keys([pa.RecordBatch.from_arrays(arrays, names=["k", "f", "w"])], least) for r in b.to_pylist()]
+        held = [set() for _ in sets]
+        own = [set() for _ in sets]
+        for r in rows:
+            held[r["k"]].add(r["key"])
+            if r["own"]:
+                own[r["k"]].add(r["key"])
+        return held, own
+
+    for least in (0.92, 0.6):
+        sets = []
+        for _ in range(150):
+            a = {member() for _ in range(rng.randint(1, 300))}
+            drop = set(rng.sample(sorted(a), int(len(a) * (1 - least) / 2)))
+            sets += [a, (a - drop) | {member() for _ in range(rng.randint(0, len(drop)))}]
+        held, own = keys(sets, least)
+        alike = [(i, i + 1) for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= least * len(sets[i] | sets[i + 1])]
+        assert len(alike) > 60 and all(own[i] & held[j] or held[i] & own[j] for i, j in alike)
+    held, _ = keys([set(rng.sample(few, 60)) for _ in range(1000)], 0.92)
+    counts = Counter(x for h in held for x in h)
+    assert sum(n - 1 for n in counts.values()) < 100
+
+
+def test_null_words_match_nothing(spark):
+    rows = [(1, "f", None), (2, "f", None), (3, "f", "a b"), (None, "f", "a b"), (4, "f", "a b"), (5, "g", ""), (6, "g", "")]
+    df = spark.createDataFrame(rows, "i long, f string, t string")
+    assert [r.id for r in dedup.with_later_match(df, "i", "f", F.split("t", " "), 0.92).orderBy("id").collect()] == [3, 5]
+
+
+def test_a_large_group_gives_few_pairs(spark):
+    """All but the last of 300 sets alike have a later one; what each looks at does not grow with the group."""
+    base = [f"w{i}" for i in range(120)]
+    df = spark.createDataFrame([(i, "f", " ".join([*base, f"own{i}"])) for i in range(300)], "i long, f string, t string")
+    assert sorted(r.id for r in dedup.with_later_match(df, "i", "f", F.split("t", " "), 0.92).collect()) == list(range(299))
+    key, k, own, open_ = np.zeros(1000, np.int64), np.arange(1000), np.ones(1000, bool), np.ones(1000, bool)
+    assert sum(b.num_rows for b in dedup._mates((key, k, own, open_), dedup.NEXT)) < 1000 * dedup.NEXT
+    open_[:997] = False
+    assert sum(b.num_rows for b in dedup._mates((key, k, own, open_), None)) == 3
